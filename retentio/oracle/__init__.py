@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import analytics, etl
+    from . import analytics, etl, profile_quality
 
     out: dict[str, str] = {}
     out.update(etl.oracles())
+    out.update(profile_quality.oracles())
     out.update(analytics.oracles())
     return out

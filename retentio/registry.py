@@ -38,7 +38,7 @@ def _doubles(df: DataFrame) -> DataFrame:
 
 
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import analytics
+    from .plans import analytics, profile, quality
 
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -53,6 +53,33 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     add("dim_service_plan", lambda p: p.star.dim_service_plan)
     add("dim_tenure", lambda p: p.star.dim_tenure)
     add("fact_subscription", lambda p: _doubles(p.star.fact.drop("loaded_at")))
+    # profiling (raw)
+    add("prof_shape", lambda p: profile.prof_shape(p.raw))
+    add("prof_schema", lambda p: profile.prof_schema(p.raw, "raw").unionByName(profile.prof_schema(p.staging, "staging")))
+    add("prof_sample", lambda p: profile.prof_sample(p.raw))
+    add("prof_missing", lambda p: profile.prof_missing(p.raw))
+    add("prof_blank", lambda p: profile.prof_blank(p.raw))
+    add("prof_duplicates", lambda p: profile.prof_duplicates(p.raw))
+    add("prof_categories", lambda p: profile.prof_categories(p.raw))
+    add("prof_numeric", lambda p: profile.prof_numeric(p.raw))
+    add("prof_coerce", lambda p: profile.prof_coerce(p.raw))
+    add("prof_target", lambda p: profile.prof_target(p.raw))
+    # quality
+    add("dq_row_counts", lambda p: quality.dq_row_counts(p.raw, p.staging, p.star))
+    add("dq_nulls", lambda p: quality.dq_nulls(p.raw, p.staging))
+    add("dq_recode", lambda p: quality.dq_recode(p.raw, p.staging))
+    add("dq_blank_to_null", lambda p: quality.dq_blank_to_null(p.raw, p.staging))
+    add("dq_null_detail", lambda p: quality.dq_null_detail(p.staging))
+    add("dq_range", lambda p: quality.dq_range(p.staging))
+    add("dq_domain", lambda p: quality.dq_domain(p.staging))
+    add("dq_whitespace", lambda p: quality.dq_whitespace(p.staging))
+    add("dq_contract_mix", lambda p: quality.dq_contract_mix(p.staging))
+    add("dq_payment_mix", lambda p: quality.dq_payment_mix(p.staging))
+    add("dq_flag_consistency", lambda p: quality.dq_flag_consistency(p.star))
+    add("dq_mrr_total", lambda p: quality.dq_mrr_total(p.star))
+    add("dq_contract_revenue", lambda p: quality.dq_contract_revenue(p.star))
+    add("dq_orphans", lambda p: quality.dq_orphans(p.star))
+    add("dq_dim_profile", lambda p: quality.dq_dim_profile(p.star))
     # analyses
     for name, fn in analytics.ANALYSES.items():
         add(name, lambda p, _fn=fn: _fn(p.star))
