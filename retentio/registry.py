@@ -38,7 +38,7 @@ def _doubles(df: DataFrame) -> DataFrame:
 
 
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import analytics, profile, quality
+    from .plans import analytics, dashboard, eda, profile, quality, stats
 
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -83,6 +83,17 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # analyses
     for name, fn in analytics.ANALYSES.items():
         add(name, lambda p, _fn=fn: _fn(p.star))
+    # EDA datasets
+    for name in ["eda_histogram", "eda_churn_by_category", "eda_box_stats", "eda_iqr_outliers", "eda_correlation",
+                 "eda_churn_drivers", "eda_scatter_bins", "eda_addon_stickiness", "eda_summary"]:
+        add(name, lambda p, _fn=getattr(eda, name): _fn(p.staging))
+    # statistical tests
+    add("st_crosstab", lambda p: stats.st_crosstab(p.staging, "contract_type", "churn"))
+    add("st_chi_square", lambda p: stats.st_chi_square(p.staging))
+    add("st_mann_whitney", lambda p: stats.st_mann_whitney(p.staging))
+    # dashboard datasets
+    for name, fn in dashboard.DASHBOARD.items():
+        add(name, lambda p, _fn=fn: _fn(p.star))
     return q
 
 
