@@ -4,10 +4,11 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import analytics, etl, profile_quality
+    from . import analytics, eda_stats_dashboard, etl, profile_quality
 
     out: dict[str, str] = {}
     out.update(etl.oracles())
     out.update(profile_quality.oracles())
     out.update(analytics.oracles())
+    out.update(eda_stats_dashboard.oracles())
     return out
