@@ -13,6 +13,42 @@ SELECT customer_id, gender, senior_citizen, partner, dependents, tenure_months,
        CAST(monthly_charges AS DOUBLE) AS monthly_charges, CAST(total_charges AS DOUBLE) AS total_charges, churn
 FROM stg"""
 
+Q["ing_raw_load"] = "SELECT * FROM raw"
+
+
+def _quarantine_sql() -> str:
+    from ..plans.staging import STAGING_LENGTHS, STAGING_RENAMES
+
+    reasons = []
+    for src, dst in STAGING_RENAMES:
+        v = f"trim({src}, ' ')"
+        if dst == "total_charges":
+            reasons.append(f"CASE WHEN NOT ({v} = '' OR {src} IS NULL) AND TRY_CAST({v} AS DECIMAL(10,2)) IS NULL "
+                           f"THEN '{dst}: not numeric(10,2)' END")
+            continue
+        reasons.append(f"CASE WHEN {src} IS NULL THEN '{dst}: missing' END")
+        if dst == "senior_citizen":
+            reasons.append(f"CASE WHEN {src} IS NOT NULL AND {v} NOT IN ('0', '1') THEN '{dst}: unknown code' END")
+        elif dst == "tenure_months":
+            reasons.append(f"CASE WHEN {src} IS NOT NULL AND TRY_CAST({v} AS INTEGER) IS NULL THEN '{dst}: not integer' END")
+        elif dst == "monthly_charges":
+            reasons.append(f"CASE WHEN {src} IS NOT NULL AND TRY_CAST({v} AS DECIMAL(10,2)) IS NULL "
+                           f"THEN '{dst}: not numeric(10,2)' END")
+        else:
+            n = STAGING_LENGTHS[dst]
+            reasons.append(f"CASE WHEN length({v}) > {n} THEN '{dst}: longer than {n}' END")
+    reasons.append("CASE WHEN d._copies IS NOT NULL THEN 'customer_id: duplicated ' || CAST(d._copies AS VARCHAR) || ' times' END")
+    cols = ", ".join(f"r.{src}" for src, _ in STAGING_RENAMES)
+    return f"""
+, dups AS (SELECT trim(customerid, ' ') AS _id, COUNT(*) AS _copies FROM raw WHERE trim(customerid, ' ') IS NOT NULL
+           GROUP BY 1 HAVING COUNT(*) > 1),
+q AS (SELECT {cols}, concat_ws('; ', {', '.join(reasons)}) AS reason
+      FROM raw r LEFT JOIN dups d ON d._id = trim(r.customerid, ' '))
+SELECT * FROM q WHERE reason <> ''"""
+
+
+Q["stg_quarantine"] = _quarantine_sql()
+
 Q["dim_customer"] = "SELECT * FROM dim_customer"
 Q["dim_contract"] = "SELECT * FROM dim_contract"
 Q["dim_service_plan"] = "SELECT * FROM dim_service_plan"

@@ -37,8 +37,21 @@ def _doubles(df: DataFrame) -> DataFrame:
     )
 
 
+def _ingest_roundtrip(p: Pipeline) -> DataFrame:
+    """Write the derived subscriber records as a CSV landing file in the shared
+    checkpoint folder, then run the raw loader on it."""
+    import uuid
+
+    from .session import ensure_checkpoint_dir
+    from .sources.csv_ingest import ing_raw_load, write_raw_csv
+
+    base = f"{ensure_checkpoint_dir(p.spark).rstrip('/')}/retentio-ingest-{uuid.uuid4().hex}"
+    write_raw_csv(p.raw, f"{base}/landing")
+    return ing_raw_load(p.spark, f"{base}/landing", f"{base}/raw")
+
+
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import analytics, dashboard, eda, profile, quality, stats
+    from .plans import analytics, dashboard, eda, profile, quality, staging, stats
 
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -46,7 +59,9 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q[name] = lambda spark, sf_dir, _fn=fn: _fn(pipeline(spark, sf_dir))
 
     # ingest / staging
+    add("ing_raw_load", _ingest_roundtrip)
     add("stg_clean", lambda p: _doubles(p.staging.drop("loaded_at")))
+    add("stg_quarantine", lambda p: staging.stg_quarantine(p.raw))
     # star
     add("dim_customer", lambda p: p.star.dim_customer)
     add("dim_contract", lambda p: p.star.dim_contract)
