@@ -1,6 +1,6 @@
 """Run registered Spark queries and their DuckDB oracles side by side.
 
-    python tools/compare.py [sf_dir] [key ...]
+    python -m retentio.oracle.compare [sf_dir] [key ...]
 
 Prints one line per key: row counts, schema match, value match.
 """
@@ -12,9 +12,7 @@ import os
 import sys
 import time
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-import duckdb  # noqa: E402
+import duckdb
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -49,8 +47,9 @@ def rows_of(records, cols):
     return sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
 
 
-def compare(spark, sf_dir: str, keys: list[str] | None = None) -> dict[str, dict]:
-    from __spark_entry__ import oracle_sql, queries
+def compare(spark, sf_dir: str, keys: list[str] | None = None, verbose: bool = True) -> dict[str, dict]:
+    from ..registry import queries
+    from . import oracle_sql
 
     qs, os_ = queries(), oracle_sql()
     con = duck(sf_dir)
@@ -68,7 +67,8 @@ def compare(spark, sf_dir: str, keys: list[str] | None = None) -> dict[str, dict
         except Exception as e:  # noqa: BLE001
             rec["error"] = f"spark: {type(e).__name__}: {str(e)[:400]}"
             results[key] = rec
-            print(key, rec, flush=True)
+            if verbose:
+                print("FAIL", key, rec, flush=True)
             continue
         if key in os_:
             try:
@@ -93,13 +93,14 @@ def compare(spark, sf_dir: str, keys: list[str] | None = None) -> dict[str, dict
                 rec["error"] = f"oracle: {type(e).__name__}: {str(e)[:400]}"
         ok = rec.get("values_ok")
         brief = {k: v for k, v in rec.items() if k not in ("type_pairs", "types")}
-        print(("OK  " if ok else ("ROWS" if key not in os_ else "FAIL")), key, brief, flush=True)
+        if verbose:
+            print(("OK  " if ok else ("ROWS" if key not in os_ else "FAIL")), key, brief, flush=True)
         results[key] = rec
     return results
 
 
 if __name__ == "__main__":
-    from retentio.session import local_session
+    from ..session import local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     keys = sys.argv[2:] or None
