@@ -10,7 +10,7 @@ totals of such windows while the work stays spread over the cluster:
    key are split across tasks as long as the order ends in a unique column;
 2. sort inside each range and tag rows with ``monotonically_increasing_id``
    (partition id in the high bits, position in the low 33 bits);
-3. freeze that numbering with a reliable ``checkpoint`` so a lost executor
+3. freeze that numbering in a Parquet table in the checkpoint folder so a lost executor
    cannot re-sample different range bounds between the passes below;
 4. count rows per (range, window partition) — at most ranges + groups rows —
    and turn the counts into offsets with a tiny window;
@@ -23,6 +23,7 @@ uses a window partitioned by the range id, which shuffles only that table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,9 +41,18 @@ def _as_sort(col: Column | str) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the cluster's shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing ``df`` as a Parquet table in the cluster's shared
+    checkpoint folder and reading it back.
+
+    One job computes the plan once (``Dataset.checkpoint`` runs the last
+    stage twice), the files survive executor loss, and readers get column
+    pruning and predicate pushdown on the frozen table.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/retentio-frozen/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _ranged(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column | str],

@@ -173,6 +173,10 @@ def eda_iqr_outliers(staging: DataFrame) -> DataFrame:
     ).orderBy("variable")
 
 
+# Features held in cents; their sums are kept in decimal so they cannot overflow.
+_MONEY_FEATURES = {"monthly_charges", "total_charges"}
+
+
 def correlation_features(staging: DataFrame) -> DataFrame:
     """The twelve correlation features as integers (NULL where unmapped/missing)."""
     f = eda_frame(staging)
@@ -197,32 +201,60 @@ def correlation_features(staging: DataFrame) -> DataFrame:
         "contract_Month-to-month": (F.col("contract_type") == "Month-to-month").cast("int"),
         "contract_Two year": (F.col("contract_type") == "Two year").cast("int"),
     }
-    return f.select(*[cols[k].cast("decimal(38,0)").alias(k) for k in CORRELATION_FEATURES])
+    return f.select(*[
+        cols[k].cast("decimal(20,0)" if k in _MONEY_FEATURES else "bigint").alias(k) for k in CORRELATION_FEATURES
+    ])
 
 
 def correlation_pairs(staging: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pearson r per pair over rows where both are present, from exact integer
-    moments in one aggregation pass; rounded to 10 decimals."""
+    """Pearson r per pair over the rows where both values are present (pandas'
+    pairwise-complete rule), exact, in one pass over the data.
+
+    Rows are first grouped by their pattern of missing features (a handful of
+    patterns), accumulating per pattern n, Σx, Σx² per feature and Σxy per
+    pair — 12 + 12 + pairs sums instead of six per pair.  The pairwise moments
+    are then sums over the patterns in which both features are present.
+    Integer features are summed as bigint, cent amounts as decimal."""
     x = correlation_features(staging)
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
-        va = F.when(both, F.col(f"`{a}`"))
-        vb = F.when(both, F.col(f"`{b}`"))
-        aggs += [
-            F.count_if(both).alias(f"n{i}"), F.sum(va).alias(f"a{i}"), F.sum(vb).alias(f"b{i}"),
-            F.sum(va * vb).alias(f"ab{i}"), F.sum(va * va).alias(f"aa{i}"), F.sum(vb * vb).alias(f"bb{i}"),
-        ]
-    m = x.agg(*aggs)
-    rows = []
+    feats = [f for f in CORRELATION_FEATURES if any(f in p for p in pairs)]
+    bit = {f: 1 << i for i, f in enumerate(feats)}
+    q = lambda f: F.col(f"`{f}`")
+    pattern = sum((F.when(q(f).isNotNull(), F.lit(bit[f])).otherwise(F.lit(0)) for f in feats), F.lit(0))
+    per_pattern = x.groupBy(pattern.alias("_pat")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(q(f)).alias(f"s{bit[f]}") for f in feats],
+        *[F.sum(q(f) * q(f)).alias(f"q{bit[f]}") for f in feats],
+        *[F.sum(q(a) * q(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
+    )
+    # one row per (pair, pattern) where both features are present, then 6 sums per pair
+    parts = []
     for i, (a, b) in enumerate(pairs):
-        n, sa, sb = F.col(f"n{i}"), F.col(f"a{i}"), F.col(f"b{i}")
-        num = n * F.col(f"ab{i}") - sa * sb
-        da = n * F.col(f"aa{i}") - sa * sa
-        db = n * F.col(f"bb{i}") - sb * sb
-        r = F.when((da > 0) & (db > 0), num.cast("double") / F.sqrt(da.cast("double") * db.cast("double")))
-        rows.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.round(r, 10).alias("correlation")))
-    return m.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        mask = bit[a] | bit[b]
+        parts.append(F.when(
+            F.col("_pat").bitwiseAND(F.lit(mask)) == mask,
+            F.struct(
+                F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col("_n").alias("n"),
+                F.col(f"s{bit[a]}").alias("sa"), F.col(f"s{bit[b]}").alias("sb"), F.col(f"p{i}").alias("sab"),
+                F.col(f"q{bit[a]}").alias("saa"), F.col(f"q{bit[b]}").alias("sbb"),
+            ).cast(_MOMENTS),
+        ))
+    long = per_pattern.select(F.explode(F.array(*parts)).alias("m")).where(F.col("m").isNotNull()).select("m.*")
+    m = long.groupBy("feature_a", "feature_b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab", "saa", "sbb")])
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    num = n * F.col("sab") - sa * sb
+    da = n * F.col("saa") - sa * sa
+    db = n * F.col("sbb") - sb * sb
+    r = F.when((da > 0) & (db > 0), num.cast("double") / F.sqrt(da.cast("double") * db.cast("double")))
+    order = {p: i for i, p in enumerate(pairs)}
+    pos = F.create_map(*[x for (a, b), i in order.items() for x in (F.lit(f"{a}|{b}"), F.lit(i))])
+    return m.select("feature_a", "feature_b", F.round(r, 10).alias("correlation"),
+                    pos[F.concat_ws("|", "feature_a", "feature_b")].alias("_i")).orderBy("_i").drop("_i")
+
+
+_MOMENTS = (
+    "struct<feature_a:string,feature_b:string,n:decimal(38,0),sa:decimal(38,0),sb:decimal(38,0),"
+    "sab:decimal(38,0),saa:decimal(38,0),sbb:decimal(38,0)>"
+)
 
 
 def lower_triangle(features: list[str]) -> list[tuple[str, str]]:

@@ -1,4 +1,10 @@
-"""Raw → staging → star, built lazily for one input location."""
+"""Raw → staging → star, built lazily for one input location.
+
+Layers are persisted the way a warehouse persists them: the raw landing table
+is written once (a Parquet table in the shared checkpoint folder) and every
+report reads it instead of re-deriving it; staging is a narrow projection of
+it; the star freezes its own numbered staging and dimensions.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.ordering import checkpointed
 from ..sources.subscribers import derive_raw
 from .staging import stg_clean
 from .star import Star
@@ -21,7 +28,9 @@ class Pipeline:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return self._raw if self._raw is not None else derive_raw(self.spark, self.sf_dir)
+        if self._raw is not None:
+            return self._raw
+        return checkpointed(derive_raw(self.spark, self.sf_dir))
 
     @cached_property
     def staging(self) -> DataFrame:
