@@ -34,6 +34,9 @@ from .joins import broadcast_if_small
 
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
+# Tables of at most this many rows (counted, not assumed) take a plain window:
+# one task sorting a few hundred thousand rows beats three extra jobs.
+SMALL_ROWS = 200_000
 
 
 def _as_sort(col: Column | str) -> Column:
@@ -84,15 +87,27 @@ def _join_offsets(ranged: DataFrame, offsets: DataFrame, partition_by: Sequence[
     return joined.drop("_o_pid", *[f"_o_{p}" for p in partition_by])
 
 
+def _is_small(df: DataFrame, small_rows: int) -> bool:
+    return small_rows > 0 and df.limit(small_rows + 1).count() <= small_rows
+
+
 def row_numbers(df: DataFrame, order_by: Sequence[Column | str], partition_by: Sequence[str] = (),
                 rn: str = "row_number", size: str | None = None, num_partitions: int | None = None,
-                max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                max_broadcast_rows: int = 1_000_000, small_rows: int = 0) -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY partition_by ORDER BY order_by)``.
 
     ``order_by`` should end in a unique column so the numbering is
     deterministic.  With ``size`` set, also adds the row count of each window
-    partition (what ``NTILE`` needs).
+    partition (what ``NTILE`` needs).  With ``small_rows``, a ``df`` counted at
+    or below that size (pass a frozen or cheap one) is numbered by a plain
+    window and frozen.
     """
+    if _is_small(df, small_rows):
+        w = Window.partitionBy(*partition_by).orderBy(*[_as_sort(o) for o in order_by])
+        out = df.withColumn(rn, F.row_number().over(w).cast("long"))
+        if size:
+            out = out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*partition_by)))
+        return checkpointed(out)
     ranged = _ranged(df, partition_by, order_by, num_partitions)
     counts = ranged.groupBy("_pid", *partition_by).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_local").alias("_first")
@@ -112,16 +127,30 @@ def row_numbers(df: DataFrame, order_by: Sequence[Column | str], partition_by: S
 
 def running_totals(df: DataFrame, order_by: Sequence[Column | str], weights: dict[str, Column | str],
                    partition_by: Sequence[str] = (), totals: bool = True,
-                   num_partitions: int | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                   num_partitions: int | None = None, max_broadcast_rows: int = 1_000_000,
+                   small_rows: int = SMALL_ROWS) -> DataFrame:
     """Inclusive running sums ``SUM(w) OVER (PARTITION BY p ORDER BY o ROWS UNBOUNDED PRECEDING)``.
 
     Meant for aggregated tables (one row per distinct value).  For each weight
     ``name`` adds ``name`` (running sum) and, with ``totals``, ``name + '_total'``
-    (sum over the whole window partition).
+    (sum over the whole window partition).  The input is frozen first; when it
+    counts at most ``small_rows`` rows a plain window finishes the job.
     """
     base = df
     for name, w in weights.items():
         base = base.withColumn(f"_w_{name}", F.col(w) if isinstance(w, str) else w)
+    base = checkpointed(base)
+    if _is_small(base, small_rows):
+        run = (
+            Window.partitionBy(*partition_by)
+            .orderBy(*[_as_sort(o) for o in order_by])
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        out = base.select("*", *[F.sum(f"_w_{n}").over(run).alias(n) for n in weights])
+        if totals:
+            out = out.select("*", *[F.sum(f"_w_{n}").over(Window.partitionBy(*partition_by)).alias(f"{n}_total")
+                                    for n in weights])
+        return out.drop(*[f"_w_{n}" for n in weights])
     ranged = _ranged(base, partition_by, order_by, num_partitions)
     inner = (
         Window.partitionBy("_pid", *partition_by)

@@ -5,18 +5,21 @@ Physical plan, per table:
 
 * ``dim_tenure``   — ``spark.range(0, 73)``; 73 rows, always broadcast.
 * ``dim_contract`` / ``dim_service_plan`` — a map-side combined ``distinct``
-  of a few category columns (tens to hundreds of rows), keyed by a
-  distributed row number over *all* their natural columns and checkpointed,
-  so the fact join can count them and broadcast them safely.
-* ``dim_customer`` and the fact — one range shuffle of staging on
-  ``customer_id`` numbers the customers (key = position in customer-id
-  order) and is checkpointed once.  Both tables are projections of that one
-  frozen dataset: staging is unique on ``customer_id``, so the
-  staging⋈dim_customer lookup join of the source model is the identity and
-  is not executed.  The fact then meets the three small dimensions by
-  broadcast hash joins on their natural keys (inner joins, like the source:
-  rows whose tenure falls outside 0–72 drop out, and ``dq_row_counts`` /
-  ``dq_tenure_dropped`` report that).
+  of a few category columns, frozen, counted, and keyed by a row number over
+  *all* their natural columns (a plain window when the count is small, the
+  distributed row number otherwise); the keyed table is frozen too, so the
+  fact join can count it again cheaply and broadcast it behind that check.
+* ``dim_customer`` — one range shuffle of staging on ``customer_id`` numbers
+  the customers (key = position in customer-id order) and is frozen once.
+  Staging is unique on ``customer_id``, so the staging⋈dim_customer lookup
+  join of the source model is the identity and is not executed: the fact is
+  built from the same numbered rows.
+* the fact — numbered staging meets the three small dimensions by broadcast
+  hash joins on their natural keys (inner joins, like the source: a row whose
+  tenure falls outside 0–72 drops out, and ``dq_row_counts`` reports it).
+  It is written once, with the dimension attributes next to the keys; in
+  Parquet the extra columns cost nothing to a reader that does not select
+  them, and every report becomes a single pruned scan without joins.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators.joins import broadcast_if_small
-from ..operators.ordering import checkpointed, row_numbers
+from ..operators.ordering import SMALL_ROWS, checkpointed, row_numbers
 
 CUSTOMER_ATTRS = ["gender", "senior_citizen", "partner", "dependents", "household_type", "senior_segment"]
 FACT_COLUMNS = [
@@ -61,8 +64,8 @@ class Star:
 
     @cached_property
     def dim_contract(self) -> DataFrame:
-        combos = self.staging.select(*R.CONTRACT_COLUMNS).distinct()
-        keyed = row_numbers(combos, R.CONTRACT_COLUMNS, rn="contract_key")
+        combos = checkpointed(self.staging.select(*R.CONTRACT_COLUMNS).distinct())
+        keyed = row_numbers(combos, R.CONTRACT_COLUMNS, rn="contract_key", small_rows=SMALL_ROWS)
         return checkpointed(
             keyed.select(
                 F.col("contract_key").cast("long"),
@@ -74,8 +77,8 @@ class Star:
 
     @cached_property
     def dim_service_plan(self) -> DataFrame:
-        combos = self.staging.select(*R.SERVICE_COLUMNS).distinct()
-        keyed = row_numbers(combos, R.SERVICE_COLUMNS, rn="service_key")
+        combos = checkpointed(self.staging.select(*R.SERVICE_COLUMNS).distinct())
+        keyed = row_numbers(combos, R.SERVICE_COLUMNS, rn="service_key", small_rows=SMALL_ROWS)
         return checkpointed(
             keyed.select(
                 F.col("service_key").cast("long"),
@@ -108,9 +111,10 @@ class Star:
 
     @cached_property
     def fact_enriched(self) -> DataFrame:
-        """The fact joined to every dimension (customer attributes come from the
-        same numbered rows, not from a join).  Analyses select from this;
-        column pruning keeps only what each one reads."""
+        """The fact with every dimension's attributes alongside its keys
+        (customer attributes come from the same numbered rows, not from a
+        join), written once as a Parquet table.  Analyses scan it with column
+        pruning and need no join at all; ``fact`` is its normalized projection."""
         s = self._numbered
         contract = self._small(self.dim_contract)
         service = self._small(self.dim_service_plan)
@@ -121,7 +125,7 @@ class Star:
             .join(tenure, "tenure_months", "inner")
         )
         m, t, tot = F.col("monthly_charges"), F.col("tenure_months"), F.col("total_charges")
-        return j.select(
+        return checkpointed(j.select(
             F.col("customer_key").alias("subscription_key"),
             "customer_key", "contract_key", "service_key", "date_key", "customer_id",
             "tenure_months", "monthly_charges", "total_charges",
@@ -140,7 +144,7 @@ class Star:
             *R.SERVICE_COLUMNS, "total_addons", "internet_tier",
             # tenure attributes
             "tenure_bucket", "tenure_year", "is_new_customer", "is_long_term",
-        )
+        ))
 
     @cached_property
     def fact(self) -> DataFrame:
