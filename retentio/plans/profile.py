@@ -92,10 +92,16 @@ def prof_categories(raw: DataFrame, columns: Sequence[str] | None = None) -> Dat
     )
 
 
+# A decimal or scientific number with optional surrounding blanks.
+NUMERIC_TEXT = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def numeric_columns(raw: DataFrame) -> list[str]:
-    """Columns every non-missing value of which parses as a number (pandas-like inference)."""
+    """Columns every non-missing value of which reads as a number (pandas-like
+    inference).  A regex test, not ``try_cast``: a failed cast costs an
+    exception per value, and most values of a text column fail."""
     bad = raw.agg(
-        *[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in raw.columns]
+        *[F.count_if(F.col(c).isNotNull() & ~F.col(c).rlike(NUMERIC_TEXT)).alias(c) for c in raw.columns]
     ).first()
     return [c for c in raw.columns if bad[c] == 0]
 
