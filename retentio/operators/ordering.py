@@ -83,7 +83,10 @@ def _join_offsets(ranged: DataFrame, offsets: DataFrame, partition_by: Sequence[
         o = o.withColumnRenamed(p, f"_o_{p}")
     o = o.withColumnRenamed("_pid", "_o_pid")
     cond = [ranged["_pid"] == o["_o_pid"]] + [ranged[p].eqNullSafe(o[f"_o_{p}"]) for p in partition_by]
-    joined = ranged.join(broadcast_if_small(o, max_broadcast_rows), cond, "inner")
+    # Without window partitions the offsets table has one row per range: its
+    # size is the range count we chose, so it is broadcast without counting.
+    small = F.broadcast(o) if not partition_by else broadcast_if_small(o, max_broadcast_rows)
+    joined = ranged.join(small, cond, "inner")
     return joined.drop("_o_pid", *[f"_o_{p}" for p in partition_by])
 
 

@@ -1,0 +1,6 @@
+"""Streaming.
+
+Intentionally empty: the source model is a batch pipeline with a
+current-state fact — no stream sources, event-time windows, watermarks or
+state exist in it, so no streaming operator is provided.
+"""
