@@ -37,6 +37,8 @@ _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 # Tables of at most this many rows (counted, not assumed) take a plain window:
 # one task sorting a few hundred thousand rows beats three extra jobs.
 SMALL_ROWS = 200_000
+# ntile_column labels rows by comparing with each tile boundary up to this many tiles.
+MAX_BOUNDARY_TILES = 64
 
 
 def _as_sort(col: Column | str) -> Column:
@@ -221,3 +223,68 @@ def ranks(df: DataFrame, order_col: str, descending: bool = True, partition_by:
         t = t.withColumnRenamed(c, f"_r_{c}")
     cond = [df[c].eqNullSafe(t[f"_r_{c}"]) for c in on]
     return df.join(broadcast_if_small(t, max_broadcast_rows), cond, "inner").drop(*[f"_r_{c}" for c in on])
+
+
+def ntile_column(df: DataFrame, value_col: str, tiebreak_col: str, buckets: int, name: str = "ntile",
+                 descending: bool = True) -> DataFrame:
+    """``NTILE(buckets) OVER (ORDER BY value_col [DESC], tiebreak_col)`` without
+    moving the rows.
+
+    Tile t ends at row L_t = t·b + min(t, r) (b = n div buckets, r = n mod
+    buckets).  The value holding each L_t comes from the distinct-value counts
+    and their running totals; where that value's tie group straddles L_t, only
+    the rows of that group are numbered by ``tiebreak_col`` to find the last
+    row of the tile.  The resulting ≤ buckets − 1 boundaries reach every task
+    as one scalar subquery (their count is fixed by ``buckets``) and each
+    row's tile is one plus the number of boundaries it comes after — a narrow
+    projection.  ``value_col``
+    must be non-null and ``tiebreak_col`` unique.  Beyond ``MAX_BOUNDARY_TILES``
+    tiles the per-row comparisons stop paying off and the rows are numbered
+    with ``row_numbers`` instead.
+    """
+    order = F.col(value_col).desc() if descending else F.col(value_col).asc()
+    if buckets > MAX_BOUNDARY_TILES:
+        numbered = row_numbers(df, [order, F.col(tiebreak_col).asc()], rn="_rn", size="_size")
+        return numbered.withColumn(name, ntile("_rn", "_size", buckets)).drop("_rn", "_size")
+    values = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    cum = running_totals(values, [order], {"_cum": "_cnt"})
+    n = F.col("_cum_total")
+    k = F.lit(buckets)
+    b = (n - F.pmod(n, k)) / k
+    t = F.col("_t")
+    last = (t * b + F.least(t, F.pmod(n, k))).cast("long")  # last row of tile t
+    start = F.col("_cum") - F.col("_cnt")
+    bounds = (
+        cum.withColumn("_t", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(buckets - 1).cast("long"))))
+        .where((start < last) & (last <= F.col("_cum")))
+        .select("_t", F.col(value_col).alias("_bv"), (last - start).alias("_j"), "_cnt")
+    )
+    bounds = checkpointed(bounds)  # at most buckets - 1 rows
+    straddle = bounds.where(F.col("_j") < F.col("_cnt"))
+    groups = checkpointed(df.select(value_col, tiebreak_col).join(
+        F.broadcast(straddle.select(F.col("_bv").alias(value_col)).distinct()), value_col
+    ))
+    numbered = row_numbers(groups, [F.col(tiebreak_col).asc()], partition_by=[value_col], rn="_rn",
+                           small_rows=SMALL_ROWS)
+    ids = numbered.join(
+        F.broadcast(straddle.select(F.col("_bv").alias(value_col), F.col("_j").alias("_rn"), "_t")),
+        [value_col, "_rn"],
+    ).select("_t", F.col(tiebreak_col).alias("_bid"))
+    # ≤ buckets − 1 boundaries as one array-valued scalar subquery
+    table = bounds.join(ids, "_t", "left").agg(
+        F.collect_list(F.struct(F.col("_bv").alias("v"), F.col("_bid").alias("id")))
+    ).scalar()
+
+    v, tb = F.col(value_col), F.col(tiebreak_col)
+
+    def after(x: Column) -> Column:
+        later = (v < x["v"]) if descending else (v > x["v"])
+        # a boundary at the end of its tie group (id NULL) puts the whole group before it
+        return later | ((v == x["v"]) & x["id"].isNotNull() & (tb > x["id"]))
+
+    # one comparison per boundary (a fixed, small number); get() is NULL past the end
+    tile = F.lit(1)
+    for i in range(buckets - 1):
+        x = F.get(table, i)
+        tile = tile + F.when(x.isNotNull() & after(x), 1).otherwise(0)
+    return df.withColumn(name, tile.cast("int"))

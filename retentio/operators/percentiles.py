@@ -31,10 +31,11 @@ def as_fraction(p: float | Fraction) -> Fraction:
 
 
 def order_statistics(df: DataFrame, value_col: str, probs: dict[str, float],
-                     group_by: Sequence[str] = ()) -> DataFrame:
+                     group_by: Sequence[str] = (), moments: bool = False) -> DataFrame:
     """One row per group with, for each quantile ``name``: ``name_lo``, ``name_hi``,
     ``name_f``, ``name_b`` (fraction f/b of the way from lo to hi) and the group's
-    non-null count ``n``."""
+    non-null count ``n``.  With ``moments``, also the exact ``sum``, ``sum_sq``,
+    ``min`` and ``max`` of the values, taken from the same (value, count) table."""
     values = (
         df.where(F.col(value_col).isNotNull())
         .groupBy(*group_by, value_col)
@@ -45,6 +46,14 @@ def order_statistics(df: DataFrame, value_col: str, probs: dict[str, float],
     start = F.col("_cum") - F.col("_cnt")  # 0-based index of this value's first copy
     end = F.col("_cum")  # exclusive
     aggs = [F.max(n).alias("n")]
+    if moments:
+        v = F.col(value_col).cast("decimal(38,0)")
+        aggs += [
+            F.sum(v * F.col("_cnt")).alias("sum"),
+            F.sum(v * v * F.col("_cnt")).alias("sum_sq"),
+            F.min(value_col).alias("min"),
+            F.max(value_col).alias("max"),
+        ]
     for name, p in probs.items():
         fr = as_fraction(p)
         a, b = fr.numerator, fr.denominator

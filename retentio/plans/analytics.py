@@ -12,7 +12,10 @@ Plan notes
 * Windows that run after an aggregation (q5c, q5d, q5f, q6b, q6c) see at most
   a few dozen rows, so a plain global window is right there.
 * Windows over the whole customer base (q4a, q5b, q6a) use the distributed
-  ordering operators; no ``Exchange SinglePartition`` over fact rows.
+  ordering operators; no ``Exchange SinglePartition`` over fact rows.  The
+  NTILE quintiles of q4a/q6a come from ``ntile_column``: the few tile
+  boundaries are found from distinct-value counts and each row is labelled in
+  place, so the fact is never shuffled for them.
 * Ties: every ROW_NUMBER / NTILE / LIMIT order ends in ``customer_id`` (or
   the segment columns) so results are deterministic; RANK and DENSE_RANK keep
   the plain key.  ``estimated_clv DESC`` sorts NULLs first, as the source
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.rounding import avg_money, cents, money, pct, pct_units, ratio, round_units, scaled
-from ..operators.ordering import ntile, row_numbers
+from ..operators.ordering import ntile, ntile_column
 from ..operators.percentiles import order_statistics, round_half_up_units
 from .star import Star
 
@@ -246,8 +249,9 @@ def q4a_high_value_active(star: Star, tiles: int = 5, min_tenure: int = 12, top:
         "household_type", "contract_type", "internet_tier", "total_addons",
     ]
     base = _fact(star).where(~F.col("is_churned") & (F.col("tenure_months") >= min_tenure)).select(*cols)
-    numbered = row_numbers(base, [F.col("monthly_charges").desc(), F.col("customer_id").asc()], rn="_rn", size="_size")
-    q = numbered.withColumn("charge_quintile", ntile(F.col("_rn"), F.col("_size"), tiles).cast("long"))
+    q = ntile_column(base, "monthly_charges", "customer_id", tiles, name="charge_quintile").withColumn(
+        "charge_quintile", F.col("charge_quintile").cast("long")
+    )
     return (
         q.where(F.col("charge_quintile") == 1)
         .select(*cols[:3], F.col("estimated_clv").cast("double").alias("estimated_clv"), *cols[4:], "charge_quintile")
@@ -261,9 +265,11 @@ def q4b_at_risk_customers(star: Star, max_tenure: int = 12) -> DataFrame:
     """Churned customers and new month-to-month ones, labelled against the
     average monthly charge (compared exactly: charge·n > Σ charges)."""
     f = _fact(star)
-    avg = f.agg(sum_cents("monthly_charges").alias("_sum"), n_rows().alias("_cnt"))
+    # average charge as two scalar subqueries (Σ cents, n); compared exactly as charge·n > Σ
+    total_c = f.agg(sum_cents("monthly_charges").cast("decimal(38,0)")).scalar()
+    n = f.agg(n_rows()).scalar()
     m2m_new = (F.col("contract_type") == R.MONTH_TO_MONTH) & (F.col("tenure_months") <= max_tenure)
-    above_avg = cents(F.col("monthly_charges")).cast("decimal(38,0)") * F.col("_cnt") > F.col("_sum")
+    above_avg = cents(F.col("monthly_charges")).cast("decimal(38,0)") * n > total_c
     risk = (
         F.when(F.col("is_churned"), F.lit("Churned"))
         .when(m2m_new & above_avg, F.lit("High Risk"))
@@ -272,7 +278,6 @@ def q4b_at_risk_customers(star: Star, max_tenure: int = 12) -> DataFrame:
     )
     return (
         f.where(F.col("is_churned") | m2m_new)
-        .crossJoin(F.broadcast(avg))  # one row
         .select(
             "customer_id",
             F.col("churn").alias("churned"),
@@ -332,13 +337,13 @@ def q5b_charge_rank(star: Star, top: int = 20, tiles: int = 4) -> DataFrame:
     (TakeOrderedAndProject) plus one count replace three whole-table windows.
     """
     f = _fact(star)
-    total = f.agg(n_rows().alias("_size"))
+    total = f.agg(n_rows()).scalar()
     head = f.select("customer_id", "monthly_charges", "tenure_months", "churn", "contract_type").orderBy(
         F.desc("monthly_charges"), "customer_id"
     ).limit(top)
     w = Window.orderBy(F.desc("monthly_charges"), "customer_id")  # over ``top`` rows only
     ranked = (
-        head.crossJoin(F.broadcast(total))
+        head.withColumn("_size", total)
         .withColumn("_rn", F.row_number().over(w))
         .withColumn("charge_rank", F.rank().over(Window.orderBy(F.desc("monthly_charges"))))
         .withColumn("charge_dense_rank", F.dense_rank().over(Window.orderBy(F.desc("monthly_charges"))))
@@ -388,21 +393,18 @@ def q5d_bucket_lag_lead(star: Star) -> DataFrame:
 def q5e_charge_percentiles(star: Star) -> DataFrame:
     f = _fact(star)
     probs = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    stats = order_statistics(f.select(cents(F.col("monthly_charges")).alias("_c")), "_c", probs)
-    moments = f.agg(
-        n_rows().alias("_n"),
-        F.sum(cents(F.col("monthly_charges")).cast("decimal(38,0)")).alias("_s"),
-        F.sum(cents(F.col("monthly_charges")).cast("decimal(38,0)") * cents(F.col("monthly_charges"))).alias("_ss"),
-    )
-    # sample stddev from exact integer moments: sqrt((n·Σx² − (Σx)²) / (n(n−1))) cents
-    var_num = F.col("_n").cast("decimal(38,0)") * F.col("_ss").cast("decimal(38,0)") - F.col("_s").cast("decimal(38,0)") * F.col("_s").cast("decimal(38,0)")
-    sd_cents = F.sqrt(var_num.cast("double") / (F.col("_n") * (F.col("_n") - 1)).cast("double"))
-    return stats.crossJoin(moments).select(
+    # quantiles and exact moments from one (value, count) table of the cent amounts
+    stats = order_statistics(f.select(cents(F.col("monthly_charges")).alias("_c")), "_c", probs, moments=True)
+    n = F.col("n").cast("decimal(38,0)")
+    # sample stddev: sqrt((n·Σx² − (Σx)²) / (n(n−1))) cents
+    var_num = n * F.col("sum_sq") - F.col("sum") * F.col("sum")
+    sd_cents = F.sqrt(var_num.cast("double") / (n * (n - 1)).cast("double"))
+    return stats.select(
         scaled(round_half_up_units("p25"), 2).alias("p25_monthly"),
         scaled(round_half_up_units("p50"), 2).alias("median_monthly"),
         scaled(round_half_up_units("p75"), 2).alias("p75_monthly"),
         scaled(round_half_up_units("p90"), 2).alias("p90_monthly"),
-        avg_money(F.col("_s"), F.col("_n")).alias("mean_monthly"),
+        avg_money(F.col("sum"), F.col("n")).alias("mean_monthly"),
         F.round(sd_cents / F.lit(100.0), 2).alias("stddev_monthly"),
     )
 
@@ -428,8 +430,8 @@ def risk_profile_rows(star: Star, tiles: int = 5) -> DataFrame:
         "customer_id", "tenure_months", "monthly_charges", "is_churned", "mrr_at_risk",
         "contract_type", "total_addons", "is_new_customer",
     )
-    numbered = row_numbers(f, [F.col("monthly_charges").desc(), F.col("customer_id").asc()], rn="_rn", size="_size")
-    q = ntile(F.col("_rn"), F.col("_size"), tiles)
+    numbered = ntile_column(f, "monthly_charges", "customer_id", tiles, name="_q")
+    q = F.col("_q")
     m2m = F.col("contract_type") == R.MONTH_TO_MONTH
     label = (
         F.when(F.col("is_churned"), F.lit("Churned"))
@@ -438,7 +440,7 @@ def risk_profile_rows(star: Star, tiles: int = 5) -> DataFrame:
         .when((F.col("contract_type") != R.MONTH_TO_MONTH) & (q == 1), F.lit("High Value"))
         .otherwise(F.lit("Stable"))
     )
-    return numbered.select("*", q.alias("value_quintile"), label.alias("risk_segment")).drop("_rn", "_size")
+    return numbered.select("*", q.alias("value_quintile"), label.alias("risk_segment")).drop("_q")
 
 
 def q6a_risk_profile(star: Star, tiles: int = 5) -> DataFrame:

@@ -95,8 +95,9 @@ def db_vs_average(star: Star, dimensions: tuple[str, ...] = ("contract_type", "i
     args = ", ".join(f"'{d}', `{d}`" for d in dimensions)
     long = f.select("is_churned", F.expr(f"stack({len(dimensions)}, {args}) AS (dimension, value)"))
     g = long.groupBy("dimension", "value").agg(n_rows().alias("customers"), n_churned().alias("churned"))
-    overall = f.agg(n_rows().alias("_n"), n_churned().alias("_c"))
-    return g.crossJoin(overall).select(
+    # the reference line: overall customers and churned, as scalar subqueries
+    n_all, c_all = f.agg(n_rows()).scalar(), f.agg(n_churned()).scalar()
+    return g.withColumns({"_n": n_all, "_c": c_all}).select(
         "dimension", "value", "customers", pct(F.col("churned"), F.col("customers")).alias("churn_rate_pct"),
         pct(F.col("_c"), F.col("_n")).alias("overall_rate_pct"),
         (F.col("churned") * F.col("_n") > F.col("_c") * F.col("customers")).alias("above_average"),

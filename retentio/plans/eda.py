@@ -58,7 +58,6 @@ def _numeric_long(df: DataFrame) -> DataFrame:
 def eda_histogram(staging: DataFrame, bins: int = 30) -> DataFrame:
     """Bin counts per variable and churn group; each group's bins span its own
     min–max, the last bin is closed (numpy's rule)."""
-    spark = staging.sparkSession
     long = _numeric_long(eda_frame(staging)).where(F.col("v").isNotNull())
     ranges = long.groupBy("variable", "scale", "is_churned").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     width = F.col("hi") - F.col("lo")
@@ -72,7 +71,7 @@ def eda_histogram(staging: DataFrame, bins: int = 30) -> DataFrame:
         .groupBy("variable", "is_churned", b.alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    grid = ranges.crossJoin(spark.range(bins).select(F.col("id").cast("int").alias("bin")))
+    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     unit = F.pow(F.lit(10.0), F.col("scale"))
     edge = lambda i: (F.col("lo") * bins + width * i).cast("double") / (F.lit(float(bins)) * unit)
     return (

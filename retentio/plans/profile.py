@@ -74,12 +74,11 @@ def prof_blank(raw: DataFrame) -> DataFrame:
 
 def prof_duplicates(raw: DataFrame, key: str = "customerid") -> DataFrame:
     """Fully duplicated rows and duplicated keys (copies beyond the first; NULLs equal)."""
-    n = raw.agg(F.count(F.lit(1)).alias("n"))
-    distinct_rows = raw.distinct().agg(F.count(F.lit(1)).alias("d"))
-    distinct_keys = raw.select(key).distinct().agg(F.count(F.lit(1)).alias("k"))
-    return n.crossJoin(distinct_rows).crossJoin(distinct_keys).select(
-        (F.col("n") - F.col("d")).alias("duplicate_rows"),
-        (F.col("n") - F.col("k")).alias("duplicate_keys"),
+    distinct_rows = raw.distinct().agg(F.count(F.lit(1))).scalar()
+    distinct_keys = raw.select(key).distinct().agg(F.count(F.lit(1))).scalar()
+    return raw.agg(F.count(F.lit(1)).alias("n")).select(
+        (F.col("n") - distinct_rows).alias("duplicate_rows"),
+        (F.col("n") - distinct_keys).alias("duplicate_keys"),
     )
 
 
@@ -115,26 +114,21 @@ def describe(df: DataFrame, columns: Sequence[str], scale: int = 2) -> DataFrame
         df.select(*[(F.col(c).cast(f"decimal(30,{scale})") * unit).cast("decimal(38,0)").alias(c) for c in columns]),
         list(columns), "column_name", "_v",
     ).where(F.col("_v").isNotNull())
-    moments = long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("_v").alias("_s"),
-        F.sum(F.col("_v") * F.col("_v")).alias("_ss"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-    )
-    q = order_statistics(long, "_v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"]).drop("n")
-    var_num = F.col("_n") * F.col("_ss") - F.col("_s") * F.col("_s")
-    sd = F.sqrt(var_num.cast("double") / (F.col("_n") * (F.col("_n") - 1)).cast("double")) / F.lit(float(unit))
-    return moments.join(q, "column_name").select(
+    # quantiles and exact moments come from one (column, value, count) table
+    q = order_statistics(long, "_v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"], moments=True)
+    n = F.col("n").cast("decimal(38,0)")
+    var_num = n * F.col("sum_sq") - F.col("sum") * F.col("sum")
+    sd = F.sqrt(var_num.cast("double") / (n * (n - 1)).cast("double")) / F.lit(float(unit))
+    return q.select(
         "column_name",
-        F.col("_n").alias("count"),
-        scaled(round_units(F.col("_s"), F.col("_n"), 1), scale).alias("mean"),
+        F.col("n").alias("count"),
+        scaled(round_units(F.col("sum"), F.col("n"), 1), scale).alias("mean"),
         F.round(sd, scale).alias("std"),
-        scaled(F.col("_min"), scale).alias("min"),
+        scaled(F.col("min"), scale).alias("min"),
         scaled(round_half_up_units("p25"), scale).alias("p25"),
         scaled(round_half_up_units("p50"), scale).alias("p50"),
         scaled(round_half_up_units("p75"), scale).alias("p75"),
-        scaled(F.col("_max"), scale).alias("max"),
+        scaled(F.col("max"), scale).alias("max"),
     ).orderBy("column_name")
 
 

@@ -84,16 +84,19 @@ def chi_square(df: DataFrame, row: str, col: str, test: str | None = None) -> Da
     ).agg(F.count(F.lit(1)).alias("o"))
     rows = cells.groupBy("r").agg(F.sum("o").alias("rt"))
     cols = cells.groupBy("c").agg(F.sum("o").alias("ct"))
-    # every (row, column) pair, zero-filled: the grid has (#rows × #cols) cells
+    # Every (row, column) cell of the contingency table, zero-filled: each row
+    # category expands over the column categories, which reach the tasks as one
+    # array-valued scalar subquery (a categorical variable's few values).
+    col_list = cols.agg(F.collect_list(F.struct("c", "ct"))).scalar()
     grid = (
-        rows.crossJoin(cols)
+        rows.select("r", "rt", F.explode(col_list).alias("_c"))
+        .select("r", "rt", "_c.c", "_c.ct")
         .join(cells, ["r", "c"], "left")
         .withColumn("o", F.coalesce(F.col("o"), F.lit(0)))
     )
-    meta = grid.agg(
-        F.sum("o").alias("n"), F.countDistinct("r").alias("nr"), F.countDistinct("c").alias("nc")
-    ).select("n", ((F.col("nr") - 1) * (F.col("nc") - 1)).alias("dof"))
-    g = grid.crossJoin(meta)
+    n_all = cells.agg(F.sum("o")).scalar()
+    dof = (rows.agg(F.count(F.lit(1))).scalar() - 1) * (cols.agg(F.count(F.lit(1))).scalar() - 1)
+    g = grid.withColumns({"n": n_all, "dof": dof})
     wide = "decimal(38,0)"
     d = (F.col("o") * F.col("n") - F.col("rt") * F.col("ct")).cast(wide)  # N·(O − E)
     ad = F.abs(d)
@@ -145,16 +148,16 @@ def mann_whitney(df: DataFrame, value: Column, in_first: Column, variable: str,
     )
     z = F.when(sigma > 0, (big - mu - 0.5) / sigma)
     medians = order_statistics(x.withColumn("grp", F.col("g")), "v", {"m": 0.5}, ["grp"])
-    med = medians.select(
-        F.max(F.when(F.col("grp"), value_exact("m", divisor))).alias("median_first"),
-        F.max(F.when(~F.col("grp"), value_exact("m", divisor))).alias("median_second"),
-    )
+    med_first = medians.where(F.col("grp")).select(value_exact("m", divisor)).scalar()
+    med_second = medians.where(~F.col("grp")).select(value_exact("m", divisor)).scalar()
     out = agg.select(
         F.lit(variable).alias("variable"),
         F.col("n1").alias("n_first"), F.col("n2").alias("n_second"),
         (u1x2.cast("double") / 2.0).alias("u_statistic"),
         F.round(z, 10).alias("z"),
-    ).crossJoin(med)
+        med_first.alias("median_first"),
+        med_second.alias("median_second"),
+    )
     return out.withColumn("p_value", F.round(_normal_two_sided_p(F.col("z")), 10)).withColumn(
         "significant", F.col("p_value") < SIGNIFICANCE
     )

@@ -97,3 +97,26 @@ def test_round_units_half_up(spark):
         want = (Decimal(r.a) * 100 / Decimal(r.b)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
         assert Decimal(str(r.p)) == want
         assert int(r.u) == int((Decimal(r.a) / Decimal(r.b)).quantize(Decimal(1), rounding=ROUND_HALF_UP))
+
+
+@pytest.mark.parametrize("k,desc", [(4, True), (5, True), (7, False), (3000, True)])
+def test_ntile_column_matches_builtin(spark, tied, k, desc):
+    from retentio.operators.ordering import ntile_column
+
+    order = [F.col("v").desc() if desc else F.col("v").asc(), F.col("id").asc()]
+    got = ntile_column(tied, "v", "id", k, name="t", descending=desc)
+    want = tied.withColumn("t_ref", F.ntile(k).over(Window.orderBy(*order)))
+    j = got.join(want.select("id", "t_ref"), "id")
+    assert j.count() == 2003
+    assert j.where(F.col("t") != F.col("t_ref")).count() == 0
+
+
+def test_ntile_column_hot_value(spark):
+    from retentio.operators.ordering import ntile_column
+
+    # a third of all rows share one value: the tie group straddles boundaries
+    rows = [(i, 50 if i % 3 == 0 else i % 97) for i in range(3001)]
+    df = spark.createDataFrame(rows, "id long, v int")
+    got = ntile_column(df, "v", "id", 5, name="t")
+    want = df.withColumn("t_ref", F.ntile(5).over(Window.orderBy(F.col("v").desc(), F.col("id"))))
+    assert got.join(want, ["id", "v"]).where(F.col("t") != F.col("t_ref")).count() == 0
