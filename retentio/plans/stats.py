@@ -27,6 +27,8 @@ from ..operators.ordering import running_totals
 from ..operators.percentiles import order_statistics, value_exact
 
 SIGNIFICANCE = 0.05
+# Column categories of a contingency table travel to every task as one array.
+MAX_CATEGORIES = 10_000
 
 
 def chi2_sf(x: float, dof: int) -> float:
@@ -87,6 +89,9 @@ def chi_square(df: DataFrame, row: str, col: str, test: str | None = None) -> Da
     # Every (row, column) cell of the contingency table, zero-filled: each row
     # category expands over the column categories, which reach the tasks as one
     # array-valued scalar subquery (a categorical variable's few values).
+    n_cols = cols.count()
+    if n_cols > MAX_CATEGORIES:
+        raise ValueError(f"{col} has {n_cols} categories; a contingency test needs a categorical column")
     col_list = cols.agg(F.collect_list(F.struct("c", "ct"))).scalar()
     grid = (
         rows.select("r", "rt", F.explode(col_list).alias("_c"))
