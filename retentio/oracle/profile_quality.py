@@ -20,9 +20,8 @@ Q["prof_missing"] = (
     )
 )
 
-_blank = ", ".join(
-    f"COUNT(*) FILTER (WHERE regexp_replace({c}, '^\\s+|\\s+$', '', 'g') = '') AS {c}" for c in RAW_COLUMNS
-)
+_BLANK_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_blank = ", ".join(f"COUNT(*) FILTER (WHERE trim({c}, {_BLANK_CHARS}) = '') AS {c}" for c in RAW_COLUMNS)
 Q["prof_blank"] = (
     f", c AS (SELECT {_blank} FROM raw)\n"
     + "\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, {c} AS blank_count FROM c WHERE {c} > 0" for c in RAW_COLUMNS)
