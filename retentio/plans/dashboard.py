@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.rounding import avg_money, cents, idiv, money, pct, ratio, round_units, scaled
-from ..operators.ordering import row_numbers
+from ..operators.ordering import row_numbers, running_totals
 from .analytics import n_churned, n_rows, sum_cents, summarize, unpivot_services
 from .star import Star
 
@@ -161,12 +161,14 @@ def db_charge_distribution(star: Star, bin_width: float = 10.0) -> DataFrame:
     g = _fact(star).groupBy((c - F.pmod(c, F.lit(w_c))).alias("_lo")).agg(
         n_rows().alias("customers"), F.sum(c).alias("_rev")
     )
-    total = F.sum("_rev").over(Window.partitionBy())  # one row per charge bin
-    run = F.sum("_rev").over(Window.orderBy("_lo"))
-    return g.select(
+    # running revenue over the bins; the bin count follows the charge range, so
+    # the running totals use the counted small-or-distributed operator
+    run = running_totals(g, [F.col("_lo").asc()], {"_run": "_rev"})
+    total = F.col("_run_total")
+    return run.select(
         money(F.col("_lo")).alias("bin_lo"), money(F.col("_lo") + w_c).alias("bin_hi"), "customers",
         money(F.col("_rev")).alias("mrr"), pct(F.col("_rev"), total).alias("revenue_share_pct"),
-        pct(run, total).alias("cumulative_share_pct"),
+        pct(F.col("_run"), total).alias("cumulative_share_pct"),
     ).orderBy("bin_lo")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.rounding import cents, pct, ratio, round_units, scaled
+from ..operators.joins import broadcast_if_small
+from ..operators.ordering import checkpointed
 from ..operators.percentiles import order_statistics
 
 # --- fixed values ---------------------------------------------------------------
@@ -119,8 +121,10 @@ def box_stats(long: DataFrame, group: list[str]) -> DataFrame:
     })
     x8 = F.col("v") * 8
     inside = (x8 >= F.col("_l8")) & (x8 <= F.col("_u8"))
+    # one row per group; broadcast behind a count (groups can be a category's values)
+    fences = checkpointed(q.select(*group, "_l8", "_u8"))
     w = (
-        long.join(F.broadcast(q.select(*group, "_l8", "_u8")), group)
+        long.join(broadcast_if_small(fences), group)
         .groupBy(*group)
         .agg(
             F.min(F.when(inside, F.col("v"))).alias("_lw"),
