@@ -2,9 +2,10 @@
 the typed table's constraints would refuse.
 
 ``stg_clean`` is one narrow ``select`` (no shuffle).  Casts are strict, as in
-the source model: under ANSI mode a malformed number aborts the job instead
-of silently becoming NULL.  ``stg_quarantine`` finds those rows up front with
-``try_cast`` so a load can be split into clean and rejected parts.
+the source model: a malformed number aborts the job instead of silently
+becoming NULL, whether or not the session runs in ANSI mode.
+``stg_quarantine`` finds those rows up front with ``try_cast`` so a load can
+be split into clean and rejected parts.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ MONEY = "decimal(10,2)"
 # ----------------------------------------------------------------------------
 
 STAGING_COLUMNS = [dst for _, dst in STAGING_RENAMES]
-_RAW_OF = {dst: src for src, dst in STAGING_RENAMES}
 
 
 def _t(raw_col: str) -> Column:
@@ -54,21 +54,30 @@ def _blank_to_null(raw_col: str) -> Column:
     return F.when((_t(raw_col) == "") | F.col(raw_col).isNull(), F.lit(None)).otherwise(_t(raw_col))
 
 
+def _strict_cast(c: Column, t: str, name: str) -> Column:
+    """Cast that fails the job on a malformed value whatever the session's ANSI
+    setting (a plain cast silently yields NULL when ANSI mode is off)."""
+    v = c.try_cast(t)
+    return F.when(c.isNotNull() & v.isNull(), F.raise_error(F.concat(
+        F.lit(f"stg_clean: {name} value '"), c, F.lit(f"' is not a valid {t}; see stg_quarantine")
+    ))).otherwise(v)
+
+
 def clean_columns(strict: bool = True) -> list[Column]:
-    """Typed staging expressions over the raw columns; ``strict=False`` uses try_cast."""
-    def cast(c: Column, t: str) -> Column:
-        return c.cast(t) if strict else c.try_cast(t)
+    """Typed staging expressions over the raw columns; ``strict=False`` maps bad values to NULL."""
+    def cast(c: Column, t: str, name: str) -> Column:
+        return _strict_cast(c, t, name) if strict else c.try_cast(t)
 
     out = []
     for src, dst in STAGING_RENAMES:
         if dst == "senior_citizen":
             e = _senior(_t(src))
         elif dst == "tenure_months":
-            e = cast(_t(src), "int")
+            e = cast(_t(src), "int", dst)
         elif dst == "monthly_charges":
-            e = cast(_t(src), MONEY)
+            e = cast(_t(src), MONEY, dst)
         elif dst == "total_charges":
-            e = cast(_blank_to_null(src), MONEY)
+            e = cast(_blank_to_null(src), MONEY, dst)
         else:
             e = _t(src)
         out.append(e.alias(dst))
