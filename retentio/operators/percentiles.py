@@ -22,7 +22,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import idiv, round_units
+from ..functions.rounding import round_units
 from .ordering import running_totals
 
 
@@ -57,9 +57,10 @@ def order_statistics(df: DataFrame, value_col: str, probs: dict[str, float],
     for name, p in probs.items():
         fr = as_fraction(p)
         a, b = fr.numerator, fr.denominator
+        # positions are row counts: bigint arithmetic is exact (evaluated per distinct value)
         scaled = (n - 1) * F.lit(a)
-        lo_idx = idiv(scaled, F.lit(b))
-        f = scaled - lo_idx * F.lit(b)
+        f = F.pmod(scaled, F.lit(b))
+        lo_idx = ((scaled - f) / F.lit(b)).cast("bigint")
         hi_idx = F.when(f > 0, lo_idx + 1).otherwise(lo_idx)
         aggs += [
             F.max(F.when((start <= lo_idx) & (lo_idx < end), F.col(value_col))).alias(f"{name}_lo"),
