@@ -7,8 +7,8 @@ Physical plan, per table:
 * ``dim_contract`` / ``dim_service_plan`` — a map-side combined ``distinct``
   of a few category columns, frozen, counted, and keyed by a row number over
   *all* their natural columns (a plain window when the count is small, the
-  distributed row number otherwise); the keyed table is frozen too, so the
-  fact join can count it again cheaply and broadcast it behind that check.
+  distributed row number otherwise, both over frozen data), so the fact join
+  can count the dimension cheaply and broadcast it behind that check.
 * ``dim_customer`` — one range shuffle of staging on ``customer_id`` numbers
   the customers (key = position in customer-id order) and is frozen once.
   Staging is unique on ``customer_id``, so the staging⋈dim_customer lookup
@@ -66,26 +66,22 @@ class Star:
     def dim_contract(self) -> DataFrame:
         combos = checkpointed(self.staging.select(*R.CONTRACT_COLUMNS).distinct())
         keyed = row_numbers(combos, R.CONTRACT_COLUMNS, rn="contract_key", small_rows=SMALL_ROWS)
-        return checkpointed(
-            keyed.select(
-                F.col("contract_key").cast("long"),
-                *R.CONTRACT_COLUMNS,
-                R.payment_category(F.col("payment_method")).alias("payment_category"),
-                R.contract_length(F.col("contract_type")).alias("contract_length"),
-            )
+        return keyed.select(
+            F.col("contract_key").cast("long"),
+            *R.CONTRACT_COLUMNS,
+            R.payment_category(F.col("payment_method")).alias("payment_category"),
+            R.contract_length(F.col("contract_type")).alias("contract_length"),
         )
 
     @cached_property
     def dim_service_plan(self) -> DataFrame:
         combos = checkpointed(self.staging.select(*R.SERVICE_COLUMNS).distinct())
         keyed = row_numbers(combos, R.SERVICE_COLUMNS, rn="service_key", small_rows=SMALL_ROWS)
-        return checkpointed(
-            keyed.select(
-                F.col("service_key").cast("long"),
-                *R.SERVICE_COLUMNS,
-                R.total_addons().alias("total_addons"),
-                R.internet_tier(F.col("internet_service")).alias("internet_tier"),
-            )
+        return keyed.select(
+            F.col("service_key").cast("long"),
+            *R.SERVICE_COLUMNS,
+            R.total_addons().alias("total_addons"),
+            R.internet_tier(F.col("internet_service")).alias("internet_tier"),
         )
 
     # -- customer numbering --------------------------------------------------
