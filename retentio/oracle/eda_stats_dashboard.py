@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..plans.eda import CATEGORY_VARIABLES, CORRELATION_FEATURES
 from .base import avg_money, cents, money, pct, ratio, scaled, units, with_ctes
-from .sqlgen import order_stats_cte
+from .sqlgen import order_stats_cte, q_value
 
 Q: dict[str, str] = {}
 
@@ -369,5 +369,59 @@ SELECT COUNT(*) AS high_risk_customers, COUNT(*) FILTER (WHERE priority = 1) AS
 FROM ret"""
 
 
+
+def erfc_sql(x: str) -> str:
+    """erfc(x) for x >= 0 in plain SQL: Taylor series below 2.5, continued
+    fraction above (absolute error ~1e-14 against libm)."""
+    series = (
+        f"(1 - 2 / sqrt(pi()) * list_reduce([({x}) ** (2 * k + 1) * (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END)"
+        f" / (exp(lgamma(k + 1)) * (2 * k + 1)) FOR k IN range(0, 80)], lambda a, b: a + b))"
+    )
+    frac = (
+        f"(exp(-({x}) * ({x})) / sqrt(pi()) / list_reduce(list_reverse([j / 2.0 FOR j IN range(1, 120)]),"
+        f" lambda acc, c: ({x}) + c / acc, {x}))"
+    )
+    return f"(CASE WHEN ({x}) < 2.5 THEN {series} ELSE {frac} END)"
+
+
+def _mann_whitney(tag: str, value: str, divisor: int, variable: str) -> str:
+    return f"""
+x_{tag} AS (SELECT {value} AS v, churn = 'Yes' AS g FROM stg WHERE {value} IS NOT NULL),
+pv_{tag} AS (SELECT v, COUNT(*) FILTER (WHERE g) AS n1v, COUNT(*) FILTER (WHERE NOT g) AS n2v FROM x_{tag} GROUP BY v),
+r_{tag} AS (SELECT *, n1v + n2v AS t, SUM(n1v + n2v) OVER (ORDER BY v) - (n1v + n2v) AS before FROM pv_{tag}),
+a_{tag} AS (
+    SELECT SUM(CAST(n1v AS HUGEINT) * (2 * before + t + 1)) AS r1x2, SUM(CAST(t AS HUGEINT) * t * t - t) AS ties,
+           CAST(SUM(n1v) AS BIGINT) AS n1, CAST(SUM(n2v) AS BIGINT) AS n2
+    FROM r_{tag}
+),
+u_{tag} AS (
+    SELECT *, r1x2 - CAST(n1 AS HUGEINT) * (n1 + 1) AS u1x2, CAST(n1 AS HUGEINT) + n2 AS n FROM a_{tag}
+),
+z_{tag} AS (
+    SELECT *, round(CASE WHEN sigma > 0 THEN (big - mu - 0.5) / sigma END, 10) AS z
+    FROM (SELECT *,
+                 CAST(greatest(u1x2, CAST(n1 AS HUGEINT) * n2 * 2 - u1x2) AS DOUBLE) / 2.0 AS big,
+                 CAST(CAST(n1 AS HUGEINT) * n2 AS DOUBLE) / 2.0 AS mu,
+                 sqrt(CAST(CAST(n1 AS HUGEINT) * n2 AS DOUBLE) / 12.0
+                      * (CAST(n + 1 AS DOUBLE) - CAST(ties AS DOUBLE) / CAST(n * (n - 1) AS DOUBLE))) AS sigma
+          FROM u_{tag})
+),
+{order_stats_cte(f'med_{tag}', f'x_{tag}', 'v', {'m': 0.5}, ['g'])},
+out_{tag} AS (
+    SELECT '{variable}' AS variable, n1 AS n_first, n2 AS n_second, CAST(u1x2 AS DOUBLE) / 2.0 AS u_statistic, z,
+           (SELECT {q_value('m', divisor)} FROM med_{tag} WHERE g) AS median_first,
+           (SELECT {q_value('m', divisor)} FROM med_{tag} WHERE NOT g) AS median_second,
+           round(least(1.0, {erfc_sql('abs(z) / sqrt(2.0)')}), 10) AS p_value
+    FROM z_{tag}
+)"""
+
+
+Q["st_mann_whitney"] = (
+    ",\n" + _mann_whitney("m", "CAST(monthly_charges * 100 AS BIGINT)", 100, "monthly_charges") + ",\n"
+    + _mann_whitney("t", "CAST(tenure_months AS BIGINT)", 1, "tenure_months")
+    + "\nSELECT *, p_value < 0.05 AS significant FROM out_m UNION ALL SELECT *, p_value < 0.05 FROM out_t"
+)
+
+
 def oracles() -> dict[str, str]:
     return {k: with_ctes(v) for k, v in Q.items()}

@@ -31,14 +31,15 @@ def prof_shape(raw: DataFrame) -> DataFrame:
 
 
 def prof_schema(df: DataFrame, layer: str = "raw") -> DataFrame:
-    """Column name, position and Spark type (plus precision/scale/length where known)."""
+    """Column position, name and type (with precision/scale for decimals) — the
+    catalog view of a table, built from its schema (metadata only, no scan)."""
     spark = df.sparkSession
     rows = []
     for i, f in enumerate(df.schema.fields, start=1):
         t = f.dataType
-        rows.append((layer, i, f.name, t.simpleString(), getattr(t, "precision", None), getattr(t, "scale", None), f.nullable))
+        rows.append((layer, i, f.name, t.simpleString(), getattr(t, "precision", None), getattr(t, "scale", None)))
     return spark.createDataFrame(
-        rows, "layer string, ordinal int, column_name string, data_type string, numeric_precision int, numeric_scale int, nullable boolean"
+        rows, "layer string, ordinal int, column_name string, data_type string, numeric_precision int, numeric_scale int"
     )
 
 
