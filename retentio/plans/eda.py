@@ -26,7 +26,6 @@ CATEGORY_VARIABLES = ["contract_type", "internet_service", "payment_method", "se
                       "paperless_billing"]
 # Binary recoding for the correlation matrix, and the one-hot columns kept.
 BINARY_CODES = {"Yes": 1, "No": 0, "Female": 1, "Male": 0}
-BINARY_COLUMNS = ["gender", "senior_citizen", "partner", "dependents", "phone_service", "paperless_billing", "churn"]
 CORRELATION_FEATURES = [
     "churn", "tenure_months", "monthly_charges", "total_charges", "senior_citizen", "partner", "dependents",
     "total_addons", "internet_Fiber optic", "internet_No", "contract_Month-to-month", "contract_Two year",

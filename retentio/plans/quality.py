@@ -17,8 +17,6 @@ from ..functions.rounding import avg_money, cents, money, pct, ratio
 from ..operators.joins import broadcast_if_small
 from .star import Star
 
-CHECK_SCHEMA = ["check", "subject", "observed", "expected", "ok"]
-
 # --- fixed values: columns the source model audits
 STAGING_NULL_COLUMNS = ["customer_id", "gender", "senior_citizen", "tenure_months", "contract_type",
                         "monthly_charges", "total_charges", "churn"]

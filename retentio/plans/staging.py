@@ -38,8 +38,6 @@ STAGING_LENGTHS = {
 MONEY = "decimal(10,2)"
 # ----------------------------------------------------------------------------
 
-STAGING_COLUMNS = [dst for _, dst in STAGING_RENAMES]
-
 
 def _t(raw_col: str) -> Column:
     # SQL TRIM: spaces only (a tab survives), like the source model.

@@ -33,7 +33,6 @@ from ..functions import rules as R
 from ..operators.joins import broadcast_if_small
 from ..operators.ordering import SMALL_ROWS, checkpointed, row_numbers
 
-CUSTOMER_ATTRS = ["gender", "senior_citizen", "partner", "dependents", "household_type", "senior_segment"]
 FACT_COLUMNS = [
     "subscription_key", "customer_key", "contract_key", "service_key", "date_key", "customer_id",
     "tenure_months", "monthly_charges", "total_charges", "estimated_clv", "mrr_at_risk", "churn",
