@@ -37,6 +37,8 @@ _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 # Tables of at most this many rows (counted, not assumed) take a plain window:
 # one task sorting a few hundred thousand rows beats three extra jobs.
 SMALL_ROWS = 200_000
+# Upper bound on the ranges one ordering shuffle is cut into.
+MAX_RANGES = 100_000
 # ntile_column labels rows by comparing with each tile boundary up to this many tiles.
 MAX_BOUNDARY_TILES = 64
 
@@ -60,10 +62,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def range_count(df: DataFrame) -> int:
+    """How many ranges to cut ``df`` into: the session's shuffle partitions,
+    raised so no range exceeds the advisory partition size given Catalyst's
+    size estimate of ``df`` (so a 100 TB input does not land in 200 ranges)."""
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    target = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
+    target_bytes = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(target))
+    try:
+        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 — no estimate: keep the configured count
+        return base
+    return max(base, min(MAX_RANGES, -(-est // max(target_bytes, 1))))
+
+
 def _ranged(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column | str],
             num_partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_count(df)
     keys = [F.col(p).asc_nulls_first() for p in partition_by] + [_as_sort(o) for o in order_by]
     tagged = (
         df.repartitionByRange(n, *keys)
