@@ -62,14 +62,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30,
+          "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+
+
+def _bytes(size: str) -> int:
+    """A Spark size string ('64MB', '64m', '67108864') in bytes."""
+    s = size.strip().lower()
+    digits = s.rstrip("abcdefghijklmnopqrstuvwxyz")
+    return int(digits) * _UNITS.get(s[len(digits):], 1)
+
+
 def range_count(df: DataFrame) -> int:
     """How many ranges to cut ``df`` into: the session's shuffle partitions,
     raised so no range exceeds the advisory partition size given Catalyst's
     size estimate of ``df`` (so a 100 TB input does not land in 200 ranges)."""
     spark = df.sparkSession
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    target = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
-    target_bytes = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(target))
+    target_bytes = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB"))
     try:
         est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 — no estimate: keep the configured count

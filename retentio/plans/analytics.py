@@ -49,42 +49,37 @@ def sum_cents(col: str, where: Column | None = None) -> Column:
     return F.sum(c if where is None else F.when(where, c))
 
 
-# Named measures: (aggregates to compute, final expression).
-def _measure(name: str) -> tuple[list[Column], Column]:
+# Named measures: ({alias: partial aggregate}, final expression over those aliases).
+def _measure(name: str) -> tuple[dict[str, Column], Column]:
     n, ch = F.col("_n"), F.col("_churned")
+    count = {"_n": n_rows()}
+    churned = {"_churned": n_churned()}
+    mrr = {"_mrr": sum_cents("monthly_charges")}
+    risk = {"_risk": sum_cents("mrr_at_risk")}
     m = {
-        "total_customers": ([n_rows().alias("_n")], n),
-        "customers": ([n_rows().alias("_n")], n),
-        "churned": ([n_churned().alias("_churned")], ch),
-        "churned_customers": ([n_churned().alias("_churned")], ch),
-        "churn_rate_pct": ([n_rows().alias("_n"), n_churned().alias("_churned")], pct(ch, n)),
-        "avg_monthly_charges": (
-            [n_rows().alias("_n"), sum_cents("monthly_charges").alias("_mrr")],
-            avg_money(F.col("_mrr"), n),
-        ),
-        "avg_monthly": (
-            [n_rows().alias("_n"), sum_cents("monthly_charges").alias("_mrr")],
-            avg_money(F.col("_mrr"), n),
-        ),
-        "total_mrr": ([sum_cents("monthly_charges").alias("_mrr")], money(F.col("_mrr"))),
-        "mrr_at_risk": ([sum_cents("mrr_at_risk").alias("_risk")], money(F.col("_risk"))),
-        "total_lifetime_revenue": ([sum_cents("total_charges").alias("_ltv")], money(F.col("_ltv"))),
-        "pct_mrr_at_risk": (
-            [sum_cents("mrr_at_risk").alias("_risk"), sum_cents("monthly_charges").alias("_mrr")],
-            pct(F.col("_risk"), F.col("_mrr")),
-        ),
+        "total_customers": (count, n),
+        "customers": (count, n),
+        "churned": (churned, ch),
+        "churned_customers": (churned, ch),
+        "churn_rate_pct": ({**count, **churned}, pct(ch, n)),
+        "avg_monthly_charges": ({**count, **mrr}, avg_money(F.col("_mrr"), n)),
+        "avg_monthly": ({**count, **mrr}, avg_money(F.col("_mrr"), n)),
+        "total_mrr": (mrr, money(F.col("_mrr"))),
+        "mrr_at_risk": (risk, money(F.col("_risk"))),
+        "total_lifetime_revenue": ({"_ltv": sum_cents("total_charges")}, money(F.col("_ltv"))),
+        "pct_mrr_at_risk": ({**risk, **mrr}, pct(F.col("_risk"), F.col("_mrr"))),
     }
     return m[name]
 
 
 def summarize(df: DataFrame, by: list[str], measures: list[str], keep: list[str] = ()) -> DataFrame:
-    """``GROUP BY by`` with the named measures (deduplicated partial aggregates)."""
+    """``GROUP BY by`` with the named measures; shared partial aggregates are computed once."""
     aggs: dict[str, Column] = {}
     finals = []
     for name in measures:
         parts, final = _measure(name)
-        for p in parts:
-            aggs.setdefault(p._jc.toString(), p)
+        for alias, agg in parts.items():
+            aggs.setdefault(alias, agg.alias(alias))
         finals.append(final.alias(name))
     grouped = df.groupBy(*by).agg(*aggs.values()) if by else df.agg(*aggs.values())
     return grouped.select(*by, *keep, *finals)
