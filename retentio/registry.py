@@ -8,6 +8,7 @@ numbering and dimension checkpoints are built once per location.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,15 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from .plans.pipeline import Pipeline
 
 _PIPELINES: dict[tuple[int, str], Pipeline] = {}
+_LOCK = threading.RLock()
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
+    """The shared pipeline for (session, location); callers on several threads
+    get the same one."""
     key = (id(spark), sf_dir.rstrip("/"))
-    p = _PIPELINES.get(key)
-    if p is None or p.spark is not spark:
-        p = Pipeline(spark, sf_dir)
-        _PIPELINES[key] = p
-    return p
+    with _LOCK:
+        p = _PIPELINES.get(key)
+        if p is None or p.spark is not spark:
+            p = Pipeline(spark, sf_dir)
+            _PIPELINES[key] = p
+        return p
 
 
 def _doubles(df: DataFrame) -> DataFrame:
