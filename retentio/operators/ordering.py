@@ -80,10 +80,13 @@ def range_count(df: DataFrame) -> int:
     spark = df.sparkSession
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
     target_bytes = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB"))
+    unknown = _bytes(spark.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
     try:
         est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 — no estimate: keep the configured count
         return base
+    if est >= unknown:  # Catalyst's "size unknown" default, not a measurement
+        return base
     return max(base, min(MAX_RANGES, -(-est // max(target_bytes, 1))))
 
 

@@ -120,3 +120,19 @@ def test_ntile_column_hot_value(spark):
     got = ntile_column(df, "v", "id", 5, name="t")
     want = df.withColumn("t_ref", F.ntile(5).over(Window.orderBy(F.col("v").desc(), F.col("id"))))
     assert got.join(want, ["id", "v"]).where(F.col("t") != F.col("t_ref")).count() == 0
+
+
+def test_range_count_follows_size_estimate(spark, tied):
+    from retentio.operators.ordering import _bytes, checkpointed, range_count
+
+    assert _bytes("64MB") == 64 << 20 and _bytes("1g") == 1 << 30 and _bytes("4096") == 4096
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert range_count(tied) == base  # an RDD-backed frame has no size estimate
+    frozen = checkpointed(tied)
+    assert range_count(frozen) == base  # a few KB of Parquet: the configured count
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:
+        assert base < range_count(frozen) < 1000  # estimated bytes / 1 KB ranges
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)

@@ -129,3 +129,13 @@ def test_q4b_labels_against_average(spark):
     ]
     got = {r.customer_id: r.risk_segment for r in A.q4b_at_risk_customers(_pipeline(spark, rows).star).collect()}
     assert got == {"R1": "High Risk", "R2": "Medium Risk", "R3": "Churned"}
+
+
+def test_clean_is_strict_without_ansi(spark):
+    raw = raw_rows(spark, [{"customerid": "B3", "tenure": "ten"}])
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="tenure_months"):
+            stg_clean(raw).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
