@@ -4,8 +4,9 @@ a one-row-per-subscription fact.
 Physical plan, per table:
 
 * ``dim_tenure``   — ``spark.range(0, 73)``; 73 rows, always broadcast.
-* ``dim_contract`` / ``dim_service_plan`` — a map-side combined ``distinct``
-  of a few category columns, frozen, counted, and keyed by a row number over
+* ``dim_contract`` / ``dim_service_plan`` — the distinct combinations of both
+  come from one scan of staging (grouping sets, map-side combined), frozen,
+  counted, and keyed by a row number over
   *all* their natural columns (a plain window when the count is small, the
   distributed row number otherwise, both over frozen data), so the fact join
   can count the dimension cheaply and broadcast it behind that check.
@@ -61,9 +62,16 @@ class Star:
             R.is_long_term(t).alias("is_long_term"),
         )
 
+    @cached_property
+    def _combos(self) -> DataFrame:
+        """Distinct contract and service combinations from ONE scan of staging:
+        grouping sets over the two natural keys, map-side combined, frozen."""
+        g = self.staging.groupingSets([R.CONTRACT_COLUMNS, R.SERVICE_COLUMNS], *R.CONTRACT_COLUMNS, *R.SERVICE_COLUMNS)
+        return checkpointed(g.agg(F.grouping(R.SERVICE_COLUMNS[0]).alias("_contract_set")))
+
     @cached_property
     def dim_contract(self) -> DataFrame:
-        combos = checkpointed(self.staging.select(*R.CONTRACT_COLUMNS).distinct())
+        combos = self._combos.where(F.col("_contract_set") == 1).select(*R.CONTRACT_COLUMNS)
         keyed = row_numbers(combos, R.CONTRACT_COLUMNS, rn="contract_key", small_rows=SMALL_ROWS)
         return keyed.select(
             F.col("contract_key").cast("long"),
@@ -74,7 +82,7 @@ class Star:
 
     @cached_property
     def dim_service_plan(self) -> DataFrame:
-        combos = checkpointed(self.staging.select(*R.SERVICE_COLUMNS).distinct())
+        combos = self._combos.where(F.col("_contract_set") == 0).select(*R.SERVICE_COLUMNS)
         keyed = row_numbers(combos, R.SERVICE_COLUMNS, rn="service_key", small_rows=SMALL_ROWS)
         return keyed.select(
             F.col("service_key").cast("long"),
