@@ -19,6 +19,12 @@ totals of such windows while the work stays spread over the cluster:
 Weighted running totals (``running_totals``) are only ever applied to
 aggregated tables (one row per distinct value), so their in-range prefix sum
 uses a window partitioned by the range id, which shuffles only that table.
+Tables counted at or below ``SMALL_ROWS`` take a plain window instead.
+
+``ntile_column`` avoids moving rows at all for NTILE with few tiles: it finds
+the tile boundaries from distinct-value counts and labels rows in place.
+``range_count`` sizes every range shuffle from Catalyst's size estimate and
+the advisory partition size, so the number of ranges grows with the input.
 """
 
 from __future__ import annotations
