@@ -136,3 +136,12 @@ def test_range_count_follows_size_estimate(spark, tied):
         assert base < range_count(frozen) < 1000  # estimated bytes / 1 KB ranges
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+
+
+def test_rank_within_groups(spark, tied):
+    got = ranks(tied, "v", descending=False, partition_by=["grp"])
+    w = Window.partitionBy("grp").orderBy(F.col("v").asc())
+    want = tied.withColumn("r_ref", F.rank().over(w)).withColumn("d_ref", F.dense_rank().over(w))
+    j = got.join(want.select("id", "r_ref", "d_ref"), "id")
+    assert j.count() == 2003
+    assert j.where((F.col("rank") != F.col("r_ref")) | (F.col("dense_rank") != F.col("d_ref"))).count() == 0
