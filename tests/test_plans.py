@@ -51,3 +51,12 @@ def test_rank_limit_is_pushed_below_the_shuffle(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2  # partial (map side) and final
+
+
+def test_charge_rank_is_a_top_k(spark):
+    star = pipeline(spark, SF).star
+    plan = _plan(A.q5b_charge_rank(star))
+    assert "TakeOrderedAndProject" in plan
+    # the only windows run above the 20-row top-k, never over the fact
+    below_topk = plan.split("TakeOrderedAndProject", 1)[1]
+    assert "Window" not in below_topk
