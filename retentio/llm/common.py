@@ -75,3 +75,30 @@ class BoundedCache(dict):
     def trim(self) -> None:
         if len(self) > self.limit:
             self.clear()
+
+
+_ARROW = {"bigint": "int64", "int": "int32", "double": "float64", "boolean": "bool_", "string": "string", "binary": "binary"}
+
+
+def per_document(docs: DataFrame, make_work, fields: list[tuple[str, str]], column: str = "text") -> DataFrame:
+    """doc_id and ``fields`` for every row, computed in Arrow batches.
+
+    ``make_work()`` is called once per task in the worker; what it returns maps
+    the batch's values of ``column`` to one list per field.  A null value reaches it as
+    None, any other as it is.
+    """
+    bounded_batches(docs.sparkSession)
+    types_ = [(name, _ARROW[kind]) for name, kind in fields]
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = make_work()
+        for batch in batches:
+            columns = work(batch.column(1).to_pylist())
+            arrays = [pa.array(c, getattr(pa, kind)()) for c, (_, kind) in zip(columns, types_, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *[n for n, _ in types_]])
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+    schema = ", ".join([f"doc_id {key}", *[f"{n} {kind}" for n, kind in fields]])
+    return docs.select("doc_id", column).mapInArrow(run, schema)

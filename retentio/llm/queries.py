@@ -6,21 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality
-from .common import documents
+from pyspark.sql import functions as F
+
+from . import byte_bpe, exact_dedup, licences, packing, quality, token_counts
+from .common import documents, frozen
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op2_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def joined(*lists):
+        return F.array_join(F.array_sort(F.array_distinct(F.concat(*lists))), ",")
+
+    return licences.licence_scan(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.first_word").alias("first_word"), F.array_max("places.first_word").alias("last_word"),
+        joined("places.label").alias("base_labels"), joined("places.label", "spans.label").alias("labels"), "score")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), keep="largest")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.document_pieces(documents(spark, sf_dir))
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.best_fit_decreasing(frozen(digests)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir))).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality.trusted_sample(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.quality_rules(documents(spark, sf_dir), trusted)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_licence_scans, op3_exact_dedup, op4_best_fit_packing, op6_byte_bpe, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
