@@ -29,16 +29,18 @@ from .common import text_or_empty
 BUCKETS = 1 << 13
 SUFFIX = 3
 TRUSTED_ROWS = 20_000
+#: n-grams' worth of corpus distribution that the trusted counts are smoothed with
+PRIOR = 1024
 #: nats per n-gram, see README for the measured distributions
 THRESHOLD = -0.5
 SYMBOLS = "#*$%&|<>"
-SPACES = "\t\n\x0b\x0c\r"
+SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 _MICRO = 1_000_000
 
 
 def words_of(text) -> F.Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text."""
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " +"), "")
+    return F.array_remove(F.split(text, SPACE_RUN), "")
 
 
 def _ngrams(words: DataFrame) -> DataFrame:
@@ -68,8 +70,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[int]:
         raw[r.bucket], good[r.bucket] = r.raw, r.good
     if not sum(good):
         return [0] * BUCKETS
-    n_raw, n_good = sum(raw) + BUCKETS, sum(good) + BUCKETS
-    return [round(_MICRO * (math.log((g + 1) / n_good) - math.log((c + 1) / n_raw))) for c, g in zip(raw, good)]
+    n_raw, n_good = sum(raw) + BUCKETS, sum(good) + PRIOR
+    return [round(_MICRO * math.log((g + PRIOR * (c + 1) / n_raw) / n_good * n_raw / (c + 1))) for c, g in zip(raw, good)]
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -81,23 +83,29 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     base = docs.select("doc_id", text.alias("text"), words_of(text).alias("words"))
     counted = _ngrams(base).select(
         "doc_id", "words", F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.translate("text", " " + SPACES, "")).cast("long").alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.expr(r"filter(split(text, '\n'), l -> length(translate(l, ' \t\u000b\f\r', '')) > 0)").alias("lines"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.when(F.col("text").rlike("[#*$%&|<>]"), F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, "")))
+        .otherwise(0).cast("long").alias("n_symbols"),
+        F.expr(r"filter(split(text, '\n'), l -> length(btrim(l, ' \t\u000b\f\r')) > 0)").alias("lines"),
         F.size("grams").cast("long").alias("n_grams"),
         F.aggregate("grams", F.lit(0).cast("long"), lambda acc, g: acc + F.get(ratios, g)).alias("micro"))
+    # the hash of a five-word window is put together of those of its words, pairs and fours
     windows = counted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "micro", "n_grams",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("if(size(words) >= 5, transform(sequence(1, greatest(size(words) - 4, 1)), "
-               "i -> xxhash64(slice(words, i, 5))), cast(array() as array<bigint>))").alias("grams5"))
+        F.transform("words", lambda w: F.xxhash64(w)).alias("ones"))
+    for joined, left, right, step in (("twos", "ones", "ones", 1), ("fours", "twos", "twos", 2), ("grams5", "fours", "ones", 4)):
+        windows = windows.withColumn(joined, F.expr(
+            f"zip_with(slice({left}, 1, greatest(size({right}) - {step}, 0)), "
+            f"slice({right}, {step + 1}, greatest(size({right}) - {step}, 0)), (a, b) -> xxhash64(a, b))"))
+    windows = windows.drop("ones", "twos", "fours")
     # positions of windows found again: sorted by hash, a repeat stands beside its like
     ordered = windows.withColumn("sorted", F.expr(
         "if(size(array_distinct(grams5)) < size(grams5), "
-        "array_sort(transform(grams5, (h, i) -> struct(h as h, i as i))), "
+        "sort_array(transform(grams5, (h, i) -> struct(h as h, i as i))), "
         "cast(array() as array<struct<h: bigint, i: int>>))")).drop("grams5")
     found = ordered.withColumn("at", F.expr(
-        "array_sort(transform(filter(sorted, (x, j) -> get(sorted, j - 1).h = x.h OR get(sorted, j + 1).h = x.h), x -> x.i))")
+        "sort_array(transform(filter(sorted, (x, j) -> get(sorted, j - 1).h = x.h OR get(sorted, j + 1).h = x.h), x -> x.i))")
     ).drop("sorted")
     # a window covers five words, or as many as lie before the next window found
     repeats = F.expr("if(size(at) = 0, 0L, 5L + aggregate(zip_with(slice(at, 1, greatest(size(at) - 1, 0)), "
