@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, licences, packing, quality, token_counts
+from . import byte_bpe, exact_dedup, licences, packing, pii, quality, token_counts
 from .common import documents, frozen
 
 
@@ -37,6 +37,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = pii.KINDS[:4]
+    return pii.personal_data(documents(spark, sf_dir)).select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(pii.KINDS).alias("spans"),
+        F.size("id").cast("long").alias("n_id"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir))).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -49,7 +57,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_licence_scans, op3_exact_dedup, op4_best_fit_packing, op6_byte_bpe, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_licence_scans, op3_exact_dedup, op4_best_fit_packing, op5_personal_data, op6_byte_bpe, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
