@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, licences, packing, pii, quality, token_counts
+from . import byte_bpe, exact_dedup, language_id, licences, packing, pii, quality, token_counts
 from .common import documents, frozen
 
 
@@ -56,8 +56,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), trusted)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_licence_scans, op3_exact_dedup, op4_best_fit_packing, op5_personal_data, op6_byte_bpe, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_licence_scans, op3_exact_dedup, op4_best_fit_packing, op5_personal_data, op6_byte_bpe, op8_quality_rules, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
