@@ -60,20 +60,26 @@ def worker_state() -> dict:
 
 
 class BoundedCache(dict):
-    """Values computed on first use; ``trim`` forgets all when it has grown
-    over ``limit`` entries, so memory is bounded and results never change."""
+    """Values computed on first use, in two generations of about ``limit``
+    entries: ``trim`` retires a full one, and what is used again comes back
+    from there.  Memory is bounded and results never depend on it."""
 
-    def __init__(self, compute, limit: int = 400_000):
+    def __init__(self, compute, limit: int = 600_000):
         super().__init__()
         self.compute = compute
         self.limit = limit
+        self.old: dict = {}
 
     def __missing__(self, key):
-        value = self[key] = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.limit:
+            self.old = dict(self)
             self.clear()
 
 
