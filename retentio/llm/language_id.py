@@ -232,3 +232,22 @@ def identify(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
         "doc_id.doc_id", held_out(F.col("doc_id.doc_id")).alias("held_out"),
         F.when(F.col("doc_id.known"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(F.col("doc_id.known"), F.col("score")).otherwise(0.0).alias("score"))
+
+
+def keep_identified(docs: DataFrame, model: ByteCnn | None, min_score: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a letter and a language of at least ``min_score``."""
+    if model is None:
+        return docs.limit(0)
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        import pyarrow as pa
+
+        predict = predictor(model)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            _, scores = predict(texts)
+            yield batch.filter(pa.array([s >= min_score and any(map(str.isalpha, t)) for s, t in zip(scores, texts)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -158,19 +158,21 @@ def redact(docs: DataFrame, **settings) -> DataFrame:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     every = F.sort_array(F.concat(*map(of, KINDS)))
-    marked = (spans.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), every.alias("_spans"))
-              .where(F.size("_spans") > 0).dropDuplicates(["_id", "_version"]))
-    joined = docs.join(marked, docs["doc_id"].eqNullSafe(marked["_id"])
-                       & (F.xxhash64(text_or_empty(docs["text"])) == marked["_version"]), "left")
+    marked = (spans.select("doc_id", "version", every.alias("spans")).where(F.size("spans") > 0)
+              .dropDuplicates(["doc_id", "version"]))
+    # the input's columns travel as one, so their names cannot clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(marked, F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
+                       & (F.xxhash64(text_or_empty("row.text")) == F.col("version")), "left")
     # what each span leaves to cut: nothing of it before the furthest end so far
-    ends = F.expr("transform(_spans, (s, i) -> coalesce(array_max(transform(slice(_spans, 1, i), x -> x.end)), 0L))")
-    parts = F.expr("transform(_spans, (s, i) -> concat(if(s.start >= _ends[i], "
-                   "concat(substring(text, int(_ends[i]) + 1, int(s.start - _ends[i])), '[', s.kind, ']'), '')))")
-    tail = F.expr("substring(text, int(array_max(transform(_spans, s -> s.end))) + 1)")
-    new = F.when(F.size("_spans") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
-    out = joined.withColumn("_ends", ends).withColumn("_new", new)
-    columns = {"text": F.col("_new")}
+    ends = F.expr("transform(spans, (s, i) -> coalesce(array_max(transform(slice(spans, 1, i), x -> x.end)), 0L))")
+    parts = F.expr("transform(spans, (s, i) -> if(s.start >= ends[i], "
+                   "concat(substring(row.text, int(ends[i]) + 1, int(s.start - ends[i])), '[', s.kind, ']'), ''))")
+    tail = F.expr("substring(row.text, int(array_max(transform(spans, s -> s.end))) + 1)")
+    new = F.when(F.size("spans") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("row.text"))
+    out = joined.withColumn("ends", ends).withColumn("new", new)
+    columns = {"text": F.col("new")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(F.size("_spans") > 0, F.char_length("_new").cast(kind)).otherwise(F.col("n_chars"))
-    return out.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        columns["n_chars"] = F.when(F.size("spans") > 0, F.char_length("new").cast(kind)).otherwise(F.col("row.n_chars"))
+    return out.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -66,7 +66,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_licence_scans, op3_exact_dedup, op4_best_fit_packing, op5_personal_data, op6_byte_bpe, op8_quality_rules, op9_language_id, op10_ngram_jaccard_join)}
+    import corpus_pipeline
+
+    operators = (
+        op1_token_counts, op2_licence_scans, op3_exact_dedup, op4_best_fit_packing, op5_personal_data, op6_byte_bpe,
+        op8_quality_rules, op9_language_id, op10_ngram_jaccard_join)
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
