@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard, language_id, licences, packing, pii, quality, token_counts
+from . import byte_bpe, exact_dedup, jaccard, language_id, licences, lm_score, packing, pii, quality, token_counts
 from .common import documents, frozen
 
 
@@ -51,6 +51,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality.trusted_sample(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.quality_rules(documents(spark, sf_dir), trusted)
@@ -70,7 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     operators = (
         op1_token_counts, op2_licence_scans, op3_exact_dedup, op4_best_fit_packing, op5_personal_data, op6_byte_bpe,
-        op8_quality_rules, op9_language_id, op10_ngram_jaccard_join)
+        op7_lm_scoring, op8_quality_rules, op9_language_id, op10_ngram_jaccard_join)
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
