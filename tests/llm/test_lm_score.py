@@ -120,14 +120,14 @@ def test_state_is_carried_over_windows_and_documents_do_not_mix():
     for x, y in zip(d, np.r_[docs[4], m.end]):
         state = m.step(m.tables()[[x]], state)[-1]
         total += m.log_probs(state, np.array([y]))[0]
-    assert abs(total - alone[4]) < 1e-9
+    assert abs(total - alone[4]) < 1e-6
     assert m.document_log_probs([]).shape == (0,)
 
 
 def test_repeated_rows_null_ids_no_training_and_no_rows(spark, no_docs):
-    rows = [(1, "a b zz"), (1, "a b zz"), (1, "other text"), (None, "a q")]
+    rows = [(2, "a b zz"), (2, "a b zz"), (2, "other text"), (None, "a q")]
     out = sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in M.lm_scores(frame(spark, rows), head=1).collect())
-    assert out == [(0, 3, 2), (1, 3, 3), (1, 4, 4), (1, 4, 4)]
+    assert out == [(0, 3, 2), (2, 3, 3), (2, 4, 4), (2, 4, 4)]
     held = next(i for i in range(100) if is_held_out(i))
     (r,) = M.lm_scores(frame(spark, [(held, "a b")])).collect()
     assert (r.held_out, r.n_known, r.train_tokens) == (True, 0, 0) and abs(r.base_score) < 1e-9 and r.score < 0
