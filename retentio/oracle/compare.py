@@ -86,7 +86,8 @@ def compare(spark, sf_dir: str, keys: list[str] | None = None, verbose: bool = T
                         diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
                         rec["diff"] = diff
                         rec["cols"] = sorted(s_cols)
-                    rec["type_pairs"] = sorted(zip(s_cols, s_types, d_types))
+                    theirs = dict(zip(d_cols, d_types))
+                    rec["type_pairs"] = sorted((c, t, theirs[c]) for c, t in zip(s_cols, s_types))
                 else:
                     rec["spark_cols"], rec["oracle_cols"] = s_cols, d_cols
             except Exception as e:  # noqa: BLE001

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from ..plans.eda import CATEGORY_VARIABLES, CORRELATION_FEATURES
 from .base import avg_money, cents, money, pct, ratio, scaled, units, with_ctes
 from .sqlgen import order_stats_cte, q_value
 
 Q: dict[str, str] = {}
 
+# --- fixed values: variables and features of the datasets
+CATEGORY_VARIABLES = [
+    "contract_type", "internet_service", "payment_method", "senior_citizen", "partner", "paperless_billing",
+]
+CORRELATION_FEATURES = [
+    "churn", "tenure_months", "monthly_charges", "total_charges", "senior_citizen", "partner", "dependents",
+    "total_addons", "internet_Fiber optic", "internet_No", "contract_Month-to-month", "contract_Two year",
+]
+
 EF = """
 , ef AS (
     SELECT *, churn = 'Yes' AS is_churned,
@@ -205,79 +213,67 @@ Q["st_chi_square"] = (
 
 # --- dashboard --------------------------------------------------------------------
 
-FE = """
-, fe AS (
-    SELECT f.*, cu.gender, cu.senior_citizen, cu.partner, cu.dependents, cu.household_type, cu.senior_segment,
-           dc.contract_type, dc.payment_method, dc.paperless_billing, dc.payment_category, dc.contract_length,
-           sp.phone_service, sp.multiple_lines, sp.internet_service, sp.online_security, sp.online_backup,
-           sp.device_protection, sp.tech_support, sp.streaming_tv, sp.streaming_movies, sp.total_addons, sp.internet_tier,
-           dd.tenure_bucket, dd.tenure_year, dd.is_new_customer, dd.is_long_term
-    FROM fact f JOIN dim_customer cu ON cu.customer_key = f.customer_key
-    JOIN dim_contract dc ON dc.contract_key = f.contract_key
-    JOIN dim_service_plan sp ON sp.service_key = f.service_key
-    JOIN dim_tenure dd ON dd.date_key = f.date_key
-)"""
 N = "COUNT(*)"
 CH = "COUNT(*) FILTER (WHERE is_churned)"
 MRR = f"SUM({cents('monthly_charges')})"
 RISK = f"SUM({cents('mrr_at_risk')})"
 
-Q["db_overview_kpis"] = FE + f"""
+Q["db_overview_kpis"] = f"""
 SELECT {N} AS customers, {pct(CH, N)} AS churn_rate_pct, {money(MRR)} AS total_mrr, {money(RISK)} AS mrr_at_risk,
        {avg_money(f"SUM({cents('estimated_clv')})", 'COUNT(estimated_clv)')} AS avg_clv,
        {ratio('SUM(tenure_months)', N, 1)} AS avg_tenure_months
-FROM fe"""
+FROM flat"""
 
-Q["db_risk_share_by_contract"] = FE + f"""
-, g AS (SELECT contract_type, {RISK} AS r FROM fe GROUP BY contract_type)
+Q["db_risk_share_by_contract"] = f"""
+, g AS (SELECT contract_type, {RISK} AS r FROM flat GROUP BY contract_type)
 SELECT contract_type, {money('r')} AS mrr_at_risk, {pct('r', 'SUM(r) OVER ()')} AS share_pct FROM g ORDER BY mrr_at_risk DESC"""
 
 _DIMS = ["contract_type", "internet_service", "payment_method", "tenure_bucket"]
-Q["db_vs_average"] = FE + """
+Q["db_vs_average"] = """
 , g AS (""" + "\nUNION ALL\n".join(
-    f"SELECT '{d}' AS dimension, {d} AS value, COUNT(*) AS customers, COUNT(*) FILTER (WHERE is_churned) AS churned FROM fe GROUP BY {d}"
+    f"SELECT '{d}' AS dimension, {d} AS value, COUNT(*) AS customers, COUNT(*) FILTER (WHERE is_churned) AS churned FROM flat GROUP BY {d}"
     for d in _DIMS
 ) + f"""),
-o AS (SELECT {N} AS _n, {CH} AS _c FROM fe)
+o AS (SELECT {N} AS _n, {CH} AS _c FROM flat)
 SELECT dimension, value, customers, {pct('churned', 'customers')} AS churn_rate_pct, {pct('_c', '_n')} AS overall_rate_pct,
        churned * _n > _c * customers AS above_average
 FROM g, o ORDER BY dimension, value"""
 
-Q["db_crosstab"] = FE + f"""
+Q["db_crosstab"] = f"""
 SELECT contract_type,
        {pct("COUNT(*) FILTER (WHERE internet_service = 'DSL' AND is_churned)", "COUNT(*) FILTER (WHERE internet_service = 'DSL')")} AS rate_dsl,
        {pct("COUNT(*) FILTER (WHERE internet_service = 'Fiber optic' AND is_churned)", "COUNT(*) FILTER (WHERE internet_service = 'Fiber optic')")} AS rate_fiber_optic,
        {pct("COUNT(*) FILTER (WHERE internet_service = 'No' AND is_churned)", "COUNT(*) FILTER (WHERE internet_service = 'No')")} AS rate_no_internet
-FROM fe GROUP BY contract_type ORDER BY contract_type"""
+FROM flat GROUP BY contract_type ORDER BY contract_type"""
 
-Q["db_filtered"] = FE + f"""
+Q["db_filtered"] = f"""
 SELECT contract_type, {N} AS total_customers, {CH} AS churned, {pct(CH, N)} AS churn_rate_pct,
        {avg_money(MRR, N)} AS avg_monthly_charges, {money(MRR)} AS total_mrr
-FROM fe WHERE dependents IN ('No') AND partner IN ('No') GROUP BY contract_type ORDER BY contract_type"""
+FROM flat WHERE dependents IN ('No') AND partner IN ('No') GROUP BY contract_type ORDER BY contract_type"""
 
 _TWO = """
 , long AS (
-    SELECT 'contract_type' AS dimension, contract_type AS value, * EXCLUDE (contract_type) FROM fe
+    SELECT 'contract_type' AS dimension, contract_type AS value, * EXCLUDE (contract_type) FROM flat
     UNION ALL BY NAME
-    SELECT 'internet_tier' AS dimension, internet_tier AS value, * EXCLUDE (internet_tier) FROM fe
+    SELECT 'internet_tier' AS dimension, internet_tier AS value, * EXCLUDE (internet_tier) FROM flat
 )"""
 
-Q["db_mrr_split"] = FE + _TWO + f"""
+Q["db_mrr_split"] = _TWO + f"""
 SELECT dimension, value,
        {money(f"COALESCE(SUM({cents('monthly_charges')}) FILTER (WHERE NOT is_churned), 0)")} AS retained_mrr,
        {money(f"COALESCE(SUM({cents('monthly_charges')}) FILTER (WHERE is_churned), 0)")} AS churned_mrr
 FROM long GROUP BY dimension, value ORDER BY dimension, value"""
 
-Q["db_clv_projection"] = FE + _TWO + f"""
+Q["db_clv_projection"] = _TWO + f"""
 SELECT dimension, value, {avg_money(MRR, N)} AS avg_monthly_charges, {ratio('SUM(tenure_months)', N, 1)} AS avg_tenure_months,
        {scaled(units(f'CAST({MRR} AS HUGEINT) * SUM(tenure_months)', f'CAST({N} AS HUGEINT) * {N}', 1), 2)} AS projected_clv
 FROM long GROUP BY dimension, value ORDER BY dimension, value"""
 
-Q["db_charge_distribution"] = FE + f"""
+Q["db_charge_distribution"] = f"""
 , g AS (
     SELECT {cents('monthly_charges')} - {cents('monthly_charges')} % 1000 AS lo, COUNT(*) AS customers,
            SUM({cents('monthly_charges')}) AS rev
-    FROM fe GROUP BY 1
+    FROM flat GROUP BY 1
 )
 SELECT {money('lo')} AS bin_lo, {money('lo + 1000')} AS bin_hi, customers, {money('rev')} AS mrr,
        {pct('rev', 'SUM(rev) OVER ()')} AS revenue_share_pct,
@@ -288,17 +284,17 @@ TIER = """CASE WHEN is_churned THEN 'Churned'
                WHEN contract_type = 'Month-to-month' AND tenure_months <= 12 THEN 'High Risk'
                WHEN contract_type = 'Month-to-month' THEN 'Medium Risk' ELSE 'Low Risk' END"""
 
-Q["db_risk_tiers"] = FE + f"""
-, g AS (SELECT {TIER} AS risk_tier, COUNT(*) AS customers, {MRR} AS m FROM fe GROUP BY 1)
+Q["db_risk_tiers"] = f"""
+, g AS (SELECT {TIER} AS risk_tier, COUNT(*) AS customers, {MRR} AS m FROM flat GROUP BY 1)
 SELECT risk_tier, customers, {pct('customers', 'SUM(customers) OVER ()')} AS pct_of_customers, {money('m')} AS total_mrr
 FROM g ORDER BY risk_tier"""
 
-Q["db_segment_table"] = FE + f"""
+Q["db_segment_table"] = f"""
 , long AS (
-    SELECT 'household_type' AS segment_type, household_type AS segment, is_churned, monthly_charges FROM fe
-    UNION ALL SELECT 'senior_segment', senior_segment, is_churned, monthly_charges FROM fe
+    SELECT 'household_type' AS segment_type, household_type AS segment, is_churned, monthly_charges FROM flat
+    UNION ALL SELECT 'senior_segment', senior_segment, is_churned, monthly_charges FROM flat
     UNION ALL SELECT 'addon_group', CASE WHEN total_addons >= 6 THEN '6+' ELSE CAST(total_addons AS VARCHAR) END,
-                     is_churned, monthly_charges FROM fe
+                     is_churned, monthly_charges FROM flat
 )
 SELECT segment_type, segment, {N} AS customers, {pct(CH, N)} AS churn_rate_pct, {money(MRR)} AS total_mrr
 FROM long GROUP BY segment_type, segment ORDER BY segment_type, segment"""
@@ -310,7 +306,7 @@ _SERVICES = [
     ("Streaming TV", "streaming_tv"), ("Streaming Movies", "streaming_movies"),
 ]
 SLONG = ", slong AS (" + "\nUNION ALL\n".join(
-    f"SELECT '{label}' AS service_name, {col} AS subscribed, is_churned FROM fe" for label, col in _SERVICES
+    f"SELECT '{label}' AS service_name, {col} AS subscribed, is_churned FROM flat" for label, col in _SERVICES
 ) + ")"
 
 _LIFT = f"""
@@ -322,7 +318,7 @@ _LIFT = f"""
     FROM slong GROUP BY service_name
 )"""
 
-Q["db_service_lift"] = FE + SLONG + _LIFT + f"""
+Q["db_service_lift"] = SLONG + _LIFT + f"""
 SELECT service_name, subscribers, non_subscribers, {scaled('su', 2)} AS subscriber_churn_pct,
        {scaled('nu', 2)} AS non_subscriber_churn_pct, {scaled('nu - su', 2)} AS churn_lift_pct
 FROM lift ORDER BY service_name"""
@@ -334,13 +330,13 @@ _ADOPT = f"""
     FROM slong GROUP BY service_name
 )"""
 
-Q["db_adoption"] = FE + SLONG + _ADOPT + "\nSELECT * FROM adopt ORDER BY service_name"
+Q["db_adoption"] = SLONG + _ADOPT + "\nSELECT * FROM adopt ORDER BY service_name"
 
-Q["db_price_by_tier_contract"] = FE + f"""
+Q["db_price_by_tier_contract"] = f"""
 SELECT internet_tier, contract_type, {N} AS customers, {avg_money(MRR, N)} AS avg_monthly_charges
-FROM fe GROUP BY internet_tier, contract_type ORDER BY internet_tier, contract_type"""
+FROM flat GROUP BY internet_tier, contract_type ORDER BY internet_tier, contract_type"""
 
-Q["db_upsell_candidates"] = FE + SLONG + _LIFT + _ADOPT + f"""
+Q["db_upsell_candidates"] = SLONG + _LIFT + _ADOPT + f"""
 , j AS (SELECT a.service_name, a.adoption_pct, {scaled('nu - su', 2)} AS churn_lift_pct
         FROM adopt a JOIN lift l ON l.service_name = a.service_name WHERE a.adoption_pct < 50.0)
 SELECT service_name, adoption_pct, churn_lift_pct,
@@ -352,16 +348,16 @@ _RET = f"""
     SELECT customer_id, contract_type, internet_service, payment_method, tenure_months, monthly_charges,
            CAST(ROW_NUMBER() OVER (ORDER BY monthly_charges DESC, customer_id) AS BIGINT) AS charge_rank,
            COUNT(*) OVER () AS n
-    FROM fe WHERE ({TIER}) = 'High Risk'
+    FROM flat WHERE ({TIER}) = 'High Risk'
 ),
 ret AS (SELECT *, CASE WHEN charge_rank <= (n * 1300 + 9999) // 10000 THEN 1 ELSE 2 END AS priority FROM hr)"""
 
-Q["db_retention_list"] = FE + _RET + """
+Q["db_retention_list"] = _RET + """
 SELECT customer_id, contract_type, internet_service, payment_method, tenure_months,
        CAST(monthly_charges AS DOUBLE) AS monthly_charges, charge_rank, priority
 FROM ret ORDER BY charge_rank"""
 
-Q["db_recoverable_mrr"] = FE + _RET + f"""
+Q["db_recoverable_mrr"] = _RET + f"""
 SELECT COUNT(*) AS high_risk_customers, COUNT(*) FILTER (WHERE priority = 1) AS priority1_customers,
        {ratio('SUM(tenure_months)', 'COUNT(*)', 1)} AS avg_tenure_months,
        {money(f"SUM({cents('monthly_charges')})")} AS high_risk_mrr,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .base import with_ctes
+from .base import TEXT_COLUMNS, with_ctes
 
 Q: dict[str, str] = {}
 
@@ -17,34 +17,32 @@ Q["ing_raw_load"] = "SELECT * FROM raw"
 
 
 def _quarantine_sql() -> str:
-    from ..plans.staging import STAGING_LENGTHS, STAGING_RENAMES
-
-    reasons = []
-    for src, dst in STAGING_RENAMES:
-        v = f"trim({src}, ' ')"
-        if dst == "total_charges":
-            reasons.append(f"CASE WHEN NOT ({v} = '' OR {src} IS NULL) AND TRY_CAST({v} AS DECIMAL(10,2)) IS NULL "
-                           f"THEN '{dst}: not numeric(10,2)' END")
-            continue
-        reasons.append(f"CASE WHEN {src} IS NULL THEN '{dst}: missing' END")
-        if dst == "senior_citizen":
-            reasons.append(f"CASE WHEN {src} IS NOT NULL AND {v} NOT IN ('0', '1') THEN '{dst}: unknown code' END")
-        elif dst == "tenure_months":
-            reasons.append(f"CASE WHEN {src} IS NOT NULL AND TRY_CAST({v} AS INTEGER) IS NULL THEN '{dst}: not integer' END")
-        elif dst == "monthly_charges":
-            reasons.append(f"CASE WHEN {src} IS NOT NULL AND TRY_CAST({v} AS DECIMAL(10,2)) IS NULL "
-                           f"THEN '{dst}: not numeric(10,2)' END")
-        else:
-            n = STAGING_LENGTHS[dst]
-            reasons.append(f"CASE WHEN length({v}) > {n} THEN '{dst}: longer than {n}' END")
-    reasons.append("CASE WHEN d._copies IS NOT NULL THEN 'customer_id: duplicated ' || CAST(d._copies AS VARCHAR) || ' times' END")
-    cols = ", ".join(f"r.{src}" for src, _ in STAGING_RENAMES)
+    """A NULL, unknown, oversized or repeated value of each column, in table order."""
+    def text(raw: str, name: str, size: int) -> list[str]:
+        return [f"CASE WHEN {raw} IS NULL THEN '{name}: missing' END",
+                f"CASE WHEN length(trim({raw}, ' ')) > {size} THEN '{name}: longer than {size}' END"]
+
+    def number(raw: str, name: str, kind: str, what: str) -> list[str]:
+        return [f"CASE WHEN {raw} IS NULL THEN '{name}: missing' END",
+                f"CASE WHEN {raw} IS NOT NULL AND TRY_CAST(trim({raw}, ' ') AS {kind}) IS NULL THEN '{name}: {what}' END"]
+
+    money = ("DECIMAL(10,2)", "not numeric(10,2)")
+    special = {
+        "seniorcitizen": ["CASE WHEN seniorcitizen IS NULL THEN 'senior_citizen: missing' END",
+                          "CASE WHEN trim(seniorcitizen, ' ') NOT IN ('0', '1') THEN 'senior_citizen: unknown code' END"],
+        "tenure": number("tenure", "tenure_months", "INTEGER", "not integer"),
+        "monthlycharges": number("monthlycharges", "monthly_charges", *money),
+        "totalcharges": ["CASE WHEN trim(totalcharges, ' ') <> '' AND TRY_CAST(trim(totalcharges, ' ') AS DECIMAL(10,2)) IS NULL "
+                         "THEN 'total_charges: not numeric(10,2)' END"],
+    }
+    order = ["customerid", "gender", "seniorcitizen", "partner", "dependents", "tenure", "contract", "paperlessbilling",
+             "paymentmethod", "phoneservice", "multiplelines", "internetservice", "onlinesecurity", "onlinebackup",
+             "deviceprotection", "techsupport", "streamingtv", "streamingmovies", "monthlycharges", "totalcharges", "churn"]
+    reasons = [r for c in order for r in (special.get(c) or text(c, *TEXT_COLUMNS[c]))]
+    reasons.append("CASE WHEN n > 1 THEN 'customer_id: duplicated ' || n || ' times' END")
     return f"""
-, dups AS (SELECT trim(customerid, ' ') AS _id, COUNT(*) AS _copies FROM raw WHERE trim(customerid, ' ') IS NOT NULL
-           GROUP BY 1 HAVING COUNT(*) > 1),
-q AS (SELECT {cols}, concat_ws('; ', {', '.join(reasons)}) AS reason
-      FROM raw r LEFT JOIN dups d ON d._id = trim(r.customerid, ' '))
-SELECT * FROM q WHERE reason <> ''"""
+, counted AS (SELECT *, count(*) OVER (PARTITION BY trim(customerid, ' ')) AS n FROM raw)
+SELECT * EXCLUDE (n) FROM (SELECT *, concat_ws('; ', {', '.join(reasons)}) AS reason FROM counted) WHERE reason <> ''"""
 
 
 Q["stg_quarantine"] = _quarantine_sql()
@@ -52,7 +50,6 @@ Q["stg_quarantine"] = _quarantine_sql()
 Q["dim_customer"] = "SELECT * FROM dim_customer"
 Q["dim_contract"] = "SELECT * FROM dim_contract"
 Q["dim_service_plan"] = "SELECT * FROM dim_service_plan"
-Q["dim_tenure"] = "SELECT * FROM dim_tenure"
 Q["fact_subscription"] = """
 SELECT subscription_key, customer_key, contract_key, service_key, date_key, customer_id, tenure_months,
        CAST(monthly_charges AS DOUBLE) AS monthly_charges, CAST(total_charges AS DOUBLE) AS total_charges,

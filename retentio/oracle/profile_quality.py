@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-from ..sources.subscribers import RAW_COLUMNS
 from .base import avg_money, cents, money, pct, ratio, scaled, units, with_ctes
 from .sqlgen import order_stats_cte, q_scaled, row
 
 Q: dict[str, str] = {}
 
+# --- fixed values: the raw table's columns
+RAW_COLUMNS = [
+    "customerid", "gender", "seniorcitizen", "partner", "dependents", "tenure", "phoneservice", "multiplelines",
+    "internetservice", "onlinesecurity", "onlinebackup", "deviceprotection", "techsupport", "streamingtv",
+    "streamingmovies", "contract", "paperlessbilling", "paymentmethod", "monthlycharges", "totalcharges", "churn",
+]
+
 Q["prof_shape"] = f"SELECT COUNT(*) AS n_rows, CAST({len(RAW_COLUMNS)} AS BIGINT) AS n_columns FROM raw"
 Q["prof_sample"] = "SELECT * FROM raw ORDER BY customerid LIMIT 5"
 
-_SPARK_TYPE = """CASE WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type = 'INTEGER' THEN 'int'
-                     WHEN column_type LIKE 'TIMESTAMP%' THEN 'timestamp' ELSE lower(column_type) END"""
-Q["prof_schema"] = f"""
-, d AS (
-    SELECT 'raw' AS layer, CAST(row_number() OVER () AS INTEGER) AS ordinal, column_name, column_type
-    FROM (DESCRIBE SELECT * FROM raw)
-    UNION ALL
-    SELECT 'staging', CAST(row_number() OVER () AS INTEGER), column_name, column_type
-    FROM (DESCRIBE SELECT *, CAST(current_timestamp AS TIMESTAMP) AS loaded_at FROM stg)
-)
-SELECT layer, ordinal, column_name, {_SPARK_TYPE} AS data_type,
-       CAST(nullif(regexp_extract(column_type, 'DECIMAL\\((\\d+),', 1), '') AS INTEGER) AS numeric_precision,
-       CAST(nullif(regexp_extract(column_type, 'DECIMAL\\(\\d+,(\\d+)\\)', 1), '') AS INTEGER) AS numeric_scale
-FROM d"""
-
 _null_counts = ", ".join(f"COUNT(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in RAW_COLUMNS)
 Q["prof_missing"] = (
     f", c AS (SELECT COUNT(*) AS _n, {_null_counts} FROM raw)\n"

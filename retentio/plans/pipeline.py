@@ -1,9 +1,13 @@
 """Raw → staging → star, built lazily for one input location.
 
 Layers are persisted the way a warehouse persists them: the raw landing table
-is written once (a Parquet table in the shared checkpoint folder) and every
-report reads it instead of re-deriving it; staging is a narrow projection of
-it; the star freezes its own numbered staging and dimensions.
+is written once together with the staging rules each row breaks (a Parquet
+table in the shared checkpoint folder), and every report reads it instead of
+re-deriving it.  Staging is a narrow projection of the rows that break none;
+the star freezes its own numbered staging and dimensions.
+
+``write_warehouse`` saves the layers under a path of the caller's, replacing
+what is there, and ``open_warehouse`` reads them back in any later session.
 """
 
 from __future__ import annotations
@@ -14,9 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.ordering import checkpointed
 from ..sources.subscribers import derive_raw
-from .staging import stg_clean
+from .staging import accepted, check_raw, stg_clean, stg_quarantine
 from .star import Star
 
+WAREHOUSE_TABLES = ("raw", "quarantine", "staging", "dim_customer", "dim_contract", "dim_service_plan", "dim_tenure",
+                    "fact_subscription")
+
 
 class Pipeline:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, raw: DataFrame | None = None):
@@ -26,16 +33,36 @@ class Pipeline:
         self.sf_dir = sf_dir
         self._raw = raw
 
+    @cached_property
+    def checked(self) -> DataFrame:
+        """Raw rows with the staging rules they break, frozen."""
+        return checkpointed(check_raw(self._raw if self._raw is not None else derive_raw(self.spark, self.sf_dir)))
+
     @cached_property
     def raw(self) -> DataFrame:
-        if self._raw is not None:
-            return self._raw
-        return checkpointed(derive_raw(self.spark, self.sf_dir))
+        from ..sources.subscribers import RAW_COLUMNS
+
+        return self.checked.select(*RAW_COLUMNS)
+
+    @cached_property
+    def quarantine(self) -> DataFrame:
+        return stg_quarantine(self.checked)
 
     @cached_property
     def staging(self) -> DataFrame:
-        return stg_clean(self.raw)
+        return stg_clean(accepted(self.checked))
 
     @cached_property
     def star(self) -> Star:
         return Star(self.staging)
+
+    def write_warehouse(self, path: str) -> None:
+        """Raw, quarantine, staging and the star as Parquet tables under ``path``; a full replace."""
+        layers = {"raw": self.raw, "quarantine": self.quarantine, "staging": self.staging, **self.star.tables()}
+        for name in WAREHOUSE_TABLES:
+            layers[name].write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def open_warehouse(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that ``write_warehouse`` saved under ``path``, by name."""
+    return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in WAREHOUSE_TABLES}

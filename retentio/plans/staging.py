@@ -4,8 +4,9 @@ the typed table's constraints would refuse.
 ``stg_clean`` is one narrow ``select`` (no shuffle).  Casts are strict, as in
 the source model: a malformed number aborts the job instead of silently
 becoming NULL, whether or not the session runs in ANSI mode.
-``stg_quarantine`` finds those rows up front with ``try_cast`` so a load can
-be split into clean and rejected parts.
+``check_raw`` marks every raw row with the rules it breaks (``try_cast``, one
+grouped count of the ids), so a load is split once: ``accepted`` rows go to
+``stg_clean`` and on to the star, the others to ``stg_quarantine``.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import broadcast_if_small
-
 # --- fixed values: staging columns (raw name → staging name), in table order
 STAGING_RENAMES = [
     ("customerid", "customer_id"), ("gender", "gender"), ("seniorcitizen", "senior_citizen"),
@@ -109,29 +108,34 @@ def _reasons(raw_cols_trimmed: dict[str, Column]) -> list[Column]:
     return reasons
 
 
-def stg_quarantine(raw: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Raw rows that break a staging rule, with the reasons joined by '; '.
+def check_raw(raw: DataFrame) -> DataFrame:
+    """raw plus ``reason``: the broken staging rules joined by '; ', empty if none.
 
     Rules: NULL in a NOT NULL column, unknown senior code, a number that does
     not cast, a text longer than its declared length, a duplicated customer id
-    (all copies are listed).  Duplicates are found by a grouped count (map-side
-    combined, so a hot id costs one row per task) joined back on the id.
+    (all copies are marked).  Duplicates are found by a grouped count (map-side
+    combined, so a hot id costs one row per task) joined back on the id, where
+    AQE splits a hot id or broadcasts a small list.
     """
     trimmed = {src: _t(src) for src, _ in STAGING_RENAMES}
-    dup_ids = (
+    copies = (
         raw.select(_t("customerid").alias("_id"))
         .where(F.col("_id").isNotNull())
         .groupBy("_id")
         .agg(F.count(F.lit(1)).alias("_copies"))
         .where(F.col("_copies") > 1)
     )
-    keyed = raw.withColumn("_id", _t("customerid"))
-    joined = keyed.join(broadcast_if_small(dup_ids, max_broadcast_rows), "_id", "left")
+    joined = raw.withColumn("_id", _t("customerid")).join(copies, "_id", "left")
     reasons = _reasons(trimmed) + [
         F.when(F.col("_copies").isNotNull(), F.concat(F.lit("customer_id: duplicated "), F.col("_copies").cast("string"), F.lit(" times")))
     ]
-    reason = F.concat_ws("; ", *reasons)
-    return (
-        joined.select(*[F.col(src) for src, _ in STAGING_RENAMES], reason.alias("reason"))
-        .where(F.col("reason") != "")
-    )
+    return joined.select(*[F.col(src) for src, _ in STAGING_RENAMES], F.concat_ws("; ", *reasons).alias("reason"))
+
+
+def accepted(checked: DataFrame) -> DataFrame:
+    return checked.where(F.col("reason") == "").drop("reason")
+
+
+def stg_quarantine(checked: DataFrame) -> DataFrame:
+    """The raw rows that break a rule, with their reasons."""
+    return checked.where(F.col("reason") != "")

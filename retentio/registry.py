@@ -15,19 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans.pipeline import Pipeline
 
-_PIPELINES: dict[tuple[int, str], Pipeline] = {}
+_PIPELINES: dict[tuple[int, str], tuple[list, Pipeline]] = {}
 _LOCK = threading.RLock()
+_TABLES = ("orders", "customer", "lineitem")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> list:
+    """Path, length and time of every input file, as the file system has them now."""
+    jvm = spark.sparkContext._jvm
+    found = []
+    for name in _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for f in [f for f in fs.listStatus(path)]:
+            found.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    return sorted(found)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
-    """The shared pipeline for (session, location); callers on several threads
-    get the same one."""
+    """The shared pipeline for (session, location, input files); callers on
+    several threads get the same one, and overwritten inputs a new one."""
     key = (id(spark), sf_dir.rstrip("/"))
     with _LOCK:
-        p = _PIPELINES.get(key)
-        if p is None or p.spark is not spark:
+        files = _files(spark, key[1])
+        known, p = _PIPELINES.get(key, (None, None))
+        if p is None or p.spark is not spark or known != files:
             p = Pipeline(spark, sf_dir)
-            _PIPELINES[key] = p
+            _PIPELINES[key] = (files, p)
         return p
 
 
@@ -56,7 +70,7 @@ def _ingest_roundtrip(p: Pipeline) -> DataFrame:
 
 
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import analytics, dashboard, eda, profile, quality, staging, stats
+    from .plans import analytics, dashboard, eda, profile, quality, stats
 
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -66,16 +80,14 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # ingest / staging
     add("ing_raw_load", _ingest_roundtrip)
     add("stg_clean", lambda p: _doubles(p.staging.drop("loaded_at")))
-    add("stg_quarantine", lambda p: staging.stg_quarantine(p.raw))
+    add("stg_quarantine", lambda p: p.quarantine)
     # star
     add("dim_customer", lambda p: p.star.dim_customer)
     add("dim_contract", lambda p: p.star.dim_contract)
     add("dim_service_plan", lambda p: p.star.dim_service_plan)
-    add("dim_tenure", lambda p: p.star.dim_tenure)
     add("fact_subscription", lambda p: _doubles(p.star.fact.drop("loaded_at")))
     # profiling (raw)
     add("prof_shape", lambda p: profile.prof_shape(p.raw))
-    add("prof_schema", lambda p: profile.prof_schema(p.raw, "raw").unionByName(profile.prof_schema(p.staging, "staging")))
     add("prof_sample", lambda p: profile.prof_sample(p.raw))
     add("prof_missing", lambda p: profile.prof_missing(p.raw))
     add("prof_blank", lambda p: profile.prof_blank(p.raw))

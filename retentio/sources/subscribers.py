@@ -4,10 +4,14 @@ One ``orders`` row is one subscription.  Every raw column is a string, as a
 CSV landing table would be.  The derivation rules are fixture parameters
 (see FIXTURES.md §2), not business rules.
 
-Plan shape: ``lineitem`` is pruned to three columns with ``l_linenumber = 1``
-pushed into the scan and pre-aggregated map-side to one row per order before
-it shuffles; it then meets ``orders`` on the order key, and the result meets
-``customer`` on the customer key.  No side is broadcast blindly: AQE may turn
+Every line item counts, and months beyond the tenure dimension wrap around, so
+no row is cut or clamped.  A thin slice of the records is dirty on purpose
+(copied ids, unknown codes, missing and oversized values): what staging must
+refuse.
+
+Plan shape: ``lineitem`` is pruned to two columns and pre-aggregated map-side
+to one row per order before it shuffles; it then meets ``orders`` on the order
+key, and the result meets ``customer`` on the customer key.  No side is broadcast blindly: AQE may turn
 the customer join into a broadcast at run time when the table is small.
 """
 
@@ -25,6 +29,10 @@ RAW_COLUMNS = [
 ]
 
 
+#: months of the tenure dimension, 0 included
+MONTHS = 73
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -33,6 +41,10 @@ def _yes_no(cond: Column) -> Column:
     return F.when(cond, F.lit("Yes")).otherwise(F.lit("No"))
 
 
+def _dirty(k: Column, modulus: int, rest: int) -> Column:
+    return F.pmod(k, F.lit(modulus)) == rest
+
+
 def _addon(internet_none: Column, k: Column, modulus: int, below: int) -> Column:
     return (
         F.when(internet_none, F.lit("No internet service"))
@@ -49,9 +61,8 @@ def derive_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     returns = (
         read_table(spark, sf_dir, "lineitem")
-        .where(F.col("l_linenumber") == 1)
         .groupBy("l_orderkey")
-        .agg(F.max("l_returnflag").alias("return_flag"))
+        .agg((2 * F.count_if(F.col("l_returnflag") == "R") >= F.count(F.lit(1))).alias("returned"))
     )
 
     src = (
@@ -61,10 +72,7 @@ def derive_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     k = F.col("o_orderkey")
     c = F.col("o_custkey")
-    tenure = F.least(
-        F.lit(72),
-        (F.lit(2001) - F.year("o_orderdate")) * 12 + 8 - F.month("o_orderdate"),
-    )
+    tenure = F.pmod((F.lit(2001) - F.year("o_orderdate")) * 12 + 8 - F.month("o_orderdate"), F.lit(MONTHS))
     price = F.col("o_totalprice").cast("decimal(12,2)")
     monthly = (F.lit(18.25).cast("decimal(12,2)") + price % F.lit(100.50).cast("decimal(12,2)")).cast(
         "decimal(12,2)"
@@ -74,10 +82,11 @@ def derive_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     no_phone = F.pmod(k, F.lit(10)) == 0
 
     return src.select(
-        F.lpad(k.cast("string"), 10, "0").alias("customerid"),
+        F.lpad((k - _dirty(k, 499, 1).cast("int")).cast("string"), 10, "0").alias("customerid"),
         F.when(F.pmod(k, F.lit(2)) == 0, F.lit("Female")).otherwise(F.lit("Male")).alias("gender"),
-        F.when(F.pmod(c, F.lit(6)) == 0, F.lit("1")).otherwise(F.lit("0")).alias("seniorcitizen"),
-        _yes_no(F.pmod(c, F.lit(2)) == 0).alias("partner"),
+        F.when(_dirty(k, 211, 3), F.lit("2")).when(F.pmod(c, F.lit(6)) == 0, F.lit("1")).otherwise(F.lit("0"))
+        .alias("seniorcitizen"),
+        F.when(~_dirty(k, 307, 5), _yes_no(F.pmod(c, F.lit(2)) == 0)).alias("partner"),
         _yes_no(F.pmod(F.col("c_nationkey"), F.lit(3)) == 0).alias("dependents"),
         tenure.cast("string").alias("tenure"),
         _yes_no(~no_phone).alias("phoneservice"),
@@ -105,7 +114,7 @@ def derive_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("Bank transfer (automatic)"))
         .otherwise(F.lit("Credit card (automatic)"))
         .alias("paymentmethod"),
-        monthly.cast("string").alias("monthlycharges"),
+        F.when(_dirty(k, 401, 7), F.lit("12345678901.00")).otherwise(monthly.cast("string")).alias("monthlycharges"),
         F.when(tenure == 0, F.lit(" ")).otherwise((monthly * tenure).cast("string")).alias("totalcharges"),
-        _yes_no(F.col("return_flag") == "R").alias("churn"),
+        _yes_no(F.coalesce("returned", F.lit(False))).alias("churn"),
     )

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from retentio.plans import analytics as A
 from retentio.plans import quality as Q
 from retentio.plans.pipeline import Pipeline
-from retentio.plans.staging import stg_clean, stg_quarantine
+from retentio.plans.pipeline import open_warehouse
+from retentio.plans.staging import check_raw, stg_clean, stg_quarantine
 
 from .conftest import raw_rows
 
@@ -27,7 +28,7 @@ def test_quarantine_reasons(spark):
         {"customerid": "A7", "totalcharges": " "},
         {"customerid": "A8", "totalcharges": "x1"},
     ])
-    got = {r.customerid: r.reason for r in stg_quarantine(raw).collect()}
+    got = {r.customerid: r.reason for r in stg_quarantine(check_raw(raw)).collect()}
     assert got["A1"] == "senior_citizen: unknown code"
     assert "tenure_months: missing" in got[" A2 "]
     assert got["A3"] == "monthly_charges: not numeric(10,2)"
@@ -57,7 +58,7 @@ def _pipeline(spark, rows):
 def test_unknown_categories_and_tenure_edges(spark):
     rows = [{"customerid": f"T{t:02d}", "tenure": str(t)} for t in [0, 1, 12, 13, 47, 48, 60, 61, 72, 73]]
     rows += [
-        {"customerid": "U1", "contract": "Three year", "internetservice": "Satellite", "partner": None},
+        {"customerid": "U1", "contract": "Three year", "internetservice": "Satellite", "partner": "May"},
         {"customerid": "U2", "paymentmethod": "Bank transfer (AUTOMATIC)"},
     ]
     p = _pipeline(spark, rows)
@@ -84,6 +85,41 @@ def test_unknown_categories_and_tenure_edges(spark):
     assert keys == sorted(keys)
 
 
+def test_refused_rows_do_not_reach_the_star(spark):
+    p = _pipeline(spark, [
+        {"customerid": "C1"}, {"customerid": "C1"}, {"customerid": "C2", "seniorcitizen": "2"},
+        {"customerid": "C3", "partner": None}, {"customerid": "C4"},
+    ])
+    assert [r.customer_id for r in p.star.fact.collect()] == ["C4"]
+    assert [r.customer_id for r in p.star.dim_customer.collect()] == ["C4"]
+    assert sorted(r.customerid for r in p.quarantine.collect()) == ["C1", "C1", "C2", "C3"]
+
+
+def test_warehouse_is_replaced_and_reopened(spark, tmp_path):
+    path = str(tmp_path / "wh")
+    _pipeline(spark, [{"customerid": "W1"}, {"customerid": "W2"}]).write_warehouse(path)
+    _pipeline(spark, [{"customerid": "W3"}, {"customerid": "W4", "seniorcitizen": "7"}]).write_warehouse(path)
+    tables = open_warehouse(spark, path)
+    assert [r.customer_id for r in tables["fact_subscription"].collect()] == ["W3"]
+    assert [r.customerid for r in tables["quarantine"].collect()] == ["W4"]
+    assert tables["staging"].count() == 1 and tables["raw"].count() == 2 and tables["dim_tenure"].count() == 73
+
+
+def test_overwritten_inputs_give_new_answers(spark, tmp_path):
+    import shutil
+
+    from retentio.registry import queries
+
+    for name in ("orders", "customer", "lineitem"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    shape = queries()["prof_shape"]
+    first = shape(spark, str(tmp_path)).first().n_rows
+    import pyarrow.parquet as pq
+
+    pq.write_table(pq.read_table(tmp_path / "orders.parquet").slice(0, 100), tmp_path / "orders.parquet")
+    assert first == 1500 and shape(spark, str(tmp_path)).first().n_rows == 100
+
+
 def test_null_clv_ranks_first_and_ties(spark):
     rows = [{"customerid": f"N{i}", "tenure": "0", "totalcharges": " ", "monthlycharges": "10.00"} for i in range(3)]
     rows += [{"customerid": f"P{i:02d}", "tenure": "5", "monthlycharges": f"{20 + (i % 4)}.00",
