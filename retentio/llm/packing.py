@@ -42,8 +42,15 @@ def _encoder(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        state[key] = BoundedCache(
-            lambda chunk: array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes())
+
+        def ids_of(chunk: str) -> bytes:
+            # letters are lower-cased, and a stop after letters is a token of its own
+            core, stop = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
+            if core.isalpha() and "Σ" not in core and (stop or core != core.lower()):
+                return cache[core.lower()] + (cache[stop] if stop else b"")
+            return array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+        cache = state[key] = BoundedCache(ids_of)
     cache, chunks = state[key], splitter()
 
     def encode(text: str) -> bytes:
