@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` has at most ``max_rows`` rows, else leave it
-    to a shuffle join (where AQE's skew-join split still applies).
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                       max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when ``df`` has at most ``max_rows`` rows and ``max_bytes``
+    bytes, both measured, else leave it to a shuffle join (where AQE's skew-join
+    split still applies).
 
-    The count runs a job, so pass tables that are cheap to count: checkpointed
-    dimensions, offsets tables, aggregated lookups.  ``limit(max_rows + 1)``
-    stops the count early on a table that is too large.
+    The measurement runs a job, so pass tables that are cheap to read:
+    checkpointed dimensions, offsets tables, aggregated lookups.
+    ``limit(max_rows + 1)`` stops it early on a table that is too large.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    width = F.lit(8)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        width = width + (F.coalesce(F.octet_length(c), F.lit(0)) + 16 if isinstance(f.dataType, (StringType, BinaryType))
+                         else F.lit(max(8, 16 if "decimal" in f.dataType.simpleString() else 8)))
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width.cast("bigint"))).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df

@@ -41,7 +41,8 @@ from .joins import broadcast_if_small
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 # Tables of at most this many rows (counted, not assumed) take a plain window:
-# one task sorting a few hundred thousand rows beats three extra jobs.
+# one task sorting a few hundred thousand rows beats three extra jobs.  Both ways
+# give the same rows; the tests run them all with 0, too.
 SMALL_ROWS = 200_000
 # Upper bound on the ranges one ordering shuffle is cut into.
 MAX_RANGES = 100_000
@@ -168,7 +169,7 @@ def row_numbers(df: DataFrame, order_by: Sequence[Column | str], partition_by: S
 def running_totals(df: DataFrame, order_by: Sequence[Column | str], weights: dict[str, Column | str],
                    partition_by: Sequence[str] = (), totals: bool = True,
                    num_partitions: int | None = None, max_broadcast_rows: int = 1_000_000,
-                   small_rows: int = SMALL_ROWS) -> DataFrame:
+                   small_rows: int | None = None) -> DataFrame:
     """Inclusive running sums ``SUM(w) OVER (PARTITION BY p ORDER BY o ROWS UNBOUNDED PRECEDING)``.
 
     Meant for aggregated tables (one row per distinct value).  For each weight
@@ -176,6 +177,7 @@ def running_totals(df: DataFrame, order_by: Sequence[Column | str], weights: dic
     (sum over the whole window partition).  The input is frozen first; when it
     counts at most ``small_rows`` rows a plain window finishes the job.
     """
+    small_rows = SMALL_ROWS if small_rows is None else small_rows
     base = df
     for name, w in weights.items():
         base = base.withColumn(f"_w_{name}", F.col(w) if isinstance(w, str) else w)

@@ -36,12 +36,22 @@ def order_statistics(df: DataFrame, value_col: str, probs: dict[str, float],
     ``name_f``, ``name_b`` (fraction f/b of the way from lo to hi) and the group's
     non-null count ``n``.  With ``moments``, also the exact ``sum``, ``sum_sq``,
     ``min`` and ``max`` of the values, taken from the same (value, count) table."""
+    return order_statistics_of(value_table(df, value_col, group_by), value_col, probs, group_by, moments)
+
+
+def value_table(df: DataFrame, value_col: str, group_by: Sequence[str] = ()) -> DataFrame:
+    """(group, value) with its count ``_cnt``, the running count ``_cum`` and the group's ``_cum_total``."""
     values = (
         df.where(F.col(value_col).isNotNull())
         .groupBy(*group_by, value_col)
         .agg(F.count(F.lit(1)).alias("_cnt"))
     )
-    cum = running_totals(values, [F.col(value_col).asc()], {"_cum": "_cnt"}, group_by)
+    return running_totals(values, [F.col(value_col).asc()], {"_cum": "_cnt"}, group_by)
+
+
+def order_statistics_of(cum: DataFrame, value_col: str, probs: dict[str, float],
+                        group_by: Sequence[str] = (), moments: bool = False) -> DataFrame:
+    """``order_statistics`` of a ``value_table``."""
     n = F.col("_cum_total")
     start = F.col("_cum") - F.col("_cnt")  # 0-based index of this value's first copy
     end = F.col("_cum")  # exclusive

@@ -364,6 +364,16 @@ SELECT COUNT(*) AS high_risk_customers, COUNT(*) FILTER (WHERE priority = 1) AS
        {scaled(units(f"SUM({cents('monthly_charges')}) * 10000", '10000', 1), 2)} AS recoverable_mrr
 FROM ret"""
 
+# --- one dataset of each tab under filters
+Q["db_overview_filtered"] = Q["db_overview_kpis"] + " WHERE senior_citizen = 'Yes'"
+Q["db_revenue_filtered"] = Q["db_mrr_split"].replace("FROM long GROUP", "FROM long WHERE NOT (contract_length = 'Monthly') GROUP")
+Q["db_risk_filtered"] = Q["db_crosstab"].replace(
+    "FROM flat", f"FROM (SELECT * FROM flat WHERE ({TIER}) IN ('Churned', 'Medium Risk'))")
+Q["db_services_filtered"] = SLONG.replace("FROM flat", "FROM flat WHERE internet_tier = 'Fiber Optic'") + _ADOPT + "\nSELECT * FROM adopt"
+Q["db_retention_filtered"] = _RET.replace("= 'High Risk'", "= 'High Risk' AND internet_service = 'DSL'") + """
+SELECT customer_id, contract_type, internet_service, payment_method, tenure_months,
+       CAST(monthly_charges AS DOUBLE) AS monthly_charges, charge_rank, priority
+FROM ret WHERE priority = 1"""
 
 
 def erfc_sql(x: str) -> str:

@@ -174,6 +174,16 @@ Q["dq_orphans"] = (
     )
 )
 
+Q["dq_dim_listing"] = """
+SELECT 'dim_contract' AS dimension, contract_key AS key,
+       concat_ws(' | ', contract_type, payment_method, paperless_billing, payment_category, contract_length) AS attributes
+FROM dim_contract
+UNION ALL
+SELECT 'dim_service_plan', service_key,
+       concat_ws(' | ', phone_service, multiple_lines, internet_service, online_security, online_backup, device_protection,
+                 tech_support, streaming_tv, streaming_movies, CAST(total_addons AS VARCHAR), internet_tier)
+FROM dim_service_plan"""
+
 Q["dq_dim_profile"] = """
 SELECT 'dim_customer' AS dimension, 'rows' AS attribute, CAST(NULL AS VARCHAR) AS value, COUNT(*) AS count FROM dim_customer
 UNION ALL SELECT 'dim_contract', 'rows', NULL, COUNT(*) FROM dim_contract

@@ -43,8 +43,8 @@ ADDON_CAP = 6
 # ---------------------------------------------------------------------------------
 
 
-def _fact(star: Star) -> DataFrame:
-    return star.fact_enriched
+def _fact(star: Star, filters: dict[str, object] | None = None) -> DataFrame:
+    return apply_filters(star.fact_enriched, filters)
 
 
 def risk_tier(high_max_tenure: int = 12) -> Column:
@@ -58,15 +58,17 @@ def risk_tier(high_max_tenure: int = 12) -> Column:
 
 
 def apply_filters(df: DataFrame, filters: dict[str, object] | None) -> DataFrame:
-    """Dashboard filters: column → value or list of values (AND across columns)."""
+    """Dashboard filters: column → value or list of values (AND across columns).
+    ``risk_tier`` is derived per row; ``priority`` (a place among the high-risk
+    rows) is for the retention datasets and must be absent here."""
     for col, val in (filters or {}).items():
-        vals = val if isinstance(val, (list, tuple, set)) else [val]
-        df = df.where(F.col(col).isin(list(vals)))
+        vals = list(val) if isinstance(val, (list, tuple, set)) else [val]
+        df = df.where((risk_tier() if col == "risk_tier" else F.col(col)).isin(vals))
     return df
 
 
-def db_overview_kpis(star: Star) -> DataFrame:
-    f = _fact(star)
+def db_overview_kpis(star: Star, filters=None) -> DataFrame:
+    f = _fact(star, filters)
     a = f.agg(
         n_rows().alias("customers"), n_churned().alias("_ch"), sum_cents("monthly_charges").alias("_mrr"),
         sum_cents("mrr_at_risk").alias("_risk"), F.sum(cents(F.col("estimated_clv"))).alias("_clv"),
@@ -80,8 +82,8 @@ def db_overview_kpis(star: Star) -> DataFrame:
     )
 
 
-def db_risk_share_by_contract(star: Star) -> DataFrame:
-    g = _fact(star).groupBy("contract_type").agg(sum_cents("mrr_at_risk").alias("_risk"))
+def db_risk_share_by_contract(star: Star, filters=None) -> DataFrame:
+    g = _fact(star, filters).groupBy("contract_type").agg(sum_cents("mrr_at_risk").alias("_risk"))
     total = F.sum("_risk").over(Window.partitionBy())  # a few contract types
     return g.select(
         "contract_type", money(F.col("_risk")).alias("mrr_at_risk"), pct(F.col("_risk"), total).alias("share_pct")
@@ -91,7 +93,7 @@ def db_risk_share_by_contract(star: Star) -> DataFrame:
 def db_vs_average(star: Star, dimensions: tuple[str, ...] = ("contract_type", "internet_service", "payment_method",
                                                               "tenure_bucket"), filters=None) -> DataFrame:
     """Group churn rate against the overall rate (the reference line)."""
-    f = apply_filters(_fact(star), filters)
+    f = _fact(star, filters)
     args = ", ".join(f"'{d}', `{d}`" for d in dimensions)
     long = f.select("is_churned", F.expr(f"stack({len(dimensions)}, {args}) AS (dimension, value)"))
     g = long.groupBy("dimension", "value").agg(n_rows().alias("customers"), n_churned().alias("churned"))
@@ -104,9 +106,9 @@ def db_vs_average(star: Star, dimensions: tuple[str, ...] = ("contract_type", "i
     ).orderBy("dimension", "value")
 
 
-def db_crosstab(star: Star) -> DataFrame:
+def db_crosstab(star: Star, filters=None) -> DataFrame:
     """Contract × internet churn-rate matrix (one pivot with fixed columns)."""
-    f = _fact(star)
+    f = _fact(star, filters)
     aggs = []
     for value, name in INTERNET_SERVICES:
         hit = F.col("internet_service") == value
@@ -116,12 +118,12 @@ def db_crosstab(star: Star) -> DataFrame:
 
 def db_filtered(star: Star, filters: dict[str, object] | None = None, by: tuple[str, ...] = ("contract_type",)) -> DataFrame:
     """Any churn summary under dashboard filters, composed before the groupBy."""
-    f = apply_filters(_fact(star), filters)
+    f = _fact(star, filters)
     return summarize(f, list(by), ["total_customers", "churned", "churn_rate_pct", "avg_monthly_charges", "total_mrr"]).orderBy(*by)
 
 
-def db_mrr_split(star: Star) -> DataFrame:
-    f = _fact(star)
+def db_mrr_split(star: Star, filters=None) -> DataFrame:
+    f = _fact(star, filters)
     long = f.select(
         cents(F.col("monthly_charges")).alias("_c"), "is_churned",
         F.expr("stack(2, 'contract_type', contract_type, 'internet_tier', internet_tier) AS (dimension, value)"),
@@ -136,9 +138,9 @@ def db_mrr_split(star: Star) -> DataFrame:
     ).orderBy("dimension", "value")
 
 
-def db_clv_projection(star: Star) -> DataFrame:
+def db_clv_projection(star: Star, filters=None) -> DataFrame:
     """Dashboard CLV = average monthly charge × average tenure (per group)."""
-    f = _fact(star)
+    f = _fact(star, filters)
     long = f.select(
         cents(F.col("monthly_charges")).alias("_c"), "tenure_months",
         F.expr("stack(2, 'contract_type', contract_type, 'internet_tier', internet_tier) AS (dimension, value)"),
@@ -154,11 +156,11 @@ def db_clv_projection(star: Star) -> DataFrame:
     ).orderBy("dimension", "value")
 
 
-def db_charge_distribution(star: Star, bin_width: float = 10.0) -> DataFrame:
+def db_charge_distribution(star: Star, bin_width: float = 10.0, filters=None) -> DataFrame:
     """Customers and revenue per charge bin with cumulative revenue share."""
     w_c = int(round(bin_width * 100))
     c = cents(F.col("monthly_charges"))
-    g = _fact(star).groupBy((c - F.pmod(c, F.lit(w_c))).alias("_lo")).agg(
+    g = _fact(star, filters).groupBy((c - F.pmod(c, F.lit(w_c))).alias("_lo")).agg(
         n_rows().alias("customers"), F.sum(c).alias("_rev")
     )
     # running revenue over the bins; the bin count follows the charge range, so
@@ -172,8 +174,8 @@ def db_charge_distribution(star: Star, bin_width: float = 10.0) -> DataFrame:
     ).orderBy("bin_lo")
 
 
-def db_risk_tiers(star: Star, high_max_tenure: int = 12) -> DataFrame:
-    g = _fact(star).groupBy(risk_tier(high_max_tenure).alias("risk_tier")).agg(
+def db_risk_tiers(star: Star, high_max_tenure: int = 12, filters=None) -> DataFrame:
+    g = _fact(star, filters).groupBy(risk_tier(high_max_tenure).alias("risk_tier")).agg(
         n_rows().alias("customers"), sum_cents("monthly_charges").alias("_mrr")
     )
     total = F.sum("customers").over(Window.partitionBy())  # four tiers
@@ -184,7 +186,7 @@ def db_risk_tiers(star: Star, high_max_tenure: int = 12) -> DataFrame:
 
 
 def db_segment_table(star: Star, filters: dict[str, object] | None = None) -> DataFrame:
-    f = apply_filters(_fact(star), filters)
+    f = _fact(star, filters)
     addons = F.when(F.col("total_addons") >= ADDON_CAP, F.lit(f"{ADDON_CAP}+")).otherwise(
         F.col("total_addons").cast("string")
     )
@@ -199,67 +201,81 @@ def db_segment_table(star: Star, filters: dict[str, object] | None = None) -> Da
 
 
 def _service_long(star: Star, filters=None) -> DataFrame:
-    f = apply_filters(_fact(star), filters)
+    f = _fact(star, filters)
     return unpivot_services(f, DASHBOARD_SERVICES, ["is_churned"])
 
 
-def db_service_lift(star: Star, no_service_counts_as_no: bool = True, filters=None) -> DataFrame:
-    long = _service_long(star, filters)
+def _service_counts(star: Star, no_service_counts_as_no: bool = True, eligible_only: bool = False, filters=None) -> DataFrame:
+    """Subscribers, others and churners of both per service: one pass for lift and adoption."""
     sub = F.col("subscribed") == "Yes"
     non = ~sub if no_service_counts_as_no else (F.col("subscribed") == "No")
-    g = long.groupBy("service_name").agg(
+    eligible = ~F.col("subscribed").isin("No internet service", "No phone service") if eligible_only else F.lit(True)
+    return _service_long(star, filters).groupBy("service_name").agg(
         F.count_if(sub).alias("subscribers"), F.count_if(sub & F.col("is_churned")).alias("_sc"),
         F.count_if(non).alias("non_subscribers"), F.count_if(non & F.col("is_churned")).alias("_nc"),
+        F.count_if(eligible).alias("base"),
     )
+
+
+def _lift() -> tuple[Column, Column, Column]:
     su = round_units(F.col("_sc"), F.col("subscribers"), 10000)
     nu = round_units(F.col("_nc"), F.col("non_subscribers"), 10000)
-    return g.select(
-        "service_name", "subscribers", "non_subscribers",
-        scaled(su, 2).alias("subscriber_churn_pct"), scaled(nu, 2).alias("non_subscriber_churn_pct"),
-        scaled(nu - su, 2).alias("churn_lift_pct"),
-    ).orderBy("service_name")
+    return (scaled(su, 2).alias("subscriber_churn_pct"), scaled(nu, 2).alias("non_subscriber_churn_pct"),
+            scaled(nu - su, 2).alias("churn_lift_pct"))
+
+
+def db_service_lift(star: Star, no_service_counts_as_no: bool = True, filters=None) -> DataFrame:
+    g = _service_counts(star, no_service_counts_as_no, filters=filters)
+    return g.select("service_name", "subscribers", "non_subscribers", *_lift()).orderBy("service_name")
+
+
+def _adoption() -> Column:
+    return pct(F.col("subscribers"), F.col("base")).alias("adoption_pct")
 
 
 def db_adoption(star: Star, eligible_only: bool = False, filters=None) -> DataFrame:
-    long = _service_long(star, filters)
-    eligible = ~F.col("subscribed").isin("No internet service", "No phone service") if eligible_only else F.lit(True)
-    g = long.groupBy("service_name").agg(
-        F.count_if(F.col("subscribed") == "Yes").alias("adopters"), F.count_if(eligible).alias("base")
-    )
-    return g.select("service_name", "adopters", "base", pct(F.col("adopters"), F.col("base")).alias("adoption_pct")).orderBy(
-        "service_name"
-    )
+    g = _service_counts(star, eligible_only=eligible_only, filters=filters)
+    return g.select("service_name", F.col("subscribers").alias("adopters"), "base", _adoption()).orderBy("service_name")
 
 
-def db_price_by_tier_contract(star: Star) -> DataFrame:
-    return summarize(_fact(star), ["internet_tier", "contract_type"], ["customers", "avg_monthly_charges"]).orderBy(
+def db_price_by_tier_contract(star: Star, filters=None) -> DataFrame:
+    return summarize(_fact(star, filters), ["internet_tier", "contract_type"], ["customers", "avg_monthly_charges"]).orderBy(
         "internet_tier", "contract_type"
     )
 
 
-def db_upsell_candidates(star: Star, max_adoption_pct: float = 50.0) -> DataFrame:
-    a = db_adoption(star).select("service_name", "adoption_pct")
-    lift = db_service_lift(star).select("service_name", "churn_lift_pct")
-    j = a.join(lift, "service_name").where(F.col("adoption_pct") < max_adoption_pct)
+def db_upsell_candidates(star: Star, max_adoption_pct: float = 50.0, filters=None) -> DataFrame:
+    g = _service_counts(star, filters=filters).select("service_name", _adoption(), _lift()[2])
+    j = g.where(F.col("adoption_pct") < max_adoption_pct)
     w = Window.orderBy(F.desc("churn_lift_pct"), "adoption_pct", "service_name")  # at most 8 services
     return j.select("*", F.row_number().over(w).cast("long").alias("upsell_rank")).orderBy("upsell_rank")
 
 
-def retention_rows(star: Star, high_max_tenure: int = 12, priority_share: float = 0.13) -> DataFrame:
-    """Active high-risk customers with charge rank and priority (1 = top share)."""
-    f = _fact(star).where(risk_tier(high_max_tenure) == "High Risk").select(
+def _priority_cut(n: Column, priority_share: float) -> Column:
+    return idiv(n * int(round(priority_share * 10000)) + 9999, F.lit(10000))  # ceil(n · share)
+
+
+def _high_risk(star: Star, high_max_tenure: int, filters: dict[str, object] | None) -> DataFrame:
+    rows = {k: v for k, v in (filters or {}).items() if k != "priority"}
+    return _fact(star, rows).where(risk_tier(high_max_tenure) == "High Risk")
+
+
+def retention_rows(star: Star, high_max_tenure: int = 12, priority_share: float = 0.13, filters=None) -> DataFrame:
+    """Active high-risk customers with charge rank and priority (1 = top share).
+    A ``priority`` filter picks from the ranked rows, the others apply before ranking."""
+    f = _high_risk(star, high_max_tenure, filters).select(
         "customer_id", "contract_type", "internet_service", "payment_method", "tenure_months", "monthly_charges",
         "senior_citizen",
     )
     ranked = row_numbers(f, [F.col("monthly_charges").desc(), F.col("customer_id").asc()], rn="charge_rank", size="_n")
-    cut = idiv(F.col("_n") * int(round(priority_share * 10000)) + 9999, F.lit(10000))  # ceil(n · share)
-    return ranked.select(
-        "*", F.when(F.col("charge_rank") <= cut, F.lit(1)).otherwise(F.lit(2)).alias("priority")
+    ranked = ranked.select(
+        "*", F.when(F.col("charge_rank") <= _priority_cut(F.col("_n"), priority_share), F.lit(1)).otherwise(F.lit(2)).alias("priority")
     ).drop("_n")
+    return apply_filters(ranked, {k: v for k, v in (filters or {}).items() if k == "priority"})
 
 
-def db_retention_list(star: Star, high_max_tenure: int = 12, priority_share: float = 0.13) -> DataFrame:
-    r = retention_rows(star, high_max_tenure, priority_share)
+def db_retention_list(star: Star, high_max_tenure: int = 12, priority_share: float = 0.13, filters=None) -> DataFrame:
+    r = retention_rows(star, high_max_tenure, priority_share, filters)
     return r.select(
         "customer_id", "contract_type", "internet_service", "payment_method", "tenure_months",
         F.col("monthly_charges").cast("double").alias("monthly_charges"),
@@ -268,10 +284,17 @@ def db_retention_list(star: Star, high_max_tenure: int = 12, priority_share: flo
 
 
 def db_recoverable_mrr(star: Star, high_max_tenure: int = 12, priority_share: float = 0.13,
-                       retention_success: float = 1.0) -> DataFrame:
-    r = retention_rows(star, high_max_tenure, priority_share)
+                       retention_success: float = 1.0, filters=None) -> DataFrame:
+    """Sums over the high-risk group; no row is ranked, the number of first-priority
+    customers follows from the group's size.  (With a ``priority`` filter the rows are.)"""
+    if "priority" in (filters or {}):
+        r = retention_rows(star, high_max_tenure, priority_share, filters)
+        first = F.count_if(F.col("priority") == 1)
+    else:
+        r = _high_risk(star, high_max_tenure, filters)
+        first = _priority_cut(F.count(F.lit(1)), priority_share)
     a = r.agg(
-        n_rows().alias("high_risk_customers"), F.count_if(F.col("priority") == 1).alias("priority1_customers"),
+        n_rows().alias("high_risk_customers"), first.cast("bigint").alias("priority1_customers"),
         F.sum("tenure_months").alias("_t"), F.sum(cents(F.col("monthly_charges"))).alias("_c"),
     )
     success_bp = int(round(retention_success * 10000))
@@ -300,4 +323,10 @@ DASHBOARD = {
     "db_upsell_candidates": db_upsell_candidates,
     "db_retention_list": db_retention_list,
     "db_recoverable_mrr": db_recoverable_mrr,
+    # one dataset of each tab under that tab's filters
+    "db_overview_filtered": lambda star: db_overview_kpis(star, filters={"senior_citizen": "Yes"}),
+    "db_revenue_filtered": lambda star: db_mrr_split(star, filters={"contract_type": ["One year", "Two year"]}),
+    "db_risk_filtered": lambda star: db_crosstab(star, filters={"risk_tier": ["Medium Risk", "Churned"]}),
+    "db_services_filtered": lambda star: db_adoption(star, filters={"internet_tier": "Fiber Optic"}),
+    "db_retention_filtered": lambda star: db_retention_list(star, filters={"priority": 1, "internet_service": "DSL"}),
 }

@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.rounding import cents, pct, ratio, round_units, scaled
-from ..operators.joins import broadcast_if_small
 from ..operators.ordering import checkpointed
-from ..operators.percentiles import order_statistics
+from ..operators.percentiles import order_statistics_of, value_table
 
 # --- fixed values ---------------------------------------------------------------
 # Categorical variables of the churn-by-category chart.
@@ -107,7 +106,8 @@ def box_stats(long: DataFrame, group: list[str]) -> DataFrame:
 
     Quartiles are kept as 4×q (integers) and fences as 8×fence, so the
     membership tests are exact integer comparisons."""
-    q = order_statistics(long, "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, group)
+    values = checkpointed(value_table(long, "v", group))  # the only pass over the rows
+    q = order_statistics_of(values, "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, group)
 
     def four(name: str) -> Column:
         lo, hi, f, b = (F.col(f"{name}_{s}") for s in ("lo", "hi", "f", "b"))
@@ -120,15 +120,13 @@ def box_stats(long: DataFrame, group: list[str]) -> DataFrame:
     })
     x8 = F.col("v") * 8
     inside = (x8 >= F.col("_l8")) & (x8 <= F.col("_u8"))
-    # one row per group; broadcast behind a count (groups can be a category's values)
-    fences = checkpointed(q.select(*group, "_l8", "_u8"))
     w = (
-        long.join(broadcast_if_small(fences), group)
+        values.join(q.select(*group, "_l8", "_u8"), group)
         .groupBy(*group)
         .agg(
             F.min(F.when(inside, F.col("v"))).alias("_lw"),
             F.max(F.when(inside, F.col("v"))).alias("_uw"),
-            F.count_if(~inside).alias("outliers"),
+            F.coalesce(F.sum(F.when(~inside, F.col("_cnt"))), F.lit(0)).alias("outliers"),
         )
     )
     return q.join(w, group)
@@ -212,21 +210,45 @@ def correlation_pairs(staging: DataFrame, pairs: list[tuple[str, str]]) -> DataF
     """Pearson r per pair over the rows where both values are present (pandas'
     pairwise-complete rule), exact, in one pass over the data.
 
-    Rows are first grouped by their pattern of missing features (a handful of
-    patterns), accumulating per pattern n, Σx, Σx² per feature and Σxy per
-    pair — 12 + 12 + pairs sums instead of six per pair.  The pairwise moments
-    are then sums over the patterns in which both features are present.
-    Integer features are summed as bigint, cent amounts as decimal."""
+    The rows are first grouped by their small-valued features (some ten
+    thousand combinations), with n, Σx, Σx² and Σxy of the two money columns:
+    six sums per row.  All other sums follow from those groups, which are
+    grouped once more by their pattern of missing features; the pairwise
+    moments are sums over the patterns in which both features are present."""
     x = correlation_features(staging)
     feats = [f for f in CORRELATION_FEATURES if any(f in p for p in pairs)]
     bit = {f: 1 << i for i, f in enumerate(feats)}
     q = lambda f: F.col(f"`{f}`")
-    pattern = sum((F.when(q(f).isNotNull(), F.lit(bit[f])).otherwise(F.lit(0)) for f in feats), F.lit(0))
-    per_pattern = x.groupBy(pattern.alias("_pat")).agg(
+    coins = [f for f in feats if f in _MONEY_FEATURES]
+    present = [q(f).isNotNull().alias(f"_has_{f}") for f in coins]
+    grouped = x.groupBy(*[q(f) for f in feats if f not in coins], *present).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.sum(q(f)).alias(f"s{bit[f]}") for f in feats],
-        *[F.sum(q(f) * q(f)).alias(f"q{bit[f]}") for f in feats],
-        *[F.sum(q(a) * q(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
+        *[F.sum(q(f)).alias(f"_s_{f}") for f in coins],
+        *[F.sum(q(a) * q(b)).alias(f"_p_{a}_{b}") for i, a in enumerate(coins) for b in coins[i:]],
+    )
+    wide = "decimal(38,0)"
+
+    def has(f: str) -> Column:
+        return F.col(f"`_has_{f}`") if f in coins else q(f).isNotNull()
+
+    def total(f: str) -> Column:
+        return F.col(f"`_s_{f}`").cast(wide) if f in coins else (F.col("_n") * q(f)).cast(wide)
+
+    def product(a: str, b: str) -> Column:
+        if a in coins and b in coins:
+            a, b = sorted((a, b), key=coins.index)
+            return F.col(f"`_p_{a}_{b}`").cast(wide)
+        if a in coins or b in coins:
+            coin, other = (a, b) if a in coins else (b, a)
+            return F.col(f"`_s_{coin}`").cast(wide) * q(other)
+        return (F.col("_n") * q(a) * q(b)).cast(wide)
+
+    pattern = sum((F.when(has(f), F.lit(bit[f])).otherwise(F.lit(0)) for f in feats), F.lit(0))
+    per_pattern = grouped.groupBy(pattern.alias("_pat")).agg(
+        F.sum("_n").alias("_n"),
+        *[F.sum(total(f)).alias(f"s{bit[f]}") for f in feats],
+        *[F.sum(product(f, f)).alias(f"q{bit[f]}") for f in feats],
+        *[F.sum(product(a, b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
     )
     # one row per (pair, pattern) where both features are present, then 6 sums per pair
     parts = []

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import pct, round_units, scaled
-from ..operators.percentiles import order_statistics, round_half_up_units
+from ..operators.percentiles import order_statistics
 
 # --- fixed values: strings pandas reads as missing (its default NA tokens)
 PANDAS_NA_TOKENS = [
@@ -30,19 +30,6 @@ def prof_shape(raw: DataFrame) -> DataFrame:
     return raw.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(len(raw.columns)).cast("bigint").alias("n_columns"))
 
 
-def prof_schema(df: DataFrame, layer: str = "raw") -> DataFrame:
-    """Column position, name and type (with precision/scale for decimals) — the
-    catalog view of a table, built from its schema (metadata only, no scan)."""
-    spark = df.sparkSession
-    rows = []
-    for i, f in enumerate(df.schema.fields, start=1):
-        t = f.dataType
-        rows.append((layer, i, f.name, t.simpleString(), getattr(t, "precision", None), getattr(t, "scale", None)))
-    return spark.createDataFrame(
-        rows, "layer string, ordinal int, column_name string, data_type string, numeric_precision int, numeric_scale int"
-    )
-
-
 def prof_sample(raw: DataFrame, n: int = 5, key: str = "customerid") -> DataFrame:
     """First ``n`` rows in key order (a deterministic stand-in for 'head')."""
     return raw.orderBy(key).limit(n)
@@ -78,13 +65,14 @@ def prof_blank(raw: DataFrame) -> DataFrame:
 
 
 def prof_duplicates(raw: DataFrame, key: str = "customerid") -> DataFrame:
-    """Fully duplicated rows and duplicated keys (copies beyond the first; NULLs equal)."""
-    distinct_rows = raw.distinct().agg(F.count(F.lit(1))).scalar()
-    distinct_keys = raw.select(key).distinct().agg(F.count(F.lit(1))).scalar()
-    return raw.agg(F.count(F.lit(1)).alias("n")).select(
-        (F.col("n") - distinct_rows).alias("duplicate_rows"),
-        (F.col("n") - distinct_keys).alias("duplicate_keys"),
-    )
+    """Fully duplicated rows and duplicated keys (copies beyond the first; NULLs equal).
+    One scan: equal rows are counted first, then keys over the distinct rows; both
+    counts combine map-side, so a row or key that is common costs one row per task."""
+    rows = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_n"))
+    keys = rows.groupBy(key).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    return keys.agg(
+        (F.sum("_n") - F.sum("_rows")).alias("duplicate_rows"), (F.sum("_n") - F.count(F.lit(1))).alias("duplicate_keys"),
+    ).select(F.coalesce("duplicate_rows", F.lit(0)).alias("duplicate_rows"), F.coalesce("duplicate_keys", F.lit(0)).alias("duplicate_keys"))
 
 
 def prof_categories(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -100,23 +88,32 @@ def prof_categories(raw: DataFrame, columns: Sequence[str] | None = None) -> Dat
 NUMERIC_TEXT = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def numeric_columns(raw: DataFrame) -> list[str]:
+#: most decimals that a profile keeps; further digits are rounded half-up there
+MAX_DECIMALS = 9
+
+
+def numeric_columns(raw: DataFrame) -> dict[str, int]:
     """Columns every non-missing value of which reads as a number (pandas-like
-    inference).  A regex test, not ``try_cast``: a failed cast costs an
-    exception per value, and most values of a text column fail."""
-    bad = raw.agg(
-        *[F.count_if(F.col(c).isNotNull() & ~F.col(c).rlike(NUMERIC_TEXT)).alias(c) for c in raw.columns]
+    inference), with the most decimals that any value has.  A regex test, not
+    ``try_cast``: a failed cast costs an exception per value, and most values of
+    a text column fail."""
+    seen = raw.agg(
+        *[F.count_if(F.col(c).isNotNull() & ~F.col(c).rlike(NUMERIC_TEXT)).alias(f"bad_{c}") for c in raw.columns],
+        *[F.max(F.when(F.col(c).contains("."), F.length(F.regexp_extract(c, r"[.]([0-9]*)", 1)))
+                .when(F.lower(c).contains("e"), F.lit(MAX_DECIMALS)).otherwise(0)).alias(f"scale_{c}") for c in raw.columns],
     ).first()
-    return [c for c in raw.columns if bad[c] == 0]
+    return {c: min(MAX_DECIMALS, seen[f"scale_{c}"] or 0) for c in raw.columns if seen[f"bad_{c}"] == 0}
 
 
-def describe(df: DataFrame, columns: Sequence[str], scale: int = 2) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], scale: int = 2, decimals: int = 2) -> DataFrame:
     """count / mean / std / min / 25% / 50% / 75% / max per column, rounded half-up
-    to ``scale`` digits.  Exact: values become integers at that scale, moments
-    are integer sums, quartiles come from ``order_statistics``."""
-    unit = 10**scale
+    to ``scale`` digits at the end.  Exact: values become integers at ``decimals``
+    digits (the most that any has), moments are integer sums, quartiles come from
+    ``order_statistics``."""
+    inner = max(scale, decimals)
+    unit, coarser = 10**inner, 10**(inner - scale)
     long = _long(
-        df.select(*[(F.col(c).cast(f"decimal(30,{scale})") * unit).cast("decimal(38,0)").alias(c) for c in columns]),
+        df.select(*[(F.col(c).cast(f"decimal(30,{inner})") * unit).cast("decimal(38,0)").alias(c) for c in columns]),
         list(columns), "column_name", "_v",
     ).where(F.col("_v").isNotNull())
     # quantiles and exact moments come from one (column, value, count) table
@@ -124,21 +121,30 @@ def describe(df: DataFrame, columns: Sequence[str], scale: int = 2) -> DataFrame
     n = F.col("n").cast("decimal(38,0)")
     var_num = n * F.col("sum_sq") - F.col("sum") * F.col("sum")
     sd = F.sqrt(var_num.cast("double") / (n * (n - 1)).cast("double")) / F.lit(float(unit))
+
+    def quantile(name: str) -> Column:
+        lo, hi, f, b = (F.col(f"{name}_{x}") for x in ("lo", "hi", "f", "b"))
+        return scaled(round_units(lo * b + f * (hi - lo), b * coarser, 1), scale)
+
+    def whole(name: str) -> Column:
+        return scaled(round_units(F.col(name), F.lit(coarser), 1), scale)
+
     return q.select(
         "column_name",
         F.col("n").alias("count"),
-        scaled(round_units(F.col("sum"), F.col("n"), 1), scale).alias("mean"),
+        scaled(round_units(F.col("sum"), F.col("n") * coarser, 1), scale).alias("mean"),
         F.round(sd, scale).alias("std"),
-        scaled(F.col("min"), scale).alias("min"),
-        scaled(round_half_up_units("p25"), scale).alias("p25"),
-        scaled(round_half_up_units("p50"), scale).alias("p50"),
-        scaled(round_half_up_units("p75"), scale).alias("p75"),
-        scaled(F.col("max"), scale).alias("max"),
+        whole("min").alias("min"),
+        quantile("p25").alias("p25"),
+        quantile("p50").alias("p50"),
+        quantile("p75").alias("p75"),
+        whole("max").alias("max"),
     ).orderBy("column_name")
 
 
 def prof_numeric(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return describe(raw, columns or numeric_columns(raw))
+    found = numeric_columns(raw.select(*columns) if columns else raw)
+    return describe(raw, list(found), decimals=max([0, *found.values()]))
 
 
 def prof_coerce(raw: DataFrame, column: str = "totalcharges") -> DataFrame:

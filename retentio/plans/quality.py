@@ -1,9 +1,10 @@
 """Data-quality checks and layer reconciliation.
 
 Checks return rows ``(check, subject, observed, expected, ok)`` instead of
-printing; ``expected``/``ok`` are NULL where the check only reports.  Counts
-over many columns are fused into one ``agg`` per table; orphan checks are
-``left_anti`` joins against the (broadcast-sized) dimensions.
+printing; ``expected``/``ok`` are NULL where the check only reports.  A check
+counts over all its columns in one ``agg`` per table, whose single row is then
+exploded into the check's rows, so a table is scanned once; the orphan checks
+share one pass of the fact that looks its four keys up.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ def _row(check: str, subject: str, observed: Column, expected: Column | None = N
             exp.alias("expected"), ok.alias("ok")]
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def _rows(one: DataFrame, rows: list[list[Column]]) -> DataFrame:
+    """The check's rows from the one row of counts."""
+    return one.select(F.explode(F.array(*[F.struct(*r) for r in rows])).alias("r")).select("r.*")
 
 
 def _count(df: DataFrame, alias: str) -> DataFrame:
@@ -54,14 +56,12 @@ def dq_row_counts(raw: DataFrame, staging: DataFrame, star: Star) -> DataFrame:
         n(star.dim_service_plan).alias("dim_service_plan"),
         n(star.dim_tenure).alias("dim_tenure"),
     )
-    parts = [
-        counts.select(*_row("row_count", "staging_vs_raw", F.col("staging"), F.col("raw"))),
-        counts.select(*_row("row_count", "fact_vs_staging", F.col("fact"), F.col("staging"))),
-    ]
-    for t in ["dim_contract", "dim_customer", "dim_service_plan", "dim_tenure"]:
-        parts.append(counts.select(*_row("table_rows", t, F.col(t))))
-    parts.append(counts.select(*_row("table_rows", "fact_subscription", F.col("fact"))))
-    return _union(parts)
+    return _rows(counts, [
+        _row("row_count", "staging_vs_raw", F.col("staging"), F.col("raw")),
+        _row("row_count", "fact_vs_staging", F.col("fact"), F.col("staging")),
+        *[_row("table_rows", t, F.col(t)) for t in ["dim_contract", "dim_customer", "dim_service_plan", "dim_tenure"]],
+        _row("table_rows", "fact_subscription", F.col("fact")),
+    ])
 
 
 def dq_nulls(raw: DataFrame, staging: DataFrame) -> DataFrame:
@@ -69,11 +69,9 @@ def dq_nulls(raw: DataFrame, staging: DataFrame) -> DataFrame:
     NOT NULL columns expect 0; total_charges only reports."""
     s = staging.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in STAGING_NULL_COLUMNS])
     r = raw.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in RAW_NULL_COLUMNS])
-    parts = [
-        s.select(*_row("null_count", f"staging.{c}", F.col(c), None if c == "total_charges" else F.lit(0)))
-        for c in STAGING_NULL_COLUMNS
-    ] + [r.select(*_row("null_count", f"raw.{c}", F.col(c))) for c in RAW_NULL_COLUMNS]
-    return _union(parts)
+    return _rows(s, [
+        _row("null_count", f"staging.{c}", F.col(c), None if c == "total_charges" else F.lit(0)) for c in STAGING_NULL_COLUMNS
+    ]).unionByName(_rows(r, [_row("null_count", f"raw.{c}", F.col(c)) for c in RAW_NULL_COLUMNS]))
 
 
 def dq_recode(raw: DataFrame, staging: DataFrame) -> DataFrame:
@@ -127,12 +125,12 @@ def dq_range(staging: DataFrame) -> DataFrame:
 def dq_domain(staging: DataFrame) -> DataFrame:
     """Values outside {Yes, No}; NULL is not counted (three-valued NOT IN)."""
     a = staging.agg(*[F.count_if(~F.col(c).isin("Yes", "No")).alias(c) for c in YES_NO_COLUMNS])
-    return _union([a.select(*_row("yes_no_domain", c, F.col(c), F.lit(0))) for c in YES_NO_COLUMNS])
+    return _rows(a, [_row("yes_no_domain", c, F.col(c), F.lit(0)) for c in YES_NO_COLUMNS])
 
 
 def dq_whitespace(staging: DataFrame) -> DataFrame:
     a = staging.agg(*[F.count_if(F.col(c) != F.trim(F.col(c))).alias(c) for c in WHITESPACE_COLUMNS])
-    return _union([a.select(*_row("whitespace", c, F.col(c), F.lit(0))) for c in WHITESPACE_COLUMNS])
+    return _rows(a, [_row("whitespace", c, F.col(c), F.lit(0)) for c in WHITESPACE_COLUMNS])
 
 
 def dq_contract_mix(staging: DataFrame) -> DataFrame:
@@ -175,21 +173,33 @@ def dq_contract_revenue(star: Star) -> DataFrame:
     ).orderBy(F.desc("total_mrr"))
 
 
-def dq_orphans(star: Star) -> DataFrame:
-    """Fact keys missing from each dimension (expected 0), by anti joins."""
-    f = star.fact
-    pairs = [
-        ("orphan_customer", "customer_key", star.dim_customer.select("customer_key"), False),
-        ("orphan_contract", "contract_key", star.dim_contract.select("contract_key"), True),
-        ("orphan_service", "service_key", star.dim_service_plan.select("service_key"), True),
-        ("orphan_date", "date_key", star.dim_tenure.select("date_key"), True),
-    ]
-    parts = []
-    for name, key, dim, small in pairs:
-        d = broadcast_if_small(dim) if small else dim
-        missing = f.select(key).join(d, key, "left_anti")
-        parts.append(_count(missing, "n").select(*_row("orphans", name, F.col("n"), F.lit(0))))
-    return _union(parts)
+def dq_orphans(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """Fact keys missing from each dimension (expected 0): one pass of the fact,
+    which looks up customer, contract, service and date keys."""
+    keys = {"customer": "customer_key", "contract": "contract_key", "service": "service_key", "date": "date_key"}
+    f = fact.select(*keys.values())
+    for name, key in keys.items():
+        dim = dims[name].select(key).distinct() if name != "customer" else dims[name].select(key)
+        known = dim.withColumn(f"_{name}", F.lit(True))
+        f = f.join(known if name == "customer" else broadcast_if_small(known), key, "left")
+    a = f.agg(*[F.count_if(F.col(f"_{name}").isNull()).alias(name) for name in keys])
+    return _rows(a, [_row("orphans", f"orphan_{name}", F.col(name), F.lit(0)) for name in keys])
+
+
+def star_dims(star: Star) -> dict[str, DataFrame]:
+    return {"customer": star.dim_customer, "contract": star.dim_contract, "service": star.dim_service_plan,
+            "date": star.dim_tenure}
+
+
+def dq_dim_listing(star: Star) -> DataFrame:
+    """The rows of the contract and service dimensions, in key order."""
+    def listed(name: str, dim: DataFrame, key: str) -> DataFrame:
+        others = [c for c in dim.columns if c != key]
+        return dim.select(F.lit(name).alias("dimension"), F.col(key).alias("key"),
+                          F.concat_ws(" | ", *[F.col(c).cast("string") for c in others]).alias("attributes"))
+
+    return listed("dim_contract", star.dim_contract, "contract_key").unionByName(
+        listed("dim_service_plan", star.dim_service_plan, "service_key")).orderBy("dimension", "key")
 
 
 def dq_dim_profile(star: Star) -> DataFrame:

@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators.joins import broadcast_if_small
-from ..operators.ordering import SMALL_ROWS, checkpointed, row_numbers
+from ..operators import ordering
+from ..operators.ordering import checkpointed, row_numbers
 
+# --- fixed values: columns of the fact
 FACT_COLUMNS = [
     "subscription_key", "customer_key", "contract_key", "service_key", "date_key", "customer_id",
     "tenure_months", "monthly_charges", "total_charges", "estimated_clv", "mrr_at_risk", "churn",
@@ -72,7 +74,7 @@ class Star:
     @cached_property
     def dim_contract(self) -> DataFrame:
         combos = self._combos.where(F.col("_contract_set") == 1).select(*R.CONTRACT_COLUMNS)
-        keyed = row_numbers(combos, R.CONTRACT_COLUMNS, rn="contract_key", small_rows=SMALL_ROWS)
+        keyed = row_numbers(combos, R.CONTRACT_COLUMNS, rn="contract_key", small_rows=ordering.SMALL_ROWS)
         return keyed.select(
             F.col("contract_key").cast("long"),
             *R.CONTRACT_COLUMNS,
@@ -83,7 +85,7 @@ class Star:
     @cached_property
     def dim_service_plan(self) -> DataFrame:
         combos = self._combos.where(F.col("_contract_set") == 0).select(*R.SERVICE_COLUMNS)
-        keyed = row_numbers(combos, R.SERVICE_COLUMNS, rn="service_key", small_rows=SMALL_ROWS)
+        keyed = row_numbers(combos, R.SERVICE_COLUMNS, rn="service_key", small_rows=ordering.SMALL_ROWS)
         return keyed.select(
             F.col("service_key").cast("long"),
             *R.SERVICE_COLUMNS,

@@ -1,76 +1,74 @@
 """Significance tests as distributed aggregates with a one-row closing step.
 
-* Chi-square test of independence: the contingency table is a grouped count
-  (a few cells), expected counts come from its margins, and the statistic is
-  a sum over cells.  The Yates correction applies only when dof = 1, as in
-  SciPy's ``chi2_contingency``.  p = Q(dof/2, chi2/2), the regularized upper
-  incomplete gamma function.
+* Chi-square test of independence: all tests share one scan; a grouped count
+  gives the observed cells, windows over those few cells their margins, and
+  ``chi2 = sum over observed of (o - e)^2 / e, plus n - sum over observed of e``
+  (what the empty cells add), so no grid is built.  The Yates correction
+  applies only when dof = 1, as in SciPy's ``chi2_contingency``.
+  p = Q(dof/2, chi2/2), the regularized upper incomplete gamma function.
 * Mann–Whitney U (two-sided, normal approximation with tie and continuity
-  correction — SciPy's large-sample method): values are reduced to
-  (value, count in sample 1, count in sample 2), running counts over the
-  sorted distinct values give mid-ranks, and R1 = Σ n1(v)·midrank(v).
+  correction — SciPy's large-sample method): all variables share one pass;
+  values are reduced to (variable, value, count in sample 1, count in sample
+  2), running counts over the sorted distinct values give mid-ranks and both
+  medians, and R1 = Σ n1(v)·midrank(v).
 
-The only Python is the p-value of the final one-row-per-test table
-(``math.erfc``/series on a handful of numbers, run in an Arrow-batched UDF).
+P-values are column expressions over the one-row-per-test table: no Python
+runs on the executors.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import cents
 from ..operators.ordering import running_totals
-from ..operators.percentiles import order_statistics, value_exact
 
 SIGNIFICANCE = 0.05
-# Column categories of a contingency table travel to every task as one array.
-MAX_CATEGORIES = 10_000
 
 
-def chi2_sf(x: float, dof: int) -> float:
-    """Upper tail of the chi-square distribution, Q(dof/2, x/2), in closed form."""
-    if x is None or dof is None or dof <= 0 or math.isnan(x):
-        return float("nan")
-    y = x / 2.0
-    if dof % 2 == 0:
-        term, total = 1.0, 1.0
-        for i in range(1, dof // 2):
-            term *= y / i
-            total += term
-        return min(1.0, math.exp(-y) * total)
-    # odd dof: Q(1/2, y) = erfc(sqrt y); Q(a+1, y) = Q(a, y) + y^a e^-y / Γ(a+1)
-    q = math.erfc(math.sqrt(y))
-    a = 0.5
-    while a + 1 <= dof / 2.0:
-        q += math.exp(a * math.log(y) - y - math.lgamma(a + 1)) if y > 0 else 0.0
-        a += 1
-    return min(1.0, q)
+def erfc(x: Column) -> Column:
+    """erfc of x >= 0: Taylor series below 2.5, continued fraction above."""
+    def term(s: Column, k: Column) -> Column:
+        t = s["t"] * (-x * x) / k
+        return F.struct(t.alias("t"), (s["sum"] + t / (2 * k + 1)).alias("sum"))
 
+    ks = F.sequence(F.lit(1), F.lit(80))
+    series = F.aggregate(ks, F.struct(x.alias("t"), x.alias("sum")), term, lambda s: s["sum"])
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1)), x, lambda acc, j: x + j / 2 / acc)
+    return F.when(x < 2.5, 1 - series * (2 / math.sqrt(math.pi))).otherwise(
+        F.exp(-x * x) / (fraction * math.sqrt(math.pi)))
 
-def normal_two_sided_p(z: float) -> float:
-    return min(1.0, math.erfc(abs(z) / math.sqrt(2.0)))
 
+def chi2_sf(x: Column, dof: Column) -> Column:
+    """Upper tail of the chi-square distribution, Q(dof/2, x/2), as finite sums of
+    terms kept as logarithms; NULL without degrees of freedom."""
+    y = x.cast("double") / 2
+    step = F.log(F.greatest(y, F.lit(1e-300)))
 
-def _chi2_p(x: Column, dof: Column) -> Column:
-    # Arrow-batched UDF over the one-row-per-test table; created per call so
-    # importing this module on an executor does not need a session.
-    @F.pandas_udf("double")
-    def chi2_p(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([chi2_sf(float(u), int(v)) for u, v in zip(a, b)])
+    def add(s: Column, divisor: Column) -> Column:
+        log_t = s["t"] + step - F.log(divisor)
+        return F.struct(log_t.alias("t"), (s["sum"] + F.exp(log_t)).alias("sum"))
 
-    return chi2_p(x, dof)
+    def terms(last: Column) -> Column:
+        return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
+    even = F.aggregate(terms((F.floor(dof / 2) - 1).cast("int")), F.struct((-y).alias("t"), F.exp(-y).alias("sum")),
+                       lambda s, i: add(s, i.cast("double")), lambda s: s["sum"])
+    # odd: Q(1/2, y) = erfc(sqrt y), and y^a e^-y / gamma(a + 1) for a = 1/2, 3/2, ...
+    half = step / 2 - y - math.log(math.sqrt(math.pi) / 2)
+    first = F.when(dof >= 3, F.exp(half)).otherwise(0.0)
+    odd = erfc(F.sqrt(y)) + F.aggregate(
+        terms((F.floor((dof - 1) / 2) - 1).cast("int")), F.struct(half.alias("t"), first.alias("sum")),
+        lambda s, i: add(s, i + 0.5), lambda s: s["sum"])
+    p = F.when(y <= 0, F.lit(1.0)).otherwise(F.when(dof % 2 == 0, even).otherwise(odd))
+    return F.when(dof > 0, F.least(F.lit(1.0), p))
 
-def _normal_two_sided_p(z: Column) -> Column:
-    @F.pandas_udf("double")
-    def normal_p(v: pd.Series) -> pd.Series:
-        return pd.Series([normal_two_sided_p(float(x)) if x == x else float("nan") for x in v])
 
-    return normal_p(z)
+def normal_two_sided_p(z: Column) -> Column:
+    return F.least(F.lit(1.0), erfc(F.abs(z) / math.sqrt(2.0)))
 
 
 def st_crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
@@ -80,67 +78,76 @@ def st_crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
     ).orderBy("row_value", "col_value")
 
 
-def chi_square(df: DataFrame, row: str, col: str, test: str | None = None) -> DataFrame:
-    cells = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(
-        F.col(row).alias("r"), F.col(col).alias("c")
-    ).agg(F.count(F.lit(1)).alias("o"))
-    rows = cells.groupBy("r").agg(F.sum("o").alias("rt"))
-    cols = cells.groupBy("c").agg(F.sum("o").alias("ct"))
-    # Every (row, column) cell of the contingency table, zero-filled: each row
-    # category expands over the column categories, which reach the tasks as one
-    # array-valued scalar subquery (a categorical variable's few values).
-    n_cols = cols.count()
-    if n_cols > MAX_CATEGORIES:
-        raise ValueError(f"{col} has {n_cols} categories; a contingency test needs a categorical column")
-    col_list = cols.agg(F.collect_list(F.struct("c", "ct"))).scalar()
-    grid = (
-        rows.select("r", "rt", F.explode(col_list).alias("_c"))
-        .select("r", "rt", "_c.c", "_c.ct")
-        .join(cells, ["r", "c"], "left")
-        .withColumn("o", F.coalesce(F.col("o"), F.lit(0)))
-    )
-    n_all = cells.agg(F.sum("o")).scalar()
-    dof = (rows.agg(F.count(F.lit(1))).scalar() - 1) * (cols.agg(F.count(F.lit(1))).scalar() - 1)
-    g = grid.withColumns({"n": n_all, "dof": dof})
-    wide = "decimal(38,0)"
-    d = (F.col("o") * F.col("n") - F.col("rt") * F.col("ct")).cast(wide)  # N·(O − E)
-    ad = F.abs(d)
-    yates = F.greatest(ad * 2 - F.col("n"), F.lit(0)).cast(wide)  # 2N·(|O − E| − ½)⁺
-    den = (F.col("n") * F.col("rt") * F.col("ct")).cast(wide)
-    term = F.when(
-        F.col("dof") == 1, (yates * yates).cast("double") / (den * 4).cast("double")
-    ).otherwise((d * d).cast("double") / den.cast("double"))
-    stat = g.groupBy("dof").agg(F.round(F.sum(term), 6).alias("chi2"))
-    p = F.round(_chi2_p(F.col("chi2"), F.col("dof")), 10)
-    return stat.select(
-        F.lit(test or f"{row} x {col}").alias("test"), "chi2", F.col("dof").cast("bigint").alias("dof"),
-        p.alias("p_value"),
-    ).withColumn("significant", F.col("p_value") < SIGNIFICANCE)
+def chi_squares(df: DataFrame, tests: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row per test name: independence of a row and a column variable, NULLs left out."""
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("test"), F.col(r).cast("string").alias("r"), F.col(c).cast("string").alias("c"))
+        for name, (r, c) in tests.items()])).alias("p")
+    cells = (df.select(pairs).select("p.test", "p.r", "p.c").where(F.col("r").isNotNull() & F.col("c").isNotNull())
+             .groupBy("test", "r", "c").agg(F.count(F.lit(1)).alias("o")))
+    return chi_squares_of_cells(cells)
+
+
+def chi_squares_of_cells(cells: DataFrame) -> DataFrame:
+    """The same from observed cells: test, r, c and their positive count o."""
+    cells = cells.withColumn("o", F.col("o").cast("double"))
+    of_row, of_col, of_test = Window.partitionBy("test", "r"), Window.partitionBy("test", "c"), Window.partitionBy("test")
+    # the share of a margin that falls to one of its observed cells, so that sums over cells count it once
+    full = (cells.withColumns({"rt": F.sum("o").over(of_row), "in_row": F.count(F.lit(1)).over(of_row)})
+            .withColumns({"ct": F.sum("o").over(of_col), "in_col": F.count(F.lit(1)).over(of_col)})
+            .withColumn("n", F.sum("o").over(of_test))
+            .withColumn("e", F.col("rt") * (F.col("ct") / F.col("n"))))
+    gap = F.col("o") - F.col("e")
+    sums = full.groupBy("test").agg(
+        F.first("n").alias("n"), F.sum("e").alias("seen"), F.sum(gap * (gap / F.col("e"))).alias("part"),
+        F.max(F.abs(gap)).alias("gap"),
+        F.round(F.sum(1 / F.col("in_row"))).alias("rows"), F.round(F.sum(1 / F.col("in_col"))).alias("cols"),
+        F.sum(1 / (F.col("rt") * F.col("in_row"))).alias("inv_rows"), F.sum(1 / (F.col("ct") * F.col("in_col"))).alias("inv_cols"))
+    dof = ((F.col("rows") - 1) * (F.col("cols") - 1)).cast("bigint")
+    corrected = F.greatest(F.col("gap") - 0.5, F.lit(0.0))  # the same in all four cells
+    yates = corrected * corrected * (F.col("n") * F.col("inv_rows") * F.col("inv_cols"))
+    plain = F.col("part") + (F.col("n") - F.col("seen"))
+    stat = sums.select("test", dof.alias("dof"), F.round(F.when(dof == 1, yates).otherwise(plain), 6).alias("chi2"))
+    return stat.select("test", "chi2", "dof", F.round(chi2_sf(F.col("chi2"), F.col("dof")), 10).alias("p_value")).withColumn(
+        "significant", F.col("p_value") < SIGNIFICANCE)
 
 
-def st_chi_square(staging: DataFrame) -> DataFrame:
-    churn = "churn"
-    return chi_square(staging, "contract_type", churn, "contract_type vs churn").unionByName(
-        chi_square(staging, "internet_service", churn, "internet_service vs churn")
-    )
+def chi_square(df: DataFrame, row: str, col: str, test: str | None = None) -> DataFrame:
+    return chi_squares(df, {test or f"{row} x {col}": (row, col)})
 
 
-def mann_whitney(df: DataFrame, value: Column, in_first: Column, variable: str, divisor: int = 1) -> DataFrame:
-    """Two-sided Mann–Whitney U of ``value`` (integers) between rows where
-    ``in_first`` is true (sample 1) and false (sample 2)."""
-    x = df.select(value.alias("v"), in_first.alias("g")).where(F.col("v").isNotNull() & F.col("g").isNotNull())
-    per_value = x.groupBy("v").agg(
+def st_chi_square(staging: DataFrame) -> DataFrame:
+    return chi_squares(staging, {
+        "contract_type vs churn": ("contract_type", "churn"), "internet_service vs churn": ("internet_service", "churn")})
+
+
+def mann_whitneys(df: DataFrame, variables: dict[str, tuple[Column, int]], in_first: Column) -> DataFrame:
+    """One row per variable: two-sided Mann–Whitney U of an integer value (and the
+    divisor that turns it into its unit) between rows where ``in_first`` is true
+    (sample 1) and false (sample 2)."""
+    stacked = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("variable"), v.cast("bigint").alias("v"), F.lit(d).alias("divisor"), in_first.alias("g"))
+        for name, (v, d) in variables.items()])).alias("x")
+    x = df.select(stacked).select("x.*").where(F.col("v").isNotNull() & F.col("g").isNotNull())
+    per_value = x.groupBy("variable", "divisor", "v").agg(
         F.count_if(F.col("g")).alias("n1v"), F.count_if(~F.col("g")).alias("n2v")
     ).withColumn("t", F.col("n1v") + F.col("n2v"))
-    ranked = running_totals(per_value, [F.col("v").asc()], {"cum": "t"})
+    ranked = running_totals(per_value, [F.col("v").asc()], {"cum": "t", "cum1": "n1v", "cum2": "n2v"}, ["variable"])
     wide = "decimal(38,0)"
     before = (F.col("cum") - F.col("t")).cast(wide)
-    agg = ranked.agg(
+
+    def place(cum: str, n: Column) -> Column:
+        """The smallest value up to which there are more than ``n`` of a sample."""
+        return F.min(F.when(F.col(cum) > n, F.col("v")))
+
+    middles = []
+    for i in (1, 2):
+        n = F.col(f"cum{i}_total")
+        middles += [place(f"cum{i}", F.floor((n - 1) / 2)).alias(f"low{i}"), place(f"cum{i}", F.floor(n / 2)).alias(f"high{i}")]
+    agg = ranked.groupBy("variable", "divisor").agg(
         F.sum(F.col("n1v").cast(wide) * (before * 2 + F.col("t") + 1)).alias("r1x2"),  # 2·R1
         F.sum(F.col("t").cast(wide) * F.col("t") * F.col("t") - F.col("t")).alias("ties"),
-        F.sum("n1v").alias("n1"),
-        F.sum("n2v").alias("n2"),
-    )
+        F.sum("n1v").alias("n1"), F.sum("n2v").alias("n2"), *middles)
     n1, n2 = F.col("n1").cast(wide), F.col("n2").cast(wide)
     n = n1 + n2
     u1x2 = F.col("r1x2") - n1 * (n1 + 1)  # 2·U1
@@ -152,24 +159,20 @@ def mann_whitney(df: DataFrame, value: Column, in_first: Column, variable: str,
         * ((n + 1).cast("double") - F.col("ties").cast("double") / (n * (n - 1)).cast("double"))
     )
     z = F.when(sigma > 0, (big - mu - 0.5) / sigma)
-    medians = order_statistics(x.withColumn("grp", F.col("g")), "v", {"m": 0.5}, ["grp"])
-    med_first = medians.where(F.col("grp")).select(value_exact("m", divisor)).scalar()
-    med_second = medians.where(~F.col("grp")).select(value_exact("m", divisor)).scalar()
     out = agg.select(
-        F.lit(variable).alias("variable"),
-        F.col("n1").alias("n_first"), F.col("n2").alias("n_second"),
-        (u1x2.cast("double") / 2.0).alias("u_statistic"),
-        F.round(z, 10).alias("z"),
-        med_first.alias("median_first"),
-        med_second.alias("median_second"),
-    )
-    return out.withColumn("p_value", F.round(_normal_two_sided_p(F.col("z")), 10)).withColumn(
-        "significant", F.col("p_value") < SIGNIFICANCE
-    )
+        "variable", F.col("n1").alias("n_first"), F.col("n2").alias("n_second"),
+        (u1x2.cast("double") / 2.0).alias("u_statistic"), F.round(z, 10).alias("z"),
+        *[((F.col(f"low{i}") + F.col(f"high{i}")).cast("double") / (2 * F.col("divisor")).cast("double")).alias(f"median_{name}")
+          for i, name in ((1, "first"), (2, "second"))])
+    return out.withColumn("p_value", F.round(normal_two_sided_p(F.col("z")), 10)).withColumn(
+        "significant", F.col("p_value") < SIGNIFICANCE)
+
+
+def mann_whitney(df: DataFrame, value: Column, in_first: Column, variable: str, divisor: int = 1) -> DataFrame:
+    return mann_whitneys(df, {variable: (value, divisor)}, in_first)
 
 
 def st_mann_whitney(staging: DataFrame) -> DataFrame:
-    churned = F.col("churn") == "Yes"
-    return mann_whitney(staging, cents(F.col("monthly_charges")), churned, "monthly_charges", 100).unionByName(
-        mann_whitney(staging, F.col("tenure_months").cast("bigint"), churned, "tenure_months", 1)
-    )
+    return mann_whitneys(staging, {
+        "monthly_charges": (cents(F.col("monthly_charges")), 100), "tenure_months": (F.col("tenure_months"), 1)},
+        F.col("churn") == "Yes")

@@ -110,7 +110,8 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     add("dq_flag_consistency", lambda p: quality.dq_flag_consistency(p.star))
     add("dq_mrr_total", lambda p: quality.dq_mrr_total(p.star))
     add("dq_contract_revenue", lambda p: quality.dq_contract_revenue(p.star))
-    add("dq_orphans", lambda p: quality.dq_orphans(p.star))
+    add("dq_orphans", lambda p: quality.dq_orphans(p.star.fact, quality.star_dims(p.star)))
+    add("dq_dim_listing", lambda p: quality.dq_dim_listing(p.star))
     add("dq_dim_profile", lambda p: quality.dq_dim_profile(p.star))
     # analyses
     for name, fn in analytics.ANALYSES.items():

@@ -145,3 +145,59 @@ def test_rank_within_groups(spark, tied):
     j = got.join(want.select("id", "r_ref", "d_ref"), "id")
     assert j.count() == 2003
     assert j.where((F.col("rank") != F.col("r_ref")) | (F.col("dense_rank") != F.col("d_ref"))).count() == 0
+
+
+@pytest.fixture
+def distributed(monkeypatch):
+    """No table counts as small: every ordering takes its distributed way."""
+    from retentio.operators import ordering
+
+    monkeypatch.setattr(ordering, "SMALL_ROWS", 0)
+
+
+def test_running_totals_and_quantiles_distributed(spark, tied, distributed):
+    values = tied.groupBy("grp", "v").agg(F.count(F.lit(1)).alias("c"))
+    got = running_totals(values, [F.col("v").asc()], {"cum": "c"}, ["grp"], num_partitions=4)
+    w = Window.partitionBy("grp").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    want = values.withColumn("ref", F.sum("c").over(w))
+    assert got.join(want, ["grp", "v"]).where("cum <> ref").count() == 0
+    q = order_statistics(tied, "v", {"p": 0.3, "m": 0.5}, ["grp"]).select("grp", value_exact("p").alias("p"), value_exact("m").alias("m"))
+    ref = tied.groupBy("grp").agg(F.percentile("v", 0.3).alias("rp"), F.percentile("v", 0.5).alias("rm"))
+    for r in q.join(ref, "grp").collect():
+        assert abs(r.p - r.rp) < 1e-9 and abs(r.m - r.rm) < 1e-9
+
+
+def test_ntile_column_and_ranks_distributed(spark, tied, distributed):
+    from retentio.operators.ordering import ntile_column
+
+    order = [F.col("v").desc(), F.col("id").asc()]
+    for k in (4, 5, 7):
+        got = ntile_column(tied, "v", "id", k, "t").select("id", "t")
+        want = tied.select("id", F.ntile(k).over(Window.orderBy(*order)).alias("ref"))
+        assert got.join(want, "id").where("t <> ref").count() == 0
+    test_rank_and_dense_rank(spark, tied)
+
+
+def test_reports_on_the_distributed_way_match_their_oracles(spark, distributed):
+    from retentio import registry
+    from retentio.oracle.compare import compare
+
+    keys = ["q4a_high_value_active", "q5b_charge_rank", "q5c_running_mrr", "q5e_charge_percentiles", "q6a_risk_profile",
+            "eda_box_stats", "eda_iqr_outliers", "st_mann_whitney", "prof_numeric", "db_charge_distribution", "db_retention_list",
+            "dim_contract"]
+    registry._PIPELINES.clear()
+    res = compare(spark, "/root/testdata/sf0.001", keys, verbose=False)
+    registry._PIPELINES.clear()
+    assert {k: r for k, r in res.items() if not r.get("values_ok")} == {}
+
+
+def test_broadcast_needs_few_rows_and_bytes(spark):
+    from retentio.operators.joins import broadcast_if_small
+
+    def hinted(df):
+        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+
+    small = spark.range(50).withColumn("s", F.lit("x" * 100))
+    assert hinted(broadcast_if_small(small))
+    assert not hinted(broadcast_if_small(small, max_rows=49))
+    assert not hinted(broadcast_if_small(small, max_bytes=5000))

@@ -79,7 +79,7 @@ def test_unknown_categories_and_tenure_edges(spark):
     # tenure 73 has no dimension row: the fact drops it and the row-count check reports it
     counts = {r.subject: r for r in Q.dq_row_counts(p.raw, p.staging, star).collect()}
     assert counts["fact_vs_staging"].observed == len(rows) - 1 and counts["fact_vs_staging"].ok is False
-    assert all(r.observed == 0 for r in Q.dq_orphans(star).collect())
+    assert all(r.observed == 0 for r in Q.dq_orphans(star.fact, Q.star_dims(star)).collect())
     # customer keys follow customer-id order
     keys = [r.customer_id for r in star.dim_customer.orderBy("customer_key").collect()]
     assert keys == sorted(keys)
@@ -95,6 +95,16 @@ def test_refused_rows_do_not_reach_the_star(spark):
     assert sorted(r.customerid for r in p.quarantine.collect()) == ["C1", "C1", "C2", "C3"]
 
 
+def test_orphans_are_counted(spark):
+    star = _pipeline(spark, [{"customerid": f"O{i}", "contract": c} for i, c in enumerate(["One year", "Two year", "One year"])]).star
+    dims = Q.star_dims(star)
+    gone = star.dim_contract.where("contract_type = 'One year'").first().contract_key
+    dims["contract"] = dims["contract"].where(F.col("contract_key") != gone)
+    dims["customer"] = dims["customer"].where("customer_id <> 'O1'")
+    got = {r.subject: r.observed for r in Q.dq_orphans(star.fact, dims).collect()}
+    assert got == {"orphan_customer": 1, "orphan_contract": 2, "orphan_service": 0, "orphan_date": 0}
+
+
 def test_warehouse_is_replaced_and_reopened(spark, tmp_path):
     path = str(tmp_path / "wh")
     _pipeline(spark, [{"customerid": "W1"}, {"customerid": "W2"}]).write_warehouse(path)

@@ -60,3 +60,29 @@ def test_charge_rank_is_a_top_k(spark):
     # the only windows run above the 20-row top-k, never over the fact
     below_topk = plan.split("TakeOrderedAndProject", 1)[1]
     assert "Window" not in below_topk
+
+
+def _scans(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan")
+
+
+def test_audits_scan_each_table_once(spark):
+    from retentio.plans import profile as P
+    from retentio.plans import quality as Q
+
+    p = pipeline(spark, SF)
+    star = p.star
+    assert _scans(Q.dq_domain(p.staging)) == _scans(Q.dq_whitespace(p.staging)) == 1
+    assert _scans(Q.dq_nulls(p.raw, p.staging)) == 2
+    assert _scans(Q.dq_row_counts(p.raw, p.staging, star)) <= 7  # the counted tables
+    assert _scans(P.prof_duplicates(p.raw)) == 1
+    assert _scans(p.quarantine) == 1
+
+
+def test_one_pass_datasets(spark):
+    from retentio.plans import dashboard as D
+
+    star = pipeline(spark, SF).star
+    for df in (D.db_upsell_candidates(star), D.db_recoverable_mrr(star)):
+        assert _scans(df) == 1 and "rangepartitioning" not in df.select("*")._jdf.queryExecution().optimizedPlan().toString()

@@ -34,7 +34,7 @@ def test_missing_blank_duplicates(spark):
 def test_numeric_inference_and_describe(spark):
     raw = raw_rows(spark, [{"customerid": f"D{i}", "tenure": str(i), "monthlycharges": f"{10 + i}.25",
                             "totalcharges": " " if i == 0 else "5"} for i in range(5)])
-    assert P.numeric_columns(raw) == ["seniorcitizen", "tenure", "monthlycharges"]
+    assert list(P.numeric_columns(raw)) == ["seniorcitizen", "tenure", "monthlycharges"]
     r = {x.column_name: x for x in P.prof_numeric(raw).collect()}
     t = r["tenure"]
     assert (t["count"], t["mean"], t["min"], t["p25"], t["p50"], t["p75"], t["max"]) == (5, 2.0, 0.0, 1.0, 2.0, 3.0, 4.0)
@@ -86,3 +86,30 @@ def test_blank_to_null_reconciliation(spark):
     detail = Q.dq_null_detail(stg).collect()
     assert [(d.customer_id, d.tenure_is_zero) for d in detail] == [("Z1", True)]
     assert stg.where(F.col("total_charges").isNull()).count() == 1
+
+
+def test_profile_rounds_at_the_end(spark):
+    raw = spark.createDataFrame([("0.004",), ("0.004",), ("0.0121",), (None,)], "x string")
+    assert P.numeric_columns(raw) == {"x": 4}
+    r = P.prof_numeric(raw).first()
+    assert (r["count"], r["mean"], r["max"]) == (3, 0.01, 0.01)  # 0.0067 and 0.0121, not the mean of rounded values
+    fine = P.describe(raw, ["x"], scale=4, decimals=4).first()
+    assert (fine["mean"], fine["min"], fine["p50"], fine["max"]) == (0.0067, 0.004, 0.004, 0.0121)
+
+
+def test_duplicates_count_rows_and_keys(spark):
+    raw = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), (None, 1), (None, 1), ("b", 1)], "customerid string, v int")
+    r = P.prof_duplicates(raw).first()
+    assert (r.duplicate_rows, r.duplicate_keys) == (2, 3)
+    assert P.prof_duplicates(raw.limit(0)).first().asDict() == {"duplicate_rows": 0, "duplicate_keys": 0}
+
+
+def test_csv_quotes_backslashes_and_line_breaks(spark, tmp_path):
+    from retentio.sources.csv_ingest import ing_raw_load, write_raw_csv
+
+    (tmp_path / "in.csv").write_text('Customer ID,note\n1,"say ""hi"" there"\n2,"ends in \\"\n3,"two\nlines"\n4," "\n5,NA\n')
+    got = {r.customer_id: r.note for r in ing_raw_load(spark, str(tmp_path / "in.csv"), str(tmp_path / "raw")).collect()}
+    assert got == {"1": 'say "hi" there', "2": "ends in \\", "3": "two\nlines", "4": " ", "5": None}
+    write_raw_csv(spark.read.parquet(str(tmp_path / "raw")), str(tmp_path / "out"))
+    again = {r.customer_id: r.note for r in ing_raw_load(spark, str(tmp_path / "out"), str(tmp_path / "raw2")).collect()}
+    assert again == got

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from retentio.plans.stats import chi2_sf, chi_square, mann_whitney
+from retentio.plans.stats import chi2_sf, chi_square, chi_squares_of_cells, mann_whitney, normal_two_sided_p
 
 
 def _contingency(spark, table: dict[tuple[str, str], int]):
@@ -33,6 +33,34 @@ def _chi2_by_hand(table, yates):
     return x
 
 
+def test_chi_square_of_huge_counts_and_either_ansi_setting(spark):
+    counts = {("x", "yes"): 3 * 10**12, ("x", "no"): 10**12, ("y", "yes"): 10**12, ("y", "no"): 2 * 10**12,
+              ("z", "yes"): 7, ("z", "no"): 10**12}
+    cells = spark.createDataFrame([("t", r, c, n) for (r, c), n in counts.items()], "test string, r string, c string, o bigint")
+    r = chi_squares_of_cells(cells).first()
+    assert r.chi2 == pytest.approx(_chi2_by_hand(counts, False), rel=1e-9) and r.dof == 2
+    small = {("x", "yes"): 900, ("x", "no"): 60, ("y", "yes"): 100, ("y", "no"): 2000, ("z", "no"): 40}
+    big = spark.range(2000).crossJoin(_contingency(spark, small))  # 6.2 million rows
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            r = chi_square(big, "a", "b").first()
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+        hand = _chi2_by_hand({k: 2000 * n for k, n in small.items()}, False)
+        assert r.chi2 == pytest.approx(hand, rel=1e-9) and r.dof == 2
+
+
+def test_tests_scan_once_and_run_no_python(spark):
+    from retentio.plans import stats
+    from retentio.registry import pipeline
+
+    staging = pipeline(spark, "/root/testdata/sf0.001").staging
+    for test in (stats.st_chi_square, stats.st_mann_whitney):
+        plan = test(staging)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Python" not in plan and "Arrow" not in plan
+
+
 def test_chi_square_2x2_uses_yates(spark):
     t = {("x", "yes"): 12, ("x", "no"): 5, ("y", "yes"): 3, ("y", "no"): 14}
     r = chi_square(_contingency(spark, t), "a", "b").first()
@@ -52,11 +80,15 @@ def test_chi_square_3x2_no_correction(spark):
     assert r.significant
 
 
-def test_chi2_sf_odd_dof():
+def sf(spark, x, dof):
+    return spark.range(1).select(chi2_sf(F.lit(float(x)), F.lit(dof)).alias("p")).first().p
+
+
+def test_chi2_sf_odd_dof(spark):
     # Q(3/2, y) = erfc(sqrt y) + 2 sqrt(y/pi) e^-y
     x = 4.2
     y = x / 2
-    assert chi2_sf(x, 3) == pytest.approx(math.erfc(math.sqrt(y)) + 2 * math.sqrt(y / math.pi) * math.exp(-y), rel=1e-12)
+    assert sf(spark, x, 3) == pytest.approx(math.erfc(math.sqrt(y)) + 2 * math.sqrt(y / math.pi) * math.exp(-y), rel=1e-12)
 
 
 def test_mann_whitney_brute_force(spark):
