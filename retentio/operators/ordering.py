@@ -29,13 +29,12 @@ the advisory partition size, so the number of ranges grows with the input.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from .joins import broadcast_if_small
 
 _LOCAL_BITS = 33
@@ -63,8 +62,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     pruning and predicate pushdown on the frozen table.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/retentio-frozen/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "retentio-frozen")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

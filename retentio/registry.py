@@ -59,12 +59,10 @@ def _doubles(df: DataFrame) -> DataFrame:
 def _ingest_roundtrip(p: Pipeline) -> DataFrame:
     """Write the derived subscriber records as a CSV landing file in the shared
     checkpoint folder, then run the raw loader on it."""
-    import uuid
-
-    from .session import ensure_checkpoint_dir
+    from .session import scratch_path
     from .sources.csv_ingest import ing_raw_load, write_raw_csv
 
-    base = f"{ensure_checkpoint_dir(p.spark).rstrip('/')}/retentio-ingest-{uuid.uuid4().hex}"
+    base = scratch_path(p.spark, "retentio-ingest")
     write_raw_csv(p.raw, f"{base}/landing")
     return ing_raw_load(p.spark, f"{base}/landing", f"{base}/raw")
 

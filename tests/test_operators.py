@@ -201,3 +201,20 @@ def test_broadcast_needs_few_rows_and_bytes(spark):
     assert hinted(broadcast_if_small(small))
     assert not hinted(broadcast_if_small(small, max_rows=49))
     assert not hinted(broadcast_if_small(small, max_bytes=5000))
+
+
+def test_frozen_tables_are_deleted_on_release(tmp_path):
+    import subprocess
+    import sys
+
+    code = (
+        "import glob, sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false')"
+        ".config('spark.checkpoint.dir', %r).getOrCreate()\n"
+        "from retentio.operators.ordering import checkpointed\n"
+        "df = checkpointed(s.range(5)); assert df.count() == 5\n"
+        "assert glob.glob(%r + '/**/part-*.parquet', recursive=True)\n"
+    ) % (__import__("os").getcwd(), str(tmp_path), str(tmp_path))
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, capture_output=True)
+    assert not list(tmp_path.rglob("part-*.parquet"))
