@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -38,7 +37,7 @@ def frozen(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the folder all executors share, and read
     back: the work is done once and a lost executor costs a read."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/retentio-llm/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "retentio-llm")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
