@@ -35,6 +35,11 @@ def read_raw_csv(spark: SparkSession, path: str, na_tokens: list[str] | None = N
     return df.select(*[F.when(F.col(c).isin(tokens), F.lit(None)).otherwise(F.col(c)).alias(c) for c in df.columns])
 
 
+def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """Inspection read with type inference (one extra pass over the file)."""
+    return spark.read.options(**DIALECT).option("inferSchema", True).csv(path)
+
+
 def write_raw_csv(df: DataFrame, path: str) -> None:
     """Write a landing file the way a source system would (text, header, blanks kept)."""
     write = {k: v for k, v in DIALECT.items() if k != "multiLine"}

@@ -105,7 +105,7 @@ def test_duplicates_count_rows_and_keys(spark):
 
 
 def test_csv_quotes_backslashes_and_line_breaks(spark, tmp_path):
-    from retentio.sources.csv_ingest import ing_raw_load, write_raw_csv
+    from retentio.sources.csv_ingest import ing_raw_load, read_csv_inferred, write_raw_csv
 
     (tmp_path / "in.csv").write_text('Customer ID,note\n1,"say ""hi"" there"\n2,"ends in \\"\n3,"two\nlines"\n4," "\n5,NA\n')
     got = {r.customer_id: r.note for r in ing_raw_load(spark, str(tmp_path / "in.csv"), str(tmp_path / "raw")).collect()}
@@ -113,3 +113,4 @@ def test_csv_quotes_backslashes_and_line_breaks(spark, tmp_path):
     write_raw_csv(spark.read.parquet(str(tmp_path / "raw")), str(tmp_path / "out"))
     again = {r.customer_id: r.note for r in ing_raw_load(spark, str(tmp_path / "out"), str(tmp_path / "raw2")).collect()}
     assert again == got
+    assert dict(read_csv_inferred(spark, str(tmp_path / "in.csv")).dtypes) == {"Customer ID": "int", "note": "string"}
