@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from retentio.llm import exact_dedup, jaccard, language_id, packing, pii
 from retentio.llm.common import ascii_lower, documents, frozen, text_or_empty
 
-#: under a tenth over chance among three languages; clean texts of a few words score higher
-MIN_SCORE = 0.35
+#: little over chance among four languages; clean texts of a few words score higher
+MIN_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,13 +4,13 @@ Filters of several widths slide over the bytes of a window, each filter's
 largest response (of those above zero) is pooled, and a softmax over the
 languages follows.  Embeddings, filters and softmax are trained in numpy by
 back-propagation on windows of labelled texts: at most ``SAMPLE_PER_LANG``
-documents of a language and ``SAMPLE_ROWS`` of all, the smallest by hash.
+documents of a language and ``SAMPLE_ROWS`` of all, the smallest by hash among about ``CANDIDATES``.
 
 Prediction covers the whole text: windows of ``WINDOW`` bytes overlap by three
 bytes, so each run of four bytes lies in a window.  An embedded byte times a
 filter's weights at one offset is a table entry, so the workers look responses
 up by byte pairs instead of multiplying.  A text's language has the largest
-mean log-probability over its windows, weighted by their bytes.
+mean probability over its windows, weighted by their bytes, and that is the score.
 
 ``und`` with score 0 if the text is null or has no letter, or if nothing could
 be learned.  Rows with null lang, text or doc_id are not learned from.  An
@@ -27,13 +27,15 @@ from .common import bounded_batches, per_document
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-FILTERS = 8
+FILTERS = 12
 EMBED = 8
 OVERLAP = max(WIDTHS) - 1
-SAMPLE_PER_LANG = 400
-SAMPLE_ROWS = 4000
+SAMPLE_PER_LANG = 1000
+SAMPLE_ROWS = 8000
+#: documents, by hash, that the sample is drawn from
+CANDIDATES = 250_000
 WINDOWS_PER_DOC = 4
-EPOCHS = 5
+EPOCHS = 4
 UNKNOWN = "und"
 
 
@@ -144,7 +146,7 @@ def predictor(model: ByteCnn, chunk: int = 32):
     places = WINDOW - OVERLAP
     a, b = (np.empty((chunk * places, near.shape[1]), dtype=np.float32) for _ in range(2))
 
-    def log_probs(x):
+    def probabilities(x):
         pairs = x[:, :-1].astype(np.intp) * 256 + x[:, 1:]
         hidden = np.empty((len(x), near.shape[1]), dtype=np.float32)
         for i in range(0, len(x), chunk):
@@ -155,8 +157,8 @@ def predictor(model: ByteCnn, chunk: int = 32):
             np.add(a[:n], b[:n], out=a[:n])
             np.max(a[:n].reshape(len(p), places, -1), axis=1, out=hidden[i:i + chunk])
         logits = np.maximum(hidden, 0) @ out + out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        odds = np.exp(logits - logits.max(axis=1, keepdims=True))
+        return odds / odds.sum(axis=1, keepdims=True)
 
     def predict(texts: list[str]):
         langs, scores = [], []
@@ -164,12 +166,10 @@ def predictor(model: ByteCnn, chunk: int = 32):
             x, sizes = windows_of(text.encode("utf-8", "surrogatepass"))
             total = np.zeros(len(model.langs))
             for i in range(0, len(x), 4096):  # a very long text goes in parts
-                total += (log_probs(x[i:i + 4096]) * sizes[i:i + 4096, None]).sum(axis=0)
-            mean = total / sizes.sum()
-            prob = np.exp(mean - mean.max())
-            best = int(prob.argmax())
+                total += (probabilities(x[i:i + 4096]) * sizes[i:i + 4096, None]).sum(axis=0)
+            best = int(total.argmax())
             langs.append(model.langs[best])
-            scores.append(float(prob[best] / prob.sum()))
+            scores.append(min(1.0, float(total[best] / sizes.sum())))
         return [langs, scores]
 
     return predict
@@ -182,7 +182,10 @@ def training_windows(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, rows: int
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")
                      & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
         "doc_id", F.col("lang").cast("string").alias("lang"))
-    order = F.xxhash64("doc_id")
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    # a share of the documents by hash, so that the ranking below sees about CANDIDATES rows at any size
+    share = min(1.0, CANDIDATES / max(1, docs.count()))
+    ids = ids.where(order < F.lit(round(share * (1 << 40))))
     ranked = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")))
     sample = ranked.where(F.col("place") <= per_lang).orderBy("place", order, "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "lang")), "doc_id")
@@ -195,7 +198,7 @@ def training_windows(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, rows: int
             langs, out = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x, _ = windows_of(text.encode("utf-8", "surrogatepass"))
-                for i in sorted({len(x) * k // WINDOWS_PER_DOC for k in range(WINDOWS_PER_DOC)}):
+                for i in sorted({(len(x) - 1) * k // (WINDOWS_PER_DOC - 1) for k in range(WINDOWS_PER_DOC)}):  # the last, too
                     langs.append(lang)
                     out.append(x[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "bytes"])
