@@ -29,13 +29,14 @@ scored each.  An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, bounded_batches, frozen, text_or_empty
 
-HEAD = 65_536
+HEAD = 262_144
 VOCAB = 4096
 CLASSES = 62
 HIDDEN = 16
@@ -113,23 +114,34 @@ class Gru:
         new = np.tanh(x[:, 2 * h:] + reset * r[:, 2 * h:])
         return z, reset, r[:, 2 * h:], new, state + z * (new - state)
 
+    @staticmethod
+    def _log_sums(states, weights, bias):
+        """Logits and the log of their exponentials' sum.  States lie in [-1, 1], so the logits'
+        bounds are known: within them exponentials need no shift."""
+        import numpy as np
+
+        logits = states @ weights + bias
+        reach = np.abs(weights).sum(axis=0)
+        if (bias + reach).max() < 60 and (bias - reach).max() > -60:
+            return logits, np.log(np.exp(logits) @ np.ones(logits.shape[1], dtype=logits.dtype))
+        top = logits.max(axis=1)
+        return logits, top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+
     def log_probs(self, states, targets):
         """Natural log-probability of each target given its state."""
         import numpy as np
 
-        logits = states @ self.p["class"] + self.p["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
+        logits, sums = self._log_sums(states, self.p["class"], self.p["class_bias"])
         cls = self.cls[targets]
-        out = logits[np.arange(len(cls)), cls] - np.log(np.exp(logits).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
+        out = logits[np.arange(len(cls)), cls] - sums
+        order = np.argsort(cls.astype(np.int16 if len(self.starts) < 32_000 else np.int32), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(len(self.starts) + 1))
         for c in np.flatnonzero(np.diff(bounds)).tolist():
             a, b = self.starts[c], self.stops[c]
             if b - a > 1:
                 rows = order[bounds[c]:bounds[c + 1]]
-                word = states[rows] @ self.p["word"][a:b].T + self.p["word_bias"][a:b]
-                word -= word.max(axis=1, keepdims=True)
-                out[rows] += word[np.arange(len(rows)), targets[rows] - a] - np.log(np.exp(word).sum(axis=1))
+                word, sums = self._log_sums(states[rows], self.p["word"][a:b].T, self.p["word_bias"][a:b])
+                out[rows] += word[np.arange(len(rows)), targets[rows] - a] - sums
         return out
 
     def gradients(self, inputs, targets, state):
@@ -268,8 +280,7 @@ class Corpus:
         """Places in the head, -1 for others."""
         import numpy as np
 
-        get = self.at.get
-        return np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        return np.fromiter(map(self.at.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
     def model(self) -> Gru:
         return Gru(self.counts[:self.vocab], self.n - self.ends - sum(self.counts[:self.vocab]), self.ends)
@@ -282,8 +293,8 @@ class Corpus:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and count over the documents that may be learned from."""
-    words = F.array_remove(F.split(ascii_lower(text_or_empty("text")), "[\\x20\\x09-\\x0D]+"), "")
-    return (docs.where(_learned()).select(F.explode_outer(words).alias("word")).where("word IS NOT NULL")
+    words = F.split(ascii_lower(text_or_empty("text")), "[\\x20\\x09-\\x0D]+")
+    return (docs.where(_learned()).select(F.explode_outer(words).alias("word")).where("word <> ''")
             .groupBy("word").agg(F.count("*").alias("count")))
 
 
@@ -293,9 +304,10 @@ def _learned() -> Column:
 
 def learn_corpus(docs: DataFrame, counts: DataFrame, head: int = HEAD, vocab: int = VOCAB) -> Corpus:
     total = counts.agg(F.sum("count"), F.count("*")).first()
-    top = counts.orderBy(F.desc("count"), "word").limit(head).collect()
+    top = counts.orderBy(F.desc("count"), "word").limit(head).toArrow()
+    words = [w.encode() for w in top.column("word").to_pylist()]
     ends = docs.where(_learned()).count()
-    return Corpus([(r["word"].encode(), r["count"]) for r in top], (total[0] or 0) + ends, total[1], ends, vocab)
+    return Corpus(list(zip(words, top.column("count").to_pylist())), (total[0] or 0) + ends, total[1], ends, vocab)
 
 
 def train(docs: DataFrame, corpus: Corpus, every: int = EVERY) -> Gru:
