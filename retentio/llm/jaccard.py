@@ -17,11 +17,12 @@ is at least ``threshold`` per cent.
    and it indexes every pair of tokens within a class: of C + 1 shared tokens
    either one is rare or two fall into one class.  C follows from the size
    class of a document, so a prefix gives pairs in proportion to its length.
-4. *Verify.*  Documents under one signature are compared with its first one,
-   and what is linked forms components.  Under signatures whose documents are
+4. *Verify.*  Documents under one signature are compared with the one of them
+   that has the fewest tokens of its own, and what is linked forms components.  Under signatures whose documents are
    not all in one component, documents of different components are compared
-   with each other, too.  A bound from sizes and parity bitmaps, which never
-   rejects a link, comes before each exact comparison.
+   with each other, too; a pair is left to the first signature that the two are
+   known to share.  A bound from sizes and parity bitmaps, which never rejects
+   a link, comes before each exact comparison.
 
 So every pair that links is compared or lies in one component.  Tokens are 54
 bits of a hash.  Copies of a set (exact duplicates) link by a 128-bit digest.
@@ -50,6 +51,8 @@ TOP = 127
 RARE = 32
 #: prefix tokens for each class of token pairs
 PER_CLASS = 16
+#: groups of signatures whose least shared one stands for a pair
+GROUPS = 4
 #: postings of one bucket, about; there are at least 2 ** MIN_BITS buckets
 BUCKET_TOKENS = 4_000_000
 MIN_BITS = 6
@@ -92,18 +95,18 @@ def _postings(bits: int):
                  "codes": pa.list_(pa.int64())}
         shift = np.uint64(54 - bits)
         for batch in batches:
-            rows, first, docs, sets = [], {}, [], []
+            rows, least = [], {}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = shingle_hashes(text)
                 digest = xxhash.xxh3_128_digest(h.tobytes())
-                rep = doc
+                rows.append({"bucket": xxhash.xxh32_intdigest(str(doc)) % (1 << bits), "doc_id": doc, "n": len(h), "digest": digest})
                 if doc is not None and len(h):
-                    rep = first.setdefault((len(h), digest), doc)
-                    if rep == doc:
-                        docs.append(doc)
-                        sets.append(h)
-                rows.append({"bucket": xxhash.xxh32_intdigest(str(doc)) % (1 << bits), "doc_id": doc, "n": len(h),
-                             "digest": digest, "rep": rep})
+                    known = least.get((len(h), digest))
+                    least[len(h), digest] = (doc if known is None else min(doc, known[0]), h)
+            for row in rows:
+                row["rep"] = least.get((row["n"], row["digest"]), (None,))[0] if row["doc_id"] is not None else None
+                row["rep"] = row["doc_id"] if row["rep"] is None else row["rep"]
+            docs, sets = [d for d, _ in least.values()], [h for _, h in least.values()]
             if docs:
                 tokens = np.concatenate(sets)
                 owner = np.repeat(np.arange(len(docs)), [len(s) for s in sets])
@@ -190,7 +193,7 @@ def _is_document(table):
 
 
 def token_lists(docs: DataFrame) -> DataFrame:
-    """Per doc_id: rows (its input rows' n), n, digest, rep (first document of its batch with the same set)
+    """Per doc_id: rows (its input rows' n), n, digest, rep (smallest doc_id of its batch with the same set)
     and live: its tokens that other documents have, by frequency class and hash."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -223,21 +226,22 @@ def _sets(lists: DataFrame) -> DataFrame:
 
 
 def _signatures(sets: DataFrame) -> DataFrame:
-    """doc_id, n and signature: rare tokens alone, frequent ones in pairs within a class."""
-    tagged = sets.select("doc_id", "n", "live", F.explode(F.array(*[
+    """doc_id, n, own (its tokens that no other document has) and signature: rare tokens alone, frequent ones in pairs within a class."""
+    tagged = sets.select("doc_id", "n", "own", "live", F.explode(F.array(*[
         (F.floor(F.log(F.col("n")) / F.lit(_SIZE_STEP)) + F.lit(up)).cast("int") for up in (0, 1)])).alias("tag"))
     # sets with this tag have fewer than 1.34 ** (tag + 1) tokens, a quarter of them in the prefix
     classes = F.greatest(F.lit(1), F.ceil(F.exp((F.col("tag") + 1) * F.lit(_SIZE_STEP)) / (4 * PER_CLASS))).cast("int")
     tagged = tagged.withColumn("classes", classes)
-    reach = _prefix(F.col("n"), F.col("classes") + 1) - (F.col("n") - F.size("live"))
+    reach = _prefix(F.col("n"), F.col("classes") + 1) - F.col("own")
     prefix = tagged.withColumn("prefix", F.slice("live", 1, F.greatest(reach, F.lit(0)).cast("int"))).drop("live")
     rare_code = (RARE + 1) << 54
-    rare = prefix.select("doc_id", "n", F.explode(F.filter("prefix", lambda c: c < rare_code)).alias("signature")).distinct()
-    frequent = (prefix.select("doc_id", "n", "tag", "classes", F.explode(F.filter("prefix", lambda c: c >= rare_code)).alias("code"))
-                .groupBy("doc_id", "n", "tag", F.pmod(F.xxhash64("code"), F.col("classes")).alias("class"))
+    rare = prefix.select("doc_id", "n", "own", F.explode(F.filter("prefix", lambda c: c < rare_code)).alias("signature")).distinct()
+    frequent = (prefix.select("doc_id", "n", "own", "tag", "classes", F.explode(F.filter("prefix", lambda c: c >= rare_code)).alias("code"))
+                .groupBy("doc_id", "n", "own", "tag", F.pmod(F.xxhash64("code"), F.col("classes")).alias("class"))
                 .agg(F.sort_array(F.collect_list("code")).alias("codes")).where(F.size("codes") > 1))
-    pairs = frequent.select("doc_id", "n", F.explode(F.expr(
-        "flatten(transform(codes, (x, i) -> transform(slice(codes, i + 2, size(codes)), y -> xxhash64(tag, x, y))))"
+    # above all token codes, and positive
+    pairs = frequent.select("doc_id", "n", "own", F.explode(F.expr(
+        "flatten(transform(codes, (x, i) -> transform(slice(codes, i + 2, size(codes)), y -> (xxhash64(tag, x, y) & 4611686018427387903) | 4611686018427387904)))"
     )).alias("signature"))
     return rare.unionByName(pairs)
 
@@ -273,11 +277,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                   .select("doc_id", "top"))
     sets = briefs.join(tops.where("doc_id = top").select("doc_id"), "doc_id", "left_semi")
     signatures = frozen(_signatures(sets))
-    # signatures of one document find nothing; the first of each is compared with the others
-    firsts = (signatures.groupBy("signature").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).where("m > 1")
-              .drop("m"))
+    # Signatures of one document find nothing; the first of each is compared with the others.  An edit
+    # makes tokens of its own, so the document with the fewest is the likeliest origin of the rest.
+    firsts = (signatures.groupBy("signature").agg(F.min(F.struct("own", "doc_id"))["doc_id"].alias("a"), F.count("*").alias("m"))
+              .where("m > 1").drop("m"))
     brief = sets.select(*_BRIEF)
-    star = (signatures.join(firsts, "signature").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
+    star = (signatures.join(firsts, "signature").where("doc_id <> a")
+            .select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
     links = frozen(_verified(_screened(star, brief), sets))
     labels = connected_components(links)
     # signatures whose documents are in several components: all pairs across them
@@ -285,9 +291,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                 .select("signature", "doc_id", F.coalesce("component", "doc_id").alias("label")))
     open_ = (labelled.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high"))
              .where("low <> high").select("signature"))
-    rest = frozen(labelled.join(open_, "signature", "left_semi").join(brief, "doc_id"))
+    rest = frozen(_with_least(labelled.join(open_, "signature", "left_semi")).join(brief, "doc_id"))
     across = (rest.alias("a").join(rest.alias("b"), "signature")
-              .where((F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.label") != F.col("b.label")) & _may_link("a", "b"))
+              .where((F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.label") != F.col("b.label")) & _may_link("a", "b")
+                     & ~_met_before("a", "b"))
               .select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct())
     more = frozen(_verified(across, sets))
     if not more.isEmpty():
@@ -295,6 +302,27 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     return _with_components(lists, tops, labels)
 
 
+def _with_least(rows: DataFrame) -> DataFrame:
+    """Adds the signature's group and, for each group, the document's least signature in it
+    (where it has none, a negative number of its own)."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("signature"), F.lit(GROUPS)).cast("int"))
+    none = -F.shiftrightunsigned(F.xxhash64("doc_id"), 2) - 1
+    least = rows.groupBy("doc_id").agg(*[
+        F.coalesce(F.min(F.when(F.col("part") == g, F.col("signature"))), none).alias(f"least{g}") for g in range(GROUPS)])
+    return rows.join(least, "doc_id")
+
+
+def _met_before(a: str, b: str):
+    """Whether two documents surely share a signature before this one (by group, then value), so that
+    the pair is left to that one.  The first they share is never passed over."""
+    here, now = F.col(f"{a}.part"), F.col("signature")
+    met = F.lit(False)
+    for g in range(GROUPS):  # few and plain: the join compiles them into its loop
+        x = F.col(f"{a}.least{g}")
+        met = met | ((x == F.col(f"{b}.least{g}")) & ((here > g) | ((here == g) & (now > x))))
+    return met
+
+
 def _screened(pairs: DataFrame, brief: DataFrame) -> DataFrame:
     a, b = brief.alias("x"), brief.alias("y")
     return (pairs.join(a, pairs["a"] == F.col("x.doc_id")).join(b, pairs["b"] == F.col("y.doc_id"))
@@ -302,15 +330,12 @@ def _screened(pairs: DataFrame, brief: DataFrame) -> DataFrame:
 
 
 def _with_components(lists: DataFrame, tops: DataFrame, labels: DataFrame) -> DataFrame:
-    """From a document to its batch's first with that set, to the first of all, to its component's smallest."""
-    every = lists.select("doc_id", "rows", "rep")
-    topped = (every.join(tops.withColumnRenamed("doc_id", "rep"), "rep", "left")
-              .select("doc_id", "rows", F.coalesce("top", "rep").alias("top")))
-    named = (topped.join(labels, topped["top"] == labels["node"], "left")
-             .select("doc_id", "rows", F.coalesce("component", "top").alias("name")))
-    least = named.groupBy("name").agg(F.min("doc_id").alias("component_id"))
-    return (named.join(least, "name", "left")
-            .select("doc_id", F.explode("rows").alias("n_shingles"), "component_id"))
+    """From a document to its batch's smallest with that set, to the smallest of all, to its component's smallest.
+    No more documents share a rep than a batch has."""
+    named = (tops.join(labels, tops["top"] == labels["node"], "left")
+             .select(F.col("doc_id").alias("rep"), F.coalesce("component", "top").alias("component_id")))
+    return (lists.select("doc_id", "rows", "rep").join(named, "rep", "left")
+            .select("doc_id", F.explode("rows").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id")))
 
 
 ORACLE = r"""
