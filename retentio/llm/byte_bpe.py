@@ -118,7 +118,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     path, pattern = path or default_path(), pattern or public_tokenizers.PATTERN
 
     def make():
-        state, key = worker_state(), ("byte_bpe", path, pattern)
+        state, key = worker_state("byte_bpe"), ("byte_bpe", path, pattern)
         bpe = state[key] = state.get(key) or ByteBpe(path, pattern)
         return lambda texts: [[bpe.encode(t) for t in texts]]
 
@@ -130,7 +130,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def make():
-        state, key = worker_state(), ("byte_bpe_decode", path)
+        state, key = worker_state("byte_bpe"), ("byte_bpe_decode", path)
         if key not in state:
             table = [b""] * (1 + max((ranks := load_ranks(path)).values()))
             for token, rank in ranks.items():

@@ -48,13 +48,15 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def worker_state() -> dict:
+def worker_state(owner: str) -> dict:
     """A dictionary that lives as long as the Python worker process, so tables
-    and caches built for one task serve the next one too."""
+    and caches built for one task serve the next one too; that of another
+    operator is dropped, so a worker holds one operator's at a time."""
     module = sys.modules.get("_retentio_worker_state")
     if module is None:
         module = sys.modules["_retentio_worker_state"] = types.ModuleType("_retentio_worker_state")
-        module.state = {}
+    if getattr(module, "owner", None) != owner:
+        module.owner, module.state = owner, {}
     return module.state
 
 

@@ -233,7 +233,7 @@ def licence_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
     def run(batches):
         import pyarrow as pa
 
-        state, name = worker_state(), ("licences", repr(settings))
+        state, name = worker_state("licences"), ("licences", repr(settings))
         scanner = state[name] = state.get(name) or Scanner(*settings)
         labels = list(settings[0].items())
         place = pa.list_(pa.struct([("phrase", pa.string()), ("label", pa.string()), ("first_word", pa.int64())]))

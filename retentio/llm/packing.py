@@ -34,7 +34,7 @@ LOOSE = 1 / 64
 
 def _encoder(path: str):
     """text -> ids (little-endian unsigned 32-bit) by the tokenizers library, chunk by chunk."""
-    state, key = worker_state(), ("word_bpe_ids", path)
+    state, key = worker_state("packing"), ("word_bpe_ids", path)
     if key not in state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from array import array

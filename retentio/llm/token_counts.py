@@ -23,7 +23,7 @@ LIMIT = 2048
 def _counter(path: str, proven):
     """text list -> [token counts]; built once per worker process."""
     key = ("token_counts", path)
-    state = worker_state()
+    state = worker_state("token_counts")
     if key not in state:
         bpe, whole = WordBpe(path), proven.value
 
