@@ -42,10 +42,10 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n, get = len(piece), ranks.get
-    size = 1 << (n - 1).bit_length()
+    pairs = n - 1  # a leaf for each place where a pair can start
+    size = 1 << (pairs - 1).bit_length()
     tree = [_NONE] * (2 * size)
-    for i in range(n - 1):
-        tree[size + i] = get(piece[i:i + 2], _NONE)
+    tree[size:size + pairs] = [get(piece[i:i + 2], _NONE) for i in range(pairs)]
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a <= b else b
@@ -61,20 +61,25 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         e = after[i] = after[j]
         if e < n:
             before[e] = i
+            changed = [(j, _NONE), (i, get(piece[i:after[e]], _NONE))]
+        else:
+            changed = [(i, _NONE)] if j >= pairs else [(j, _NONE), (i, _NONE)]
         p = before[i]
-        for at, rank in ((j, _NONE), (i, get(piece[i:after[e]], _NONE) if e < n else _NONE),
-                         (p, get(piece[p:e], _NONE) if p >= 0 else _NONE)):
-            if at < 0:
-                continue
+        if p >= 0:
+            changed.append((p, get(piece[p:e], _NONE)))
+        for at, rank in changed:
             k = size + at
+            if tree[k] == rank:
+                continue
             tree[k] = rank
             while k > 1:
+                low = tree[k ^ 1]
+                if rank < low:
+                    low = rank
                 k >>= 1
-                a, b = tree[2 * k], tree[2 * k + 1]
-                low = a if a <= b else b
                 if tree[k] == low:
                     break
-                tree[k] = low
+                tree[k] = rank = low
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i:after[i]]])
@@ -92,7 +97,7 @@ class ByteBpe:
         self.pretokens = regex.compile(pattern).findall
         self.units = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.runs = re.compile(f"[{WHITE}][{WHITE}]").search
-        self.spaced = BoundedCache(lambda piece: self.unit(" " + piece))
+        self.spaced = BoundedCache(self._spaced)
         self.plain = BoundedCache(self.unit)
 
     def unit(self, unit: str) -> bytes:
@@ -101,6 +106,11 @@ class ByteBpe:
             ids.extend(merge_ranks(piece.encode("utf-8"), self.ranks))
         return ids.tobytes()
 
+    def _spaced(self, piece: str) -> bytes:
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha():  # a stop after letters is a pre-token of its own
+            return self.spaced[piece[:-1]] + self.plain[piece[-1]]
+        return self.unit(" " + piece)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         self.plain.trim()
