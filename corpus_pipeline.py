@@ -48,7 +48,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.document_pieces(docs)
+    # executors still hold what earlier stages left, so workers remember less than in a job of its own
+    pieces = packing.document_pieces(docs, cached_chunks=150_000)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.best_fit_decreasing(frozen(digests)).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

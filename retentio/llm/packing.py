@@ -23,34 +23,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, bounded_batches, frozen, text_or_empty, worker_state
-from .word_bpe import default_path, splitter
+from .word_bpe import byte_alphabet, default_path, splitter
 
 CAPACITY = 2048
 SEPARATOR = 0
 SHARD_PIECES = 20_000
+#: chunks whose ids a worker remembers, about, in each of two generations
+CACHED_CHUNKS = 600_000
 #: a sequence with at least this share of its capacity free is offered for another round
 LOOSE = 1 / 64
 
 
-def _encoder(path: str):
+def _encoder(path: str, cached_chunks: int = CACHED_CHUNKS):
     """text -> ids (little-endian unsigned 32-bit) by the tokenizers library, chunk by chunk."""
-    state, key = worker_state("packing"), ("word_bpe_ids", path)
+    state, key = worker_state("packing"), ("word_bpe_ids", path, cached_chunks)
     if key not in state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from array import array
+        from unicodedata import is_normalized, normalize
 
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
 
+        model, alphabet = tokenizer.model, byte_alphabet()
+
         def ids_of(chunk: str) -> bytes:
-            # letters are lower-cased, and a stop after letters is a token of its own
             core, stop = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
-            if core.isalpha() and "Σ" not in core and (stop or core != core.lower()):
-                return cache[core.lower()] + (cache[stop] if stop else b"")
+            if core.isalpha() and "Σ" not in core:
+                plain = core.lower() if core.isascii() else normalize("NFC", core).lower()
+                if plain.isalpha() and is_normalized("NFC", plain):  # still letters only: one pre-token
+                    if stop:  # and a stop after letters is another
+                        return cache[plain] + cache[stop]
+                    if plain != core:
+                        return cache[plain]
+                    word = plain if plain.isascii() else "".join(map(alphabet.__getitem__, plain.encode()))
+                    return array("I", [t.id for t in model.tokenize(word)]).tobytes()
             return array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-        cache = state[key] = BoundedCache(ids_of)
+        cache = state[key] = BoundedCache(ids_of, cached_chunks)
     cache, chunks = state[key], splitter()
 
     def encode(text: str) -> bytes:
@@ -60,9 +71,11 @@ def _encoder(path: str):
     return encode
 
 
-def document_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
-                    separator: int = SEPARATOR) -> DataFrame:
-    """doc_id, piece (from 0), start, length and ids (binary, little-endian unsigned 32-bit)."""
+def document_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR,
+                    cached_chunks: int = CACHED_CHUNKS) -> DataFrame:
+    """doc_id, piece (from 0), start, length and ids (binary, little-endian unsigned 32-bit).
+
+    ``cached_chunks`` trades a worker's memory (about 0.4 kB each) for time; results don't depend on it."""
     path = path or default_path()
     bounded_batches(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -71,7 +84,7 @@ def document_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
         import numpy as np
         import pyarrow as pa
 
-        encode, end = _encoder(path), separator.to_bytes(4, "little")
+        encode, end = _encoder(path, cached_chunks), separator.to_bytes(4, "little")
         for batch in batches:
             at, pieces, starts, lengths, ids = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

@@ -20,7 +20,7 @@ from .conftest import TEXTS, by_id, frame
 WORD = Tokenizer.from_file(P.path("word_bpe_49k.json"))
 BYTE_RANKS = byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
 BYTE = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=BYTE_RANKS, special_tokens={})
-PARTS = ["a", "the", "The", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "é", "é", "İ", "Σ", "ß", "12", "'s", "!!",
+PARTS = ["क़", "K", "Å", "ǅ", "é.", "DIE,", "a", "the", "The", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "é", "é", "İ", "Σ", "ß", "12", "'s", "!!",
          "<|endoftext|>", "<|", "😀", "漢字", "x" * 130, "ab" * 60, "½", "\x00", "ing"]
 
 
@@ -153,3 +153,12 @@ def test_queries_hash_the_ids(spark, docs):
     r = byte_bpe.encode(docs).where("doc_id = 6").first()
     ids = BYTE.encode_ordinary(TEXTS[6])
     assert hashlib.sha256(bytes(r.ids)).hexdigest() == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+
+
+def test_chunk_shortcuts_equal_the_library():
+    encode = packing._encoder(P.path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    parts = [*PARTS, "İ", "ς", "ﬁ", "̸", "̈́", "ι", "ΐ", "ŉ", "ẞ", "Ŀ", ".", ","]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 10)))
+        assert list(memoryview(encode(text)).cast("I")) == WORD.encode(text, add_special_tokens=False).ids, text
