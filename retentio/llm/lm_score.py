@@ -12,10 +12,9 @@ smoothed share of the counts outside.  So the probabilities of a text's tokens
 given what precedes them sum to one.  Biases start at the corpus frequencies.
 
 *Training.*  Each partition trains a copy by truncated back-propagation (Adam,
-``WINDOW`` steps, states carried from window to window) on the training
-documents of its own whose hash falls into one of ``EVERY`` parts - a share of
-the corpus that grows with it - and the copies are averaged by their tokens, in
-an aggregate by parameter.
+``WINDOW`` steps, states carried from window to window) on all training
+documents of its own, about ``BLOCK`` tokens at a time, and the copies are
+averaged by their tokens, in an aggregate by parameter.
 
 *Scoring.*  A batch's documents run side by side, longest first, each from its
 first token to its end with the state carried across windows.
@@ -42,7 +41,10 @@ CLASSES = 62
 HIDDEN = 16
 WINDOW = 20
 STREAMS = 64
-EVERY = 16
+#: train on one in so many documents by hash; 1: on all
+EVERY = 1
+#: tokens that a worker holds at least before it trains on them
+BLOCK = 4_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -85,6 +87,7 @@ class Gru:
             "word_bias": np.log(freq / mass[self.cls]),
         }
         self.p = {name: a.astype(np.float32) for name, a in self.p.items()}
+        self.moments, self.steps = {}, 0
 
     def flat(self):
         import numpy as np
@@ -150,42 +153,43 @@ class Gru:
 
         h, p = self.hidden, self.p
         steps, streams = inputs.shape
-        table, kept, states = self.tables(), [], np.empty((steps, streams, h), dtype=state.dtype)
+        known, at = np.unique(inputs, return_inverse=True)  # only these words' rows take part
+        embed = p["embed"][known]
+        x = (embed @ p["in"] + p["gate_bias"])[at.reshape(inputs.shape)]
+        inside = (inputs != self.end)[:, :, None]  # a document starts from nothing
+        kept, states = [], np.empty((steps, streams, h), dtype=state.dtype)
         for t in range(steps):
-            state = state * (inputs[t] != self.end)[:, None]  # a document starts from nothing
-            z, reset, rn, new, after = self.step(table[inputs[t]], state)
+            state = state * inside[t]
+            z, reset, rn, new, after = self.step(x[t], state)
             kept.append((state, z, reset, rn, new))
             states[t] = state = after
-        flat, y = states.reshape(-1, h), targets.ravel()
+        cls = self.cls[targets.ravel()]
+        order = np.argsort(cls, kind="stable")  # the tokens of a class are neighbours
+        flat, y, cls = states.reshape(-1, h)[order], targets.ravel()[order], cls[order]
         n, rows = len(y), np.arange(len(y))
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        logits = flat @ p["class"] + p["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=1, keepdims=True)
-        cls = self.cls[y]
-        loss = -np.log(prob[rows, cls] + 1e-30).sum()
+        prob = self._shares(flat, p["class"], p["class_bias"])
+        chosen = prob[rows, cls]
         prob[rows, cls] -= 1
         prob /= n
         g["class"], g["class_bias"] = flat.T @ prob, prob.sum(axis=0)
         back = prob @ p["class"].T
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(len(self.starts) + 1))
+        bounds = np.searchsorted(cls, np.arange(len(self.starts) + 1)).tolist()
         for c in np.flatnonzero(np.diff(bounds)).tolist():
-            a, b = self.starts[c], self.stops[c]
+            a, b, i, j = self.starts[c], self.stops[c], bounds[c], bounds[c + 1]
             if b - a > 1:
-                mine = order[bounds[c]:bounds[c + 1]]
-                word = flat[mine] @ p["word"][a:b].T + p["word_bias"][a:b]
-                word -= word.max(axis=1, keepdims=True)
-                q = np.exp(word)
-                q /= q.sum(axis=1, keepdims=True)
-                at = (np.arange(len(mine)), y[mine] - a)
-                loss -= np.log(q[at] + 1e-30).sum()
-                q[at] -= 1
+                weights, mine = p["word"][a:b], flat[i:j]
+                q = self._shares(mine, weights.T, p["word_bias"][a:b])
+                picked = (rows[:j - i], y[i:j] - a)
+                chosen[i:j] *= q[picked]
+                q[picked] -= 1
                 q /= n
-                g["word"][a:b], g["word_bias"][a:b] = q.T @ flat[mine], q.sum(axis=0)
-                back[mine] += q @ p["word"][a:b]
-        back = back.reshape(steps, streams, h)
+                g["word"][a:b], g["word_bias"][a:b] = q.T @ mine, q.sum(axis=0)
+                back[i:j] += q @ weights
+        loss = -np.log(chosen + 1e-30).sum()
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        back = unsorted.reshape(steps, streams, h)
         carry = np.zeros((streams, h), dtype=state.dtype)
         d_inputs = np.empty((steps, streams, 3 * h), dtype=state.dtype)
         for t in reversed(range(steps)):
@@ -196,16 +200,29 @@ class Gru:
             d_inputs[t, :, :2 * h], d_inputs[t, :, 2 * h:] = d_gates, d_new
             d_rec = np.concatenate([d_gates, d_new * reset], axis=1)
             g["rec"] += before.T @ d_rec
-            carry = (d * (1 - z) + d_rec @ p["rec"].T) * (inputs[t] != self.end)[:, None]
-        by_word = np.zeros_like(table)
-        np.add.at(by_word, inputs.ravel(), d_inputs.reshape(-1, 3 * h))
+            carry = (d * (1 - z) + d_rec @ p["rec"].T) * inside[t]
+        order = np.argsort(at.ravel(), kind="stable")
+        starts = np.searchsorted(at.ravel()[order], np.arange(len(known)))
+        by_word = np.add.reduceat(d_inputs.reshape(-1, 3 * h)[order], starts, axis=0)
         g["gate_bias"] = by_word.sum(axis=0)
-        g["in"] = p["embed"].T @ by_word
-        g["embed"] = by_word @ p["in"].T
+        g["in"] = embed.T @ by_word
+        g["embed"][known] = by_word @ p["in"].T
         return loss / n, g, state
 
+    @staticmethod
+    def _shares(states, weights, bias):
+        """The softmax over each state's logits."""
+        import numpy as np
+
+        logits = states @ weights + bias
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= (logits @ np.ones(logits.shape[1], dtype=logits.dtype))[:, None]
+        return logits
+
     def fit(self, tokens, rate: float = 0.01, window: int = WINDOW, streams: int = STREAMS) -> None:
-        """One pass over ``tokens`` (documents, each closed by an end), cut into streams side by side."""
+        """One pass over ``tokens`` (documents, each closed by an end), cut into streams side by side.
+        A further call goes on where the last one ended."""
         import numpy as np
 
         x = np.r_[self.end, tokens[:-1]]
@@ -213,13 +230,23 @@ class Gru:
         length = len(tokens) // streams
         x, y = (a[:streams * length].reshape(streams, length).T for a in (x, tokens))
         state = np.zeros((streams, self.hidden), dtype=np.float32)
-        first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        for step, t in enumerate(range(0, length, window), 1):
+        if not self.moments:
+            self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        for t in range(0, length, window):
             _, g, state = self.gradients(x[t:t + window], y[t:t + window], state)
+            self.steps += 1
             for k, v in g.items():  # Adam
-                first[k] = 0.9 * first[k] + 0.1 * v
-                second[k] = 0.999 * second[k] + 0.001 * v * v
-                self.p[k] -= (rate / (1 - 0.9 ** step)) * first[k] / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
+                first, second = self.moments[k]
+                first *= 0.9
+                first += 0.1 * v
+                second *= 0.999
+                second += 0.001 * v * v
+                np.multiply(second, 1 / (1 - 0.999 ** self.steps), out=v)
+                np.sqrt(v, out=v)
+                v += 1e-8
+                np.divide(first, v, out=v)
+                v *= rate / (1 - 0.9 ** self.steps)
+                self.p[k] -= v
 
     def document_log_probs(self, documents, window: int = 64, chunk: int = 200_000):
         """Natural log-probability of each document (ids without its end), ends included."""
@@ -310,25 +337,43 @@ def learn_corpus(docs: DataFrame, counts: DataFrame, head: int = HEAD, vocab: in
     return Corpus(list(zip(words, top.column("count").to_pylist())), (total[0] or 0) + ends, total[1], ends, vocab)
 
 
+def blocks(documents, size: int = BLOCK):
+    """The documents' tokens in order, whole documents joined to ``size`` tokens or more each."""
+    import numpy as np
+
+    done, held = None, []  # a block waits for the next to fill, so that a short rest joins it
+    length = 0
+    for tokens in documents:
+        held.append(tokens)
+        length += len(tokens)
+        if length >= size:
+            if done is not None:
+                yield done
+            done, held, length = np.concatenate(held), [], 0
+    if done is not None or held:
+        yield np.concatenate([*([] if done is None else [done]), *held])
+
+
 def train(docs: DataFrame, corpus: Corpus, every: int = EVERY) -> Gru:
     """The average of the partitions' models, weighted by the tokens each has seen."""
     shared = docs.sparkSession.sparkContext.broadcast(corpus)
-    share = docs.where(_learned() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0))
+    share = docs.where(_learned() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)) if every > 1 else docs.where(_learned())
     bounded_batches(docs.sparkSession)
 
     def fit(batches):
         import numpy as np
         import pyarrow as pa
 
-        known, tokens = shared.value, []
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens.append(np.r_[known.model_ids(known.ids(words_of(text))), known.vocab + 1])
-        if tokens:
-            model, sequence = known.model(), np.concatenate(tokens)
-            model.fit(sequence)
+        known, model, seen = shared.value, None, 0
+        ids = (np.r_[known.model_ids(known.ids(words_of(text))), known.vocab + 1].astype(np.int32)
+               for batch in batches for text in batch.column(0).to_pylist())
+        for tokens in blocks(ids):
+            model = model or known.model()
+            model.fit(tokens)
+            seen += len(tokens)
+        if model:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([len(sequence)], pa.int64()), pa.array([model.flat().tolist()], pa.list_(pa.float32()))],
+                [pa.array([seen], pa.int64()), pa.array([model.flat().tolist()], pa.list_(pa.float32()))],
                 names=["weight", "flat"])
 
     copies = share.select(text_or_empty("text").alias("text")).mapInArrow(fit, "weight bigint, flat array<float>")

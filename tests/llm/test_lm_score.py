@@ -133,3 +133,35 @@ def test_repeated_rows_null_ids_no_training_and_no_rows(spark, no_docs):
     assert (r.held_out, r.n_known, r.train_tokens) == (True, 0, 0) and abs(r.base_score) < 1e-9 and r.score < 0
     assert M.lm_scores(no_docs).count() == 0
     assert F
+
+
+def test_all_learnable_documents_train_by_default(spark):
+    rows = corpus()
+    out = M.lm_scores(frame(spark, rows).coalesce(2)).collect()
+    held = [r for r in out if r.held_out]
+    assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
+    for i in [i for i in range(20) if not is_held_out(i)][:2]:  # one document, whatever its hash
+        docs = frame(spark, [(i, "a b c d " * 300)])
+        known = M.learn_corpus(docs, M.word_counts(docs))
+        assert not np.array_equal(M.train(docs, known).flat(), known.model().flat())
+
+
+def test_blocks_are_whole_documents_and_leave_no_short_rest():
+    docs = [np.full(n, i) for i, n in enumerate([3, 5, 1, 9, 2, 2, 20, 1])]
+    for size in (1, 4, 10, 100):
+        out = list(M.blocks(iter(docs), size))
+        assert np.array_equal(np.concatenate(out), np.concatenate(docs))
+        assert len(out) == 1 or min(map(len, out)) >= size
+        assert not any(a[-1] == b[0] for a, b in zip(out, out[1:]))
+    assert list(M.blocks(iter([]), 4)) == []
+
+
+def test_training_in_blocks_goes_on(monkeypatch):
+    rng = np.random.default_rng(4)
+    tokens = np.concatenate([np.r_[rng.integers(0, 7, n), 8] for n in rng.integers(0, 40, 200)])
+    whole, parts = (M.Gru([30, 20, 9, 9, 5, 3, 1], 4, 6, classes=4, hidden=5) for _ in range(2))
+    whole.fit(tokens, window=10, streams=1)
+    cut = int(np.flatnonzero((tokens == 8) & ((np.arange(len(tokens)) + 1) % 10 == 0))[3]) + 1
+    parts.fit(tokens[:cut], window=10, streams=1)
+    parts.fit(tokens[cut:], window=10, streams=1)
+    assert np.allclose(whole.flat(), parts.flat(), atol=1e-5)
