@@ -6,7 +6,8 @@ every word the longest match that ends there, and the state of that match.
 
 * A base phrase stands at a place if its words are a suffix of that match;
   each state knows the phrases that are.
-* Matches of at least ``MIN_MATCH`` words (or a whole shorter template) are
+* Matches of at least ``MIN_MATCH`` words (or a whole shorter template), as
+  far as they go, and each template that stands whole inside a longer match are
   chained: in one template they follow each other in order, with at most
   ``MAX_GAP`` words between them in the file.  A chain that covers ``COVERED``
   of its template is a span with the template's label.
@@ -21,6 +22,8 @@ back over at most ``LOOK_BACK`` earlier matches of its template.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 
 from .common import UPPER, bounded_batches, text_or_empty, worker_state
@@ -149,17 +152,24 @@ class Scanner:
         self.single = {t[0]: p for p, t in enumerate(coded[:len(self.phrases)]) if len(t) == 1}
         self.min_match, self.max_gap, self.covered = min_match, max_gap, covered
         #: phrases that are a suffix of a state's matches, with their length: those of the states its links lead to
+        self.suffix_phrases = self._suffixes(coded[:len(self.phrases)])
+        #: and templates
+        self.suffix_templates = self._suffixes(coded[len(self.phrases):])
+
+    def _suffixes(self, sequences: list[list[int]]) -> list[list[tuple[int, int]]]:
+        """By state: the sequences, with their length, that are a suffix of its longest match."""
         own: dict[int, list[tuple[int, int]]] = {}
-        for p, t in enumerate(coded[:len(self.phrases)]):
+        for p, t in enumerate(sequences):
             *_, (state, _) = self.automaton.statistics(t)
             own.setdefault(state, []).append((p, len(t)))
-        self.suffix_phrases: list[list[tuple[int, int]]] = []
+        out: list[list[tuple[int, int]]] = []
         for state in range(len(self.automaton.next)):
             found = []
             while state > 0:
                 found += own.get(state, [])
                 state = self.automaton.link[state]
-            self.suffix_phrases.append(found)
+            out.append(found)
+        return out
 
     def scan(self, text: str):
         """n_words, places [(phrase, first word)], spans [(label, first, last word, coverage)], score."""
@@ -186,8 +196,12 @@ class Scanner:
             for p, n in self.suffix_phrases[state]:
                 if 1 < n <= length:
                     places.append((p, at + k + 1 - n))
-            if k + 1 < len(stats) and stats[k + 1][1] == length + 1:
-                continue  # it goes on
+            on = k + 1 < len(stats) and stats[k + 1][1] == length + 1
+            for t, n in self.suffix_templates[state]:
+                if n < length or on and n == length:  # whole, inside a longer match
+                    matches.setdefault(t, []).append((at + k + 1 - n, 0, n))
+            if on:
+                continue
             for s, i in self.automaton.ends[state]:
                 t = s - first_template
                 if t >= 0 and length >= min(self.min_match, len(self.templates[t][1])):
@@ -198,7 +212,7 @@ class Scanner:
         spans, score = [], 0.0
         for t, found in matches.items():
             label, total = self.templates[t][0], len(self.templates[t][1])
-            found.sort()
+            found = sorted(set(found))
             best = []  # words covered, first word of the chain, by match
             for k, (d, u, n) in enumerate(found):
                 top = (n, d)
@@ -215,11 +229,12 @@ class Scanner:
                     spans.append((label, first, d + n - 1, share))
         # of spans of one label that overlap, the one that covers most
         spans.sort(key=lambda s: (-s[3], s[1] - s[2], s[1], s[0]))
-        kept: dict[str, list] = {}
+        kept: dict[str, list] = {}  # by place; they don't overlap
         for s in spans:
             mine = kept.setdefault(s[0], [])
-            if all(s[2] < o[1] or o[2] < s[1] for o in mine[-LOOK_BACK:]):
-                mine.append(s)
+            k = bisect_left(mine, s[1], key=lambda o: o[1])
+            if (k == 0 or mine[k - 1][2] < s[1]) and (k == len(mine) or s[2] < mine[k][1]):
+                mine.insert(k, s)
         return sorted((s for own in kept.values() for s in own), key=lambda s: (s[1], s[2], s[0])), min(score, 1.0)
 
 

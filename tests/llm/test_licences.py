@@ -69,5 +69,39 @@ def test_template_spans():
     assert {s[0] for s in scanner.scan("Licensed under CC BY-NC 4.0.")[2]} == {"cc-by-nc-4.0"}
 
 
+def test_templates_whole_inside_longer_ones():
+    scanner = licences.Scanner(licences.PHRASES, licences.TEMPLATES, licences.MIN_MATCH, licences.MAX_GAP, licences.COVERED)
+    coded = [(label, words(t)) for label, t in licences.TEMPLATES]
+    tails = 0
+    for label, t in coded:
+        for _, longer in coded:
+            for at in range(len(longer) - len(t) + 1):
+                if longer[at:at + len(t)] == t and len(longer) > len(t):
+                    for more in range(len(longer) - at - len(t) + 1):
+                        for start in (0, at):
+                            text = ["x", "y", *longer[start:at + len(t) + more], "z"]
+                            _, _, spans, score = scanner.scan(" ".join(text))
+                            first = 2 + at - start
+                            assert any(s[0] == label and s[1] <= first and first + len(t) - 1 <= s[2] for s in spans), text
+                            assert score == 1.0
+                            tails += 1
+    assert tails > 20
+    for text in ("Licensed under the Apache License, Version 2.0. The code is fast",
+                 'x licensed under the Apache License, Version 2.0 (the "License"). See LICENSE'):
+        spans, score = scanner.scan(text)[2:]
+        assert [(s[0], s[2] - s[1]) for s in spans] == [("apache-2.0", 7)] and score == 1.0
+    a, b = ("a", "p q r s t u"), ("b", "n p q r s t u v w")  # inside, not at the start
+    scanner = licences.Scanner({"q": "q"}, [a, b], 4, 12, 0.75)
+    assert {s[:3] for s in scanner.scan("n p q r s t u v w")[2]} == {("a", 1, 6), ("b", 0, 8)}
+
+
+def test_spans_of_a_label_do_not_overlap():
+    scanner = licences.Scanner(licences.PHRASES, licences.TEMPLATES, licences.MIN_MATCH, licences.MAX_GAP, licences.COVERED)
+    notice = "licensed under the Apache License, Version 2.0. The code. "
+    for text in (notice * 200, notice * 100 + licences.TEMPLATES[4][1] + " " + notice * 100):
+        spans = sorted(s[1:3] for s in scanner.scan(text)[2])
+        assert len(spans) >= 200 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_no_rows(no_docs):
     assert licences.licence_scan(no_docs).count() == 0
