@@ -5,22 +5,25 @@ into full pieces and a rest.  Pieces are dealt by hash into shards of about
 ``SHARD_PIECES`` (the number of shards grows with the pieces, so no task grows
 with the input), and each shard is packed longest first.  A segment tree over
 the remaining capacities 0..capacity tells which of them have an open bin;
-the tightest one that fits is found on one way up and down the tree.  A shard
-leaves few loosely filled sequences; those of all shards are packed again,
-each as one item, by fewer and fewer shards until one shard has them all or a
-round saves nothing.
+the tightest one that fits is found on one way up and down the tree.  The
+loosely filled sequences of all shards are packed again, each as one item and
+dealt anew, by shards of about ``SHARD_PIECES`` at most, until one shard has
+had them all, no two of them fit together or a round saves nothing.
 
 Null text counts as empty (the separator alone).  Ties are broken by the
-smallest doc_id and piece, so a run repeats exactly.  Rows with the same
-doc_id are packed apart.  An empty table gives an empty result.
+smallest doc_id and piece, then by the other columns, so a run repeats exactly.
+Rows with the same doc_id, or none, are packed apart and dealt by their other
+columns, too; only rows alike in all of them that are more than a quarter of a
+shard are dealt by their place in the table.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, NumericType, StringType
 
 from .common import BoundedCache, bounded_batches, frozen, text_or_empty, worker_state
 from .word_bpe import byte_alphabet, default_path, splitter
@@ -145,9 +148,9 @@ def best_fit(lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
-def _packed(items: DataFrame, order: list[str], shards: int, capacity: int) -> DataFrame:
-    """``items`` (with length) plus bin (shard in the high bits) and offset."""
-    dealt = items.withColumn("_shard", F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int"))
+def _packed(items: DataFrame, order: list[str], key: Column, shards: int, capacity: int) -> DataFrame:
+    """``items`` (with length), dealt by ``key``, plus bin (shard in the high bits) and offset."""
+    dealt = items.withColumn("_shard", F.pmod(key, F.lit(shards)).cast("int"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
 
     def pack(table):
@@ -167,14 +170,26 @@ def _packed(items: DataFrame, order: list[str], shards: int, capacity: int) -> D
     return dealt.groupBy("_shard").applyInArrow(pack, f"{fields}, bin bigint, offset bigint")
 
 
+def _frequent(keys: DataFrame, least: int) -> list[int]:
+    """Values of ``key`` on more than ``least`` rows."""
+    return [x["key"] for x in keys.groupBy("key").count().where(F.col("count") > least).select("key").collect()]
+
+
 def best_fit_decreasing(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``pieces`` (doc_id, piece, length up to ``capacity`` and any others) plus sequence_id and offset.
 
-    ``pieces`` is read twice: pass a frozen table.
+    ``pieces`` is read several times: pass a frozen table.
     """
     pieces = pieces.drop("sequence_id", "offset", "bin")
     shards = max(1, -(-pieces.count() // shard_pieces))
-    packed = _packed(pieces, ["doc_id", "piece"], shards, capacity).withColumnRenamed("bin", "sequence_id")
+    plain = (NumericType, StringType, BinaryType, BooleanType)
+    order = ["doc_id", "piece", *[f.name for f in pieces.schema
+                                  if isinstance(f.dataType, plain) and f.name not in ("doc_id", "piece", "length")]]
+    key = F.xxhash64("length", *order)
+    # at most four keys a shard have so many rows
+    if shards > 1 and (frequent := _frequent(pieces.select(key.alias("key")), max(1, shard_pieces // 4))):
+        key = F.when(key.isin(frequent), F.xxhash64(F.monotonically_increasing_id())).otherwise(key)
+    packed = _packed(pieces, order, key, shards, capacity).withColumnRenamed("bin", "sequence_id")
     if shards == 1:
         return packed
     packed = frozen(packed)
@@ -182,10 +197,18 @@ def best_fit_decreasing(pieces: DataFrame, capacity: int = CAPACITY, shard_piece
     # where each loose sequence has gone: into sequence ``home``, ``shift`` tokens after its start
     moved = frozen(bins.where(F.col("length") <= int(capacity * (1 - LOOSE)))
                    .select("sequence_id", "length", F.col("sequence_id").alias("home"), F.lit(0).cast("bigint").alias("shift")))
+    turn, before = 0, None
     while shards > 1:
-        homes = moved.groupBy("home").agg(F.sum("length").alias("length"))
-        shards = min(shards // 2, max(1, -(-homes.count() // shard_pieces)))
-        joined = frozen(_packed(homes, ["home"], shards, capacity))
+        homes = frozen(moved.groupBy("home").agg(F.sum("length").alias("length")))
+        left = homes.count()
+        least = [x["length"] for x in homes.orderBy("length").limit(2).collect()]
+        # a shard's bins are pairwise too full for each other, so at most one of each is half empty and has a chance:
+        # every round that goes on makes those fewer
+        if left == before or len(least) < 2 or sum(least) > capacity:
+            break
+        turn, before = turn + 1, left
+        shards = -(-left // shard_pieces)
+        joined = frozen(_packed(homes, ["home"], F.xxhash64("home", F.lit(turn)), shards, capacity))
         first = joined.where("offset = 0").select("bin", F.col("home").alias("into"))
         step = joined.join(first, "bin").select("home", "into", F.col("offset").alias("by"))
         moved = frozen(moved.join(step, "home").select(
