@@ -3,8 +3,10 @@
 Filters of several widths slide over the bytes of a window, each filter's
 largest response (of those above zero) is pooled, and a softmax over the
 languages follows.  Embeddings, filters and softmax are trained in numpy by
-back-propagation on windows of labelled texts: at most ``SAMPLE_PER_LANG``
-documents of a language and ``SAMPLE_ROWS`` of all, the smallest by hash among about ``CANDIDATES``.
+back-propagation on windows of labelled texts: ``SAMPLE_PER_LANG`` documents of
+a language, or all it has, and at most ``SAMPLE_ROWS`` of all, the smallest by
+hash.  A language of many documents is first thinned by its own share, to about
+``CANDIDATES`` for each of its places in the sample.
 
 Prediction covers the whole text: windows of ``WINDOW`` bytes overlap by three
 bytes, so each run of four bytes lies in a window.  An embedded byte times a
@@ -32,8 +34,8 @@ EMBED = 8
 OVERLAP = max(WIDTHS) - 1
 SAMPLE_PER_LANG = 1000
 SAMPLE_ROWS = 8000
-#: documents, by hash, that the sample is drawn from
-CANDIDATES = 250_000
+#: documents of a language, by hash, that are ranked for each of its places in the sample
+CANDIDATES = 8
 WINDOWS_PER_DOC = 4
 EPOCHS = 4
 UNKNOWN = "und"
@@ -183,9 +185,10 @@ def training_windows(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, rows: int
                      & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
         "doc_id", F.col("lang").cast("string").alias("lang"))
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    # a share of the documents by hash, so that the ranking below sees about CANDIDATES rows at any size
-    share = min(1.0, CANDIDATES / max(1, docs.count()))
-    ids = ids.where(order < F.lit(round(share * (1 << 40))))
+    # a share of each language's documents by hash, so that its ranking sees a bounded number of rows at any size
+    counts = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(float(CANDIDATES * per_lang)) / F.col("n"))
+    ids = ids.join(F.broadcast(counts), "lang").where(order < share * (1 << 40)).select("doc_id", "lang")
     ranked = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")))
     sample = ranked.where(F.col("place") <= per_lang).orderBy("place", order, "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "lang")), "doc_id")

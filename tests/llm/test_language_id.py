@@ -105,3 +105,11 @@ def test_the_sample_is_bounded(spark):
     docs = spark.createDataFrame(corpus(90), "doc_id bigint, text string, lang string")
     x, langs = L.training_windows(docs, per_lang=5, rows=12)
     assert len(x) == len(langs) <= 12 * L.WINDOWS_PER_DOC and len(set(langs)) == 3
+
+
+def test_rare_languages_keep_their_places_in_a_large_table(spark):
+    lang = F.when(F.col("id") % 25_000 == 7, "rare").when(F.col("id") % 250_000 == 8, "few").otherwise("en")
+    docs = spark.range(2_000_000).select(F.col("id").alias("doc_id"), F.concat(lang, F.lit(" text")).alias("text"), lang.alias("lang"))
+    counts = {r["lang"]: r.n for r in docs.where(~L.held_out(F.col("doc_id"))).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    _, langs = L.training_windows(docs, per_lang=40, rows=1000)
+    assert {k: langs.count(k) for k in counts} == {k: min(n, 40) for k, n in counts.items()}
