@@ -10,10 +10,12 @@ extracted together with the gap before it, so the lengths give its place.
 matches are seed instances.  Each instance, seed or candidate, occurs after
 lexical patterns: the two words before it, and the word before it if it ends
 like a label (``:``, ``=`` or ``#``).  Patterns with at least ``SUPPORT``
-seeds are scored by the mean score of their distinct instances (one more
-counts as a miss), instances by the noisy-or of their confident patterns; this
-is repeated ``ROUNDS`` times over the pattern-instance graph.  Candidates that
-reach ``CONFIDENT`` become spans of kind ``id``.  The graph is joined and
+instances of score ``CONFIDENT``, seeds or candidates of an earlier round, are
+scored by the mean score of their distinct instances (one more counts as a
+miss), instances by the noisy-or of their confident patterns; this is repeated
+over the whole pattern-instance graph, at least ``ROUNDS`` times and until a
+round adds no value.  Scores only rise, so it ends.  Candidates that reach
+``CONFIDENT`` become spans of kind ``id``.  The graph is joined and
 pre-aggregated as tables; nothing of it is collected.
 
 Null text counts as empty: no spans.  Rows that repeat a doc_id are judged by
@@ -112,20 +114,21 @@ def discover(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDE
     edges = (seen.select(F.explode("patterns").alias("pattern"), "value", "seed")
              .groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     known = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count("*").alias("instances"))
-    # only patterns that have enough seeds and lead to something else can tell anything
-    useful = known.where((F.col("seeds") >= support) & (F.col("instances") > F.col("seeds")))
-    edges = frozen(edges.join(useful, "pattern"))
-    scores = edges.select("value", F.col("seed").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score"))
-    unseen = edges.where("NOT seed").select("pattern", "value")
-    for _ in range(rounds):
+    # only patterns that can have enough support and lead to something else can ever tell anything
+    useful = known.where((F.col("instances") >= support) & (F.col("instances") > F.col("seeds"))).select("pattern", "instances")
+    edges = frozen(edges.select("pattern", "value").join(useful, "pattern"))
+    seeds = frozen(seen.where("seed").select("value").distinct().withColumn("score", F.lit(1.0)))
+    scores, turn, before, found = seeds, 0, -1, 0
+    while turn < rounds or found > before:
+        supported = F.count_if(F.col("score") >= confident) >= support
         confidence = (edges.join(scores, "value").groupBy("pattern")
-                      .agg((F.sum("score") / (F.max("instances") + 1)).alias("confidence"))
-                      .where(F.col("confidence") >= confident))
+                      .agg((F.sum("score") / (F.max("instances") + 1)).alias("confidence"), supported.alias("supported"))
+                      .where(F.col("supported") & (F.col("confidence") >= confident)).select("pattern", "confidence"))
         # noisy-or over the confident patterns of each instance
-        reached = (unseen.join(confidence, "pattern").groupBy("value")
+        reached = (edges.join(confidence, "pattern").groupBy("value")
                    .agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")))
-        seeds = edges.where("seed").select("value").distinct().withColumn("score", F.lit(1.0))
         scores = frozen(seeds.unionByName(reached).groupBy("value").agg(F.max("score").alias("score")))
+        turn, before, found = turn + 1, found, scores.where(F.col("score") >= confident).count()
     accepted = scores.where(F.col("score") >= confident).select("value")
     return (seen.where("NOT seed").select("doc_id", "version", "start", "end", "value")
             .join(accepted, "value", "left_semi"))

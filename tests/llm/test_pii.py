@@ -72,6 +72,18 @@ def test_confident_contexts_find_unseen_identifiers(spark):
     assert texts[30][s.start:s.end] == "AB1234567"
 
 
+def test_found_identifiers_lead_to_further_contexts(spark):
+    shared, further = [f"AB{1000000 + i}" for i in range(60)], [f"QQ{2000000 + i}" for i in range(12)]
+    texts = [f"his passport no +1 ({300 + i}) 555-{2000 + i} end" for i in range(300)]
+    texts += [f"his passport no {v} here" for v in shared]
+    # no base value stands in these contexts: the first has values found above, the second some of the first's
+    texts += [f"Member ID: {v} ok" for v in [*shared, *further, "ZX7777777"]]
+    texts += [f"clerk badge {v} ok" for v in [*further, "YY8888888"]]
+    texts += [f"desk ticket {1234567 + i} ok" for i in range(20)]
+    rows = pii.personal_data(frame(spark, list(enumerate(texts)))).collect()
+    assert {s.value for r in rows for s in r.id} == {*shared, *further, "ZX7777777", "YY8888888"}
+
+
 def test_few_seeds_find_nothing(spark):
     texts = ["my passport no +1 (684) 555-0954", "my passport no AB1234567"]
     assert all(not r.id for r in pii.personal_data(frame(spark, list(enumerate(texts)))).collect())
