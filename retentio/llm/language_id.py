@@ -15,8 +15,9 @@ up by byte pairs instead of multiplying.  A text's language has the largest
 mean probability over its windows, weighted by their bytes, and that is the score.
 
 ``und`` with score 0 if the text is null or has no letter, or if nothing could
-be learned.  Rows with null lang, text or doc_id are not learned from.  An
-empty table gives an empty result; lang, source and doc_id never reach the
+be learned.  Rows with null lang, text or doc_id are not learned from.  Rows
+that repeat a doc_id under one lang are learned from once.  An empty table gives
+an empty result; lang, source and doc_id never reach the
 network.
 """
 
@@ -181,17 +182,20 @@ def training_windows(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, rows: int
     """(windows, language of each): at most ``rows`` documents' windows come to the driver."""
     import numpy as np
 
-    ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")
                      & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
-        "doc_id", F.col("lang").cast("string").alias("lang"))
+        "doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    ids = labelled.select("doc_id", "lang")
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     # a share of each language's documents by hash, so that its ranking sees a bounded number of rows at any size
     counts = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(CANDIDATES * per_lang)) / F.col("n"))
-    ids = ids.join(F.broadcast(counts), "lang").where(order < share * (1 << 40)).select("doc_id", "lang")
+    ids = ids.join(F.broadcast(counts), "lang").where(order < share * (1 << 40)).select("doc_id", "lang").distinct()
     ranked = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")))
     sample = ranked.where(F.col("place") <= per_lang).orderBy("place", order, "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "lang")), "doc_id")
+    # rows that repeat an id under one label count once, by their smallest text
+    texts = (labelled.join(F.broadcast(sample.select("doc_id", "lang")), ["doc_id", "lang"])
+             .groupBy("doc_id", "lang").agg(F.min("text").alias("text")))
     bounded_batches(docs.sparkSession)
 
     def cut(batches):

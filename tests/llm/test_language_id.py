@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -113,3 +114,12 @@ def test_rare_languages_keep_their_places_in_a_large_table(spark):
     counts = {r["lang"]: r.n for r in docs.where(~L.held_out(F.col("doc_id"))).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     _, langs = L.training_windows(docs, per_lang=40, rows=1000)
     assert {k: langs.count(k) for k in counts} == {k: min(n, 40) for k, n in counts.items()}
+
+
+def test_repeated_rows_take_one_place(spark):
+    learned = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(learned[0], f"the same {k}", "en") for k in range(50)] + [(i, "the other", "en") for i in learned[1:10]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    x, langs = L.training_windows(docs, per_lang=10, rows=100)
+    assert langs == ["en"] * 10
+    assert sum(bytes(w).startswith(b"the same") for w in x) == 1
