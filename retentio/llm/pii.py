@@ -18,8 +18,8 @@ round adds no value.  Scores only rise, so it ends.  Candidates that reach
 ``CONFIDENT`` become spans of kind ``id``.  The graph is joined and
 pre-aggregated as tables; nothing of it is collected.
 
-Null text counts as empty: no spans.  Rows that repeat a doc_id are judged by
-their own texts.  An empty table gives an empty result; only doc_id and text
+Null text counts as empty: no spans.  Rows that repeat a doc_id, or
+have none, are judged by their own texts.  An empty table gives an empty result; only doc_id and text
 are read.
 """
 
@@ -138,10 +138,10 @@ def personal_data(docs: DataFrame, support: int = SUPPORT, confident: float = CO
     """doc_id, version and spans by kind (arrays of start, end, value, before): email, ip, card, phone, id."""
     found = (discover(docs, support, confident, rounds).distinct().groupBy("doc_id", "version")
              .agg(F.sort_array(F.collect_list(F.struct("start", "end", "value", F.lit("").alias("before")))).alias("id")))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "id")
     base = _with_base(docs).drop("text")
-    # a null doc_id joins nothing: its candidates stay out
-    return (base.join(found, ["doc_id", "version"], "left")
-            .withColumn("id", F.coalesce("id", F.expr(f"cast(array() AS {_SPANS})"))))
+    return (base.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left")
+            .drop("_id", "_version").withColumn("id", F.coalesce("id", F.expr(f"cast(array() AS {_SPANS})"))))
 
 
 def listed(kinds) -> Column:

@@ -107,3 +107,11 @@ def test_repeated_rows_null_ids_and_no_rows(spark, no_docs):
     assert sorted((r.doc_id or 0, r.text) for r in pii.redact(rows).collect()) == [
         (0, "[email]"), (1, "[email]"), (1, "[email]"), (1, "c [ip]")]
     assert pii.personal_data(no_docs).count() == 0 and pii.redact(no_docs).count() == 0
+
+
+def test_identifiers_under_null_ids(spark):
+    texts = planted()
+    rows = frame(spark, [(None if i in (0, 30, 32) else i, t) for i, t in enumerate(texts)])
+    found = sorted(s.value for r in pii.personal_data(rows).collect() for s in r.id if r.doc_id is None)
+    assert found == ["12345-678", "AB1234567"]
+    assert "his passport no [id] here" in {r.text for r in pii.redact(rows).collect() if r.doc_id is None}
