@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard, language_id, licences, lm_score, merkle, packing, pii, quality, token_counts
+from . import byte_bpe, exact_dedup, jaccard, language_id, lexical_search, licences, lm_score, merkle, packing, pii, quality, token_counts
 from .common import documents, frozen
 
 
@@ -69,6 +69,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(documents(spark, sf_dir))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(documents(spark, sf_dir))
 
@@ -78,10 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     operators = (
         op1_token_counts, op2_licence_scans, op3_exact_dedup, op4_best_fit_packing, op5_personal_data, op6_byte_bpe,
-        op7_lm_scoring, op8_quality_rules, op9_language_id, op10_ngram_jaccard_join, op13_merkle_manifest)
+        op7_lm_scoring, op8_quality_rules, op9_language_id, op10_ngram_jaccard_join,
+        op12_ranked_search, op13_merkle_manifest)
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_exact_dedup": exact_dedup.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE,
-            "op13_merkle_manifest": merkle.ORACLE}
+            "op12_ranked_search": lexical_search.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
