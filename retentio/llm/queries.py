@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard, language_id, lexical_search, licences, lm_score, merkle, packing, pii, quality, token_counts
+from . import (
+    byte_bpe, exact_dedup, jaccard, language_id, lexical_search, licences, lm_score, merkle, packing, pii, quality,
+    substring_dedup, token_counts)
 from .common import documents, frozen
 
 
@@ -69,6 +71,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(documents(spark, sf_dir))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -83,10 +90,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_token_counts, op2_licence_scans, op3_exact_dedup, op4_best_fit_packing, op5_personal_data, op6_byte_bpe,
         op7_lm_scoring, op8_quality_rules, op9_language_id, op10_ngram_jaccard_join,
-        op12_ranked_search, op13_merkle_manifest)
+        op11_substring_dedup, op12_ranked_search, op13_merkle_manifest)
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_exact_dedup": exact_dedup.ORACLE, "op10_ngram_jaccard_join": jaccard.ORACLE,
+            "op11_substring_dedup": substring_dedup.ORACLE,
             "op12_ranked_search": lexical_search.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
