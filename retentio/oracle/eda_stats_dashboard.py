@@ -182,7 +182,11 @@ FROM ef"""
 # --- statistical tests ------------------------------------------------------------
 
 Q["st_crosstab"] = """
-SELECT contract_type AS row_value, churn AS col_value, COUNT(*) AS count FROM stg GROUP BY 1, 2 ORDER BY 1, 2"""
+SELECT r.v AS row_value, k.v AS col_value, CAST(COUNT(*) FILTER (WHERE contract_type = r.v AND churn = k.v) AS BIGINT) AS count,
+       CAST(COUNT(*) FILTER (WHERE contract_type = r.v) AS BIGINT) AS row_total,
+       CAST(COUNT(*) FILTER (WHERE churn = k.v) AS BIGINT) AS col_total, COUNT(*) AS total
+FROM (SELECT DISTINCT contract_type AS v FROM stg) AS r CROSS JOIN (SELECT DISTINCT churn AS v FROM stg) AS k CROSS JOIN stg
+GROUP BY ALL"""
 
 
 def _chi(row: str, col: str, name: str) -> str:
@@ -240,11 +244,17 @@ SELECT dimension, value, customers, {pct('churned', 'customers')} AS churn_rate_
 FROM g, o ORDER BY dimension, value"""
 
 Q["db_crosstab"] = f"""
-SELECT contract_type,
-       {pct("COUNT(*) FILTER (WHERE internet_service = 'DSL' AND is_churned)", "COUNT(*) FILTER (WHERE internet_service = 'DSL')")} AS rate_dsl,
-       {pct("COUNT(*) FILTER (WHERE internet_service = 'Fiber optic' AND is_churned)", "COUNT(*) FILTER (WHERE internet_service = 'Fiber optic')")} AS rate_fiber_optic,
-       {pct("COUNT(*) FILTER (WHERE internet_service = 'No' AND is_churned)", "COUNT(*) FILTER (WHERE internet_service = 'No')")} AS rate_no_internet
-FROM flat GROUP BY contract_type ORDER BY contract_type"""
+, g AS (SELECT contract_type, internet_service, {N} AS n, {CH} AS c FROM flat GROUP BY ALL),
+grid AS (
+    SELECT contract_type, internet_service, coalesce(n, 0) AS n, coalesce(c, 0) AS c
+    FROM (SELECT DISTINCT contract_type FROM g) CROSS JOIN (SELECT DISTINCT internet_service FROM g)
+    LEFT JOIN g USING (contract_type, internet_service)),
+m AS (
+    SELECT *, SUM(n) OVER r AS rn, SUM(c) OVER r AS rc, SUM(n) OVER k AS kn, SUM(c) OVER k AS kc, SUM(n) OVER () AS an, SUM(c) OVER () AS ac
+    FROM grid WINDOW r AS (PARTITION BY contract_type), k AS (PARTITION BY internet_service))
+SELECT contract_type, internet_service, n AS customers, c AS churned, {pct('c', 'n')} AS churn_rate_pct,
+       {pct('rc', 'rn')} AS contract_churn_rate_pct, {pct('kc', 'kn')} AS internet_churn_rate_pct, {pct('ac', 'an')} AS overall_churn_rate_pct
+FROM m"""
 
 Q["db_filtered"] = f"""
 SELECT contract_type, {N} AS total_customers, {CH} AS churned, {pct(CH, N)} AS churn_rate_pct,
@@ -370,6 +380,11 @@ Q["db_revenue_filtered"] = Q["db_mrr_split"].replace("FROM long GROUP", "FROM lo
 Q["db_risk_filtered"] = Q["db_crosstab"].replace(
     "FROM flat", f"FROM (SELECT * FROM flat WHERE ({TIER}) IN ('Churned', 'Medium Risk'))")
 Q["db_services_filtered"] = SLONG.replace("FROM flat", "FROM flat WHERE internet_tier = 'Fiber Optic'") + _ADOPT + "\nSELECT * FROM adopt"
+_MANY = ("gender = 'Female' AND contract_type IN ('Month-to-month', 'Two year') AND internet_service IN ('DSL', 'No') AND "
+         "(tenure_months <= 12 OR tenure_months BETWEEN 25 AND 36 OR tenure_months > 60) AND payment_method NOT ILIKE '%automatic%'")
+Q["db_cube_segments"] = Q["db_segment_table"].replace("FROM flat", f"FROM (SELECT * FROM flat WHERE {_MANY})")
+Q["db_cube_charges"] = Q["db_charge_distribution"].replace(
+    "FROM flat", f"FROM (SELECT * FROM flat WHERE senior_citizen = 'No' AND partner = 'Yes' AND ({TIER}) IN ('Low Risk', 'Medium Risk'))")
 Q["db_retention_filtered"] = _RET.replace("= 'High Risk'", "= 'High Risk' AND internet_service = 'DSL'") + """
 SELECT customer_id, contract_type, internet_service, payment_method, tenure_months,
        CAST(monthly_charges AS DOUBLE) AS monthly_charges, charge_rank, priority

@@ -22,7 +22,7 @@ from .staging import accepted, check_raw, stg_clean, stg_quarantine
 from .star import Star
 
 WAREHOUSE_TABLES = ("raw", "quarantine", "staging", "dim_customer", "dim_contract", "dim_service_plan", "dim_tenure",
-                    "fact_subscription")
+                    "fact_subscription", "cube_cells", "cube_charges")
 
 
 class Pipeline:
@@ -58,7 +58,7 @@ class Pipeline:
 
     def write_warehouse(self, path: str) -> None:
         """Raw, quarantine, staging and the star as Parquet tables under ``path``; a full replace."""
-        layers = {"raw": self.raw, "quarantine": self.quarantine, "staging": self.staging, **self.star.tables()}
+        layers = {"raw": self.raw, "quarantine": self.quarantine, "staging": self.staging, **self.star.tables(), **self.star.cube.tables()}
         for name in WAREHOUSE_TABLES:
             layers[name].write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
 

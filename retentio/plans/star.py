@@ -155,6 +155,13 @@ class Star:
     def fact(self) -> DataFrame:
         return self.fact_enriched.select(*FACT_COLUMNS)
 
+    @cached_property
+    def cube(self):
+        """The dashboard's partial sums over the fact (``plans/cube.py``)."""
+        from .cube import Cube
+
+        return Cube(self)
+
     def tables(self) -> dict[str, DataFrame]:
         return {
             "dim_customer": self.dim_customer,

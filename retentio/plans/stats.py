@@ -6,11 +6,14 @@
   (what the empty cells add), so no grid is built.  The Yates correction
   applies only when dof = 1, as in SciPy's ``chi2_contingency``.
   p = Q(dof/2, chi2/2), the regularized upper incomplete gamma function.
-* Mann–Whitney U (two-sided, normal approximation with tie and continuity
-  correction — SciPy's large-sample method): all variables share one pass;
+* Mann–Whitney U (two-sided; normal approximation with tie and continuity
+  correction for large samples, as SciPy's ``auto`` method chooses): all variables share one pass;
   values are reduced to (variable, value, count in sample 1, count in sample
   2), running counts over the sorted distinct values give mid-ranks and both
-  medians, and R1 = Σ n1(v)·midrank(v).
+  medians, and R1 = Σ n1(v)·midrank(v).  Where the smaller sample has at most
+  ``EXACT_SAMPLE`` values and no two values are equal, the p-value is exact: the
+  null distribution of U is counted by a recurrence over rows (one per value of
+  U up to the observed tail).
 
 P-values are column expressions over the one-row-per-test table: no Python
 runs on the executors.
@@ -24,9 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import cents
-from ..operators.ordering import running_totals
+from ..operators.ordering import checkpointed, running_totals
 
 SIGNIFICANCE = 0.05
+#: fixed value: up to this size of the smaller sample, and without ties, the Mann–Whitney test is exact
+EXACT_SAMPLE = 8
 
 
 def erfc(x: Column) -> Column:
@@ -71,11 +76,53 @@ def normal_two_sided_p(z: Column) -> Column:
     return F.least(F.lit(1.0), erfc(F.abs(z) / math.sqrt(2.0)))
 
 
+def _sums(measures: tuple[str, ...]) -> list[Column]:
+    return [F.sum(m).alias(m) for m in measures]
+
+
+def crosstab_map(df: DataFrame, row: str, col: str, measures: tuple[str, ...] = ("count",)) -> DataFrame:
+    """Contingency table with one row per row value and its cells as a map.
+
+    ``df`` has the measures as columns to be summed.  Column values are found
+    by a sub-query over the grouped cells, so none is named beforehand; ``cells``
+    maps each of them, in order, to its sums, 0 where the combination does not
+    occur, and ``row_*``, ``all_*`` and ``columns`` (value and sums) are the
+    margins.  NULL is a value like any other.  The distinct combinations are
+    frozen; the columns must fit one row, as in any pivot.
+    """
+    grouped = checkpointed(df.groupBy(F.col(row).alias("row_value"), F.col(col).alias("col_value")).agg(*_sums(measures)))
+    by_col = grouped.groupBy("col_value").agg(*_sums(measures))
+    columns = by_col.agg(F.sort_array(F.collect_list(F.struct("col_value", *measures)))).scalar()
+    own = F.map_from_entries(F.collect_list(F.struct(F.struct("col_value"), F.struct(*measures))))
+    rows = grouped.groupBy("row_value").agg(own.alias("own"), *[F.sum(m).alias(f"row_{m}") for m in measures])
+    rows = rows.withColumn("columns", columns)
+    cells = F.transform("columns", lambda c: F.struct(
+        F.struct(c["col_value"].alias("col_value")).alias("key"),
+        F.coalesce(F.try_element_at(F.col("own"), F.struct(c["col_value"].alias("col_value"))),
+                   F.struct(*[F.lit(0).cast("bigint").alias(m) for m in measures])).alias("value")))
+
+    def over_columns(measure: str) -> Column:
+        return F.aggregate("columns", F.lit(0).cast("bigint"), lambda acc, c: acc + c[measure]).alias(f"all_{measure}")
+
+    whole = [over_columns(m) for m in measures]
+    return rows.select("row_value", F.map_from_entries(cells).alias("cells"), *[f"row_{m}" for m in measures], "columns", *whole)
+
+
+def contingency(df: DataFrame, row: str, col: str, measures: tuple[str, ...] = ("count",)) -> DataFrame:
+    """The same in long form: row_value, col_value, the sums of the cell, and row_*, col_* and all_* margins; every
+    combination of a row and a column value has a row."""
+    wide = crosstab_map(df, row, col, measures)
+    long = wide.select("*", F.explode("columns").alias("c")).withColumn("cell", F.col("cells")[F.struct(F.col("c.col_value").alias("col_value"))])
+    return long.select("row_value", F.col("c.col_value").alias("col_value"), *[F.col(f"cell.{m}").alias(m) for m in measures],
+                       *[f"row_{m}" for m in measures], *[F.col(f"c.{m}").alias(f"col_{m}") for m in measures],
+                       *[f"all_{m}" for m in measures])
+
+
 def st_crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
-    """Contingency table in long form (row value, column value, count)."""
-    return df.groupBy(F.col(row).alias("row_value"), F.col(col).alias("col_value")).agg(
-        F.count(F.lit(1)).alias("count")
-    ).orderBy("row_value", "col_value")
+    """Counts by row and column value, with the margins of both."""
+    return contingency(df.withColumn("count", F.lit(1).cast("bigint")), row, col).select(
+        "row_value", "col_value", "count", F.col("row_count").alias("row_total"), F.col("col_count").alias("col_total"),
+        F.col("all_count").alias("total")).orderBy("row_value", "col_value")
 
 
 def chi_squares(df: DataFrame, tests: dict[str, tuple[str, str]]) -> DataFrame:
@@ -159,15 +206,49 @@ def mann_whitneys(df: DataFrame, variables: dict[str, tuple[Column, int]], in_fi
         * ((n + 1).cast("double") - F.col("ties").cast("double") / (n * (n - 1)).cast("double"))
     )
     z = F.when(sigma > 0, (big - mu - 0.5) / sigma)
+    agg = checkpointed(agg)  # a row for each variable
     out = agg.select(
         "variable", F.col("n1").alias("n_first"), F.col("n2").alias("n_second"),
         (u1x2.cast("double") / 2.0).alias("u_statistic"), F.round(z, 10).alias("z"),
         *[((F.col(f"low{i}") + F.col(f"high{i}")).cast("double") / (2 * F.col("divisor")).cast("double")).alias(f"median_{name}")
           for i, name in ((1, "first"), (2, "second"))])
-    return out.withColumn("p_value", F.round(normal_two_sided_p(F.col("z")), 10)).withColumn(
+    approximate = normal_two_sided_p(F.col("z"))
+    few = agg.where((F.least("n1", "n2") <= EXACT_SAMPLE) & (F.least("n1", "n2") > 0) & (F.col("ties") == 0))
+    if few.isEmpty():
+        out = out.withColumn("p", approximate)
+    else:
+        tail = few.select("variable", F.least("n1", "n2").cast("int").alias("m"), F.greatest("n1", "n2").cast("bigint").alias("n"),
+                          (F.least(u1x2, u2x2) / 2).cast("bigint").alias("u"))
+        out = out.join(F.broadcast(exact_two_sided_p(tail)), "variable", "left").withColumn("p", F.coalesce("exact", approximate))
+    return out.withColumn("p_value", F.round("p", 10)).drop("p", "exact").withColumn(
         "significant", F.col("p_value") < SIGNIFICANCE)
 
 
+def exact_two_sided_p(tail: DataFrame) -> DataFrame:
+    """variable and exact: P(U <= u or as far on the other side) for samples of m <= ``EXACT_SAMPLE`` and n values
+    without ties, from rows variable, m, n, u (the smaller U).
+
+    The number of orders in which U takes the value i is the coefficient of q^i in
+    the product over j = 1..m of (1 - q^(n+j)) / (1 - q^j).  Round j divides by a
+    running sum over rows of one residue modulo j and multiplies by a join with
+    the row n + j places before.  The work is m rounds over u + 1 <= m n / 2 + 1 rows.
+    """
+    counts = tail.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("u"))).alias("i"))
+    counts = counts.withColumn("a", F.when(F.col("i") == 0, 1.0).otherwise(0.0))
+    largest = tail.agg(F.max("m")).first()[0]
+    for j in range(1, largest + 1):
+        upto = Window.partitionBy("variable", F.pmod("i", F.lit(j))).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        divided = counts.withColumn("d", F.sum("a").over(upto))
+        back = divided.select(F.col("variable").alias("v"), (F.col("i") + F.col("n") + j).alias("at"), F.col("d").alias("minus"))
+        joined = divided.join(back, (divided["variable"] == back["v"]) & (divided["i"] == back["at"]), "left")
+        counts = checkpointed(joined.select(
+            "variable", "m", "n", "u", "i",
+            F.when(F.col("m") >= j, F.col("d") - F.coalesce("minus", F.lit(0.0))).otherwise(F.col("a")).alias("a")))
+    orders = F.aggregate(F.sequence(F.lit(1), F.col("m")), F.lit(1.0), lambda acc, j: acc * (F.col("n") + j) / j)
+    return counts.groupBy("variable", "m", "n").agg(F.sum("a").alias("a")).select(
+        "variable", F.least(F.lit(1.0), 2 * F.col("a") / orders).alias("exact"))
+
+
 def mann_whitney(df: DataFrame, value: Column, in_first: Column, variable: str, divisor: int = 1) -> DataFrame:
     return mann_whitneys(df, {variable: (value, divisor)}, in_first)
 

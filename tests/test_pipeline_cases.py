@@ -121,7 +121,7 @@ def test_overwritten_inputs_give_new_answers(spark, tmp_path):
     from retentio.registry import queries
 
     for name in ("orders", "customer", "lineitem"):
-        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+        shutil.copyfile(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
     shape = queries()["prof_shape"]
     first = shape(spark, str(tmp_path)).first().n_rows
     import pyarrow.parquet as pq

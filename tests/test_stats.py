@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from retentio.plans.stats import chi2_sf, chi_square, chi_squares_of_cells, mann_whitney, normal_two_sided_p
+from retentio.plans.stats import chi2_sf, chi_square, chi_squares_of_cells, contingency, crosstab_map, mann_whitney, mann_whitneys, normal_two_sided_p
 
 
 def _contingency(spark, table: dict[tuple[str, str], int]):
@@ -110,3 +110,74 @@ def test_mann_whitney_brute_force(spark):
     assert r.z == pytest.approx(z, abs=1e-9)
     assert r.p_value == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-9)
     assert r.median_first == 9.0 and r.median_second == 6.0
+
+
+def _enumerated(first, second):
+    """Two-sided p by all ways to pick the first sample's ranks."""
+    import itertools
+
+    values = sorted(first + second)
+    n, m = len(values), len(first)
+
+    def u(places):
+        return sum(places) + m - m * (m + 1) // 2
+
+    seen = u([values.index(v) for v in first])
+    low = min(seen, m * (n - m) - seen)
+    all_u = [u(c) for c in itertools.combinations(range(n), m)]
+    return min(1.0, 2 * sum(x <= low for x in all_u) / len(all_u))
+
+
+def test_small_samples_without_ties_are_exact(spark):
+    import random
+
+    rng = random.Random(4)
+    cases = {}
+    for k, (m, n) in enumerate([(1, 1), (1, 9), (2, 5), (3, 3), (4, 9), (8, 8), (8, 12), (12, 5), (20, 2)]):
+        values = rng.sample(range(1000), m + n)
+        cases[f"v{k}"] = (values[:m], values[m:])
+    cases["apart"] = (list(range(6)), list(range(10, 19)))
+    rows = [(name, v, g) for name, (a, b) in cases.items() for vs, g in ((a, True), (b, False)) for v in vs]
+    rows += [("ties", v, v % 2 == 0) for v in (1, 1, 2, 3, 4)] + [("large", v, v % 3 == 0) for v in range(40)]
+    df = spark.createDataFrame(rows, "name string, v bigint, g boolean")
+    out = {r.variable: r for r in mann_whitneys(df, {
+        name: (F.when(F.col("name") == name, F.col("v")), 1) for name in [*cases, "ties", "large"]}, F.col("g")).collect()}
+    for name, (a, b) in cases.items():
+        assert out[name].p_value == pytest.approx(_enumerated(a, b), abs=1e-9), name
+    for name in ("ties", "large"):  # the large-sample method
+        assert out[name].p_value == pytest.approx(math.erfc(abs(out[name].z) / math.sqrt(2)), abs=1e-9)
+
+
+def test_exact_p_of_a_small_and_a_large_sample(spark):
+    """Against the counting recurrence f(m, n, u) = f(m - 1, n, u - n) + f(m, n - 1, u), by the parts of a partition."""
+    m, n = 4, 900
+    rng = __import__("random").Random(8)
+    values = rng.sample(range(100_000), m + n)
+    df = spark.createDataFrame([(v, i < m) for i, v in enumerate(values)], "v bigint, g boolean")
+    r = mann_whitney(df, F.col("v"), F.col("g"), "v").first()
+    low = int(min(r.u_statistic, m * n - r.u_statistic))
+    counts = [[1] + [0] * low for _ in range(n + 1)]  # counts[k][u] for the current j, parts up to k
+    for j in range(1, m + 1):
+        new = [[1] + [0] * low]
+        for k in range(1, n + 1):
+            new.append([new[k - 1][u] + (counts[k][u - k] if u >= k else 0) for u in range(low + 1)])
+        counts = new
+    assert r.p_value == pytest.approx(min(1.0, 2 * sum(counts[n]) / math.comb(m + n, m)), rel=1e-9)
+
+
+def test_contingency_finds_its_columns_and_margins(spark):
+    rows = [("x", "yes"), ("x", "yes"), ("x", None), ("y", "no"), (None, "no"), ("z", "new")]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("count", F.lit(1).cast("bigint"))
+    frame = pd.DataFrame(rows, columns=["a", "b"]).fillna("-")
+    want = pd.crosstab(frame.a, frame.b)
+    got = contingency(df, "a", "b").collect()
+    assert len(got) == want.size
+    for r in got:
+        a, b = r.row_value or "-", r.col_value or "-"
+        assert (r["count"], r.row_count, r.col_count, r.all_count) == (want.loc[a, b], want.loc[a].sum(), want[b].sum(), len(rows))
+    wide = {r.row_value: r for r in crosstab_map(df, "a", "b").select(
+        "row_value", "row_count", F.map_keys("cells").alias("keys"), F.map_values("cells").alias("values")).collect()}
+    assert [k.col_value for k in wide["x"]["keys"]] == [None, "new", "no", "yes"]
+    assert [c["count"] for c in wide["x"]["values"]] == [1, 0, 0, 2] and wide["x"].row_count == 3
+    empty = df.limit(0)
+    assert contingency(empty, "a", "b").count() == 0
