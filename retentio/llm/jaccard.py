@@ -56,6 +56,9 @@ GROUPS = 4
 #: postings of one bucket, about; there are at least 2 ** MIN_BITS buckets
 BUCKET_TOKENS = 4_000_000
 MIN_BITS = 6
+#: words of 64 parity bits for a document; they tell some half of as many differing tokens
+PARITY_WORDS = 16
+_PARITY = tuple(f"bits{q}" for q in range(PARITY_WORDS))
 _SIZE_STEP = math.log(1.34)  # a little over 4/3: linked sets are at most one size class apart
 _PACKED = ("bucket int, doc_id bigint, n bigint, digest binary, rep bigint, docs binary, counts binary, "
            "low binary, high binary, hot binary, codes array<bigint>")
@@ -216,13 +219,27 @@ def _prefix(n, k):
     return n - F.ceil(n * THRESHOLD / 100) + k
 
 
+def _parities(batches):
+    """Batches of (doc_id, n, live) to the same with the parity words of live: of a token, four bits choose the word
+    and six the bit in it."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        live = batch.column(2)
+        flat = live.flatten().to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(live)), np.diff(live.offsets.to_numpy()))
+        words = np.zeros(len(live) * PARITY_WORDS, dtype="i8")
+        np.bitwise_xor.at(words, rows * PARITY_WORDS + flat % PARITY_WORDS, np.left_shift(1, flat // PARITY_WORDS % 64))
+        words = words.reshape(-1, PARITY_WORDS)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(words[:, q]) for q in range(PARITY_WORDS)]],
+                                         names=["doc_id", "n", "live", *_PARITY])
+
+
 def _sets(lists: DataFrame) -> DataFrame:
-    """One document per distinct set that may link: doc_id, n, live, and four parity words of its live tokens."""
-    sets = lists.where("live IS NOT NULL")
-    parity = [F.expr(f"aggregate(filter(live, x -> pmod(x, 4) = {q}), 0L, "
-                     "(word, x) -> word ^ shiftleft(1L, cast(pmod(shiftright(x, 2), 64) as int)))").alias(f"bits{q}")
-              for q in range(4)]
-    return sets.select("doc_id", "n", "live", *parity)
+    """One document per distinct set that may link: doc_id, n, live, and the parity words of its live tokens."""
+    return lists.where("live IS NOT NULL").select("doc_id", "n", "live").mapInArrow(
+        _parities, "doc_id bigint, n bigint, live array<bigint>, " + ", ".join(f"{q} bigint" for q in _PARITY))
 
 
 def _signatures(sets: DataFrame) -> DataFrame:
@@ -249,13 +266,13 @@ def _signatures(sets: DataFrame) -> DataFrame:
 def _may_link(a: str, b: str):
     """No linked pair fails it: of the symmetric difference, at most a seventh of both sizes when the
     similarity is 3/4, it counts the tokens no other document has and those the parity words tell."""
-    differ = sum((F.bit_count(F.col(f"{a}.bits{q}").bitwiseXOR(F.col(f"{b}.bits{q}"))) for q in range(4)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{a}.{q}").bitwiseXOR(F.col(f"{b}.{q}"))) for q in _PARITY), F.lit(0))
     alone = F.col(f"{a}.own") + F.col(f"{b}.own")
     both = F.col(f"{a}.n") + F.col(f"{b}.n")
     return (alone + differ) * (100 + THRESHOLD) <= both * (100 - THRESHOLD)
 
 
-_BRIEF = ("doc_id", "n", "own", "bits0", "bits1", "bits2", "bits3")
+_BRIEF = ("doc_id", "n", "own", *_PARITY)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
