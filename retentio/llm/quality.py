@@ -86,7 +86,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.when(F.col("text").rlike("[#*$%&|<>]"), F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, "")))
         .otherwise(0).cast("long").alias("n_symbols"),
-        F.expr(r"filter(split(text, '\n'), l -> length(btrim(l, ' \t\u000b\f\r')) > 0)").alias("lines"),
+        F.expr(r"filter(split(text, '\n'), l -> length(btrim(l, ' \t\u000b\u000c\r')) > 0)").alias("lines"),
         F.size("grams").cast("long").alias("n_grams"),
         F.aggregate("grams", F.lit(0).cast("long"), lambda acc, g: acc + F.get(ratios, g)).alias("micro"))
     # the hash of a five-word window is put together of those of its words, pairs and fours

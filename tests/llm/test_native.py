@@ -75,3 +75,13 @@ def test_ratio_tells_trusted_from_junk(spark):
 
 def test_quality_of_no_rows(spark, no_docs):
     assert quality.quality_rules(no_docs, no_trust(spark)).count() == 0
+
+
+def test_lines_of_separators_and_of_letters(spark):
+    """A line has a word unless it holds separators only; the letters that name them in escapes are words."""
+    texts = ["f\nf\nff\nff", "a\n\x0c\n\x0c\nb", "\n".join("bfnrtv" * 2), "x\n \t\x0b\x0c\r\n \t\x0b\x0c\r\nx",
+             *[f"a\n{c}\n{c}\na" for c in " \t\x0b\x0c\r"], "\\f\n\\f\nu000c\nu000c"]
+    got = by_id(quality.quality_rules(frame(spark, list(enumerate(texts))), no_trust(spark)), "n_dup_lines")
+    for i, t in enumerate(texts):
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert got[i] == len(lines) - len(set(lines)), t
