@@ -356,7 +356,6 @@ def blocks(documents, size: int = BLOCK):
 
 def train(docs: DataFrame, corpus: Corpus, every: int = EVERY) -> Gru:
     """The average of the partitions' models, weighted by the tokens each has seen."""
-    shared = docs.sparkSession.sparkContext.broadcast(corpus)
     share = docs.where(_learned() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)) if every > 1 else docs.where(_learned())
     bounded_batches(docs.sparkSession)
 
@@ -364,7 +363,7 @@ def train(docs: DataFrame, corpus: Corpus, every: int = EVERY) -> Gru:
         import numpy as np
         import pyarrow as pa
 
-        known, model, seen = shared.value, None, 0
+        known, model, seen = corpus, None, 0
         ids = (np.r_[known.model_ids(known.ids(words_of(text))), known.vocab + 1].astype(np.int32)
                for batch in batches for text in batch.column(0).to_pylist())
         for tokens in blocks(ids):
@@ -388,7 +387,6 @@ def train(docs: DataFrame, corpus: Corpus, every: int = EVERY) -> Gru:
 
 def _scored(docs: DataFrame, corpus: Corpus, model: Gru) -> DataFrame:
     """Per row: doc_id, n_words, head_words, head_log, score_log (log10, of all but rare words' shares), rare (words)."""
-    shared = docs.sparkSession.sparkContext.broadcast((corpus, model))
     bounded_batches(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
 
@@ -396,7 +394,7 @@ def _scored(docs: DataFrame, corpus: Corpus, model: Gru) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        known, net = shared.value
+        known, net = corpus, model
         logs = np.log10(np.r_[known.counts, 0] + 1.0)  # the last: not in the head
         outside = math.log10(known.outside)
         for batch in batches:

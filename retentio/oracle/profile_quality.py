@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .base import avg_money, cents, money, pct, ratio, scaled, units, with_ctes
+from .base import SERVICE_NATURAL, TEXT_COLUMNS, avg_money, cents, money, pct, ratio, scaled, units, with_ctes
 from .sqlgen import order_stats_cte, q_scaled, row
 
 Q: dict[str, str] = {}
@@ -67,6 +67,30 @@ FROM mo JOIN qs ON qs.column_name = mo.column_name ORDER BY mo.column_name"""
 
 Q["prof_numeric"] = describe_sql("raw", _NUMERIC_RAW)
 
+# a value's type by patterns, a column's by its values' types
+Q["prof_types"] = f"""
+, l AS (SELECT column_name, value, trim(value, {_BLANK_CHARS}) AS t FROM raw
+        UNPIVOT INCLUDE NULLS (value FOR column_name IN ({', '.join(RAW_COLUMNS)}))),
+k AS (
+    SELECT *, regexp_full_match(t, '[+-]?([0-9]+)') AS is_int, regexp_full_match(t, '[+-]?([0-9]+[.][0-9]*|[.][0-9]+)') AS is_dec,
+           regexp_full_match(t, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)[eE][+-]?[0-9]+|[+-]?([iI]nf|[iI]nfinity)') AS is_exp,
+           t IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false') AS is_bool
+    FROM l),
+d AS (
+    SELECT column_name, COUNT(*) AS n_values, COUNT(*) FILTER (WHERE value IS NULL) AS missing_count, coalesce(MAX(length(value)), 0) AS width,
+           coalesce(MAX(length(regexp_extract(t, '^[+-]?0*([0-9]*)', 1))) FILTER (WHERE is_int OR is_dec), 0) AS before,
+           coalesce(MAX(length(regexp_extract(t, '[.]([0-9]*)$', 1))) FILTER (WHERE is_dec), 0) AS behind,
+           COUNT(value) AS n, COUNT(*) FILTER (WHERE is_int) AS ints, COUNT(*) FILTER (WHERE is_dec) AS decs,
+           COUNT(*) FILTER (WHERE is_exp) AS exps, COUNT(*) FILTER (WHERE is_bool) AS bools
+    FROM k GROUP BY column_name)
+SELECT column_name,
+       CASE WHEN n = 0 THEN 'missing' WHEN bools = n THEN 'boolean' WHEN ints = n AND before <= 9 THEN 'int'
+            WHEN ints = n AND before <= 18 THEN 'bigint'
+            WHEN ints + decs = n AND before + behind <= 38 THEN 'decimal(' || greatest(before + behind, 1) || ',' || behind || ')'
+            WHEN ints + decs + exps = n THEN 'double' ELSE 'text' END AS inferred_type,
+       CAST(width AS BIGINT) AS width, missing_count, n_values, CAST(before + behind AS BIGINT) AS digits, CAST(behind AS BIGINT) AS scale
+FROM d"""
+
 Q["prof_coerce"] = """
 SELECT customerid, tenure, monthlycharges, totalcharges FROM raw
 WHERE TRY_CAST(totalcharges AS DOUBLE) IS NULL ORDER BY customerid"""
@@ -174,6 +198,70 @@ Q["dq_orphans"] = (
     )
 )
 
+# --- fixed values: what the tables declare
+_NOT_NULL = ["customer_id", "gender", "senior_citizen", "partner", "dependents", "tenure_months", "contract_type",
+             "paperless_billing", "payment_method", "monthly_charges", "churn"]
+_SETS = {c: "'Yes', 'No'" for c in ["churn", "partner", "dependents", "senior_citizen", "paperless_billing"]} | {
+    "gender": "'Male', 'Female'", "contract_type": "'Month-to-month', 'One year', 'Two year'"}
+_NATURAL = {"dim_customer": ["customer_id"], "dim_contract": ["contract_type", "payment_method", "paperless_billing"],
+            "dim_service_plan": list(SERVICE_NATURAL), "dim_tenure": ["tenure_months"]}
+_SURROGATE = {"dim_customer": "customer_key", "dim_contract": "contract_key", "dim_service_plan": "service_key", "dim_tenure": "date_key"}
+
+
+def _constraints() -> str:
+    """One SELECT a constraint, over the tables as they are and ``cand``, staging with every raw row."""
+    parts = []
+
+    def add(table: str, kind: str, columns: list[str], count: str, parent: str = "") -> None:
+        name = f"{kind}: {', '.join(columns)}" + (f" -> {parent}" if parent else "")
+        parts.append(f"SELECT '{table}' AS table_name, '{name}' AS constraint_name, '{kind}' AS kind, CAST(({count}) AS BIGINT) AS violations")
+
+    def source(table: str) -> str:
+        return {"staging": "cand", "fact_subscription": "fact"}.get(table, table)
+
+    def rows(table: str, where: str) -> str:
+        return f"SELECT COUNT(*) FROM {source(table)} WHERE {where}"
+
+    def unique(table: str, columns: list[str]) -> None:
+        known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+        add(table, "unique", columns, f"SELECT COUNT(*) - COUNT(DISTINCT ({', '.join(columns)})) FROM {source(table)} WHERE {known}")
+
+    def reference(table: str, column: str, parent: str) -> None:
+        add(table, "reference", [column],
+            rows(table, f"{column} IS NOT NULL AND {column} NOT IN (SELECT {column} FROM {source(parent)} WHERE {column} IS NOT NULL)"), parent)
+
+    add("raw", "domain", ["seniorcitizen"], rows("raw", "seniorcitizen NOT IN ('0', '1')"))
+    add("raw", "trimmed", ["totalcharges"], rows("raw", "totalcharges <> trim(totalcharges, ' ')"))
+    unique("staging", ["customer_id"])
+    reference("staging", "customer_id", "dim_customer")
+    for c in _NOT_NULL:
+        add("staging", "not null", [c], rows("staging", f"{c} IS NULL"))
+    for c, values in _SETS.items():
+        add("staging", "domain", [c], rows("staging", f"{c} NOT IN ({values})"))
+    for c in ["customer_id", "contract_type", "payment_method", "internet_service"]:
+        add("staging", "trimmed", [c], rows("staging", f"{c} <> trim({c}, ' ')"))
+    add("staging", "range", ["tenure_months"], rows("staging", "NOT tenure_months BETWEEN 0 AND 72"))
+    add("staging", "range", ["monthly_charges"], rows("staging", "monthly_charges < 0"))
+    for table, key in _SURROGATE.items():
+        unique(table, [key])
+        unique(table, _NATURAL[table])
+        add(table, "not null", [key], rows(table, f"{key} IS NULL"))
+        reference("fact_subscription", key, table)
+        add("fact_subscription", "not null", [key], rows("fact_subscription", f"{key} IS NULL"))
+    unique("fact_subscription", ["subscription_key"])
+    unique("fact_subscription", ["customer_id"])
+    reference("fact_subscription", "customer_id", "staging")
+    texts = ", ".join(f"trim({raw}, ' ') AS {name}" for raw, (name, _) in TEXT_COLUMNS.items())
+    return f""",
+cand AS (
+    SELECT {texts}, CASE trim(seniorcitizen, ' ') WHEN '1' THEN 'Yes' WHEN '0' THEN 'No' END AS senior_citizen,
+           TRY_CAST(trim(tenure, ' ') AS INTEGER) AS tenure_months, TRY_CAST(trim(monthlycharges, ' ') AS DECIMAL(10,2)) AS monthly_charges
+    FROM raw)
+""" + "\nUNION ALL\n".join(parts)
+
+
+Q["dq_constraints"] = _constraints()
+
 Q["dq_dim_listing"] = """
 SELECT 'dim_contract' AS dimension, contract_key AS key,
        concat_ws(' | ', contract_type, payment_method, paperless_billing, payment_category, contract_length) AS attributes

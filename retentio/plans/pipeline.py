@@ -44,6 +44,13 @@ class Pipeline:
 
         return self.checked.select(*RAW_COLUMNS)
 
+    @cached_property
+    def raw_types(self) -> DataFrame:
+        """Types of the raw columns by their values, frozen: one row a column."""
+        from .inference import column_types
+
+        return checkpointed(column_types(self.raw))
+
     @cached_property
     def quarantine(self) -> DataFrame:
         return stg_quarantine(self.checked)

@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import pct, round_units, scaled
+from ..operators.joins import broadcast_if_small
+from ..operators.ordering import checkpointed
 from ..operators.percentiles import order_statistics
+from .inference import column_types
 
 # --- fixed values: strings pandas reads as missing (its default NA tokens)
 PANDAS_NA_TOKENS = [
@@ -64,15 +67,31 @@ def prof_blank(raw: DataFrame) -> DataFrame:
     return per_col.unionByName(total)
 
 
-def prof_duplicates(raw: DataFrame, key: str = "customerid") -> DataFrame:
+def row_hash(columns: Sequence[str]) -> list[Column]:
+    """128 bits of a row; a null counts by its place."""
+    marks = F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns])
+    cols = [F.col(c) for c in columns]
+    return [F.xxhash64(marks, *cols).alias("_h1"), F.xxhash64(F.lit("second"), *reversed(cols), marks).alias("_h2")]
+
+
+def prof_duplicates(raw: DataFrame, key: str = "customerid", hash_of=row_hash) -> DataFrame:
     """Fully duplicated rows and duplicated keys (copies beyond the first; NULLs equal).
-    One scan: equal rows are counted first, then keys over the distinct rows; both
-    counts combine map-side, so a row or key that is common costs one row per task."""
-    rows = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_n"))
-    keys = rows.groupBy(key).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows"))
-    return keys.agg(
-        (F.sum("_n") - F.sum("_rows")).alias("duplicate_rows"), (F.sum("_n") - F.count(F.lit(1))).alias("duplicate_keys"),
-    ).select(F.coalesce("duplicate_rows", F.lit(0)).alias("duplicate_rows"), F.coalesce("duplicate_keys", F.lit(0)).alias("duplicate_keys"))
+
+    Rows are counted by a 128-bit hash and keys by themselves, both combined
+    map-side, so a row or key that is common costs one row per task and no row is
+    moved.  Only rows whose hash occurs again are then grouped whole, which tells
+    rows that merely share a hash apart.
+    """
+    hashed = raw.select(*hash_of(raw.columns))
+    again = checkpointed(hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    if again.isEmpty():
+        rows = raw.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("duplicate_rows"))
+    else:
+        suspects = raw.select("*", *hash_of(raw.columns)).join(broadcast_if_small(again), ["_h1", "_h2"], "left_semi")
+        equal = suspects.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_n"))
+        rows = equal.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    keys = raw.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint"))
+    return rows.select("duplicate_rows", keys.scalar().alias("duplicate_keys"))
 
 
 def prof_categories(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -84,55 +103,53 @@ def prof_categories(raw: DataFrame, columns: Sequence[str] | None = None) -> Dat
     )
 
 
-# A decimal or scientific number with optional surrounding blanks.
-NUMERIC_TEXT = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
-
-
-#: most decimals that a profile keeps; further digits are rounded half-up there
-MAX_DECIMALS = 9
+NUMERIC_TYPES = ("int", "bigint", "decimal", "double")
+#: digits up to which squares of a column are summed exactly (their sums have 38); longer numbers are profiled as doubles
+EXACT_DIGITS = 12
 
 
 def numeric_columns(raw: DataFrame) -> dict[str, int]:
     """Columns every non-missing value of which reads as a number (pandas-like
-    inference), with the most decimals that any value has.  A regex test, not
-    ``try_cast``: a failed cast costs an exception per value, and most values of
-    a text column fail."""
-    seen = raw.agg(
-        *[F.count_if(F.col(c).isNotNull() & ~F.col(c).rlike(NUMERIC_TEXT)).alias(f"bad_{c}") for c in raw.columns],
-        *[F.max(F.when(F.col(c).contains("."), F.length(F.regexp_extract(c, r"[.]([0-9]*)", 1)))
-                .when(F.lower(c).contains("e"), F.lit(MAX_DECIMALS)).otherwise(0)).alias(f"scale_{c}") for c in raw.columns],
-    ).first()
-    return {c: min(MAX_DECIMALS, seen[f"scale_{c}"] or 0) for c in raw.columns if seen[f"bad_{c}"] == 0}
-
-
-def describe(df: DataFrame, columns: Sequence[str], scale: int = 2, decimals: int = 2) -> DataFrame:
+    inference, ``plans/inference.py``), with the most decimals that any value has."""
+    return {r.column_name: r.scale for r in _numeric(raw, column_types(raw))}
+
+
+def _numeric(raw: DataFrame, types: DataFrame) -> list:
+    """The types of the numeric columns: one small row a column, in table order; a column without any value is none."""
+    rows = types.where(F.substring_index("inferred_type", "(", 1).isin(*NUMERIC_TYPES)).collect()
+    return sorted(rows, key=lambda r: raw.columns.index(r.column_name))
+
+
+def describe(df: DataFrame, columns: Sequence[str], scale: int = 2, decimals: int | dict[str, int] = 2) -> DataFrame:
     """count / mean / std / min / 25% / 50% / 75% / max per column, rounded half-up
     to ``scale`` digits at the end.  Exact: values become integers at ``decimals``
-    digits (the most that any has), moments are integer sums, quartiles come from
-    ``order_statistics``."""
-    inner = max(scale, decimals)
-    unit, coarser = 10**inner, 10**(inner - scale)
+    digits (the most that any has; a number for all or one a column), moments are
+    integer sums, quartiles come from ``order_statistics``."""
+    inner = {c: max(scale, decimals[c] if isinstance(decimals, dict) else decimals) for c in columns}
     long = _long(
-        df.select(*[(F.col(c).cast(f"decimal(30,{inner})") * unit).cast("decimal(38,0)").alias(c) for c in columns]),
+        df.select(*[(F.col(c).cast(f"decimal(38,{inner[c]})") * 10**inner[c]).cast("decimal(38,0)").alias(c) for c in columns]),
         list(columns), "column_name", "_v",
     ).where(F.col("_v").isNotNull())
     # quantiles and exact moments come from one (column, value, count) table
     q = order_statistics(long, "_v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"], moments=True)
+    units = F.create_map(*[F.lit(x) for c in columns for x in (c, inner[c] - scale)])
+    q = q.withColumn("coarser", F.pow(F.lit(10.0), units[F.col("column_name")]).cast("decimal(38,0)"))
+    unit, coarser = F.col("coarser").cast("double") * F.lit(float(10**scale)), F.col("coarser")
     n = F.col("n").cast("decimal(38,0)")
     var_num = n * F.col("sum_sq") - F.col("sum") * F.col("sum")
-    sd = F.sqrt(var_num.cast("double") / (n * (n - 1)).cast("double")) / F.lit(float(unit))
+    sd = F.sqrt(var_num.cast("double") / (n * (n - 1)).cast("double")) / unit
 
     def quantile(name: str) -> Column:
         lo, hi, f, b = (F.col(f"{name}_{x}") for x in ("lo", "hi", "f", "b"))
         return scaled(round_units(lo * b + f * (hi - lo), b * coarser, 1), scale)
 
     def whole(name: str) -> Column:
-        return scaled(round_units(F.col(name), F.lit(coarser), 1), scale)
+        return scaled(round_units(F.col(name), coarser, 1), scale)
 
     return q.select(
         "column_name",
         F.col("n").alias("count"),
-        scaled(round_units(F.col("sum"), F.col("n") * coarser, 1), scale).alias("mean"),
+        scaled(round_units(F.col("sum"), n * coarser, 1), scale).alias("mean"),
         F.round(sd, scale).alias("std"),
         whole("min").alias("min"),
         quantile("p25").alias("p25"),
@@ -142,9 +159,40 @@ def describe(df: DataFrame, columns: Sequence[str], scale: int = 2, decimals: in
     ).orderBy("column_name")
 
 
-def prof_numeric(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    found = numeric_columns(raw.select(*columns) if columns else raw)
-    return describe(raw, list(found), decimals=max([0, *found.values()]))
+def describe_doubles(df: DataFrame, columns: Sequence[str], scale: int = 2) -> DataFrame:
+    """The same for numbers of any size, in doubles: the mean is taken around the
+    median, so a large common part costs no digits, and the variance by merged
+    central moments."""
+    long = _long(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), list(columns), "column_name", "_v").where(
+        F.col("_v").isNotNull())
+    q = order_statistics(long, "_v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"])
+
+    def quantile(name: str) -> Column:
+        lo, hi, f, b = (F.col(f"{name}_{x}") for x in ("lo", "hi", "f", "b"))
+        return F.when(lo == hi, lo).otherwise(lo + f / b * (hi - lo))
+
+    q = checkpointed(q.select("column_name", "n", *[quantile(p).alias(p) for p in ("p25", "p50", "p75")]))  # a row a column
+    moments = (long.join(F.broadcast(q.select("column_name", F.col("p50").alias("_mid"))), "column_name").groupBy("column_name").agg(
+        F.first("_mid").alias("_mid"), F.avg(F.col("_v") - F.col("_mid")).alias("_off"), F.stddev_samp("_v").alias("_sd"),
+        F.min("_v").alias("min"), F.max("_v").alias("max")))
+    return q.join(F.broadcast(moments), "column_name").select(
+        "column_name", F.col("n").alias("count"), F.round(F.col("_mid") + F.col("_off"), scale).alias("mean"),
+        F.round("_sd", scale).alias("std"), *[F.round(c, scale).alias(c) for c in ("min", "p25", "p50", "p75", "max")]
+    ).orderBy("column_name")
+
+
+def prof_numeric(raw: DataFrame, columns: Sequence[str] | None = None, types: DataFrame | None = None) -> DataFrame:
+    """``describe`` of the numeric columns.  ``types`` are known ``column_types``; without them they cost a pass."""
+    chosen = raw.select(*columns) if columns else raw
+    types = column_types(chosen) if types is None else types.where(F.col("column_name").isin(chosen.columns))
+    exact, wide = {}, []
+    for r in _numeric(chosen, types):
+        if r.inferred_type != "double" and r.digits - r.scale + max(2, r.scale) <= EXACT_DIGITS:
+            exact[r.column_name] = r.scale
+        else:
+            wide.append(r.column_name)
+    parts = ([describe(raw, list(exact), decimals=exact)] if exact or not wide else []) + ([describe_doubles(raw, wide)] if wide else [])
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).orderBy("column_name")
 
 
 def prof_coerce(raw: DataFrame, column: str = "totalcharges") -> DataFrame:

@@ -27,7 +27,9 @@ def _files(spark: SparkSession, sf_dir: str) -> list:
     for name in _TABLES:
         path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for f in [f for f in fs.listStatus(path)]:
+        files = fs.listFiles(path, True)  # those of partition folders, too
+        while files.hasNext():
+            f = files.next()
             found.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
     return sorted(found)
 
@@ -68,7 +70,7 @@ def _ingest_roundtrip(p: Pipeline) -> DataFrame:
 
 
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import analytics, dashboard, eda, profile, quality, stats
+    from .plans import analytics, constraints, dashboard, eda, inference, profile, quality, stats
 
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -91,7 +93,8 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     add("prof_blank", lambda p: profile.prof_blank(p.raw))
     add("prof_duplicates", lambda p: profile.prof_duplicates(p.raw))
     add("prof_categories", lambda p: profile.prof_categories(p.raw))
-    add("prof_numeric", lambda p: profile.prof_numeric(p.raw))
+    add("prof_numeric", lambda p: profile.prof_numeric(p.raw, types=p.raw_types))
+    add("prof_types", lambda p: inference.prof_types(p.raw_types))
     add("prof_coerce", lambda p: profile.prof_coerce(p.raw))
     add("prof_target", lambda p: profile.prof_target(p.raw))
     # quality
@@ -111,6 +114,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     add("dq_orphans", lambda p: quality.dq_orphans(p.star.fact, quality.star_dims(p.star)))
     add("dq_dim_listing", lambda p: quality.dq_dim_listing(p.star))
     add("dq_dim_profile", lambda p: quality.dq_dim_profile(p.star))
+    add("dq_constraints", lambda p: constraints.violations(constraints.declared(), constraints.candidate_tables(p)))
     # analyses
     for name, fn in analytics.ANALYSES.items():
         add(name, lambda p, _fn=fn: _fn(p.star))
