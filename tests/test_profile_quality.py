@@ -114,3 +114,66 @@ def test_csv_quotes_backslashes_and_line_breaks(spark, tmp_path):
     again = {r.customer_id: r.note for r in ing_raw_load(spark, str(tmp_path / "out"), str(tmp_path / "raw2")).collect()}
     assert again == got
     assert dict(read_csv_inferred(spark, str(tmp_path / "in.csv")).dtypes) == {"Customer ID": "int", "note": "string"}
+
+
+def _types(spark, columns):
+    import itertools
+
+    from retentio.plans.inference import column_types
+
+    rows = list(itertools.zip_longest(*columns.values()))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    return {r.column_name: r for r in column_types(df).collect()}
+
+
+def test_types_are_the_join_of_all_values(spark):
+    t = _types(spark, {
+        "none": [None, None], "truth": ["True", None, "false"], "int": ["1", "-22", "+333", "000000000000007"],
+        "long": ["1234567890", " 5 "], "exact": ["1.5", "22", "-.25", "7."], "wide": ["1" * 30, "0.12345678"],
+        "double": ["1e25", "2"], "inf": ["inf", "1"], "huge": ["9" * 39], "mixed": ["True", "1"], "text": ["1", "x"], "blank": ["1", " "],
+        "signs": ["+-1"], "inner": ["1-2"], "dots": ["1.2.3"], "point": ["."], "empty": [""], "exp": ["1e"]})
+    assert {c: r.inferred_type for c, r in t.items()} == {
+        "none": "missing", "truth": "boolean", "int": "int", "long": "bigint", "exact": "decimal(4,2)", "wide": "decimal(38,8)",
+        "double": "double", "inf": "double", "huge": "double", "mixed": "text", "text": "text", "blank": "text", "signs": "text",
+        "inner": "text", "dots": "text", "point": "text", "empty": "text", "exp": "text"}
+    assert (t["int"].width, t["int"].missing_count, t["none"].width, t["truth"].missing_count) == (15, t["int"].n_values - 4, 0, t["truth"].n_values - 2)
+
+
+def test_kinds_of_two_loads_merge(spark):
+    from retentio.plans.inference import column_kinds, merge_kinds, type_name
+
+    a = spark.createDataFrame([("1", "x"), ("2.25", None)], "a string, b string")
+    b = spark.createDataFrame([("1e3", None)], "a string, b string")
+    parts = column_kinds(a).unionByName(column_kinds(b))
+    merged = {r.column_name: r for r in merge_kinds(parts).select("*", type_name().alias("t")).collect()}
+    whole = {r.column_name: r for r in column_kinds(a.unionByName(b)).select("*", type_name().alias("t")).collect()}
+    assert merged == whole and merged["a"].t == "double" and merged["b"].missing_count == 2
+
+
+def test_numbers_of_any_size_are_described(spark):
+    import statistics
+
+    small, large = ["1.123456789012", "2", "3.5"], ["1e25", "-3e25", "5"]
+    raw = spark.createDataFrame(list(zip(small, large, ["1e300", "1", "2"])), "small string, large string, sparse string")
+    out = {r.column_name: r for r in P.prof_numeric(raw).collect()}
+    assert out["small"].mean == round(statistics.mean(map(float, small)), 2) and out["small"]["count"] == 3
+    assert out["large"].max == 1e25 and out["large"].min == -3e25 and out["large"].p50 == 5.0
+    assert abs(out["large"]["std"] / statistics.stdev(map(float, large)) - 1) < 1e-12
+    assert out["sparse"].p75 == 5e299
+    # a large common part costs no digits
+    near = spark.createDataFrame([(str(10**14 + i) + ".25",) for i in range(5)], "x string")
+    assert P.prof_numeric(near).first().mean == 10**14 + 2.25
+
+
+def test_duplicates_by_hash_tell_collisions_apart(spark):
+    rows = [("a", "1", None), ("a", "1", None), ("a", None, "1"), (None, "x", "y"), (None, "x", "y"), (None, "x", "z"), ("b", "1", "1")]
+    raw = spark.createDataFrame(rows, "customerid string, x string, y string")
+    want = (2, 4)  # two rows again; a twice and null twice beyond the first
+    assert tuple(P.prof_duplicates(raw).first()) == want
+
+    def all_alike(columns):
+        return [F.lit(1).alias("_h1"), F.lit(2).alias("_h2")]
+
+    assert tuple(P.prof_duplicates(raw, hash_of=all_alike).first()) == want
+    assert tuple(P.prof_duplicates(raw.limit(0)).first()) == (0, 0)
+    assert tuple(P.prof_duplicates(raw.dropDuplicates(["customerid"])).first()) == (0, 0)
