@@ -60,10 +60,16 @@ def worker_state(owner: str) -> dict:
     return module.state
 
 
+#: characters of the longest key that a cache remembers; texts without spaces are one chunk each
+LONGEST_KEY = 64
+
+
 class BoundedCache(dict):
     """Values computed on first use, in two generations of about ``limit``
     entries: ``trim`` retires a full one, and what is used again comes back
-    from there.  Memory is bounded and results never depend on it."""
+    from there.  Keys of over ``LONGEST_KEY`` characters are computed each time,
+    so an entry has a bounded size, too (values here are at most as many numbers
+    as the key has bytes).  Memory is bounded and results never depend on it."""
 
     def __init__(self, compute, limit: int = 600_000):
         super().__init__()
@@ -72,6 +78,8 @@ class BoundedCache(dict):
         self.old: dict = {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)

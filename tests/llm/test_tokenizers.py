@@ -162,3 +162,15 @@ def test_chunk_shortcuts_equal_the_library():
     for _ in range(4000):
         text = "".join(rng.choices(parts, k=rng.randint(1, 10)))
         assert list(memoryview(encode(text)).cast("I")) == WORD.encode(text, add_special_tokens=False).ids, text
+
+
+def test_caches_do_not_remember_texts_without_spaces():
+    from retentio.llm.common import LONGEST_KEY, BoundedCache
+
+    asked = []
+    cache = BoundedCache(lambda key: asked.append(key) or len(key), limit=10)
+    long = [chr(0x4E00 + i) * 20_000 for i in range(50)]
+    for key in [*long, *long, "a" * LONGEST_KEY, "a" * LONGEST_KEY]:
+        assert cache[key] == len(key)
+        cache.trim()
+    assert len(asked) == 101 and list(cache) == ["a" * LONGEST_KEY]
