@@ -28,8 +28,9 @@ So every pair that links is compared or lies in one component.  Tokens are 54
 bits of a hash.  Copies of a set (exact duplicates) link by a 128-bit digest.
 
 Null or word-less text: no shingles, linked with nothing.  Fewer than five
-words: the whole sequence is one shingle.  A null doc_id links with nothing
-(component null); rows that repeat a doc_id count as one document with the
+words: the whole sequence is one shingle.  doc_id is a whole number.  A null
+doc_id links with nothing (component null); such rows pass beside the join.
+Rows that repeat a doc_id count as one document with the
 union of their shingles, and each gives a row.  An empty table gives an empty
 result; only doc_id and text are read.
 """
@@ -41,6 +42,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import broadcast_if_small
 from .common import bounded_batches, frozen, text_or_empty
 from .components import connected_components
 
@@ -86,7 +88,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def _postings(bits: int):
-    """Batches of (doc_id, text) to packed postings and a row for each document."""
+    """Batches of (doc_id, its distinct texts) to packed postings and a row for each document."""
 
     def run(batches):
         import numpy as np
@@ -99,16 +101,15 @@ def _postings(bits: int):
         shift = np.uint64(54 - bits)
         for batch in batches:
             rows, least = [], {}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = shingle_hashes(text)
+            for doc, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = shingle_hashes(texts[0]) if len(texts) == 1 else np.unique(np.concatenate([shingle_hashes(t) for t in texts]))
                 digest = xxhash.xxh3_128_digest(h.tobytes())
                 rows.append({"bucket": xxhash.xxh32_intdigest(str(doc)) % (1 << bits), "doc_id": doc, "n": len(h), "digest": digest})
-                if doc is not None and len(h):
+                if len(h):
                     known = least.get((len(h), digest))
                     least[len(h), digest] = (doc if known is None else min(doc, known[0]), h)
             for row in rows:
-                row["rep"] = least.get((row["n"], row["digest"]), (None,))[0] if row["doc_id"] is not None else None
-                row["rep"] = row["doc_id"] if row["rep"] is None else row["rep"]
+                row["rep"] = least.get((row["n"], row["digest"]), (row["doc_id"],))[0]
             docs, sets = [d for d, _ in least.values()], [h for _, h in least.values()]
             if docs:
                 tokens = np.concatenate(sets)
@@ -195,25 +196,50 @@ def _is_document(table):
     return pc.or_(pc.is_valid(table.column("digest")), pc.is_valid(table.column("codes")))
 
 
-def token_lists(docs: DataFrame) -> DataFrame:
-    """Per doc_id: rows (its input rows' n), n, digest, rep (smallest doc_id of its batch with the same set)
-    and live: its tokens that other documents have, by frequency class and hash."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
+
+
+def _repeated_ids(texts: DataFrame) -> DataFrame:
+    """doc_id of several rows, frozen; ids alone are read and counted."""
+    return frozen(texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"))
+
+
+def token_lists(docs: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """Per doc_id, not null: n, digest, rep (smallest doc_id of its batch with the same set) and live: its tokens that
+    other documents have, by frequency class and hash.  The texts of a repeated doc_id are one document."""
+    texts = _texts(docs)
+    repeated = _repeated_ids(texts) if repeated is None else repeated
+    bounded_batches(texts.sparkSession)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(MIN_BITS, math.ceil(math.log2(max(1.0, size / 6 / BUCKET_TOKENS))))
-    packed = texts.mapInArrow(_postings(bits), _PACKED)
+    known = texts.where("doc_id IS NOT NULL")
+    if repeated.isEmpty():
+        entries = known.select("doc_id", F.array("text").alias("texts"))
+    else:
+        again = broadcast_if_small(repeated)
+        entries = (known.join(again, "doc_id", "left_anti").select("doc_id", F.array("text").alias("texts"))
+                   .unionByName(known.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("text").alias("texts"))))
+    packed = entries.mapInArrow(_postings(bits), _PACKED)
     found = packed.groupBy("bucket").applyInArrow(
         _frequencies(bits), "doc_id bigint, n bigint, digest binary, rep bigint, codes array<bigint>")
     lists = found.groupBy("doc_id").agg(
-        F.collect_list("n").alias("rows"), F.max("n").alias("n"), F.max("digest").alias("digest"), F.min("rep").alias("rep"),
+        F.max("n").alias("n"), F.max("digest").alias("digest"), F.min("rep").alias("rep"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("live"))
     # a document whose shortest prefix has none but its own tokens is linked with nothing
     own = F.col("n") - F.size("live")
     return lists.withColumn("live", F.when((F.col("n") > 0) & (F.col("rep") == F.col("doc_id")) & (own < _prefix(F.col("n"), 1)), F.col("live")))
 
 
+def _sizes(batches):
+    """Batches of (doc_id, text) to doc_id and the size of the text's set."""
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(shingle_hashes(t)) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_shingles"])
+
+
 def _prefix(n, k):
     """How many first tokens of n share at least k with any linked set."""
     return n - F.ceil(n * THRESHOLD / 100) + k
@@ -287,7 +313,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
-    lists = frozen(token_lists(docs))
+    texts = _texts(docs)
+    repeated = _repeated_ids(texts)
+    lists = frozen(token_lists(texts, repeated))
     briefs = frozen(_sets(lists).withColumn("own", F.col("n") - F.size("live")))
     digests = lists.where("live IS NOT NULL").select("doc_id", "n", "digest")
     tops = frozen(digests.join(digests.groupBy("n", "digest").agg(F.min("doc_id").alias("top")), ["n", "digest"])
@@ -316,7 +344,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     more = frozen(_verified(across, sets))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
-    return _with_components(lists, tops, labels)
+    found = _with_components(lists, tops, labels)
+    if not repeated.isEmpty():  # a row for each of theirs
+        again = broadcast_if_small(repeated)
+        copies = texts.select("doc_id").join(again, "doc_id", "left_semi")
+        found = found.join(again, "doc_id", "left_anti").unionByName(
+            copies.join(found.join(again, "doc_id", "left_semi"), "doc_id").select("doc_id", "n_shingles", "component_id"))
+    nameless = texts.where("doc_id IS NULL").mapInArrow(_sizes, "doc_id bigint, n_shingles bigint")
+    return found.unionByName(nameless.withColumn("component_id", F.lit(None).cast("bigint")))
 
 
 def _with_least(rows: DataFrame) -> DataFrame:
@@ -351,8 +386,8 @@ def _with_components(lists: DataFrame, tops: DataFrame, labels: DataFrame) -> Da
     No more documents share a rep than a batch has."""
     named = (tops.join(labels, tops["top"] == labels["node"], "left")
              .select(F.col("doc_id").alias("rep"), F.coalesce("component", "top").alias("component_id")))
-    return (lists.select("doc_id", "rows", "rep").join(named, "rep", "left")
-            .select("doc_id", F.explode("rows").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id")))
+    return (lists.select("doc_id", "n", "rep").join(named, "rep", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id")))
 
 
 ORACLE = r"""

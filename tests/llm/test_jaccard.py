@@ -114,3 +114,19 @@ def test_components_of_chains_stars_and_none(spark):
         assert {out[n] for n in group} == {min(group)}
     assert len(out) == 500
     assert connected_components(links.where("a < 0")).count() == 0
+
+
+def test_repeated_ids_with_other_texts_are_one_document(spark):
+    """Doc 1 is the union of A and B, too unlike either to link with it; equal texts under one id change nothing."""
+    a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 40), ("b", 60)))
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, a), (4, a), (5, b + " more"), (5, b + " more")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_documents(frame(spark, rows)).collect())
+    assert got == [(1, 92, 1), (1, 92, 1), (2, 36, 2), (3, 56, 3), (4, 36, 2), (4, 36, 2), (5, 57, 3), (5, 57, 3)]
+
+
+def test_many_null_ids(spark):
+    rows = [(None, f"w{i % 7} " * 9 + "one two three") for i in range(300)] + [(8, "w1 " * 9 + "one two three"), (9, "w1 " * 9 + "one two three")]
+    out = jaccard.similar_documents(frame(spark, rows)).collect()
+    assert len(out) == 302 and {r.component_id for r in out if r.doc_id is None} == {None}
+    assert {(r.doc_id, r.component_id) for r in out if r.doc_id} == {(8, 8), (9, 8)}
+    assert {r.n_shingles for r in out} == {len(shingles(rows[0][1]))}
