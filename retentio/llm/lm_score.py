@@ -11,10 +11,13 @@ word outside the vocabulary gets the unknown token's probability times its
 smoothed share of the counts outside.  So the probabilities of a text's tokens
 given what precedes them sum to one.  Biases start at the corpus frequencies.
 
-*Training.*  Each partition trains a copy by truncated back-propagation (Adam,
-``WINDOW`` steps, states carried from window to window) on all training
-documents of its own, about ``BLOCK`` tokens at a time, and the copies are
-averaged by their tokens, in an aggregate by parameter.
+*Training.*  The training documents are dealt by hash to ``ROUNDS`` rounds and,
+in each, to copies of about ``COPY_TOKENS`` tokens; a copy takes its documents in
+the order of their hashes.  So neither the files' layout nor the number of
+partitions matters.  A copy starts from the last round's model and learns by
+truncated back-propagation (Adam, ``WINDOW`` steps, states carried from window to
+window) on all documents dealt to it, at most about ``BLOCK`` tokens at a time;
+a round ends with the copies' average by their tokens, an aggregate by parameter.
 
 *Scoring.*  A batch's documents run side by side, longest first, each from its
 first token to its end with the state carried across windows.
@@ -40,9 +43,12 @@ VOCAB = 4096
 CLASSES = 62
 HIDDEN = 16
 WINDOW = 20
-STREAMS = 64
+STREAMS = 128
 #: train on one in so many documents by hash; 1: on all
 EVERY = 1
+#: averages of the copies, and tokens that a copy learns between two of them, about
+ROUNDS = 4
+COPY_TOKENS = 1_000_000
 #: tokens that a worker holds at least before it trains on them
 BLOCK = 4_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -227,8 +233,8 @@ class Gru:
 
         x = np.r_[self.end, tokens[:-1]]
         streams = max(1, min(streams, len(tokens) // (100 * window)))  # at least a hundred updates
-        length = len(tokens) // streams
-        x, y = (a[:streams * length].reshape(streams, length).T for a in (x, tokens))
+        length = -(-len(tokens) // streams)  # the last stream is filled up from the start
+        x, y = (np.resize(a, streams * length).reshape(streams, length).T for a in (x, tokens))
         state = np.zeros((streams, self.hidden), dtype=np.float32)
         if not self.moments:
             self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
@@ -354,34 +360,41 @@ def blocks(documents, size: int = BLOCK):
         yield np.concatenate([*([] if done is None else [done]), *held])
 
 
-def train(docs: DataFrame, corpus: Corpus, every: int = EVERY) -> Gru:
-    """The average of the partitions' models, weighted by the tokens each has seen."""
+def train(docs: DataFrame, corpus: Corpus, every: int = EVERY, rounds: int = ROUNDS, copy_tokens: int = COPY_TOKENS) -> Gru:
+    """The model after the last round; each round's copies are averaged, weighted by the tokens each has seen."""
     share = docs.where(_learned() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)) if every > 1 else docs.where(_learned())
     bounded_batches(docs.sparkSession)
-
-    def fit(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        known, model, seen = corpus, None, 0
-        ids = (np.r_[known.model_ids(known.ids(words_of(text))), known.vocab + 1].astype(np.int32)
-               for batch in batches for text in batch.column(0).to_pylist())
-        for tokens in blocks(ids):
-            model = model or known.model()
-            model.fit(tokens)
-            seen += len(tokens)
-        if model:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([seen], pa.int64()), pa.array([model.flat().tolist()], pa.list_(pa.float32()))],
-                names=["weight", "flat"])
-
-    copies = share.select(text_or_empty("text").alias("text")).mapInArrow(fit, "weight bigint, flat array<float>")
-    mean = (copies.select("weight", F.posexplode("flat").alias("at", "value")).groupBy("at")
-            .agg((F.sum(F.col("value").cast("double") * F.col("weight")) / F.sum("weight")).alias("value")))
+    text = text_or_empty("text")
+    dealt = share.select(text.alias("text"), F.xxhash64("doc_id", text).alias("place"))
+    copies = max(1, math.ceil(corpus.n / every / rounds / copy_tokens))
     model = corpus.model()
-    averaged = sorted((r["at"], r["value"]) for r in mean.collect())
-    if averaged:
-        model.load([v for _, v in averaged])
+    for r in range(rounds):
+        mine = dealt.where(F.pmod(F.shiftrightunsigned("place", 40), F.lit(rounds)) == r)
+        start = model.flat()
+
+        def fit(batches, start=start):
+            import numpy as np
+            import pyarrow as pa
+
+            copy, seen = corpus.model(), 0
+            copy.load(start)
+            ids = (np.r_[corpus.model_ids(corpus.ids(words_of(text))), corpus.vocab + 1].astype(np.int32)
+                   for batch in batches for text in batch.column(0).to_pylist())
+            for tokens in blocks(ids):
+                copy.fit(tokens)
+                seen += len(tokens)
+            if seen:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([seen], pa.int64()), pa.array([copy.flat().tolist()], pa.list_(pa.float32()))],
+                    names=["weight", "flat"])
+
+        found = (mine.repartition(copies, "place").sortWithinPartitions("place", "text").select("text")
+                 .mapInArrow(fit, "weight bigint, flat array<float>"))
+        mean = (found.select("weight", F.posexplode("flat").alias("at", "value")).groupBy("at")
+                .agg((F.sum(F.col("value").cast("double") * F.col("weight")) / F.sum("weight")).alias("value")))
+        averaged = sorted((row["at"], row["value"]) for row in mean.collect())
+        if averaged:
+            model.load([v for _, v in averaged])
     return model
 
 

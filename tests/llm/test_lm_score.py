@@ -165,3 +165,20 @@ def test_training_in_blocks_goes_on(monkeypatch):
     parts.fit(tokens[:cut], window=10, streams=1)
     parts.fit(tokens[cut:], window=10, streams=1)
     assert np.allclose(whole.flat(), parts.flat(), atol=1e-5)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = corpus()
+    whole, cut = ({r.doc_id: r.score for r in M.lm_scores(frame(spark, rows).repartition(n)).collect()} for n in (1, 16))
+    assert whole.keys() == cut.keys() and all(abs(whole[i] - cut[i]) < 1e-4 * abs(whole[i]) for i in whole)
+
+
+def test_no_token_is_left_out_of_training():
+    """A block that the streams don't divide is filled up, not cut."""
+    m = small()
+    seen = []
+    m.gradients = lambda x, y, state: seen.append(y) or (0.0, {k: np.zeros_like(v) for k, v in m.p.items()}, state)
+    tokens = np.arange(2007) % 9
+    m.fit(tokens, window=5, streams=4)
+    streams = np.concatenate(seen)
+    assert np.array_equal(streams.T.ravel()[:2007], tokens) and streams.size - 2007 < streams.shape[1]
