@@ -1,6 +1,7 @@
 """Training-data operators: token counts, licence scans, exact and near
 duplicates, packing, personal data, byte-level BPE, language-model scores,
-quality rules and language identification.
+quality rules, language identification, repeated passages, ranked search and
+Merkle manifests.
 
 Nothing else in the library imports this package.  Functions that run in
 Python workers are shipped by value, so a worker needs no copy of the package.

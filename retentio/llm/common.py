@@ -43,7 +43,8 @@ def frozen(df: DataFrame) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough for a worker, whatever the texts' length."""
+    """Arrow batches small enough for a worker, whatever the texts' length.  The session keeps the setting: it is
+    read when a query runs, which is after its operator has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
