@@ -43,7 +43,7 @@ VOCAB = 4096
 CLASSES = 62
 HIDDEN = 16
 WINDOW = 20
-STREAMS = 128
+STREAMS = 256
 #: train on one in so many documents by hash; 1: on all
 EVERY = 1
 #: averages of the copies, and tokens that a copy learns between two of them, about
@@ -123,36 +123,56 @@ class Gru:
         new = np.tanh(x[:, 2 * h:] + reset * r[:, 2 * h:])
         return z, reset, r[:, 2 * h:], new, state + z * (new - state)
 
-    @staticmethod
-    def _log_sums(states, weights, bias):
-        """Logits and the log of their exponentials' sum.  States lie in [-1, 1], so the logits'
-        bounds are known: within them exponentials need no shift."""
-        import numpy as np
-
-        logits = states @ weights + bias
-        reach = np.abs(weights).sum(axis=0)
-        if (bias + reach).max() < 60 and (bias - reach).max() > -60:
-            return logits, np.log(np.exp(logits) @ np.ones(logits.shape[1], dtype=logits.dtype))
-        top = logits.max(axis=1)
-        return logits, top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-
     def log_probs(self, states, targets):
         """Natural log-probability of each target given its state."""
         import numpy as np
 
-        logits, sums = self._log_sums(states, self.p["class"], self.p["class_bias"])
-        cls = self.cls[targets]
-        out = logits[np.arange(len(cls)), cls] - sums
-        order = np.argsort(cls.astype(np.int16 if len(self.starts) < 32_000 else np.int32), kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(len(self.starts) + 1))
+        h = self.hidden
+        order = np.argsort(targets.astype(np.int16 if len(self.cls) < 32_000 else np.int32), kind="stable")
+        y = targets[order]  # the tokens of a word, and those of a class, are neighbours
+        cls = self.cls[y]
+        flat = np.ones((len(y), h + 1), dtype=states.dtype)  # the ones carry the biases
+        flat[:, :h] = states[order]
+        classes, words, reach = self._joined()
+        logs = self._log_sums(flat, classes, reach)
+        right = classes[cls]
+        bounds = np.searchsorted(cls, np.arange(len(self.starts) + 1)).tolist()
         for c in np.flatnonzero(np.diff(bounds)).tolist():
-            a, b = self.starts[c], self.stops[c]
+            a, b, i, j = self.starts[c], self.stops[c], bounds[c], bounds[c + 1]
             if b - a > 1:
-                rows = order[bounds[c]:bounds[c + 1]]
-                word, sums = self._log_sums(states[rows], self.p["word"][a:b].T, self.p["word_bias"][a:b])
-                out[rows] += word[np.arange(len(rows)), targets[rows] - a] - sums
+                logs[i:j] += self._log_sums(flat[i:j], words[a:b], reach)
+                right[i:j] += words[y[i:j]]
+        out = np.empty_like(logs)
+        out[order] = (flat * right).sum(axis=1) - logs
         return out
 
+    def _joined(self):
+        """Weights of classes and of words with their biases as a last column, and a bound of the logits:
+        states lie in [-1, 1]."""
+        import numpy as np
+
+        classes = np.column_stack([self.p["class"].T, self.p["class_bias"]])
+        words = np.column_stack([self.p["word"], self.p["word_bias"]])
+        return classes, words, max(np.abs(w).sum(axis=1).max() for w in (classes, words))
+
+    @staticmethod
+    def _exponentials(states, weights, reach):
+        """Exponentials of the logits less a top by row: 0 where they cannot leave the range of a float."""
+        import numpy as np
+
+        logits = states @ weights.T
+        top = 0
+        if reach > 60:
+            top = logits.max(axis=1)
+            logits -= top[:, None]
+        return np.exp(logits, out=logits), top
+
+    def _log_sums(self, states, weights, reach):
+        import numpy as np
+
+        exps, top = self._exponentials(states, weights, reach)
+        return top + np.log(exps @ np.ones(len(weights), dtype=exps.dtype))
+
     def gradients(self, inputs, targets, state):
         """Mean loss over a window (steps, streams), its gradients, and the state after it."""
         import numpy as np
@@ -169,44 +189,59 @@ class Gru:
             z, reset, rn, new, after = self.step(x[t], state)
             kept.append((state, z, reset, rn, new))
             states[t] = state = after
-        cls = self.cls[targets.ravel()]
-        order = np.argsort(cls, kind="stable")  # the tokens of a class are neighbours
-        flat, y, cls = states.reshape(-1, h)[order], targets.ravel()[order], cls[order]
-        n, rows = len(y), np.arange(len(y))
+        order = np.argsort(targets.ravel().astype(np.int16 if len(self.cls) < 32_000 else np.int32), kind="stable")
+        y = targets.ravel()[order]  # the tokens of a word, and those of a class, are neighbours
+        cls, n = self.cls[y], len(y)
+        # a column of ones carries the biases, and in the weights the sums of exponentials
+        flat = np.ones((n, h + 1), dtype=state.dtype)
+        flat[:, :h] = states.reshape(-1, h)[order]
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        prob = self._shares(flat, p["class"], p["class_bias"])
-        chosen = prob[rows, cls]
-        prob[rows, cls] -= 1
-        prob /= n
-        g["class"], g["class_bias"] = flat.T @ prob, prob.sum(axis=0)
-        back = prob @ p["class"].T
+        classes, words, reach = self._joined()
+        back, slope, logs = self._pull(flat, classes, reach)
+        g["class"], g["class_bias"] = slope[:, :h].T / n, slope[:, h] / n
+        word_slope = np.zeros_like(words)
         bounds = np.searchsorted(cls, np.arange(len(self.starts) + 1)).tolist()
+        alone = np.ones(len(self.starts), dtype=bool)
         for c in np.flatnonzero(np.diff(bounds)).tolist():
             a, b, i, j = self.starts[c], self.stops[c], bounds[c], bounds[c + 1]
             if b - a > 1:
-                weights, mine = p["word"][a:b], flat[i:j]
-                q = self._shares(mine, weights.T, p["word_bias"][a:b])
-                picked = (rows[:j - i], y[i:j] - a)
-                chosen[i:j] *= q[picked]
-                q[picked] -= 1
-                q /= n
-                g["word"][a:b], g["word_bias"][a:b] = q.T @ mine, q.sum(axis=0)
-                back[i:j] += q @ weights
-        loss = -np.log(chosen + 1e-30).sum()
+                alone[c] = False
+                pull, word_slope[a:b], sums = self._pull(flat[i:j], words[a:b], reach)
+                back[i:j] += pull
+                logs[i:j] += sums
+        # what the right class and word add: their own logits, weights and states
+        firsts = np.flatnonzero(np.diff(y, prepend=-1))
+        by_target = np.add.reduceat(flat, firsts, axis=0) / n
+        mine = y[firsts]
+        np.subtract.at(g["class"].T, self.cls[mine], by_target[:, :h])
+        np.subtract.at(g["class_bias"], self.cls[mine], by_target[:, h])
+        word_slope /= n
+        inner = ~alone[self.cls[mine]]
+        word_slope[mine[inner]] -= by_target[inner]
+        g["word"], g["word_bias"] = word_slope[:, :h], word_slope[:, h]
+        right = classes[cls]
+        many = ~alone[cls]
+        right[many] += words[y[many]]
+        loss = float((logs - (flat * right).sum(axis=1)).sum())
+        back -= right[:, :h]
+        back /= n
         unsorted = np.empty_like(back)
         unsorted[order] = back
         back = unsorted.reshape(steps, streams, h)
         carry = np.zeros((streams, h), dtype=state.dtype)
         d_inputs = np.empty((steps, streams, 3 * h), dtype=state.dtype)
+        d_rec, befores = np.empty_like(d_inputs), np.empty((steps, streams, h), dtype=state.dtype)
         for t in reversed(range(steps)):
             before, z, reset, rn, new = kept[t]
             d = back[t] + carry
             d_new = d * z * (1 - new * new)
-            d_gates = np.concatenate([d * (new - before) * z * (1 - z), d_new * rn * reset * (1 - reset)], axis=1)
-            d_inputs[t, :, :2 * h], d_inputs[t, :, 2 * h:] = d_gates, d_new
-            d_rec = np.concatenate([d_gates, d_new * reset], axis=1)
-            g["rec"] += before.T @ d_rec
-            carry = (d * (1 - z) + d_rec @ p["rec"].T) * inside[t]
+            d_inputs[t, :, :h] = d * (new - before) * z * (1 - z)
+            d_inputs[t, :, h:2 * h] = d_new * rn * reset * (1 - reset)
+            d_inputs[t, :, 2 * h:] = d_new
+            d_rec[t, :, :2 * h], d_rec[t, :, 2 * h:] = d_inputs[t, :, :2 * h], d_new * reset
+            befores[t] = before
+            carry = (d * (1 - z) + d_rec[t] @ p["rec"].T) * inside[t]
+        g["rec"] = befores.reshape(-1, h).T @ d_rec.reshape(-1, 3 * h)
         order = np.argsort(at.ravel(), kind="stable")
         starts = np.searchsorted(at.ravel()[order], np.arange(len(known)))
         by_word = np.add.reduceat(d_inputs.reshape(-1, 3 * h)[order], starts, axis=0)
@@ -215,16 +250,18 @@ class Gru:
         g["embed"][known] = by_word @ p["in"].T
         return loss / n, g, state
 
-    @staticmethod
-    def _shares(states, weights, bias):
-        """The softmax over each state's logits."""
+    def _pull(self, states, weights, reach):
+        """For a softmax over ``weights`` (biases last) of ``states`` (ones last): the expected weights of each
+        state, the sum of states by weight, each times its probability, and the log of the exponentials' sum.
+        Probabilities are never formed: the sums divide the narrow sides."""
         import numpy as np
 
-        logits = states @ weights + bias
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= (logits @ np.ones(logits.shape[1], dtype=logits.dtype))[:, None]
-        return logits
+        exps, top = self._exponentials(states, weights, reach)
+        summing = weights.copy()
+        summing[:, -1] = 1
+        pull = exps @ summing
+        sums = pull[:, -1:]
+        return pull[:, :-1] / sums, exps.T @ (states / sums), top + np.log(sums[:, 0])
 
     def fit(self, tokens, rate: float = 0.01, window: int = WINDOW, streams: int = STREAMS) -> None:
         """One pass over ``tokens`` (documents, each closed by an end), cut into streams side by side.
@@ -254,7 +291,7 @@ class Gru:
                 v *= rate / (1 - 0.9 ** self.steps)
                 self.p[k] -= v
 
-    def document_log_probs(self, documents, window: int = 64, chunk: int = 200_000):
+    def document_log_probs(self, documents, window: int = 64, chunk: int = 16_384):
         """Natural log-probability of each document (ids without its end), ends included."""
         import numpy as np
 
@@ -365,31 +402,35 @@ def train(docs: DataFrame, corpus: Corpus, every: int = EVERY, rounds: int = ROU
     share = docs.where(_learned() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)) if every > 1 else docs.where(_learned())
     bounded_batches(docs.sparkSession)
     text = text_or_empty("text")
-    dealt = share.select(text.alias("text"), F.xxhash64("doc_id", text).alias("place"))
     copies = max(1, math.ceil(corpus.n / every / rounds / copy_tokens))
+    place = F.xxhash64("doc_id", text)
+    dealt = share.select(text.alias("text"), place.alias("place"), F.pmod(place, F.lit(copies)).cast("int").alias("copy"))
     model = corpus.model()
     for r in range(rounds):
         mine = dealt.where(F.pmod(F.shiftrightunsigned("place", 40), F.lit(rounds)) == r)
         start = model.flat()
 
         def fit(batches, start=start):
+            from itertools import groupby
+
             import numpy as np
             import pyarrow as pa
 
-            copy, seen = corpus.model(), 0
-            copy.load(start)
-            ids = (np.r_[corpus.model_ids(corpus.ids(words_of(text))), corpus.vocab + 1].astype(np.int32)
-                   for batch in batches for text in batch.column(0).to_pylist())
-            for tokens in blocks(ids):
-                copy.fit(tokens)
-                seen += len(tokens)
-            if seen:
+            rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for _, own in groupby(rows, key=lambda row: row[0]):  # a task may hold more than one copy's documents
+                copy, seen = corpus.model(), 0
+                copy.load(start)
+                ids = (np.r_[corpus.model_ids(corpus.ids(words_of(text))), corpus.vocab + 1].astype(np.int32)
+                       for _, text in own)
+                for tokens in blocks(ids):
+                    copy.fit(tokens)
+                    seen += len(tokens)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([seen], pa.int64()), pa.array([copy.flat().tolist()], pa.list_(pa.float32()))],
+                    [pa.array([seen], pa.int64()), pa.array([copy.flat()], pa.list_(pa.float32()))],
                     names=["weight", "flat"])
 
-        found = (mine.repartition(copies, "place").sortWithinPartitions("place", "text").select("text")
-                 .mapInArrow(fit, "weight bigint, flat array<float>"))
+        found = (mine.repartitionById(copies, F.col("copy")).sortWithinPartitions("copy", "place", "text")
+                 .select("copy", "text").mapInArrow(fit, "weight bigint, flat array<float>"))
         mean = (found.select("weight", F.posexplode("flat").alias("at", "value")).groupBy("at")
                 .agg((F.sum(F.col("value").cast("double") * F.col("weight")) / F.sum("weight")).alias("value")))
         averaged = sorted((row["at"], row["value"]) for row in mean.collect())
