@@ -103,5 +103,44 @@ def test_spans_of_a_label_do_not_overlap():
         assert len(spans) >= 200 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_chains_reach_back_over_any_number_of_matches():
+    """The best coverage is that of a search over all earlier matches."""
+    rng = random.Random(5)
+    total, gap = 60, 12
+    template = [f"t{i % 7}" for i in range(total)]  # words that recur: each place has many matches
+    scanner = licences.Scanner({"q": "q"}, [("t", " ".join(template))], 2, gap, 0.2)
+    longest = 0
+    for _ in range(30):
+        found = sorted({(d := rng.randint(0, 120), u := rng.randint(0, total - 2), rng.randint(2, min(12, total - u)))
+                        for _ in range(300)})
+        best = []
+        for d, u, n in found:
+            options = [n]
+            for k, (d2, u2, n2) in enumerate(found[:len(best)]):
+                over = max(0, d2 + n2 - d, u2 + n2 - u)
+                if d2 < d and u2 < u and over < n and d - d2 - n2 <= gap:
+                    options.append(best[k] + n - over)
+                    longest = max(longest, len(best) - k)
+            best.append(max(options))
+        spans, score = scanner._chains({0: list(found)})
+        assert score == min(max(best) / total, 1.0) and spans
+    assert longest > 64
+
+
+def test_whole_texts_of_licences():
+    scanner = licences.Scanner(licences.PHRASES, licences.TEMPLATES, licences.MIN_MATCH, licences.MAX_GAP, licences.COVERED)
+    for label, whole in licences.TEMPLATES:
+        w = words(whole)
+        if len(w) < 90:
+            continue
+        text = "see below x y z. " + " ".join(w).upper() + " end of file"
+        spans = scanner.scan(text)[2]
+        assert (label, 5, 4 + len(w)) in {s[:3] for s in spans}, label
+        # an eighth of its words changed here and there: one span still, by chained matches
+        edited = [f"other{i}" if i % 16 in (7, 8) else x for i, x in enumerate(w)]
+        spans = [s for s in scanner.scan(" ".join(edited))[2] if s[0] == label]
+        assert any(s[2] - s[1] > 0.9 * len(w) and s[3] < 1 for s in spans), label
+
+
 def test_no_rows(no_docs):
     assert licences.licence_scan(no_docs).count() == 0
