@@ -8,7 +8,7 @@ extracted together with the gap before it, so the lengths give its place.
 *Bootstrapping.*  Candidates are runs of ASCII letters, digits, ``_`` and
 ``-`` with at least ``MIN_DIGITS`` digits that no base span touches.  The base
 matches are seed instances.  Each instance, seed or candidate, occurs after
-lexical patterns: the two words before it, and the word before it if it ends
+lexical patterns: the two words before it, whole whatever their length, and the word before it if it ends
 like a label (``:``, ``=`` or ``#``).  Patterns with at least ``SUPPORT``
 instances of score ``CONFIDENT``, seeds or candidates of an earlier round, are
 scored by the mean score of their distinct instances (one more counts as a
@@ -34,7 +34,6 @@ MIN_DIGITS = 5
 SUPPORT = 3
 CONFIDENT = 0.75
 ROUNDS = 3
-CONTEXT = 48
 KINDS = ("email", "ip", "card", "phone", "id")
 
 # the base patterns, with possessive runs and starts only where a run starts or
@@ -59,6 +58,11 @@ _VALID = {
 _SPANS = "array<struct<start: bigint, end: bigint, value: string, before: string>>"
 
 
+def _last_words(gap: Column) -> Column:
+    """The last two words of a gap, whole; reversed, they stand at its start, where a pattern needs no search."""
+    return F.reverse(F.regexp_extract(F.reverse(gap), r"^\s*(\S+(?:\s+\S+)?)", 1))
+
+
 def _matches(kind: str, pattern: str) -> Column:
     """Spans of a kind's pattern in ``text``, before its check."""
     gaps = F.regexp_extract_all("text", F.lit(f"(?s)\\G(.*?)({pattern})"), 1)
@@ -71,33 +75,32 @@ def _matches(kind: str, pattern: str) -> Column:
             F.concat(s["out"], F.array(F.struct(
                 (s["at"] + F.char_length(p["gap"])).alias("start"),
                 (s["at"] + F.char_length(p["gap"]) + F.char_length(p["value"])).alias("end"),
-                p["value"].alias("value"), F.right(p["gap"], F.lit(CONTEXT)).alias("before")))).alias("out")),
+                p["value"].alias("value"), _last_words(p["gap"]).alias("before")))).alias("out")),
         lambda s: s["out"])
     return F.when(F.col("text").rlike(_HINTS[kind]), spans).otherwise(F.expr(f"cast(array() AS {_SPANS})"))
 
 
-def _with_base(docs: DataFrame) -> DataFrame:
-    """doc_id, version (tells apart texts under one doc_id), text, and valid spans by kind."""
+def _spans(docs: DataFrame) -> DataFrame:
+    """doc_id, version (tells apart texts under one doc_id), valid base spans by kind, and candidates.
+    All that is read of the texts; the table is written once and both steps take it."""
     text = text_or_empty("text")
     found = docs.select("doc_id", F.xxhash64(text).alias("version"), text.alias("text"))
-    patterns = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
-    found = found.select("*", *[_matches(k, p).alias(f"{k}_all") for k, p in patterns.items()])
-    return found.select("doc_id", "version", "text",
-                        *[F.expr(f"filter({k}_all, m -> {_VALID[k]})").alias(k) for k in patterns])
+    patterns = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE, "id": _CANDIDATE}
+    found = found.select("doc_id", "version", *[_matches(k, p).alias(f"{k}_all") for k, p in patterns.items()])
+    return frozen(found.select("doc_id", "version", *[F.expr(f"filter({k}_all, m -> {_VALID[k]})").alias(k)
+                                                      for k in KINDS[:4]], F.col("id_all").alias("candidates")))
 
 
 def _patterns(before: Column) -> Column:
-    words = F.split(F.rtrim(F.lower(before)), r"\s+")
+    words = F.split(F.lower(before), r"\s+")
     last, second = F.element_at(words, -1), F.try_element_at(words, F.lit(-2))
     return F.filter(F.array(F.concat_ws(" ", second, last), F.when(last.rlike("[:=#]$"), last)),
                     lambda p: p.isNotNull() & (p != ""))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+def _occurrences(spans: DataFrame) -> DataFrame:
     """doc_id, version, start, end, value, seed, patterns: base matches and candidates."""
-    base = _with_base(docs.where(F.col("text").rlike("[0-9@]")))
-    seen = base.select("doc_id", "version", F.concat("email", "ip", "card", "phone").alias("seeds"),
-                       _matches("id", _CANDIDATE).alias("candidates"))
+    seen = spans.select("doc_id", "version", F.concat(*KINDS[:4]).alias("seeds"), "candidates")
     free = F.expr("filter(candidates, c -> NOT exists(seeds, s -> s.start < c.end AND c.start < s.end))")
     both = seen.select("doc_id", "version", F.concat(
         F.transform("seeds", lambda s: F.struct(s.alias("s"), F.lit(True).alias("seed"))),
@@ -108,9 +111,9 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                       _patterns(F.col("o.s.before")).alias("patterns"))
 
 
-def discover(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
+def _discover(spans: DataFrame, support: int, confident: float, rounds: int) -> DataFrame:
     """doc_id, version, start, end, value of candidates that confident patterns point at."""
-    seen = frozen(_occurrences(docs))
+    seen = frozen(_occurrences(spans))
     edges = (seen.select(F.explode("patterns").alias("pattern"), "value", "seed")
              .groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     known = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count("*").alias("instances"))
@@ -136,11 +139,11 @@ def discover(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDE
 
 def personal_data(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, version and spans by kind (arrays of start, end, value, before): email, ip, card, phone, id."""
-    found = (discover(docs, support, confident, rounds).distinct().groupBy("doc_id", "version")
+    base = _spans(docs)
+    found = (_discover(base, support, confident, rounds).distinct().groupBy("doc_id", "version")
              .agg(F.sort_array(F.collect_list(F.struct("start", "end", "value", F.lit("").alias("before")))).alias("id")))
     found = found.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "id")
-    base = _with_base(docs).drop("text")
-    return (base.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left")
+    return (base.drop("candidates").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left")
             .drop("_id", "_version").withColumn("id", F.coalesce("id", F.expr(f"cast(array() AS {_SPANS})"))))
 
 

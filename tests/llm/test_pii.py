@@ -84,6 +84,15 @@ def test_found_identifiers_lead_to_further_contexts(spark):
     assert {s.value for r in rows for s in r.id} == {*shared, *further, "ZX7777777", "YY8888888"}
 
 
+def test_contexts_are_whole_words(spark):
+    """Long words that differ far to the left are different contexts; a line break before a value is white space."""
+    long = "x" * 80
+    texts = [f"a{long} b{long} +1 ({300 + i}) 555-{2000 + i}" for i in range(30)]
+    texts += [f"c{long} b{long} AB1234567", f"a{long} d{long} AB2345678", f"word a{long}\nb{long}\n AB3456789"]
+    rows = {r.doc_id: [s.value for s in r.id] for r in pii.personal_data(frame(spark, list(enumerate(texts)))).collect()}
+    assert {i: v for i, v in rows.items() if v} == {32: ["AB3456789"]}
+
+
 def test_few_seeds_find_nothing(spark):
     texts = ["my passport no +1 (684) 555-0954", "my passport no AB1234567"]
     assert all(not r.id for r in pii.personal_data(frame(spark, list(enumerate(texts)))).collect())
