@@ -177,3 +177,15 @@ def test_duplicates_by_hash_tell_collisions_apart(spark):
     assert tuple(P.prof_duplicates(raw, hash_of=all_alike).first()) == want
     assert tuple(P.prof_duplicates(raw.limit(0)).first()) == (0, 0)
     assert tuple(P.prof_duplicates(raw.dropDuplicates(["customerid"])).first()) == (0, 0)
+
+
+def test_kinds_are_told_without_a_translate_a_character(spark):
+    from retentio.plans.inference import column_kinds, column_types
+
+    plan = column_kinds(spark.createDataFrame([("1", "x")], "a string, b string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and plan.count("trim(") <= 3  # a value is trimmed once, its kind is found once
+    values = {"1e5\u0085": "text", "+Inf": "double", "Infinity": "double", "-infinity": "double", "infix": "text", "-.": "text", "/1": "text",
+              ",5": "text", "+.5": "decimal(1,1)", "-007.50": "decimal(3,2)", "1.e3": "double", "١": "text", "12 ": "text", "0": "int"}
+    df = spark.createDataFrame([tuple(values)], ", ".join(f"c{i} string" for i in range(len(values))))
+    got = {r.column_name: r.inferred_type for r in column_types(df).collect()}
+    assert got == {f"c{i}": t for i, t in enumerate(values.values())}
