@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .joins import broadcast_if_small
+from .joins import broadcast_or_merge
 
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
@@ -121,7 +121,7 @@ def _join_offsets(ranged: DataFrame, offsets: DataFrame, partition_by: Sequence[
     cond = [ranged["_pid"] == o["_o_pid"]] + [ranged[p].eqNullSafe(o[f"_o_{p}"]) for p in partition_by]
     # Without window partitions the offsets table has one row per range: its
     # size is the range count we chose, so it is broadcast without counting.
-    small = F.broadcast(o) if not partition_by else broadcast_if_small(o, max_broadcast_rows)
+    small = F.broadcast(o) if not partition_by else broadcast_or_merge(o, max_broadcast_rows)
     joined = ranged.join(small, cond, "inner")
     return joined.drop("_o_pid", *[f"_o_{p}" for p in partition_by])
 
@@ -257,7 +257,7 @@ def ranks(df: DataFrame, order_col: str, descending: bool = True, partition_by:
     for c in on:
         t = t.withColumnRenamed(c, f"_r_{c}")
     cond = [df[c].eqNullSafe(t[f"_r_{c}"]) for c in on]
-    return df.join(broadcast_if_small(t, max_broadcast_rows), cond, "inner").drop(*[f"_r_{c}" for c in on])
+    return df.join(broadcast_or_merge(t, max_broadcast_rows), cond, "inner").drop(*[f"_r_{c}" for c in on])
 
 
 def ntile_column(df: DataFrame, value_col: str, tiebreak_col: str, buckets: int, name: str = "ntile",

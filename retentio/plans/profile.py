@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import pct, round_units, scaled
-from ..operators.joins import broadcast_if_small
+from ..operators.joins import broadcast_or_merge
 from ..operators.ordering import checkpointed
 from ..operators.percentiles import order_statistics
 from .inference import column_types
@@ -87,7 +87,7 @@ def prof_duplicates(raw: DataFrame, key: str = "customerid", hash_of=row_hash) -
     if again.isEmpty():
         rows = raw.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("duplicate_rows"))
     else:
-        suspects = raw.select("*", *hash_of(raw.columns)).join(broadcast_if_small(again), ["_h1", "_h2"], "left_semi")
+        suspects = raw.select("*", *hash_of(raw.columns)).join(broadcast_or_merge(again), ["_h1", "_h2"], "left_semi")
         equal = suspects.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_n"))
         rows = equal.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
     keys = raw.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import avg_money, cents, money, pct, ratio
-from ..operators.joins import broadcast_if_small
+from ..operators.joins import broadcast_or_merge, never_broadcast
 from .star import Star
 
 # --- fixed values: columns the source model audits
@@ -162,7 +162,7 @@ def dq_mrr_total(star: Star) -> DataFrame:
 
 
 def dq_contract_revenue(star: Star) -> DataFrame:
-    f = star.fact.join(broadcast_if_small(star.dim_contract), "contract_key")
+    f = star.fact.join(broadcast_or_merge(star.dim_contract), "contract_key")
     g = f.groupBy("contract_type").agg(
         F.count(F.lit(1)).alias("customers"), F.sum(cents(F.col("monthly_charges"))).alias("_m"),
         F.sum(F.when(F.col("is_churned"), 1).otherwise(0)).alias("churned"),
@@ -181,7 +181,7 @@ def dq_orphans(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     for name, key in keys.items():
         dim = dims[name].select(key).distinct() if name != "customer" else dims[name].select(key)
         known = dim.withColumn(f"_{name}", F.lit(True))
-        f = f.join(known if name == "customer" else broadcast_if_small(known), key, "left")
+        f = f.join(never_broadcast(known) if name == "customer" else broadcast_or_merge(known), key, "left")
     a = f.agg(*[F.count_if(F.col(f"_{name}").isNull()).alias(name) for name in keys])
     return _rows(a, [_row("orphans", f"orphan_{name}", F.col(name), F.lit(0)) for name in keys])
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..operators.joins import broadcast_if_small
+from ..operators.joins import broadcast_or_merge
 from ..operators import ordering
 from ..operators.ordering import checkpointed, row_numbers
 
@@ -112,7 +112,7 @@ class Star:
 
     # -- fact ----------------------------------------------------------------
     def _small(self, df: DataFrame) -> DataFrame:
-        return broadcast_if_small(df, self.max_broadcast_rows)
+        return broadcast_or_merge(df, self.max_broadcast_rows)
 
     @cached_property
     def fact_enriched(self) -> DataFrame:

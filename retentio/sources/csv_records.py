@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.joins import broadcast_if_small
+from ..operators.joins import broadcast_or_merge
 from ..operators.ordering import checkpointed
 
 #: fixed values: the dialect of landing files
@@ -100,7 +100,7 @@ def joined_records(all_lines: DataFrame) -> DataFrame:
     blocks = blocks.select("file", "block", F.when(F.col("f.set_after").isNull(), F.col("f.odd_after")).otherwise(0).alias("swaps"),
                            sets.alias("sets"))
     begins = checkpointed(_scan(blocks, ["file"], "block").select("file", "block", _state(F.lit(0), "before").alias("begin")))
-    known = ranged.join(broadcast_if_small(begins), ["file", "block"])
+    known = ranged.join(broadcast_or_merge(begins), ["file", "block"])
     known = known.select("file", "block", "line_id", "value", (_state("begin", "before") == 0).alias("starts"),
                          (_state("begin", "after") == 0).alias("ends"))
     single = known.where("starts AND ends").select("file", "line_id", "block", F.col("value").alias("record"))
@@ -111,7 +111,7 @@ def joined_records(all_lines: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (pieces.groupBy("file", "block").agg(F.max("first").alias("newest"))
                .withColumn("carried", F.last("newest", ignorenulls=True).over(earlier)).select("file", "block", "carried"))
-    whole = (pieces.join(broadcast_if_small(checkpointed(carried)), ["file", "block"])
+    whole = (pieces.join(broadcast_or_merge(checkpointed(carried)), ["file", "block"])
              .withColumn("first", F.coalesce("first", "carried"))
              .groupBy("file", "first").agg(F.sort_array(F.collect_list(F.struct("block", "line_id", "value"))).alias("lines"))
              .select("file", F.col("first.line_id").alias("line_id"), F.col("first.block").alias("block"),
@@ -123,7 +123,7 @@ def _parsed(records: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of the records below each file's header."""
     first = records.groupBy("file").agg(F.min(F.struct("block", "line_id", "record")).alias("h")).select(
         "file", F.col("h.line_id").alias("header"), F.col("h.record").rlike("^[^\n]*\r(\n|$)").alias("crlf"))
-    body = (records.join(broadcast_if_small(checkpointed(first)), "file").where("line_id <> header")
+    body = (records.join(broadcast_or_merge(checkpointed(first)), "file").where("line_id <> header")
             .select(F.when(F.col("crlf"), F.regexp_replace(F.regexp_replace("record", "\r\n", "\n"), "\r$", ""))
                     .otherwise(F.col("record")).alias("record")).where("record <> ''"))
     schema = StructType([StructField(c, StringType()) for c in columns])

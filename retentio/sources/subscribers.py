@@ -11,8 +11,8 @@ refuse.
 
 Plan shape: ``lineitem`` is pruned to two columns and pre-aggregated map-side
 to one row per order before it shuffles; it then meets ``orders`` on the order
-key, and the result meets ``customer`` on the customer key.  No side is broadcast blindly: AQE may turn
-the customer join into a broadcast at run time when the table is small.
+key, and the result meets ``customer`` on the customer key.  No side is broadcast blindly: one row per
+order is never broadcast, the customers are where their measured size is small.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import broadcast_or_merge, never_broadcast
+
 RAW_COLUMNS = [
     "customerid", "gender", "seniorcitizen", "partner", "dependents", "tenure",
     "phoneservice", "multiplelines", "internetservice", "onlinesecurity",
@@ -31,6 +33,8 @@ RAW_COLUMNS = [
 
 #: months of the tenure dimension, 0 included
 MONTHS = 73
+#: bytes of a customer table that every task of the raw derivation may hold
+MAX_CUSTOMER_BYTES = 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +70,8 @@ def derive_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     src = (
-        orders.join(returns, orders.o_orderkey == returns.l_orderkey, "left")
-        .join(customer, orders.o_custkey == customer.c_custkey, "inner")
+        orders.join(never_broadcast(returns), orders.o_orderkey == returns.l_orderkey, "left")
+        .join(broadcast_or_merge(customer, max_bytes=MAX_CUSTOMER_BYTES), orders.o_custkey == customer.c_custkey, "inner")
     )
 
     k = F.col("o_orderkey")

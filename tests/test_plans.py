@@ -86,3 +86,19 @@ def test_one_pass_datasets(spark):
     star = pipeline(spark, SF).star
     for df in (D.db_upsell_candidates(star), D.db_recoverable_mrr(star)):
         assert _scans(df) == 1 and "rangepartitioning" not in df.select("*")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_side_as_long_as_the_input_is_never_broadcast(spark):
+    from retentio.operators.joins import broadcast_or_merge
+    from retentio.plans import quality as Q
+
+    few, many = spark.range(9), spark.range(60)
+    for join in (many.join(broadcast_or_merge(few, max_rows=8), "id"), many.join(broadcast_or_merge(few, max_bytes=70), "id")):
+        assert "SortMergeJoin" in _plan(join) and "BroadcastHashJoin" not in _plan(join) and join.count() == 9
+    assert "BroadcastHashJoin" in _plan(many.join(broadcast_or_merge(few), "id"))
+
+    star = pipeline(spark, SF).star  # Spark estimates both at a few KB here
+    keys = [line for line in _plan(Q.dq_orphans(star.fact, Q.star_dims(star))).splitlines() if "LeftOuter" in line and "customer_key" in line]
+    assert keys and all("SortMergeJoin" in k for k in keys)
+    orders = [line for line in _plan(derive_raw(spark, SF)).splitlines() if "Join" in line and "l_orderkey" in line]
+    assert orders and all("SortMergeJoin" in o for o in orders)
