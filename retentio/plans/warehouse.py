@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..operators.joins import broadcast_if_small
+from ..operators.joins import broadcast_or_merge
 from ..sources.subscribers import RAW_COLUMNS
 from .cube import FILTER_DIMENSIONS, MEASURES, Cube
 from .pipeline import WAREHOUSE_TABLES
@@ -157,7 +157,7 @@ class StoredStar:
         out = self.fact
         for dim, key, drop in ((self.dim_customer, "customer_key", ["customer_id"]), (self.dim_contract, "contract_key", []),
                                (self.dim_service_plan, "service_key", []), (self.dim_tenure, "date_key", ["tenure_months"])):
-            out = out.join(broadcast_if_small(dim.drop(*drop)), key)
+            out = out.join(broadcast_or_merge(dim.drop(*drop)), key)
         return out
 
     @cached_property

@@ -102,3 +102,16 @@ def test_a_side_as_long_as_the_input_is_never_broadcast(spark):
     assert keys and all("SortMergeJoin" in k for k in keys)
     orders = [line for line in _plan(derive_raw(spark, SF)).splitlines() if "Join" in line and "l_orderkey" in line]
     assert orders and all("SortMergeJoin" in o for o in orders)
+
+
+def test_stored_customers_are_not_broadcast_unmeasured(spark, monkeypatch):
+    from retentio.operators import joins
+    from retentio.plans import warehouse
+
+    star = pipeline(spark, SF).star
+    stored = warehouse.StoredStar({**star.tables(), "staging": star.staging})
+    monkeypatch.setattr(warehouse, "broadcast_or_merge", lambda df: joins.broadcast_or_merge(df, max_rows=500))  # shorter than the customers
+    df = A.q6a_risk_profile(stored)
+    lines = [line for line in _plan(df).splitlines() if "Join" in line and "customer_key" in line]
+    assert lines and all("SortMergeJoin" in x for x in lines)
+    assert sorted(map(str, df.collect())) == sorted(map(str, A.q6a_risk_profile(star).collect()))
