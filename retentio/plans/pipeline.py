@@ -27,11 +27,18 @@ WAREHOUSE_TABLES = ("raw", "quarantine", "staging", "dim_customer", "dim_contrac
                     "fact_subscription", "cube_cells", "cube_charges")
 
 
+#: bytecode beyond which HotSpot leaves a method to its interpreter; Spark's default lets whole stages grow past it
+HUGE_METHOD = "8000"
+
+
 class Pipeline:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, raw: DataFrame | None = None):
         if raw is None and sf_dir is None:
             raise ValueError("give sf_dir or a raw DataFrame")
         self.spark = spark
+        # a stage of some dozen expressions a row (deriving and checking raw) is then run as several compiled methods;
+        # the session keeps the setting, which plans are made by when a query runs
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD)
         self.sf_dir = sf_dir
         self._raw = raw
 

@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import broadcast_or_merge
+from ..operators.ordering import checkpointed
+
 # --- fixed values: staging columns (raw name → staging name), in table order
 STAGING_RENAMES = [
     ("customerid", "customer_id"), ("gender", "gender"), ("seniorcitizen", "senior_citizen"),
@@ -94,17 +97,16 @@ def _reasons(raw_cols_trimmed: dict[str, Column]) -> list[Column]:
             blank = (v == "") | v.isNull()
             reasons.append(F.when(~blank & v.try_cast(MONEY).isNull(), F.lit(f"{dst}: not numeric(10,2)")))
             continue
-        reasons.append(F.when(F.col(src).isNull(), F.lit(f"{dst}: missing")))
+        # one reason a column: a value that is missing breaks no other rule
+        missing = F.when(F.col(src).isNull(), F.lit(f"{dst}: missing"))
         if dst == "senior_citizen":
-            reasons.append(F.when(F.col(src).isNotNull() & ~v.isin("0", "1"), F.lit(f"{dst}: unknown code")))
+            reasons.append(missing.when(~v.isin("0", "1"), F.lit(f"{dst}: unknown code")))
         elif dst == "tenure_months":
-            reasons.append(F.when(F.col(src).isNotNull() & v.try_cast("int").isNull(), F.lit(f"{dst}: not integer")))
+            reasons.append(missing.when(v.try_cast("int").isNull(), F.lit(f"{dst}: not integer")))
         elif dst == "monthly_charges":
-            reasons.append(
-                F.when(F.col(src).isNotNull() & v.try_cast(MONEY).isNull(), F.lit(f"{dst}: not numeric(10,2)"))
-            )
+            reasons.append(missing.when(v.try_cast(MONEY).isNull(), F.lit(f"{dst}: not numeric(10,2)")))
         else:
-            reasons.append(F.when(F.length(v) > STAGING_LENGTHS[dst], F.lit(f"{dst}: longer than {STAGING_LENGTHS[dst]}")))
+            reasons.append(missing.when(F.length(v) > STAGING_LENGTHS[dst], F.lit(f"{dst}: longer than {STAGING_LENGTHS[dst]}")))
     return reasons
 
 
@@ -113,9 +115,11 @@ def check_raw(raw: DataFrame) -> DataFrame:
 
     Rules: NULL in a NOT NULL column, unknown senior code, a number that does
     not cast, a text longer than its declared length, a duplicated customer id
-    (all copies are marked).  Duplicates are found by a grouped count (map-side
-    combined, so a hot id costs one row per task) joined back on the id, where
-    AQE splits a hot id or broadcasts a small list.
+    (all copies are marked).  Duplicates are found by a grouped count of the
+    ids alone (map-side combined, so a hot id costs one row per task).  The
+    repeated ids are frozen, so their number is known before the rows meet them:
+    few are broadcast and the wide rows stay where they are; many are joined by a
+    shuffle, where AQE splits a hot id.
     """
     trimmed = {src: _t(src) for src, _ in STAGING_RENAMES}
     copies = (
@@ -125,7 +129,7 @@ def check_raw(raw: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_copies"))
         .where(F.col("_copies") > 1)
     )
-    joined = raw.withColumn("_id", _t("customerid")).join(copies, "_id", "left")
+    joined = raw.withColumn("_id", _t("customerid")).join(broadcast_or_merge(checkpointed(copies)), "_id", "left")
     reasons = _reasons(trimmed) + [
         F.when(F.col("_copies").isNotNull(), F.concat(F.lit("customer_id: duplicated "), F.col("_copies").cast("string"), F.lit(" times")))
     ]

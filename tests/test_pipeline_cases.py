@@ -185,3 +185,17 @@ def test_clean_is_strict_without_ansi(spark):
             stg_clean(raw).collect()
     finally:
         spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_rows_are_not_moved_to_find_repeated_ids(spark):
+    from retentio.plans.staging import check_raw
+
+    rows = [{"customerid": "C1"}, {"customerid": "C1", "tenure": "x"}, {"customerid": "C2", "partner": None, "seniorcitizen": None}, {"customerid": "C3"}]
+    raw = raw_rows(spark, rows)
+    Pipeline(spark, raw=raw)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"  # methods that HotSpot compiles
+    checked = check_raw(raw)
+    assert "hashpartitioning" not in checked._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.customerid, r.reason) for r in checked.collect()) == [
+        ("C1", "customer_id: duplicated 2 times"), ("C1", "tenure_months: not integer; customer_id: duplicated 2 times"),
+        ("C2", "senior_citizen: missing; partner: missing"), ("C3", "")]
