@@ -24,6 +24,8 @@ from .common import BoundedCache, per_document, text_or_empty, worker_state
 from .word_bpe import WHITE
 
 _NONE = 1 << 60
+#: entries of a generation of a cache; a worker holds up to four, some 200 bytes an entry
+CACHED_UNITS = 300_000
 
 
 def default_path() -> str:
@@ -97,8 +99,8 @@ class ByteBpe:
         self.pretokens = regex.compile(pattern).findall
         self.units = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.runs = re.compile(f"[{WHITE}][{WHITE}]").search
-        self.spaced = BoundedCache(self._spaced)
-        self.plain = BoundedCache(self.unit)
+        self.spaced = BoundedCache(self._spaced, CACHED_UNITS)
+        self.plain = BoundedCache(self.unit, CACHED_UNITS)
 
     def unit(self, unit: str) -> bytes:
         ids = array("I")

@@ -174,3 +174,21 @@ def test_caches_do_not_remember_texts_without_spaces():
         assert cache[key] == len(key)
         cache.trim()
     assert len(asked) == 101 and list(cache) == ["a" * LONGEST_KEY]
+
+
+def test_caches_stay_bounded_within_one_text():
+    import public_tokenizers
+
+    from retentio.llm.byte_bpe import CACHED_UNITS, ByteBpe, default_path
+    from retentio.llm.common import BoundedCache
+
+    cache = BoundedCache(len, limit=10)
+    for i in range(1000):
+        assert cache[f"k{i}"] == len(f"k{i}") and len(cache) <= 10 and len(cache.old) <= 10
+    bpe = ByteBpe(default_path(), public_tokenizers.PATTERN)
+    assert bpe.plain.limit == bpe.spaced.limit == CACHED_UNITS <= 300_000
+    text = " ".join(f"w{i}" for i in range(300))
+    whole = bpe.encode(text)
+    bpe.plain.limit = bpe.spaced.limit = 7
+    bpe.plain.clear(), bpe.spaced.clear()
+    assert bpe.encode(text) == whole and len(bpe.spaced) <= 7
