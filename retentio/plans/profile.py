@@ -120,20 +120,23 @@ def _numeric(raw: DataFrame, types: DataFrame) -> list:
     return sorted(rows, key=lambda r: raw.columns.index(r.column_name))
 
 
-def describe(df: DataFrame, columns: Sequence[str], scale: int = 2, decimals: int | dict[str, int] = 2) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], scale: int = 2, decimals: int | dict[str, int] = 2,
+             narrow: bool = False) -> DataFrame:
     """count / mean / std / min / 25% / 50% / 75% / max per column, rounded half-up
     to ``scale`` digits at the end.  Exact: values become integers at ``decimals``
     digits (the most that any has; a number for all or one a column), moments are
-    integer sums, quartiles come from ``order_statistics``."""
+    integer sums, quartiles come from ``order_statistics``.  ``narrow``: no integer
+    has more than ``EXACT_DIGITS``, so they are grouped, moved and sorted as bigint."""
     inner = {c: max(scale, decimals[c] if isinstance(decimals, dict) else decimals) for c in columns}
+    digits, units = (18, "bigint") if narrow else (38, "decimal(38,0)")
     long = _long(
-        df.select(*[(F.col(c).cast(f"decimal(38,{inner[c]})") * 10**inner[c]).cast("decimal(38,0)").alias(c) for c in columns]),
+        df.select(*[(F.col(c).cast(f"decimal({digits},{inner[c]})") * 10**inner[c]).cast(units).alias(c) for c in columns]),
         list(columns), "column_name", "_v",
     ).where(F.col("_v").isNotNull())
     # quantiles and exact moments come from one (column, value, count) table
     q = order_statistics(long, "_v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"], moments=True)
-    units = F.create_map(*[F.lit(x) for c in columns for x in (c, inner[c] - scale)])
-    q = q.withColumn("coarser", F.pow(F.lit(10.0), units[F.col("column_name")]).cast("decimal(38,0)"))
+    finer = F.create_map(*[F.lit(x) for c in columns for x in (c, inner[c] - scale)])
+    q = q.withColumn("coarser", F.pow(F.lit(10.0), finer[F.col("column_name")]).cast("decimal(38,0)"))
     unit, coarser = F.col("coarser").cast("double") * F.lit(float(10**scale)), F.col("coarser")
     n = F.col("n").cast("decimal(38,0)")
     var_num = n * F.col("sum_sq") - F.col("sum") * F.col("sum")
@@ -191,7 +194,7 @@ def prof_numeric(raw: DataFrame, columns: Sequence[str] | None = None, types: Da
             exact[r.column_name] = r.scale
         else:
             wide.append(r.column_name)
-    parts = ([describe(raw, list(exact), decimals=exact)] if exact or not wide else []) + ([describe_doubles(raw, wide)] if wide else [])
+    parts = ([describe(raw, list(exact), decimals=exact, narrow=True)] if exact or not wide else []) + ([describe_doubles(raw, wide)] if wide else [])
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).orderBy("column_name")
 
 

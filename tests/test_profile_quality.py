@@ -189,3 +189,17 @@ def test_kinds_are_told_without_a_translate_a_character(spark):
     df = spark.createDataFrame([tuple(values)], ", ".join(f"c{i} string" for i in range(len(values))))
     got = {r.column_name: r.inferred_type for r in column_types(df).collect()}
     assert got == {f"c{i}": t for i, t in enumerate(values.values())}
+
+
+def test_short_numbers_are_grouped_as_bigint(spark, monkeypatch):
+    """Units of at most 12 digits are moved and sorted as bigint, and described as the wide integers are."""
+    raw = spark.createDataFrame(
+        [("-9999999999.99", "0.123456789012", "007"), ("9999999999.99", "-0.999999999999", "+5"), (" 1.5", "0", "-3"), (None, ".5", None)],
+        "cents string, fine string, whole string")
+    kinds, real = [], P.order_statistics
+    monkeypatch.setattr(P, "order_statistics", lambda df, value, *a, **k: kinds.append(dict(df.dtypes)[value]) or real(df, value, *a, **k))
+    narrow = P.prof_numeric(raw).collect()
+    scales = P.numeric_columns(raw)
+    assert scales == {"cents": 2, "fine": 12, "whole": 0}
+    assert kinds == ["bigint"] and narrow == P.describe(raw, list(scales), decimals=scales).collect()
+    assert {r.column_name: (r.min, r.max) for r in narrow}["cents"] == (-9999999999.99, 9999999999.99)
