@@ -2,7 +2,8 @@
 
 *Corpus.*  Word counts of all training documents are one shuffle.  The
 ``HEAD`` most frequent words go to the workers; counts of rarer words reach
-the documents by a join.
+the documents by a join.  Texts are split twice: to be counted, and then into
+ids, which are frozen for all rounds and for the scores.
 
 *Model.*  A gated recurrent unit over the ``VOCAB`` most frequent words, an
 end and an unknown token.  The output is factored: a softmax over classes of
@@ -17,7 +18,7 @@ the order of their hashes.  So neither the files' layout nor the number of
 partitions matters.  A copy starts from the last round's model and learns by
 truncated back-propagation (Adam, ``WINDOW`` steps, states carried from window to
 window) on all documents dealt to it, at most about ``BLOCK`` tokens at a time;
-a round ends with the copies' average by their tokens, an aggregate by parameter.
+a round ends with the copies' average by their tokens, summed by slices of the parameters.
 
 *Scoring.*  A batch's documents run side by side, longest first, each from its
 first token to its end with the state carried across windows.
@@ -31,12 +32,11 @@ scored each.  An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, frozen, text_or_empty
+from .common import bounded_batches, frozen, text_or_empty
 
 HEAD = 262_144
 VOCAB = 4096
@@ -51,15 +51,25 @@ ROUNDS = 4
 COPY_TOKENS = 1_000_000
 #: tokens that a worker holds at least before it trains on them
 BLOCK = 4_000_000
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: parameters that are averaged together
+PART = 4096
+#: tokens and rows that are scored side by side: the few longest documents then run alone less often
+SCORED_TOKENS, SCORED_ROWS = 4_000_000, 50_000
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+def words_of(texts):
+    """The words of an Arrow array of texts, and the place of each word's text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    words, owners = split.flatten(), pc.list_parent_indices(split)
+    some = pc.greater(pc.binary_length(words), 0)  # blanks around a text leave empty words
+    return words.filter(some), owners.filter(some).to_numpy()
 
 
 class Gru:
@@ -80,6 +90,7 @@ class Gru:
         self.cls = np.r_[cls, n, n + 1].astype(np.int64)
         starts = np.flatnonzero(np.r_[True, np.diff(self.cls) > 0])
         self.starts, self.stops = starts, np.r_[starts[1:], k + 2]  # the words of a class are neighbours
+        self.inner = np.repeat(self.stops - starts > 1, self.stops - starts)  # words that are not their class's only one
         mass = np.add.reduceat(freq, starts)
         h, v, c = hidden, k + 2, n + 2
         self.p = {
@@ -118,12 +129,21 @@ class Gru:
 
         h = self.hidden
         r = state @ self.p["rec"]
-        gates = 1 / (1 + np.exp(-(x[:, :2 * h] + r[:, :2 * h])))
+        gates = x[:, :2 * h] + r[:, :2 * h]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         z, reset = gates[:, :h], gates[:, h:]
-        new = np.tanh(x[:, 2 * h:] + reset * r[:, 2 * h:])
-        return z, reset, r[:, 2 * h:], new, state + z * (new - state)
-
-    def log_probs(self, states, targets):
+        new = reset * r[:, 2 * h:]
+        new += x[:, 2 * h:]
+        np.tanh(new, out=new)
+        after = new - state
+        after *= z
+        after += state
+        return z, reset, r[:, 2 * h:], new, after
+
+    def log_probs(self, states, targets, joined=None):
         """Natural log-probability of each target given its state."""
         import numpy as np
 
@@ -133,26 +153,32 @@ class Gru:
         cls = self.cls[y]
         flat = np.ones((len(y), h + 1), dtype=states.dtype)  # the ones carry the biases
         flat[:, :h] = states[order]
-        classes, words, reach = self._joined()
+        classes, words, reach = joined or self._joined()
         logs = self._log_sums(flat, classes, reach)
-        right = classes[cls]
-        bounds = np.searchsorted(cls, np.arange(len(self.starts) + 1)).tolist()
-        for c in np.flatnonzero(np.diff(bounds)).tolist():
-            a, b, i, j = self.starts[c], self.stops[c], bounds[c], bounds[c + 1]
-            if b - a > 1:
-                logs[i:j] += self._log_sums(flat[i:j], words[a:b], reach)
-                right[i:j] += words[y[i:j]]
+        for a, b, i, j in self._classes_of(cls):
+            logs[i:j] += self._log_sums(flat[i:j], words[a:b], reach)
+        right = classes.take(cls, axis=0)
+        right += words.take(y, axis=0)
         out = np.empty_like(logs)
-        out[order] = (flat * right).sum(axis=1) - logs
+        out[order] = np.einsum("ij,ij->i", flat, right) - logs
         return out
 
+    def _classes_of(self, cls):
+        """For each class of several words among the sorted ``cls``: its words' bounds and its tokens' bounds."""
+        import numpy as np
+
+        bounds = np.searchsorted(cls, np.arange(len(self.starts) + 1))
+        found = np.flatnonzero((np.diff(bounds) > 0) & (self.stops - self.starts > 1))
+        return zip(*(x[found].tolist() for x in (self.starts, self.stops, bounds[:-1], bounds[1:])))
+
     def _joined(self):
-        """Weights of classes and of words with their biases as a last column, and a bound of the logits:
-        states lie in [-1, 1]."""
+        """Weights of classes and of words with their biases as a last column (0 for the only word of a class, whose
+        probability in it is 1), and a bound of the logits: states lie in [-1, 1]."""
         import numpy as np
 
         classes = np.column_stack([self.p["class"].T, self.p["class_bias"]])
         words = np.column_stack([self.p["word"], self.p["word_bias"]])
+        words *= self.inner[:, None]
         return classes, words, max(np.abs(w).sum(axis=1).max() for w in (classes, words))
 
     @staticmethod
@@ -179,89 +205,101 @@ class Gru:
 
         h, p = self.hidden, self.p
         steps, streams = inputs.shape
-        known, at = np.unique(inputs, return_inverse=True)  # only these words' rows take part
-        embed = p["embed"][known]
-        x = (embed @ p["in"] + p["gate_bias"])[at.reshape(inputs.shape)]
+        small = np.int16 if len(self.cls) < 32_000 else np.int32
+        seen = inputs.ravel()
+        embed = p["embed"].take(seen, axis=0)
+        x = (embed @ p["in"] + p["gate_bias"]).reshape(steps, streams, 3 * h)
         inside = (inputs != self.end)[:, :, None]  # a document starts from nothing
-        kept, states = [], np.empty((steps, streams, h), dtype=state.dtype)
+        befores, states, new, rn = (np.empty((steps, streams, h), dtype=state.dtype) for _ in range(4))
+        gates = np.empty((steps, streams, 2 * h), dtype=state.dtype)
         for t in range(steps):
-            state = state * inside[t]
-            z, reset, rn, new, after = self.step(x[t], state)
-            kept.append((state, z, reset, rn, new))
-            states[t] = state = after
-        order = np.argsort(targets.ravel().astype(np.int16 if len(self.cls) < 32_000 else np.int32), kind="stable")
+            before = np.multiply(state, inside[t], out=befores[t])
+            z, reset, rn[t], new[t], state = self.step(x[t], before)
+            gates[t, :, :h], gates[t, :, h:] = z, reset
+            states[t] = state
+        order = np.argsort(targets.ravel().astype(small), kind="stable")
         y = targets.ravel()[order]  # the tokens of a word, and those of a class, are neighbours
         cls, n = self.cls[y], len(y)
         # a column of ones carries the biases, and in the weights the sums of exponentials
         flat = np.ones((n, h + 1), dtype=state.dtype)
-        flat[:, :h] = states.reshape(-1, h)[order]
+        flat[:, :h] = states.reshape(-1, h).take(order, axis=0)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         classes, words, reach = self._joined()
-        back, slope, logs = self._pull(flat, classes, reach)
-        g["class"], g["class_bias"] = slope[:, :h].T / n, slope[:, h] / n
+        pulled, class_slope, tops = self._pull(flat, classes, reach)
+        logs = tops + np.log(pulled[:, -1])
+        back = pulled[:, :-1] / pulled[:, -1:]
         word_slope = np.zeros_like(words)
-        bounds = np.searchsorted(cls, np.arange(len(self.starts) + 1)).tolist()
-        alone = np.ones(len(self.starts), dtype=bool)
-        for c in np.flatnonzero(np.diff(bounds)).tolist():
-            a, b, i, j = self.starts[c], self.stops[c], bounds[c], bounds[c + 1]
-            if b - a > 1:
-                alone[c] = False
-                pull, word_slope[a:b], sums = self._pull(flat[i:j], words[a:b], reach)
-                back[i:j] += pull
-                logs[i:j] += sums
+        summing = words.copy()
+        summing[:, -1] = 1
+        pulled[:] = 0
+        pulled[:, -1] = 1  # the only word of a class: no pull, and the logarithm is 0
+        for a, b, i, j in self._classes_of(cls):
+            pulled[i:j], word_slope[a:b], top = self._pull(flat[i:j], words[a:b], reach, summing[a:b])
+            logs[i:j] += top
+        logs += np.log(pulled[:, -1])
+        pulled[:, :-1] /= pulled[:, -1:]
+        back += pulled[:, :-1]
         # what the right class and word add: their own logits, weights and states
         firsts = np.flatnonzero(np.diff(y, prepend=-1))
-        by_target = np.add.reduceat(flat, firsts, axis=0) / n
+        by_target = np.add.reduceat(flat, firsts, axis=0)
         mine = y[firsts]
-        np.subtract.at(g["class"].T, self.cls[mine], by_target[:, :h])
-        np.subtract.at(g["class_bias"], self.cls[mine], by_target[:, h])
+        starts = np.flatnonzero(np.diff(self.cls[mine], prepend=-1))
+        class_slope[self.cls[mine[starts]]] -= np.add.reduceat(by_target, starts, axis=0)
+        class_slope /= n
+        g["class"], g["class_bias"] = class_slope[:, :h].T, class_slope[:, h]
+        by_target *= self.inner[mine][:, None]
+        word_slope[mine] -= by_target
         word_slope /= n
-        inner = ~alone[self.cls[mine]]
-        word_slope[mine[inner]] -= by_target[inner]
         g["word"], g["word_bias"] = word_slope[:, :h], word_slope[:, h]
-        right = classes[cls]
-        many = ~alone[cls]
-        right[many] += words[y[many]]
-        loss = float((logs - (flat * right).sum(axis=1)).sum())
+        right = classes.take(cls, axis=0)
+        right += words.take(y, axis=0)
+        loss = float(logs.sum() - np.einsum("ij,ij->", flat, right))
         back -= right[:, :h]
         back /= n
         unsorted = np.empty_like(back)
         unsorted[order] = back
         back = unsorted.reshape(steps, streams, h)
+        # what a step multiplies the error by, for all steps at once
+        z, reset = gates[:, :, :h], gates[:, :, h:]
+        keep = 1 - z
+        to_update = (new - befores) * z * keep
+        to_new = z * (1 - new * new)
+        to_reset = rn * reset * (1 - reset)
         carry = np.zeros((streams, h), dtype=state.dtype)
-        d_inputs = np.empty((steps, streams, 3 * h), dtype=state.dtype)
-        d_rec, befores = np.empty_like(d_inputs), np.empty((steps, streams, h), dtype=state.dtype)
+        d_inputs, d_rec = (np.empty((steps, streams, 3 * h), dtype=state.dtype) for _ in range(2))
+        recurrent = np.ascontiguousarray(p["rec"].T)
         for t in reversed(range(steps)):
-            before, z, reset, rn, new = kept[t]
             d = back[t] + carry
-            d_new = d * z * (1 - new * new)
-            d_inputs[t, :, :h] = d * (new - before) * z * (1 - z)
-            d_inputs[t, :, h:2 * h] = d_new * rn * reset * (1 - reset)
-            d_inputs[t, :, 2 * h:] = d_new
-            d_rec[t, :, :2 * h], d_rec[t, :, 2 * h:] = d_inputs[t, :, :2 * h], d_new * reset
-            befores[t] = before
-            carry = (d * (1 - z) + d_rec[t] @ p["rec"].T) * inside[t]
-        g["rec"] = befores.reshape(-1, h).T @ d_rec.reshape(-1, 3 * h)
-        order = np.argsort(at.ravel(), kind="stable")
-        starts = np.searchsorted(at.ravel()[order], np.arange(len(known)))
-        by_word = np.add.reduceat(d_inputs.reshape(-1, 3 * h)[order], starts, axis=0)
-        g["gate_bias"] = by_word.sum(axis=0)
-        g["in"] = embed.T @ by_word
-        g["embed"][known] = by_word @ p["in"].T
+            np.multiply(d, to_update[t], out=d_rec[t, :, :h])
+            d_new = np.multiply(d, to_new[t], out=d_inputs[t, :, 2 * h:])
+            np.multiply(d_new, to_reset[t], out=d_rec[t, :, h:2 * h])
+            np.multiply(d_new, reset[t], out=d_rec[t, :, 2 * h:])
+            carry = d_rec[t] @ recurrent
+            d *= keep[t]
+            carry += d
+            carry *= inside[t]
+        d_inputs[:, :, :2 * h] = d_rec[:, :, :2 * h]
+        d_inputs, d_rec = d_inputs.reshape(-1, 3 * h), d_rec.reshape(-1, 3 * h)
+        g["rec"] = befores.reshape(-1, h).T @ d_rec
+        g["gate_bias"] = np.ones(n, dtype=state.dtype) @ d_inputs
+        g["in"] = embed.T @ d_inputs
+        order = np.argsort(seen.astype(small), kind="stable")
+        known = seen[order]
+        firsts = np.flatnonzero(np.diff(known, prepend=-1))
+        g["embed"][known[firsts]] = np.add.reduceat((d_inputs @ p["in"].T).take(order, axis=0), firsts, axis=0)
         return loss / n, g, state
 
-    def _pull(self, states, weights, reach):
-        """For a softmax over ``weights`` (biases last) of ``states`` (ones last): the expected weights of each
-        state, the sum of states by weight, each times its probability, and the log of the exponentials' sum.
-        Probabilities are never formed: the sums divide the narrow sides."""
-        import numpy as np
-
+    def _pull(self, states, weights, reach, summing=None):
+        """For a softmax over ``weights`` (biases last) of ``states`` (ones last): the weights that each state expects
+        times the sum of its exponentials, which is the last column, the sum of states by weight, each times its
+        probability, and the tops.  Probabilities are never formed: the sums divide the narrow sides.
+        ``summing``: the weights with ones last."""
         exps, top = self._exponentials(states, weights, reach)
-        summing = weights.copy()
-        summing[:, -1] = 1
+        if summing is None:
+            summing = weights.copy()
+            summing[:, -1] = 1
         pull = exps @ summing
-        sums = pull[:, -1:]
-        return pull[:, :-1] / sums, exps.T @ (states / sums), top + np.log(sums[:, 0])
+        return pull, exps.T @ (states / pull[:, -1:]), top
 
     def fit(self, tokens, rate: float = 0.01, window: int = WINDOW, streams: int = STREAMS) -> None:
         """One pass over ``tokens`` (documents, each closed by an end), cut into streams side by side.
@@ -278,24 +316,27 @@ class Gru:
         for t in range(0, length, window):
             _, g, state = self.gradients(x[t:t + window], y[t:t + window], state)
             self.steps += 1
-            for k, v in g.items():  # Adam
+            # Adam; its moments are kept as sums, 10 and 1000 times what they are
+            root = math.sqrt(0.001 / (1 - 0.999 ** self.steps))
+            size = rate * 0.1 / (1 - 0.9 ** self.steps) / root
+            for k, v in g.items():
                 first, second = self.moments[k]
                 first *= 0.9
-                first += 0.1 * v
+                first += v
                 second *= 0.999
-                second += 0.001 * v * v
-                np.multiply(second, 1 / (1 - 0.999 ** self.steps), out=v)
-                np.sqrt(v, out=v)
-                v += 1e-8
+                v *= v
+                second += v
+                np.sqrt(second, out=v)
+                v += 1e-8 / root
                 np.divide(first, v, out=v)
-                v *= rate / (1 - 0.9 ** self.steps)
+                v *= size
                 self.p[k] -= v
 
     def document_log_probs(self, documents, window: int = 64, chunk: int = 16_384):
         """Natural log-probability of each document (ids without its end), ends included."""
         import numpy as np
 
-        table = self.tables()
+        table, joined = self.tables(), self._joined()
         total = np.zeros(len(documents))
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
         lengths = np.array([len(documents[i]) + 1 for i in order])
@@ -306,7 +347,7 @@ class Gru:
         def flush():
             nonlocal states, targets, owners, held
             if held:
-                found = self.log_probs(np.concatenate(states), np.concatenate(targets))
+                found = self.log_probs(np.concatenate(states), np.concatenate(targets), joined)
                 total[:] += np.bincount(np.concatenate(owners), weights=found, minlength=len(total))
             states, targets, owners, held = [], [], [], 0
 
@@ -325,8 +366,8 @@ class Gru:
                 targets.append(block[t + 1, :live])
                 owners.append(np.arange(live))
                 held += live
-            if held >= chunk:
-                flush()
+                if held >= chunk:
+                    flush()
         flush()
         out = np.empty(len(documents))
         out[order] = total
@@ -337,7 +378,7 @@ class Corpus:
     """What the workers need of the corpus: bounded by HEAD and VOCAB."""
 
     def __init__(self, head: list[tuple[bytes, int]], n: int, words: int, ends: int, vocab: int):
-        self.at = {w: i for i, (w, _) in enumerate(head)}
+        self.words = [w for w, _ in head]
         self.counts = [c for _, c in head]
         self.vocab = min(vocab, len(head))
         self.n, self.ends = n, ends
@@ -346,26 +387,24 @@ class Corpus:
         #: smoothed count of all words outside the vocabulary, one more for those never seen
         self.outside = (n - ends - inside) + (words - self.vocab) + 1
 
-    def ids(self, words: list[bytes]):
-        """Places in the head, -1 for others."""
-        import numpy as np
-
-        return np.fromiter(map(self.at.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-
     def model(self) -> Gru:
         return Gru(self.counts[:self.vocab], self.n - self.ends - sum(self.counts[:self.vocab]), self.ends)
 
-    def model_ids(self, places):
-        import numpy as np
-
-        return np.where((places >= 0) & (places < self.vocab), places, self.vocab)
-
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and count over the documents that may be learned from."""
-    words = F.split(ascii_lower(text_or_empty("text")), "[\\x20\\x09-\\x0D]+")
-    return (docs.where(_learned()).select(F.explode_outer(words).alias("word")).where("word <> ''")
-            .groupBy("word").agg(F.count("*").alias("count")))
+    bounded_batches(docs.sparkSession)
+
+    def count(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            found = pc.value_counts(words_of(batch.column(0))[0])
+            yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "count"])
+
+    texts = docs.where(_learned()).select(text_or_empty("text").alias("text"))
+    return texts.mapInArrow(count, "word string, count bigint").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def _learned() -> Column:
@@ -397,20 +436,73 @@ def blocks(documents, size: int = BLOCK):
         yield np.concatenate([*([] if done is None else [done]), *held])
 
 
-def train(docs: DataFrame, corpus: Corpus, every: int = EVERY, rounds: int = ROUNDS, copy_tokens: int = COPY_TOKENS) -> Gru:
-    """The model after the last round; each round's copies are averaged, weighted by the tokens each has seen."""
-    share = docs.where(_learned() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)) if every > 1 else docs.where(_learned())
+def id_type(vocab: int) -> str:
+    return "<i2" if vocab + 2 < 32_768 else "<i4"
+
+
+def encoded(docs: DataFrame, corpus: Corpus) -> DataFrame:
+    """Every row's words once, frozen: row (doc_id, version), place (its hash), learned, ids (of the model, its end
+    left out), once (n_words, head_words, head_log, extra: log10 shares of the words outside the vocabulary, rare ones'
+    counts left out) and rare (words outside the head)."""
     bounded_batches(docs.sparkSession)
     text = text_or_empty("text")
+    # a row is known by its doc_id and text
+    row = F.struct("doc_id", F.xxhash64(text).alias("version"))
+    rows = docs.select(row.alias("row"), F.xxhash64("doc_id", text).alias("place"), _learned().alias("learned"), text.alias("text"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known, head = corpus, pa.array(corpus.words, pa.binary()).cast(pa.string())
+        logs = np.log10(np.r_[known.counts, 0] + 1.0)  # the last: not in the head
+        outside, kind = math.log10(known.outside), np.dtype(id_type(known.vocab))
+        for batch in batches:
+            n = batch.num_rows
+            words, owners = words_of(batch.column(3))
+            places = pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy()
+            missing = places < 0
+            other = missing | (places >= known.vocab)
+            ids = np.where(other, known.vocab, places).astype(kind)
+            n_words, n_missing = np.bincount(owners, minlength=n), np.bincount(owners[missing], minlength=n)
+            ends, rare_ends = (np.r_[0, np.cumsum(x)].astype(np.int32) for x in (n_words, n_missing))
+            once = pa.StructArray.from_arrays([
+                pa.array(n_words, pa.int64()), pa.array(n_words - n_missing, pa.int64()),
+                *(pa.array(np.bincount(owners[x], logs[places[x]] - less, n).astype(np.float64))  # whole numbers without any word
+                  for x, less in ((~missing, 0), (other, outside)))],
+                names=["n_words", "head_words", "head_log", "extra"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2),
+                 pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends * np.int32(kind.itemsize)), pa.py_buffer(ids)]), once,
+                 pa.ListArray.from_arrays(pa.array(rare_ends), words.filter(pa.array(missing)))],
+                names=["row", "place", "learned", "ids", "once", "rare"])
+
+    return frozen(rows.mapInArrow(run, (
+        f"row {rows.schema['row'].dataType.simpleString()}, place bigint, learned boolean, ids binary, "
+        "once struct<n_words: bigint, head_words: bigint, head_log: double, extra: double>, rare array<string>")))
+
+
+def train(docs: DataFrame, corpus: Corpus, every: int = EVERY, rounds: int = ROUNDS, copy_tokens: int = COPY_TOKENS) -> Gru:
+    """The model after the last round; each round's copies are averaged, weighted by the tokens each has seen."""
+    return train_encoded(encoded(docs, corpus), corpus, every, rounds, copy_tokens)
+
+
+def train_encoded(rows: DataFrame, corpus: Corpus, every: int = EVERY, rounds: int = ROUNDS, copy_tokens: int = COPY_TOKENS) -> Gru:
+    """``train`` on ``encoded`` documents."""
+    share = rows.where("learned")
+    if every > 1:
+        share = share.where(F.pmod(F.xxhash64("row.doc_id"), F.lit(every)) == 0)
+    bounded_batches(rows.sparkSession)
     copies = max(1, math.ceil(corpus.n / every / rounds / copy_tokens))
-    place = F.xxhash64("doc_id", text)
-    dealt = share.select(text.alias("text"), place.alias("place"), F.pmod(place, F.lit(copies)).cast("int").alias("copy"))
-    model = corpus.model()
+    dealt = share.select("ids", "place", F.pmod("place", F.lit(copies)).cast("int").alias("copy"))
+    model, blank, kind = corpus.model(), corpus.model(), id_type(corpus.vocab)
     for r in range(rounds):
         mine = dealt.where(F.pmod(F.shiftrightunsigned("place", 40), F.lit(rounds)) == r)
         start = model.flat()
 
         def fit(batches, start=start):
+            from copy import deepcopy
             from itertools import groupby
 
             import numpy as np
@@ -418,77 +510,88 @@ def train(docs: DataFrame, corpus: Corpus, every: int = EVERY, rounds: int = ROU
 
             rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for _, own in groupby(rows, key=lambda row: row[0]):  # a task may hold more than one copy's documents
-                copy, seen = corpus.model(), 0
+                copy, seen = deepcopy(blank), 0
                 copy.load(start)
-                ids = (np.r_[corpus.model_ids(corpus.ids(words_of(text))), corpus.vocab + 1].astype(np.int32)
-                       for _, text in own)
+                ids = (np.append(np.frombuffer(ids, kind), copy.end).astype(np.int32) for _, ids in own)
                 for tokens in blocks(ids):
                     copy.fit(tokens)
                     seen += len(tokens)
+                flat = copy.flat()
+                cuts = np.r_[np.arange(0, len(flat), PART), len(flat)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([seen], pa.int64()), pa.array([copy.flat()], pa.list_(pa.float32()))],
-                    names=["weight", "flat"])
-
-        found = (mine.repartitionById(copies, F.col("copy")).sortWithinPartitions("copy", "place", "text")
-                 .select("copy", "text").mapInArrow(fit, "weight bigint, flat array<float>"))
-        mean = (found.select("weight", F.posexplode("flat").alias("at", "value")).groupBy("at")
-                .agg((F.sum(F.col("value").cast("double") * F.col("weight")) / F.sum("weight")).alias("value")))
-        averaged = sorted((row["at"], row["value"]) for row in mean.collect())
+                    [pa.array(range(len(cuts) - 1), pa.int32()), pa.array([seen] * (len(cuts) - 1), pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=["part", "weight", "value"])
+
+        def add(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            sums = {}  # of the parts dealt to this task: the model's size at most, however many copies there are
+            for batch in batches:
+                for i, (part, weight) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                    value = batch.column(2)[i].values.to_numpy().astype(np.float64) * weight
+                    before = sums.get(part, (0, 0.0))
+                    sums[part] = (before[0] + weight, before[1] + value)
+            for part, (weight, value) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([value / weight], pa.list_(pa.float64()))],
+                                                 names=["part", "value"])
+
+        found = (mine.repartitionById(copies, F.col("copy")).sortWithinPartitions("copy", "place", "ids")
+                 .select("copy", "ids").mapInArrow(fit, "part int, weight bigint, value array<float>"))
+        mean = found.repartition("part").mapInArrow(add, "part int, value array<double>")
+        averaged = [value for row in sorted(mean.collect()) for value in row["value"]]
         if averaged:
-            model.load([v for _, v in averaged])
+            model.load(averaged)
     return model
 
 
-def _scored(docs: DataFrame, corpus: Corpus, model: Gru) -> DataFrame:
-    """Per row: doc_id, n_words, head_words, head_log, score_log (log10, of all but rare words' shares), rare (words)."""
-    bounded_batches(docs.sparkSession)
-    key = docs.schema["doc_id"].dataType.simpleString()
+def _scored(rows: DataFrame, corpus: Corpus, model: Gru) -> DataFrame:
+    """Per row: row, once, score_log (log10, of all but rare words' shares), rare (words)."""
+    bounded_batches(rows.sparkSession)
+    kind = id_type(corpus.vocab)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        known, net = corpus, model
-        logs = np.log10(np.r_[known.counts, 0] + 1.0)  # the last: not in the head
-        outside = math.log10(known.outside)
+        def score(held):
+            found = model.document_log_probs([ids for _, documents in held for ids in documents]) / math.log(10)
+            at = 0
+            for batch, documents in held:
+                part = found[at:at + len(documents)] + batch.column(1).field(3).to_numpy()
+                at += len(documents)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part), batch.column(3)],
+                                                 names=["row", "once", "score_log", "rare"])
+
+        held, tokens, n = [], 0, 0
         for batch in batches:
-            documents, rare, offsets, n_words, head_words, head_log, extra = [], [], [0], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                places = known.ids(words)
-                ids = known.model_ids(places)
-                documents.append(ids)
-                missing = np.flatnonzero(places < 0)
-                rare += [words[i] for i in missing.tolist()]
-                offsets.append(len(rare))
-                n_words.append(len(words))
-                head_words.append(len(words) - len(missing))
-                head_log.append(float(logs[places].sum()))
-                other = ids == known.vocab
-                extra.append(float(logs[places[other]].sum()) - outside * int(other.sum()))
-            found = net.document_log_probs(documents) / math.log(10)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(head_words, pa.int64()), pa.array(head_log, pa.float64()),
-                 pa.array(found + np.array(extra), pa.float64()),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rare, pa.binary()).cast(pa.string()))],
-                names=["doc_id", "n_words", "head_words", "head_log", "score_log", "rare"])
+            documents = [np.frombuffer(ids, kind) for ids in batch.column(2).to_pylist()]
+            held.append((batch, documents))
+            tokens += sum(map(len, documents))
+            n += len(documents)
+            if tokens >= SCORED_TOKENS or n >= SCORED_ROWS:
+                yield from score(held)
+                held, tokens, n = [], 0, 0
+        if held:
+            yield from score(held)
 
-    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(
-        run, f"doc_id {key}, n_words bigint, head_words bigint, head_log double, score_log double, rare array<string>")
+    kinds = {name: rows.schema[name].dataType.simpleString() for name in ("row", "once")}
+    return rows.select("row", "once", "ids", "rare").mapInArrow(
+        run, f"row {kinds['row']}, once {kinds['once']}, score_log double, rare array<string>")
 
 
 def lm_scores(docs: DataFrame, head: int = HEAD, vocab: int = VOCAB, every: int = EVERY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every document."""
     counts = frozen(word_counts(docs))
     corpus = learn_corpus(docs, counts, head, vocab)
-    # a row is known by its doc_id and text; equal rows stand together and are told apart by their number
-    row = F.struct("doc_id", F.xxhash64(text_or_empty("text")).alias("version"))
-    scored = _scored(docs.select(row.alias("doc_id"), "text"), corpus, train(docs, corpus, every))
+    # equal rows stand together and are told apart by their number
+    words = encoded(docs, corpus)
+    scored = _scored(words, corpus, train_encoded(words, corpus, every))
     # one row per rare word; what a document has once rides on its first row, under
     # a key that is no word if it has no rare one, so that no key is common to many
-    own = F.concat(F.lit(" "), F.col("doc_id.version").cast("string"))
+    own = F.concat(F.lit(" "), F.col("row.version").cast("string"))
     rows = scored.select(
-        F.col("doc_id").alias("row"), F.struct("n_words", "head_words", "head_log", "score_log").alias("once"),
+        "row", F.struct("once.n_words", "once.head_words", "once.head_log", "score_log").alias("once"),
         F.posexplode(F.when(F.size("rare") > 0, F.col("rare")).otherwise(F.array(own))).alias("at", "word"))
     rows = rows.select("row", "word", F.when(F.col("at") == 0, F.col("once")).alias("once"))
     known = rows.join(counts, "word", "left")

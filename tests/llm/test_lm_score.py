@@ -182,3 +182,35 @@ def test_no_token_is_left_out_of_training():
     m.fit(tokens, window=5, streams=4)
     streams = np.concatenate(seen)
     assert np.array_equal(streams.T.ravel()[:2007], tokens) and streams.size - 2007 < streams.shape[1]
+
+
+def test_arrow_words_are_the_words():
+    import pyarrow as pa
+
+    texts = [t or "" for t in TEXTS]
+    found, owners = M.words_of(pa.array(texts))
+    assert found.to_pylist() == [w for t in texts for w in words(t)]
+    assert owners.tolist() == [i for i, t in enumerate(texts) for _ in words(t)]
+
+
+def test_texts_are_split_into_ids_once_for_all_rounds(spark, monkeypatch):
+    rows = list(enumerate(TEXTS)) + [(100 + i, t) for i, t in corpus(60)]
+    docs = frame(spark, rows)
+    known = M.learn_corpus(docs, M.word_counts(docs), head=20, vocab=10)
+    table = M.encoded(docs, known)
+    at = {w.decode(): i for i, w in enumerate(known.words)}
+    for r in table.collect():
+        tokens = words(dict(rows)[r.row.doc_id])
+        assert np.frombuffer(r.ids, M.id_type(10)).tolist() == [min(at.get(w, 10), 10) for w in tokens]
+        assert (r.once.n_words, r.rare) == (len(tokens), [w for w in tokens if w not in at])
+    whole = M.train(docs, known, copy_tokens=1000).flat()
+    known.words = []  # training meets neither texts nor words
+    assert np.allclose(M.train_encoded(table.drop("rare", "once"), known, copy_tokens=1000).flat(), whole, atol=1e-5)
+
+
+def test_scores_are_made_in_bounded_chunks():
+    m, sizes, real = small(), [], M.Gru.log_probs
+    m.log_probs = lambda states, *a: sizes.append(len(states)) or real(m, states, *a)
+    docs = [np.arange(70) % 7] * 30
+    m.document_log_probs(docs, chunk=100)
+    assert sum(sizes) == 71 * 30 and max(sizes) < 100 + 30
