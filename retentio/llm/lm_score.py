@@ -124,24 +124,31 @@ class Gru:
         return self.p["embed"] @ self.p["in"] + self.p["gate_bias"]
 
     def step(self, x, state):
-        """Gates and new state; x: looked-up inputs (n, 3 * hidden)."""
+        """Gates, proposed and new state; x: looked-up inputs (n, 3 * hidden)."""
+        import numpy as np
+
+        n, h = state.shape
+        gates, new, after = (np.empty((n, k), dtype=state.dtype) for k in (2 * h, h, h))
+        self.advance(x.T, (state @ self.p["rec"]).T, state.T, gates.T, new.T, after.T)
+        return gates, new, after
+
+    def advance(self, x, r, state, gates, new, after):
+        """Fills gates (update, then reset), the proposed and the new state; streams are the last axis."""
         import numpy as np
 
         h = self.hidden
-        r = state @ self.p["rec"]
-        gates = x[:, :2 * h] + r[:, :2 * h]
+        np.add(x[:2 * h], r[:2 * h], out=gates)
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        z, reset = gates[:, :h], gates[:, h:]
-        new = reset * r[:, 2 * h:]
-        new += x[:, 2 * h:]
+        np.multiply(gates[h:], r[2 * h:], out=new)
+        new += x[2 * h:]
         np.tanh(new, out=new)
-        after = new - state
-        after *= z
+        np.subtract(new, state, out=after)
+        after *= gates[:h]
         after += state
-        return z, reset, r[:, 2 * h:], new, after
+        return after
 
     def log_probs(self, states, targets, joined=None):
         """Natural log-probability of each target given its state."""
@@ -208,21 +215,21 @@ class Gru:
         small = np.int16 if len(self.cls) < 32_000 else np.int32
         seen = inputs.ravel()
         embed = p["embed"].take(seen, axis=0)
-        x = (embed @ p["in"] + p["gate_bias"]).reshape(steps, streams, 3 * h)
-        inside = (inputs != self.end)[:, :, None]  # a document starts from nothing
-        befores, states, new, rn = (np.empty((steps, streams, h), dtype=state.dtype) for _ in range(4))
-        gates = np.empty((steps, streams, 2 * h), dtype=state.dtype)
+        # streams last, so that gates and states are whole rows
+        x = np.ascontiguousarray((p["in"].T @ embed.T + p["gate_bias"][:, None]).reshape(3 * h, steps, streams).transpose(1, 0, 2))
+        inside = (inputs != self.end)[:, None, :].astype(state.dtype)  # a document starts from nothing
+        befores, states, new = (np.empty((steps, h, streams), dtype=state.dtype) for _ in range(3))
+        gates, recs = np.empty((steps, 2 * h, streams), dtype=state.dtype), np.empty((steps, 3 * h, streams), dtype=state.dtype)
+        recurrent, state = np.ascontiguousarray(p["rec"].T), state.T
         for t in range(steps):
             before = np.multiply(state, inside[t], out=befores[t])
-            z, reset, rn[t], new[t], state = self.step(x[t], before)
-            gates[t, :, :h], gates[t, :, h:] = z, reset
-            states[t] = state
+            state = self.advance(x[t], np.matmul(recurrent, before, out=recs[t]), before, gates[t], new[t], states[t])
         order = np.argsort(targets.ravel().astype(small), kind="stable")
         y = targets.ravel()[order]  # the tokens of a word, and those of a class, are neighbours
         cls, n = self.cls[y], len(y)
         # a column of ones carries the biases, and in the weights the sums of exponentials
         flat = np.ones((n, h + 1), dtype=state.dtype)
-        flat[:, :h] = states.reshape(-1, h).take(order, axis=0)
+        flat[:, :h] = states.transpose(0, 2, 1).reshape(-1, h).take(order, axis=0)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         classes, words, reach = self._joined()
         pulled, class_slope, tops = self._pull(flat, classes, reach)
@@ -258,36 +265,35 @@ class Gru:
         back /= n
         unsorted = np.empty_like(back)
         unsorted[order] = back
-        back = unsorted.reshape(steps, streams, h)
+        back = np.ascontiguousarray(unsorted.reshape(steps, streams, h).transpose(0, 2, 1))
         # what a step multiplies the error by, for all steps at once
-        z, reset = gates[:, :, :h], gates[:, :, h:]
+        z, reset = gates[:, :h], gates[:, h:]
         keep = 1 - z
         to_update = (new - befores) * z * keep
         to_new = z * (1 - new * new)
-        to_reset = rn * reset * (1 - reset)
-        carry = np.zeros((streams, h), dtype=state.dtype)
-        d_inputs, d_rec = (np.empty((steps, streams, 3 * h), dtype=state.dtype) for _ in range(2))
-        recurrent = np.ascontiguousarray(p["rec"].T)
+        to_reset = recs[:, 2 * h:] * reset * (1 - reset)
+        carry = np.zeros((h, streams), dtype=state.dtype)
+        d_inputs, d_rec = (np.empty((steps, 3 * h, streams), dtype=state.dtype) for _ in range(2))
         for t in reversed(range(steps)):
-            d = back[t] + carry
-            np.multiply(d, to_update[t], out=d_rec[t, :, :h])
-            d_new = np.multiply(d, to_new[t], out=d_inputs[t, :, 2 * h:])
-            np.multiply(d_new, to_reset[t], out=d_rec[t, :, h:2 * h])
-            np.multiply(d_new, reset[t], out=d_rec[t, :, 2 * h:])
-            carry = d_rec[t] @ recurrent
+            d = np.add(back[t], carry, out=carry)
+            np.multiply(d, to_update[t], out=d_rec[t, :h])
+            d_new = np.multiply(d, to_new[t], out=d_inputs[t, 2 * h:])
+            np.multiply(d_new, to_reset[t], out=d_rec[t, h:2 * h])
+            np.multiply(d_new, reset[t], out=d_rec[t, 2 * h:])
+            carry = p["rec"] @ d_rec[t]
             d *= keep[t]
             carry += d
             carry *= inside[t]
-        d_inputs[:, :, :2 * h] = d_rec[:, :, :2 * h]
-        d_inputs, d_rec = d_inputs.reshape(-1, 3 * h), d_rec.reshape(-1, 3 * h)
-        g["rec"] = befores.reshape(-1, h).T @ d_rec
-        g["gate_bias"] = np.ones(n, dtype=state.dtype) @ d_inputs
-        g["in"] = embed.T @ d_inputs
+        d_inputs[:, :2 * h] = d_rec[:, :2 * h]
+        d_inputs, d_rec = (np.ascontiguousarray(d.transpose(1, 0, 2)).reshape(3 * h, -1) for d in (d_inputs, d_rec))
+        g["rec"] = np.ascontiguousarray(befores.transpose(1, 0, 2)).reshape(h, -1) @ d_rec.T
+        g["gate_bias"] = d_inputs.sum(axis=1)
+        g["in"] = (d_inputs @ embed).T
         order = np.argsort(seen.astype(small), kind="stable")
         known = seen[order]
         firsts = np.flatnonzero(np.diff(known, prepend=-1))
-        g["embed"][known[firsts]] = np.add.reduceat((d_inputs @ p["in"].T).take(order, axis=0), firsts, axis=0)
-        return loss / n, g, state
+        g["embed"][known[firsts]] = np.add.reduceat((d_inputs.T @ p["in"].T).take(order, axis=0), firsts, axis=0)
+        return loss / n, g, state.T
 
     def _pull(self, states, weights, reach, summing=None):
         """For a softmax over ``weights`` (biases last) of ``states`` (ones last): the weights that each state expects
